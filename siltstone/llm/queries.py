@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from siltstone.llm import packing, token_counts, token_output
+from siltstone.llm import decontaminate, kd_shards, packing, preferences, quality, token_counts, token_output
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
+    "op2_kd_shards": kd_shards.op2_kd_shards,
+    "op3_decontamination": decontaminate.op3_decontamination,
     "op5_packing": packing.op5_packing,
+    "op7_preferences": preferences.op7_preferences,
+    "op8_quality_rules": quality.op8_quality_rules,
     "op9_token_counts": token_counts.op9_token_counts,
 }
 #: DuckDB SQL for the queries that SQL can express.
