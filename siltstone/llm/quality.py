@@ -124,14 +124,10 @@ def judged(stats: DataFrame, cutoffs: DataFrame) -> DataFrame:
 
 
 def quality(docs: DataFrame, labels: DataFrame, keep: list[str], *, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """The columns `keep` of docs with the counts, stratum, failed_rules, base_failed and kept."""
-    own = docs.select(*dict.fromkeys([*keep, "doc_id", "text", "lang"])).withColumn("stratum", F.col("lang"))
-    if "text" not in keep:
-        own = with_counts(own).drop("text")
-    else:
-        own = with_counts(own)
+    """Every row's counts, stratum, failed_rules, base_failed and kept, and its columns `keep` in the struct _kept."""
+    own = docs.select("doc_id", "text", F.col("lang").alias("stratum"), F.struct(*keep).alias("_kept"))
     scratch = common.Scratch(docs.sparkSession, "quality")
-    stats = scratch.stage(own, "stats")
+    stats = scratch.stage(with_counts(own).drop("text"), "stats")
     counts = scratch.stage(labelled_counts(stats, labels), "counts")
     cutoffs = scratch.stage(certified(counts, alpha=alpha, delta=delta), "cutoffs")
     return judged(stats, cutoffs)

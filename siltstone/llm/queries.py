@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from siltstone.llm import decontaminate, kd_shards, packing, preferences, quality, token_counts, token_output
+from siltstone.llm import decontaminate, jaccard_join, kd_shards, packing, personal_data, preferences, quality, secret_scan, token_counts, token_output
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
     "op2_kd_shards": kd_shards.op2_kd_shards,
     "op3_decontamination": decontaminate.op3_decontamination,
+    "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_packing": packing.op5_packing,
+    "op6_personal_data": personal_data.op6_personal_data,
     "op7_preferences": preferences.op7_preferences,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_token_counts": token_counts.op9_token_counts,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {}

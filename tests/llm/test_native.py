@@ -47,7 +47,7 @@ def test_cutoffs_are_certified_and_bad_documents_go(spark):
         labels.append((k, None if k % 50 == 49 else int(not bad)))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     marks = spark.createDataFrame(labels, "doc_id long, quality int")
-    got = quality.quality(docs, marks, ["doc_id", "text"]).select("doc_id", "kept", "failed_rules").collect()
+    got = quality.quality(docs, marks, ["doc_id", "text"]).select("_kept.doc_id", "kept", "failed_rules").collect()
     bad = [r for r in got if r["doc_id"] % 8 == 0]
     good = [r for r in got if r["doc_id"] % 8]
     assert sum(r["kept"] for r in bad) == 0 and sum(r["kept"] for r in good) >= 0.97 * len(good)
