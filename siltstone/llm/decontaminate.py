@@ -26,33 +26,42 @@ BROADCAST_ROWS = 200_000
 #: Units of measure, currency and time.
 UNITS = "kg g mg lb lbs oz km m cm mm mi mile miles ft feet inch inches yard yards l ml litre litres liter liters gallon gallons sec second seconds min minute minutes hr hour hours day days week weeks month months year years usd eur dollar dollars euro euros cent cents percent hz khz mhz ghz kw kj".split()
 PUNCTUATION = ".,;:!?()[]{}\"'`´‘’“”«»…*_|/\\$€£%#&<>=+~^"
-MARK = "\x02"
+MARK, SLOT = "\x02", "\x01"
 
 
-def marked_tokens(text: Column) -> Column:
-    """Tokens without punctuation; a name begins with MARK."""
-    plain = F.translate(F.coalesce(text, F.lit("")), MARK, "")
+def plain_text(text: Column) -> Column:
+    """The text without punctuation; a name begins with MARK."""
+    plain = F.translate(F.coalesce(text, F.lit("")), MARK + SLOT, "")
     named = F.regexp_replace(plain, "(?<=[\\p{L}\\p{N},;)\"'] )(?=\\p{Lu}\\p{Ll})", MARK)
-    return native.words_of(F.translate(named, PUNCTUATION, ""))
+    return F.translate(named, PUNCTUATION, "")
 
 
-def canonical(token: Column) -> Column:
-    """A token's word or its typed placeholder."""
-    first = F.substring(token, 1, 1)
-    low = F.lower(token)
-    number = F.when(token.rlike("^[0-9]+$"), F.lit("\x01number")).otherwise(F.concat(F.lit("\x01number"), F.when(F.regexp_replace(low, "^[0-9]+", "").isin(UNITS), F.lit("\x01unit")).otherwise(F.regexp_replace(low, "[0-9]+", "0"))))
-    return F.when(first == MARK, F.lit("\x01name")).when((first >= "0") & (first <= "9"), number).when(low.isin(UNITS), F.lit("\x01unit")).otherwise(low)
+def canonical_text(plain: Column) -> Column:
+    """The same tokens in lower case, with typed placeholders. Patterns run over whole texts: one per token costs more."""
+    units = "|".join(sorted(UNITS, key=len, reverse=True))
+    out = F.regexp_replace(plain, f"{MARK}[^ \\t-\\r]+", f"{SLOT}name")
+    out = F.regexp_replace(F.lower(out), f"(?<![^ \\t-\\r])[0-9]+({units})?(?![^ \\t-\\r])", f"{SLOT}number$1")
+    out = F.regexp_replace(out, f"{SLOT}number(?=[^ \\t-\\r])[^ \\t-\\r]+", f"{SLOT}numberunit")
+    return F.regexp_replace(out, f"(?<![^ \\t-\\r])(?:{units})(?![^ \\t-\\r])", f"{SLOT}unit")
+
+
+def with_tokens(df: DataFrame) -> DataFrame:
+    """Adds tokens as they stand and, place by place, canonical ones; needs text."""
+    own = df.withColumn("_plain", plain_text(F.col("text")))
+    return own.withColumn("tokens", native.words_of(F.col("_plain"))).withColumn("canonical", native.words_of(canonical_text(F.col("_plain")))).drop("_plain")
 
 
 def is_slot(token: Column) -> Column:
-    return canonical(token).startswith("\x01")
+    """Whether a canonical token is a placeholder."""
+    return token.startswith(SLOT)
 
 
 def windows(df: DataFrame, key: str, sizes: list[int]) -> DataFrame:
-    """key, size, place and hash of every window; df has the columns key and tokens."""
-    own = df.withColumn("_hashes", F.transform("tokens", lambda w: F.xxhash64(canonical(w))))
+    """key, size, place and hash of every window; df has the columns key and canonical."""
+    own = df.withColumn("_hashes", F.transform("canonical", lambda w: F.xxhash64(w)))
     own = native.with_window_hashes(own, "_hashes", sizes)
-    parts = [own.select(key, F.lit(s).alias("size"), F.posexplode(f"w{s}").alias("place", "hash")) for s in sizes]
+    # not posexplode: the filter that Spark infers from it would evaluate the windows again before each text
+    parts = [own.select(key, F.lit(s).alias("size"), F.posexplode_outer(f"w{s}").alias("place", "hash")) for s in sizes]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -60,15 +69,15 @@ def windows(df: DataFrame, key: str, sizes: list[int]) -> DataFrame:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """item_id, n_tokens, tokens, size, item_place and hash of the benchmark's windows that are evidence."""
-    own = items.select("item_id", marked_tokens(F.col("text")).alias("tokens")).filter(F.size("tokens") >= MIN_ITEM)
-    own = own.withColumn("_hashes", F.transform("tokens", lambda w: F.xxhash64(canonical(w))))
+    """item_id, n_tokens, tokens, canonical, size, item_place and hash of the benchmark's windows that are evidence."""
+    own = with_tokens(items.select("item_id", "text")).filter(F.size("tokens") >= MIN_ITEM)
+    own = own.withColumn("_hashes", F.transform("canonical", lambda w: F.xxhash64(w)))
     own = own.withColumn("size", F.least(F.size("tokens"), F.lit(WINDOW)))
     sizes = [*range(MIN_ITEM, WINDOW + 1)]
     own = native.with_window_hashes(own, "_hashes", sizes)
     chosen = F.coalesce(*(F.when(F.col("size") == s, F.col(f"w{s}")) for s in sizes))
-    rows = own.select("item_id", F.size("tokens").alias("n_tokens"), "tokens", "size", F.posexplode(chosen).alias("item_place", "hash"))
-    literal = F.size(F.filter(F.slice("tokens", F.col("item_place") + 1, F.col("size")), lambda w: ~is_slot(w)))
+    rows = own.select("item_id", F.size("tokens").alias("n_tokens"), "tokens", "canonical", "size", F.posexplode_outer(chosen).alias("item_place", "hash"))
+    literal = F.size(F.filter(F.slice("canonical", F.col("item_place") + 1, F.col("size")), lambda w: ~is_slot(w)))
     return rows.filter(literal * 2 >= F.col("size"))
 
 
@@ -85,21 +94,21 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     facts = wanted.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each window size
     sizes, n_wanted = sorted(r["size"] for r in facts) or [WINDOW], sum(r["n"] for r in facts)
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
-    tokens = own.select(F.struct("doc_id", "row").alias("key"), marked_tokens(F.col("text")).alias("tokens"))
+    tokens = with_tokens(own.select(F.struct("doc_id", "row").alias("key"), "text"))
     keys = wanted.select("item_id", "size", "item_place", "hash", "n_tokens")
-    found = windows(tokens, "key", sizes).join(small(keys, n_wanted), ["size", "hash"])
+    found = windows(tokens.select("key", "canonical"), "key", sizes).join(small(keys, n_wanted), ["size", "hash"])
     hits = scratch.stage(found.select("key.doc_id", "key.row", "item_id", "n_tokens", "size", "place", "item_place", (F.col("place") - F.col("item_place")).alias("shift")), "hits")
     # the item's slots in matched windows; without any, the texts need not be read again
-    slots = wanted.select("item_id", "item_place", "size", F.slice("tokens", F.col("item_place") + 1, F.col("size")).alias("item_words")).filter(F.exists("item_words", is_slot))
+    slots = wanted.select("item_id", "item_place", "size", F.slice("tokens", F.col("item_place") + 1, F.col("size")).alias("item_words"), F.slice("canonical", F.col("item_place") + 1, F.col("size")).alias("kinds")).filter(F.exists("kinds", is_slot))
     slotted = hits.join(small(slots, n_wanted), ["item_id", "item_place", "size"])
     texts = slotted.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
     place = ["doc_id", "row", "item_id", "shift"]
     if n_texts := texts.count():
-        read = tokens.join(small(texts, n_texts), F.expr("key.doc_id <=> _id and key.row = _row"), "left_semi").dropDuplicates(["key"])
+        read = tokens.select("key", "tokens").join(small(texts, n_texts), F.expr("key.doc_id <=> _id and key.row = _row"), "left_semi").dropDuplicates(["key"])
         words = slotted.alias("s").join(read.alias("d"), F.expr("s.doc_id <=> d.key.doc_id and s.row = d.key.row")).select("s.*", F.slice("d.tokens", F.col("s.place") + 1, F.col("s.size")).alias("doc_words"))
-        values = words.select(*place, F.explode(F.filter(F.arrays_zip("item_words", "doc_words"), lambda z: is_slot(z["item_words"]))).alias("z")).distinct()
-        forward = values.groupBy(*place, "z.item_words").agg(F.count(F.lit(1)).alias("n")).select(*place, "n", F.lit(1).alias("slot"))
-        back = values.groupBy(*place, "z.doc_words").agg(F.count(F.lit(1)).alias("n")).select(*place, "n", F.lit(0).alias("slot"))
+        values = words.select(*place, F.explode(F.filter(F.arrays_zip("item_words", "doc_words", "kinds"), lambda z: is_slot(z["kinds"]))).alias("z")).select(*place, "z.item_words", "z.doc_words").distinct()
+        forward = values.groupBy(*place, "item_words").agg(F.count(F.lit(1)).alias("n")).select(*place, "n", F.lit(1).alias("slot"))
+        back = values.groupBy(*place, "doc_words").agg(F.count(F.lit(1)).alias("n")).select(*place, "n", F.lit(0).alias("slot"))
         checked = forward.unionByName(back).groupBy(*place).agg(F.sum("slot").alias("n_slots"), (F.max("n") <= 1).alias("consistent"))
         on = F.expr(" and ".join(f"h.{c} <=> k.{c}" for c in place))
         hits = hits.alias("h").join(checked.alias("k"), on, "left").select("h.*", F.coalesce("k.n_slots", F.lit(0)).cast("long").alias("n_slots"), F.coalesce("k.consistent", F.lit(True)).alias("consistent"))
