@@ -55,7 +55,7 @@ def compared_by_field(a: DataFrame, b: DataFrame) -> DataFrame:
 def disagreements(a: DataFrame, b: DataFrame) -> DataFrame:
     """Exact keys of one side only, to be adjudicated."""
     rows = sides(a, b, EXACT).filter("in_a <> in_b")
-    return rows.select(*EXACT, F.when("in_a", "a").otherwise("b").alias("source"), F.lit("pending").alias("status"))
+    return rows.select(*EXACT, F.when(F.col("in_a"), "a").otherwise("b").alias("source"), F.lit("pending").alias("status"))
 
 
 def attribute_counts(events: DataFrame) -> DataFrame:

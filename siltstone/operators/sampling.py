@@ -106,7 +106,7 @@ def finalized(pool: DataFrame, screen: DataFrame, sizes: tuple[int, int, int] =
     """
     rows = pool.join(screen, "document_id", "left").withColumn("_eligible", F.coalesce("eligible", F.lit(False)))
     place = F.sum(F.col("_eligible").cast("int")).over(Window.orderBy("order", "document_id"))
-    rows = rows.withColumn("_place", F.when("_eligible", place))
+    rows = rows.withColumn("_place", F.when(F.col("_eligible"), place))
     ends = [sizes[0], sizes[0] + sizes[1], sum(sizes)]
     name = F.when(F.col("_place") <= ends[0], SPLITS[0]).when(F.col("_place") <= ends[1], SPLITS[1]).when(F.col("_place") <= ends[2], SPLITS[2])
     reason = F.when(F.col("split").isNull(), F.when(F.col("eligible") == F.lit(False), "not_machine_eligible").otherwise("eligible_reserve_not_selected"))

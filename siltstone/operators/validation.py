@@ -31,7 +31,7 @@ def retrieved(attempts: DataFrame, retries: int = RETRIES) -> DataFrame:
     rows = rows.withColumn("_again", failed & (F.col("n") <= retries))
     # attempts after the first final one were never made
     stops = F.sum((~F.col("_again")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.filter(F.coalesce(stops, F.lit(0)) == 0)
+    rows = rows.withColumn("_stops", F.coalesce(stops, F.lit(0))).filter("_stops = 0")
     wait = F.least(F.coalesce(F.when(F.col("status").isNotNull(), F.col("retry_after")), BACKOFF * F.pow(F.lit(2.0), F.col("n") - 1)), F.when(F.col("status").isNull(), F.lit(float("inf"))).otherwise(BACKOFF_CAP))
     rows = rows.withColumn("_wait", F.when(F.col("_again"), wait).otherwise(0.0))
     last = lambda c: F.max_by(c, "n")
