@@ -136,4 +136,4 @@ def quality(docs: DataFrame, labels: DataFrame, keep: list[str], *, alpha: float
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = common.table(spark, sf_dir, "labels").select("doc_id", "quality")
     rows = quality(common.table(spark, sf_dir, "documents"), labels, ["doc_id"])
-    return rows.select("doc_id", *BASE, "base_failed", "kept", "stratum", "failed_rules")
+    return rows.select("doc_id", *BASE, "base_failed", "kept", "stratum", F.array_join("failed_rules", "+").alias("failed_rules"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import decontaminate, jaccard_join, kd_shards, packing, personal_data, preferences, quality, secret_scan, token_counts, token_output
+from siltstone.llm import decontaminate, jaccard_join, kd_shards, oracles, packing, personal_data, preferences, quality, secret_scan, token_counts, token_output
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
@@ -17,4 +17,4 @@ QUERIES = {
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_preferences": oracles.PREFERENCES, "op8_quality_rules": oracles.QUALITY, "op10_jaccard_join": oracles.SHINGLES}
