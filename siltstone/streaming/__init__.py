@@ -1,0 +1 @@
+"""No operator of this engine keeps state over a stream; all tables are read in whole batches."""
