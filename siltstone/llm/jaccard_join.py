@@ -6,9 +6,10 @@
    with equal prefixes and size form one group, and only groups are indexed; equal sets are one class.
 3. The index is dealt by shingle. First round: in each list of groups every group is paired with the list's smallest
    group of matching size, and in each group every class with the group's first. Pairs are verified on whole texts.
-4. Second round: what lists and groups still hold in different components is paired in full, group pairs are filtered
+4. Strays: a group that shares a list with a large component but isn't in it is compared with random members of it.
+5. Last round: what lists and groups still hold in different components is paired in full, group pairs are filtered
    by their common prefix shingles (an exact bound on the intersection), expanded to classes and verified.
-   Pairs within a component need no check, so a family of thousands of near copies costs about one pair a member.
+   Pairs within a component need no check, so a family of thousands of near copies costs a few pairs a member.
 
 Two documents link when 100 * intersection >= 75 * union of their sets of five-word shingles. Documents without words
 link with nothing. Rows with one doc_id are one document, linked if any of its texts is; a null doc_id links with
@@ -23,7 +24,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +32,14 @@ from pyspark.sql import functions as F
 from siltstone.llm import common, shingles
 from siltstone.llm.components import components
 
-#: Sketch cells per 32 shingles, between these bounds; the most makes a bitmap of 8 MB, the only thing broadcast.
-LEAST_CELLS, MOST_CELLS, CHUNKS = 1 << 18, 1 << 26, 16
+#: One sketch cell for two shingles, between these bounds; the most makes a bitmap of 8 MB, the only thing broadcast.
+LEAST_CELLS, MOST_CELLS, CHUNKS, HELD = 1 << 18, 1 << 26, 16, 40_000
 BATCH_ROWS, MEMBERS, FLUSH = 512, 200, 1_000_000
+#: Rounds that compare what is apart from a family with random members of it, and the least size of a family in a list.
+ROUNDS, FAMILY = 2, 8
+#: Lists up to this long are paired at once, longer ones member by member.
+SQUARE = 64
+_TRIANGLE = [np.triu_indices(k, 1) for k in range(SQUARE + 1)]
 SETS = "doc_id long, n long, set_digest binary, prefix_digest binary, prefix binary"
 LISTS = "h long, g long, n int, pivot long"
 
@@ -53,22 +58,28 @@ def sketched(docs: DataFrame, cells: int, scratch: common.Scratch) -> np.ndarray
     width = cells // CHUNKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.int64)
+        total, since = np.zeros(cells, np.uint16), 0
         for batch in batches:
             for rows in slices(batch):
                 if sets := shingles.sets_of(rows.column(0).to_pylist()):
                     np.add.at(total, (np.concatenate(sets) & np.uint64(cells - 1)).astype(np.int64), 1)
+                since += rows.num_rows  # a cell's shingles may be in each of these, and several times by collisions
+                if since >= 4096:
+                    np.minimum(total, HELD, out=total)
+                    since = 0
+        np.minimum(total, HELD, out=total)
         if total.any():
-            data = [zlib.compress(total[k * width : (k + 1) * width].astype("<u4").tobytes(), 1) for k in range(CHUNKS)]
+            data = [zlib.compress(total[k * width : (k + 1) * width].astype("<u2").tobytes(), 1) for k in range(CHUNKS)]
             task = TaskContext.get().partitionId() % 64
             yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([task] * CHUNKS, pa.int32()), pa.array(data, pa.binary())], names=["chunk", "part", "data"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width, np.int64)
+        total = np.zeros(width, np.uint32)
         for batch in batches:
             for data in batch.column("data"):
-                total += np.frombuffer(zlib.decompress(data.as_py()), "<u4")
-        data = zlib.compress(np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes(), 1)
+                total += np.frombuffer(zlib.decompress(data.as_py()), "<u2")
+                np.minimum(total, HELD, out=total)
+        data = zlib.compress(total.astype("<u2").tobytes(), 1)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([data], pa.binary())], names=["chunk", "part", "data"])
 
     kind = "chunk int, part int, data binary"
@@ -77,15 +88,15 @@ def sketched(docs: DataFrame, cells: int, scratch: common.Scratch) -> np.ndarray
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [int(np.frombuffer(zlib.decompress(x.as_py()), "<u4").sum(dtype=np.int64)) for x in batch.column(0)]
+            n = [int(np.frombuffer(zlib.decompress(x.as_py()), "<u2").sum(dtype=np.int64)) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], names=["n"])
 
     mean = (sums.select("data").mapInArrow(facts, "n long").agg(F.sum("n")).first()[0] or 0) / cells
-    most = mean + 8 * math.sqrt(mean) + 16
+    most = mean + 4 * math.sqrt(mean) + 4
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = [np.packbits(np.frombuffer(zlib.decompress(x.as_py()), "<u4") > most, bitorder="little").tobytes() for x in batch.column(1)]
+            bits = [np.packbits(np.frombuffer(zlib.decompress(x.as_py()), "<u2") > most, bitorder="little").tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["chunk", "bits"])
 
     bitmap = np.zeros(cells // 8, np.uint8)
@@ -218,6 +229,42 @@ def verified(pairs: DataFrame, docs: DataFrame, n_parts: int) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long")
 
 
+def strays(lists: DataFrame, n_parts: int) -> DataFrame:
+    """Pairs of a group and a random group of the largest component of a list that it shares but isn't in.
+
+    One family's members are not all near to one of them; each list offers another one. lists: h, g, n, c.
+    """
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        h, g, n, c = (np.concatenate([b.column(k).to_numpy() for b in parts]) for k in range(4))
+        order = np.lexsort((g, n, h))
+        h, g, n, c = h[order], g[order], n[order], c[order]
+        firsts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        a, b = [], []
+        for at, end in zip(firsts.tolist(), [*firsts[1:].tolist(), len(h)], strict=True):
+            if end - at <= FAMILY or (c[at:end] == c[at]).all():
+                continue
+            names, counts = np.unique(c[at:end], return_counts=True)
+            if counts.max() < FAMILY:
+                continue
+            inside = c[at:end] == names[counts.argmax()]
+            own, other = np.arange(at, end)[inside], np.arange(at, end)[~inside]
+            low, high = np.searchsorted(4 * n[own], 3 * n[other], "left"), np.searchsorted(3 * n[own], 4 * n[other], "right")
+            some = high > low
+            spread = shingles.mixed(g[other].view(np.uint64) ^ np.uint64(h[at] & 0x7FFFFFFFFFFFFFFF)) >> np.uint64(33)
+            chosen = own[low[some] + (spread[some].astype(np.int64) % (high[some] - low[some]))]
+            a.append(np.minimum(g[other][some], g[chosen]))
+            b.append(np.maximum(g[other][some], g[chosen]))
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    rows = lists.select("h", "g", F.col("n").cast("long").alias("n"), "c").repartition(n_parts, "h").mapInArrow(pick, "a long, b long")
+    return rows.filter("a <> b").distinct()
+
+
 def crossing(lists: DataFrame, n_parts: int) -> DataFrame:
     """Pairs of groups that share a list but not a component, and how many lists they share. lists: h, g, n, c."""
 
@@ -229,28 +276,39 @@ def crossing(lists: DataFrame, n_parts: int) -> DataFrame:
         order = np.lexsort((g, n, h))
         h, g, n, c = h[order], g[order], n[order], c[order]
         firsts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        held: list[pd.DataFrame] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def summed() -> pa.RecordBatch:
-            out = pd.concat(held).groupby(["g1", "g2", "n1", "n2"], as_index=False).agg(shared=("shared", "sum"))
-            return pa.RecordBatch.from_pandas(out.astype("int64"), preserve_index=False)
+            a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+            swap = g[b] < g[a]
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            order = np.lexsort((n[b], n[a], g[b], g[a]))
+            a, b = a[order], b[order]
+            new = np.concatenate(([True], (g[a][1:] != g[a][:-1]) | (g[b][1:] != g[b][:-1]) | (n[a][1:] != n[a][:-1]) | (n[b][1:] != n[b][:-1])))
+            first = np.flatnonzero(new)
+            shared = np.diff(np.concatenate((first, [len(a)])))
+            a, b = a[first], b[first]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (g[a], g[b], n[a], n[b], shared.astype(np.int64))], names=["g1", "g2", "n1", "n2", "shared"])
 
         for at, end in zip(firsts.tolist(), [*firsts[1:].tolist(), len(h)], strict=True):
             if (c[at:end] == c[at]).all():
                 continue
-            last = at + np.searchsorted(3 * n[at:end], 4 * n[at:end], "right")  # of matching size
-            for k in range(at, end - 1):
-                other = np.arange(k + 1, last[k - at])
-                other = other[(c[other] != c[k]) & (g[other] != g[k])]
-                if len(other):
-                    swap = g[other] < g[k]
-                    held.append(pd.DataFrame({"g1": np.where(swap, g[other], g[k]), "g2": np.where(swap, g[k], g[other]), "n1": np.where(swap, n[other], n[k]), "n2": np.where(swap, n[k], n[other]), "shared": 1}))
-                    size += len(other)
-                    if size >= FLUSH:
-                        yield summed()
-                        held, size = [], 0
-        if held:
+            k = end - at
+            if k <= SQUARE:
+                one, other = (at + x for x in _TRIANGLE[k])
+                fits = (c[one] != c[other]) & (g[one] != g[other]) & (3 * n[other] <= 4 * n[one])
+                pieces = [(one[fits], other[fits])]
+            else:
+                last = at + np.searchsorted(3 * n[at:end], 4 * n[at:end], "right")  # of matching size
+                pieces = ((np.full(len(other), one), other) for one in range(at, end - 1) if len(other := one + 1 + np.flatnonzero((c[one + 1 : last[one - at]] != c[one]) & (g[one + 1 : last[one - at]] != g[one]))))
+            for piece in pieces:
+                held.append(piece)
+                size += len(piece[0])
+                if size >= FLUSH:
+                    yield summed()
+                    held, size = [], 0
+        if size:
             yield summed()
 
     rows = lists.select("h", "g", F.col("n").cast("long").alias("n"), "c").repartition(n_parts, "h").mapInArrow(pair, "g1 long, g2 long, n1 long, n2 long, shared long")
@@ -270,7 +328,7 @@ def joined(docs: DataFrame) -> DataFrame:
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     n_parts = common.partitions(spark)
     n_bytes = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << max(0, math.ceil(math.log2(max(1, n_bytes / 6 / 32))))))
+    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << max(0, math.ceil(math.log2(max(1, n_bytes / 6 / 2))))))
     bitmap = spark.sparkContext.broadcast(sketched(own, cells, scratch))
     sets = scratch.stage(document_sets(own, bitmap, cells), "sets")
     known = sets.filter("n > 0 and doc_id is not null")
@@ -289,21 +347,32 @@ def joined(docs: DataFrame) -> DataFrame:
     several = texts_of.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("doc_id")
     repeated = texts_of.join(several, "doc_id").join(classes, keys).select(F.col("doc_id").alias("a"), F.col("r").alias("b"))
     links = scratch.stage(verified(first, texts, n_parts).union(repeated), "links1")
-    found = scratch.stage(components(links, scratch, "stars1"), "found1")
-    # what is still apart
-    labelled = members.join(found, F.col("r") == F.col("node"), "left").select("g", "r", F.coalesce("component", F.col("r")).alias("c"))
-    labelled = scratch.stage(labelled, "labelled")
-    parts = labelled.select("g", "c").distinct()
+    done = scratch.stage(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "done")
+
+    def labelled(links: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+        """The components so far, and every class with its group and component."""
+        found = scratch.stage(components(links, scratch, f"stars{k}"), f"found{k}")
+        return found, scratch.stage(members.join(found, F.col("r") == F.col("node"), "left").select("g", "r", F.coalesce("component", F.col("r")).alias("c")), f"labelled{k}")
+
+    found, labels = labelled(links, 1)
+    for k in range(ROUNDS):
+        picked = scratch.stage(strays(lists.select("h", "g", "n").join(labels.select("g", "c").distinct(), "g"), n_parts).join(done, ["a", "b"], "left_anti"), f"picked{k}")
+        if not picked.limit(1).count():
+            break
+        more = verified(picked, texts, n_parts)
+        done = done.union(picked)
+        found, labels = labelled(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), k + 2)
+    # what is still apart, in full
+    parts = labels.select("g", "c").distinct()
     apart = scratch.stage(possible(crossing(lists.select("h", "g", "n").join(parts, "g"), n_parts)).select("g1", "g2"), "apart")
     scratch.drop("lists")
-    inside = labelled.groupBy("g").agg((F.min("c") != F.max("c")).alias("split")).filter("split").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
-    left, right = labelled.select(F.col("g").alias("g1"), F.col("r").alias("r1"), F.col("c").alias("c1")), labelled.select(F.col("g").alias("g2"), F.col("r").alias("r2"), F.col("c").alias("c2"))
+    inside = labels.groupBy("g").agg((F.min("c") != F.max("c")).alias("split")).filter("split").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
+    left, right = labels.select(F.col("g").alias("g1"), F.col("r").alias("r1"), F.col("c").alias("c1")), labels.select(F.col("g").alias("g2"), F.col("r").alias("r2"), F.col("c").alias("c2"))
     rest = apart.union(inside).distinct().join(left, "g1").join(right, "g2").filter("c1 <> c2").select(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b")).distinct()
-    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = scratch.stage(rest.join(done, ["a", "b"], "left_anti"), "second")
     if second.limit(1).count():
         more = scratch.stage(verified(second, texts, n_parts), "links2")
-        found = scratch.stage(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch, "stars2"), "found2")
+        found = scratch.stage(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch, "stars9"), "found9")
     named = classes.join(found, F.col("r") == F.col("node"), "left").select(*keys, F.coalesce("component", F.col("r")).alias("component_id"))
     named = scratch.stage(named, "named")
     # rows of one doc_id are one document: its smallest component
