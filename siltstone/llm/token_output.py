@@ -20,12 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm import common, rans, tokens
 
-GROUP_TOKENS, BATCH_ROWS = 1_000_000, 128
+GROUP_TOKENS, BATCH_ROWS = 4_000_000, 128
 GROUP_HEAD = struct.Struct("<4sIII")  # mark, documents, blocks, bytes of the index
 GROUP_MARK = b"TOKG"
 STAGED = "shard int, doc_id long, n long, ids binary"
@@ -84,17 +85,16 @@ def staged_ids(docs: DataFrame, path: str, end_id: int, words: bool, n_shards: i
     return dealt.select(F.spark_partition_id().alias("shard"), "doc_id", "text").mapInArrow(encode, STAGED)
 
 
-def counted_ids(staged: DataFrame, wide: int) -> DataFrame:
+def counted_ids(staged: DataFrame) -> DataFrame:
     """How often each id occurs in all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids, n in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                data = ids.as_buffer()
-                own = np.bincount(np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4"), minlength=len(total))
-                own[: len(total)] += total
-                total = own
+            data = b"".join(batch.column(0).to_pylist())
+            own = np.bincount(np.frombuffer(data, "<u2" if len(data) == 2 * (pc.sum(batch.column(1)).as_py() or 0) else "<u4"), minlength=len(total))
+            own[: len(total)] += total
+            total = own
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
@@ -170,7 +170,7 @@ def write_ids(docs: DataFrame, to: str, path: str, *, end_id: int, words: bool =
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "token-output")
     staged = scratch.stage(staged_ids(docs, path, end_id, words, n_shards or common.partitions(spark)), "ids")
-    counts = counted_ids(staged, 0).collect()  # a row for each id of the vocabulary at most
+    counts = counted_ids(staged).collect()  # a row for each id of the vocabulary at most
     total = np.zeros(max([end_id, *(r["id"] for r in counts)]) + 1, np.int64)
     for r in counts:
         total[r["id"]] = r["n"]
