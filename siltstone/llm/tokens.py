@@ -17,9 +17,11 @@ LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\\t
 #: The pre-tokenizer patterns of the two vocabularies, for those code points.
 BYTE_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 WORD_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
-#: Python calls these white space, the vocabularies do not; cuts use \x01.
+#: Python calls \x1c to \x1f white space, the vocabularies do not; cuts use \x01.
 ODD = re.compile("[\x01\x1c-\x1f]")
-CACHED_UNITS = 600_000
+#: The same and all white space but a space and a line end.
+ODD_OR_SPACE = re.compile("[\x01\x1c-\x1f\t\r\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+CACHED_UNITS = 1_000_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -37,13 +39,18 @@ class _Units(dict):
         self.starts, self.sizes, self.ids = array("q"), array("q"), array("I")
 
     def __missing__(self, unit: str) -> int:
-        ids, row = self.encode(unit), len(self.starts)
+        ids = self.encode(unit)
+        row = len(self.starts)
         self.starts.append(len(self.ids))
         self.sizes.append(len(ids))
         self.ids.extend(ids)
         self[unit] = row
         return row
 
+    def ids_of(self, unit: str) -> list[int]:
+        row = self[unit]
+        return self.ids[self.starts[row] : self.starts[row] + self.sizes[row]].tolist()
+
 
 class Encoder:
     """Encodes batches of texts; words=True for the vocabulary that drops white space and lower-cases."""
@@ -58,24 +65,37 @@ class Encoder:
         self.units = _Units(self._unit)
 
     def _unit(self, unit: str) -> list[int]:
-        if unit and max(unit) >= "Ā":
+        if not unit:
+            return []
+        if max(unit) >= "Ā":
             return self.whole.encode(unit, add_special_tokens=False).ids
+        if self.words:
+            unit = unit.lower()
+        if unit[-1] in ".,!?" and unit[:-1].lstrip(" ").isalpha():  # a word and a mark are two pieces
+            return self.units.ids_of(unit[:-1]) + self.units.ids_of(unit[-1])
+        # a word alone is one piece
+        pieces = [unit] if unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha()) else self.pieces.findall(unit)
         out: list[int] = []
-        tokenize, unit = self.model.tokenize, unit.lower() if self.words else unit
-        for piece in self.pieces.findall(unit):
-            out += [t.id for t in tokenize(piece if piece.isalnum() and piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet))]
+        for piece in pieces:
+            if piece.isascii() and piece[1:].isalnum() and (piece[0] == " " or piece[0].isalnum()):
+                shown = "Ġ" + piece[1:] if piece[0] == " " else piece
+            else:
+                shown = piece.encode().decode("latin-1").translate(self.alphabet)
+            out += [t.id for t in self.model.tokenize(shown)]
         return out
 
     def _cut(self, text: str) -> list[str] | None:
         """The text's units, or None if it must be encoded whole."""
-        if any(m in text for m in self.marks) or ODD.search(text):
+        if any(m in text for m in self.marks):
             return None
-        found = text.split()
         if self.words:
-            return found
-        units = text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ").split("\x01")
-        # each unit is a word, a space and a word, or a line end between two words
-        return units if len(units) - text.count("\n") == len(found) and (len(units) < 2 or units[-1] not in (" ", "\n", "")) else None
+            return None if ODD.search(text) else text.split()
+        if not text:
+            return []
+        # then each unit is a word, a space and a word, or a line end between two words
+        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", " \n", "\n ", "\n\n")) or ODD_OR_SPACE.search(text):
+            return None
+        return text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ").split("\x01")
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has."""
