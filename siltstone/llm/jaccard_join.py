@@ -198,13 +198,14 @@ def prefix_lists(groups: DataFrame, n_parts: int) -> DataFrame:
     return groups.select("g", "n", "prefix").mapInArrow(pack, kind).repartition(n_parts, "part").mapInArrow(lists, LISTS)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n_parts: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, n_parts: int, scratch: common.Scratch, name: str) -> DataFrame:
     """The pairs a, b that link. Each text goes once to each partner's place; a partner of many is put in several."""
     counted = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k")).select(F.col("a").alias("_a"), F.ceil(F.col("k") / MEMBERS).cast("int").alias("places"))
     placed = pairs.join(counted, F.col("a") == F.col("_a")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("place"))
     heads = counted.select(F.col("_a").alias("a"), F.col("_a").alias("id"), F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.lit(0).alias("member"))
     targets = heads.unionByName(placed.select("a", F.col("b").alias("id"), "place", F.lit(1).alias("member")))
-    rows = targets.join(docs, F.col("id") == F.col("doc_id")).select("a", "place", "member", "id", "text")
+    # staged, so that the texts are not in two exchanges at a time
+    rows = scratch.stage(targets.join(docs, F.col("id") == F.col("doc_id")).select("a", "place", "member", "id", "text"), f"{name}-texts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, heads_sets = None, []
@@ -226,7 +227,9 @@ def verified(pairs: DataFrame, docs: DataFrame, n_parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
 
     dealt = rows.repartition(n_parts, "a", "place").sortWithinPartitions("a", "place", "member")
-    return dealt.mapInArrow(compare, "a long, b long")
+    found = scratch.stage(dealt.mapInArrow(compare, "a long, b long"), name)
+    scratch.drop(f"{name}-texts")
+    return found
 
 
 def strays(lists: DataFrame, n_parts: int) -> DataFrame:
@@ -338,6 +341,9 @@ def joined(docs: DataFrame) -> DataFrame:
     classes = scratch.stage(known.groupBy("n", "prefix_digest", "set_digest").agg(F.min("doc_id").alias("r")), "classes")
     leads = classes.groupBy("n", "prefix_digest").agg(F.min("r").alias("g"))
     members = scratch.stage(classes.join(leads, ["n", "prefix_digest"]).select("g", "r"), "members")
+    sets = scratch.stage(sets.drop("prefix"), "digests")
+    known = sets.filter("n > 0 and doc_id is not null")
+    scratch.drop("sets")  # with the prefixes, which the lists now hold
     texts = own.filter("doc_id is not null")
     first = lists.filter("g <> pivot").select(F.col("pivot").alias("a"), F.col("g").alias("b")).union(members.filter("g <> r").select("g", "r")).distinct()
     first = scratch.stage(first, "first")
@@ -346,7 +352,7 @@ def joined(docs: DataFrame) -> DataFrame:
     texts_of = known.select("doc_id", *keys).distinct()
     several = texts_of.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("doc_id")
     repeated = texts_of.join(several, "doc_id").join(classes, keys).select(F.col("doc_id").alias("a"), F.col("r").alias("b"))
-    links = scratch.stage(verified(first, texts, n_parts).union(repeated), "links1")
+    links = scratch.stage(verified(first, texts, n_parts, scratch, "checked1").union(repeated), "links1")
     done = scratch.stage(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "done")
 
     def labelled(links: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
@@ -359,7 +365,7 @@ def joined(docs: DataFrame) -> DataFrame:
         picked = scratch.stage(strays(lists.select("h", "g", "n").join(labels.select("g", "c").distinct(), "g"), n_parts).join(done, ["a", "b"], "left_anti"), f"picked{k}")
         if not picked.limit(1).count():
             break
-        more = verified(picked, texts, n_parts)
+        more = verified(picked, texts, n_parts, scratch, f"checked-picked{k}")
         done = done.union(picked)
         found, labels = labelled(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), k + 2)
     # what is still apart, in full
@@ -371,7 +377,7 @@ def joined(docs: DataFrame) -> DataFrame:
     rest = apart.union(inside).distinct().join(left, "g1").join(right, "g2").filter("c1 <> c2").select(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b")).distinct()
     second = scratch.stage(rest.join(done, ["a", "b"], "left_anti"), "second")
     if second.limit(1).count():
-        more = scratch.stage(verified(second, texts, n_parts), "links2")
+        more = verified(second, texts, n_parts, scratch, "checked9")
         found = scratch.stage(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch, "stars9"), "found9")
     named = classes.join(found, F.col("r") == F.col("node"), "left").select(*keys, F.coalesce("component", F.col("r")).alias("component_id"))
     named = scratch.stage(named, "named")
