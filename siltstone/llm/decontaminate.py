@@ -1,13 +1,18 @@
 """Benchmark decontamination by template windows.
 
-A text's tokens are canonical: numbers, names (capitals that don't start a sentence) and units become typed
-placeholders, other words are in lower case without punctuation. Windows of WINDOW canonical tokens of documents
-are hash-joined with those of the benchmark items, so a question with other numbers, names or units still matches.
-Slots tell whether a match is one: the values in an item's placeholders must map to the document's values one to one.
-An item of fewer tokens than a window is one window of its own size.
+A text's tokens are canonical: numbers, names (words with a capital) and units become typed placeholders, other words
+are in lower case without punctuation. Windows of WINDOW canonical tokens of documents are hash-joined with those of
+the benchmark items, so a question with other numbers, names or units still matches. Slots tell whether a match is one:
+the values in an item's placeholders must map to the document's values one to one. An item of fewer tokens than a
+window is one window of its own size.
 
-A pair is contaminated if its slots are consistent and its matched windows cover MIN_SHARE of the item's tokens, or
-MIN_TOKENS. Windows with fewer than half of their tokens literal are not evidence and are left out.
+A capital may begin a sentence or a name, so an item's window is indexed with each capitalised word as a name and as a
+word, and so is the first word of a sentence in lower case. A document's windows are taken in FORMS: with every
+capitalised word as a name, with those alone that don't begin a sentence, and as they stand in lower case. The words of
+a match are then compared: where they differ, both must be names, numbers or units.
+
+A pair is contaminated if windows that are consistent or equal word for word cover MIN_SHARE of the item's tokens, or
+MIN_TOKENS. Windows with fewer than half of their tokens literal are evidence only where they are equal word for word.
 
 Null and empty texts match nothing; items with fewer than MIN_ITEM tokens are not looked for; repeated rows and
 documents with one doc_id are taken together, null ids too; other columns are ignored.
@@ -26,29 +31,38 @@ BROADCAST_ROWS = 200_000
 #: Units of measure, currency and time.
 UNITS = "kg g mg lb lbs oz km m cm mm mi mile miles ft feet inch inches yard yards l ml litre litres liter liters gallon gallons sec second seconds min minute minutes hr hour hours day days week weeks month months year years usd eur dollar dollars euro euros cent cents percent hz khz mhz ghz kw kj".split()
 PUNCTUATION = ".,;:!?()[]{}\"'`´‘’“”«»…*_|/\\$€£%#&<>=+~^"
-MARK, SLOT = "\x02", "\x01"
-
-
-def plain_text(text: Column) -> Column:
-    """The text without punctuation; a name begins with MARK."""
-    plain = F.translate(F.coalesce(text, F.lit("")), MARK + SLOT, "")
-    named = F.regexp_replace(plain, "(?<=[\\p{L}\\p{N},;)\"'] )(?=\\p{Lu}\\p{Ll})", MARK)
-    return F.translate(named, PUNCTUATION, "")
-
-
-def canonical_text(plain: Column) -> Column:
-    """The same tokens in lower case, with typed placeholders. Patterns run over whole texts: one per token costs more."""
+#: Marks before a word: a capital within a sentence, another capital, the first word of a sentence in lower case.
+INNER, OUTER, FIRST = "\x02", "\x03", "\x04"
+MARKS, SLOT = INNER + OUTER + FIRST, "\x01"
+NAME = f"{SLOT}name"
+#: A document's windows: all capitals as names, those within sentences as names, words as they stand.
+FORMS = ("names", "inner", "raw")
+
+
+def marked_text(text: Column, *, first: bool = False) -> Column:
+    """The text without punctuation; capitalised words begin with a mark, and with `first` those that begin a sentence."""
+    plain = F.translate(F.coalesce(text, F.lit("")), MARKS + SLOT, "")
+    if first:
+        quotes = "[^\\p{L}\\p{N}\\s]*"
+        plain = F.regexp_replace(plain, f"(^\\s*{quotes}|[.?!:]{quotes}\\s+{quotes})(?=\\p{{Ll}})", f"$1{FIRST}")
+    named = F.regexp_replace(plain, "(?<=[\\p{L}\\p{N},;)\"'] )(?=\\p{Lu}\\p{Ll})", INNER)
+    return F.regexp_replace(F.translate(named, PUNCTUATION, ""), "(?<![^ \\t-\\r])(?=\\p{Lu}\\p{Ll})", OUTER)
+
+
+def canonical_text(low: Column) -> Column:
+    """Text in lower case with typed placeholders but for names. Patterns run over whole texts: one per token costs more."""
     units = "|".join(sorted(UNITS, key=len, reverse=True))
-    out = F.regexp_replace(plain, f"{MARK}[^ \\t-\\r]+", f"{SLOT}name")
-    out = F.regexp_replace(F.lower(out), f"(?<![^ \\t-\\r])[0-9]+({units})?(?![^ \\t-\\r])", f"{SLOT}number$1")
+    out = F.regexp_replace(low, f"(?<![^ \\t-\\r])[0-9]+({units})?(?![^ \\t-\\r])", f"{SLOT}number$1")
     out = F.regexp_replace(out, f"{SLOT}number(?=[^ \\t-\\r])[^ \\t-\\r]+", f"{SLOT}numberunit")
     return F.regexp_replace(out, f"(?<![^ \\t-\\r])(?:{units})(?![^ \\t-\\r])", f"{SLOT}unit")
 
 
-def with_tokens(df: DataFrame) -> DataFrame:
-    """Adds tokens as they stand and, place by place, canonical ones; needs text."""
-    own = df.withColumn("_plain", plain_text(F.col("text")))
-    return own.withColumn("tokens", native.words_of(F.col("_plain"))).withColumn("canonical", native.words_of(canonical_text(F.col("_plain")))).drop("_plain")
+def with_tokens(df: DataFrame, *, first: bool = False) -> DataFrame:
+    """Adds, place by place, tokens with marks, canonical ones, and words in lower case; needs text."""
+    own = df.withColumn("_marked", marked_text(F.col("text"), first=first))
+    own = own.withColumn("_low", F.lower(F.translate("_marked", MARKS, "")))
+    own = own.withColumn("tokens", native.words_of(F.col("_marked"))).withColumn("words", native.words_of(F.col("_low")))
+    return own.withColumn("canonical", native.words_of(canonical_text(F.col("_low")))).drop("_marked", "_low")
 
 
 def is_slot(token: Column) -> Column:
@@ -56,29 +70,50 @@ def is_slot(token: Column) -> Column:
     return token.startswith(SLOT)
 
 
+def is_capital(token: Column) -> Column:
+    return token.startswith(INNER) | token.startswith(OUTER)
+
+
 def windows(df: DataFrame, key: str, sizes: list[int]) -> DataFrame:
-    """key, size, place and hash of every window; df has the columns key and canonical."""
-    own = df.withColumn("_hashes", F.transform("canonical", lambda w: F.xxhash64(w)))
-    own = native.with_window_hashes(own, "_hashes", sizes)
+    """key, size, place and hash of every window in each form; df has the columns of with_tokens."""
+    own = df.withColumn("_canonical", F.transform("canonical", lambda w: F.xxhash64(w))).withColumn("raw", F.transform("words", lambda w: F.xxhash64(w)))
+    name = F.xxhash64(F.lit(NAME))
+    own = own.withColumn("names", F.zip_with("_canonical", "tokens", lambda h, t: F.when(is_capital(t), name).otherwise(h)))
+    own = own.withColumn("inner", F.zip_with("_canonical", "tokens", lambda h, t: F.when(t.startswith(INNER), name).otherwise(h)))
+    for form in FORMS:
+        own = native.with_window_hashes(own, form, sizes)
+        own = own.withColumnsRenamed({f"w{s}": f"_{form}{s}" for s in sizes})
+    own = own.withColumn("_n", F.size("raw"))
     # not posexplode: the filter that Spark infers from it would evaluate the windows again before each text
-    parts = [own.select(key, F.lit(s).alias("size"), F.posexplode_outer(f"w{s}").alias("place", "hash")) for s in sizes]
+    parts = [own.select(key, "_n", F.lit(s).alias("size"), F.posexplode_outer(F.concat(*(f"_{form}{s}" for form in FORMS))).alias("at", "hash")) for s in sizes]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    return out.select(key, "size", (F.col("at") % F.greatest(F.col("_n") - F.col("size") + 1, F.lit(1))).alias("place"), "hash")
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """item_id, n_tokens, tokens, canonical, size, item_place and hash of the benchmark's windows that are evidence."""
-    own = with_tokens(items.select("item_id", "text")).filter(F.size("tokens") >= MIN_ITEM)
-    own = own.withColumn("_hashes", F.transform("canonical", lambda w: F.xxhash64(w)))
+    """window (a number), item_id, n_tokens, size, item_place and the tokens, words and canonical tokens of each window."""
+    own = with_tokens(items.select("item_id", "text").distinct(), first=True).filter(F.size("tokens") >= MIN_ITEM)
     own = own.withColumn("size", F.least(F.size("tokens"), F.lit(WINDOW)))
+    rows = own.withColumn("n_tokens", F.size("tokens")).withColumn("item_place", F.explode(F.sequence(F.lit(0), F.col("n_tokens") - F.col("size"))))
+    part = lambda c: F.slice(c, F.col("item_place") + 1, F.col("size")).alias(c)
+    return rows.select(F.monotonically_increasing_id().alias("window"), "item_id", "n_tokens", "size", "item_place", part("tokens"), part("words"), part("canonical"))
+
+
+def item_hashes(wanted: DataFrame) -> DataFrame:
+    """window, item_id, n_tokens, size, item_place and hash: the window as it stands, and each reading with enough literal tokens."""
+    both = F.zip_with("canonical", "tokens", lambda c, t: F.struct(c.alias("c"), (is_capital(t) | t.startswith(FIRST)).alias("either")))
+    with_word = lambda made, c: F.transform(made, lambda v: F.concat(v, F.array(c)))
+    step = lambda made, z: F.when(z["either"], F.concat(with_word(made, z["c"]), with_word(made, F.lit(NAME)))).otherwise(with_word(made, z["c"]))
+    read = F.aggregate("_both", F.array(F.array().cast("array<string>")), step)
+    readings = F.filter("_read", lambda v: F.size(F.filter(v, lambda w: ~is_slot(w))) * 2 >= F.size(v))
+    own = wanted.withColumn("_both", both).withColumn("_read", read).withColumn("_read", readings)
+    own = own.withColumn("_hashes", F.explode(F.array_distinct(F.concat("_read", F.array("words")))))
     sizes = [*range(MIN_ITEM, WINDOW + 1)]
-    own = native.with_window_hashes(own, "_hashes", sizes)
-    chosen = F.coalesce(*(F.when(F.col("size") == s, F.col(f"w{s}")) for s in sizes))
-    rows = own.select("item_id", F.size("tokens").alias("n_tokens"), "tokens", "canonical", "size", F.posexplode_outer(chosen).alias("item_place", "hash"))
-    literal = F.size(F.filter(F.slice("canonical", F.col("item_place") + 1, F.col("size")), lambda w: ~is_slot(w)))
-    return rows.filter(literal * 2 >= F.col("size"))
+    own = native.with_window_hashes(own.withColumn("_hashes", F.transform("_hashes", lambda w: F.xxhash64(w))), "_hashes", sizes)
+    chosen = F.coalesce(*(F.when(F.col("size") == s, F.col(f"w{s}")[0]) for s in sizes))
+    return own.select("window", "item_id", "n_tokens", "size", "item_place", chosen.alias("hash")).distinct()
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -91,35 +126,44 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "decontaminate")
     wanted = scratch.stage(item_windows(items), "items")
-    facts = wanted.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each window size
+    keys = scratch.stage(item_hashes(wanted), "keys")
+    facts = keys.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each window size
     sizes, n_wanted = sorted(r["size"] for r in facts) or [WINDOW], sum(r["n"] for r in facts)
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     tokens = with_tokens(own.select(F.struct("doc_id", "row").alias("key"), "text"))
-    keys = wanted.select("item_id", "size", "item_place", "hash", "n_tokens")
-    found = windows(tokens.select("key", "canonical"), "key", sizes).join(small(keys, n_wanted), ["size", "hash"])
-    hits = scratch.stage(found.select("key.doc_id", "key.row", "item_id", "n_tokens", "size", "place", "item_place", (F.col("place") - F.col("item_place")).alias("shift")), "hits")
-    # the item's slots in matched windows; without any, the texts need not be read again
-    slots = wanted.select("item_id", "item_place", "size", F.slice("tokens", F.col("item_place") + 1, F.col("size")).alias("item_words"), F.slice("canonical", F.col("item_place") + 1, F.col("size")).alias("kinds")).filter(F.exists("kinds", is_slot))
-    slotted = hits.join(small(slots, n_wanted), ["item_id", "item_place", "size"])
-    texts = slotted.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
+    joined = windows(tokens, "key", sizes).join(small(keys, n_wanted), ["size", "hash"])
+    # a window may match in several forms
+    found = joined.select("key.doc_id", "key.row", "item_id", "n_tokens", "size", "place", "item_place", "window").distinct()
+    hits = scratch.stage(found.withColumn("shift", F.col("place") - F.col("item_place")), "hits")
+    texts = scratch.stage(hits.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct(), "texts")
     place = ["doc_id", "row", "item_id", "shift"]
-    if n_texts := texts.count():
-        read = tokens.select("key", "tokens").join(small(texts, n_texts), F.expr("key.doc_id <=> _id and key.row = _row"), "left_semi").dropDuplicates(["key"])
-        words = slotted.alias("s").join(read.alias("d"), F.expr("s.doc_id <=> d.key.doc_id and s.row = d.key.row")).select("s.*", F.slice("d.tokens", F.col("s.place") + 1, F.col("s.size")).alias("doc_words"))
-        values = words.select(*place, F.explode(F.filter(F.arrays_zip("item_words", "doc_words", "kinds"), lambda z: is_slot(z["kinds"]))).alias("z")).select(*place, "z.item_words", "z.doc_words").distinct()
-        forward = values.groupBy(*place, "item_words").agg(F.count(F.lit(1)).alias("n")).select(*place, "n", F.lit(1).alias("slot"))
-        back = values.groupBy(*place, "doc_words").agg(F.count(F.lit(1)).alias("n")).select(*place, "n", F.lit(0).alias("slot"))
-        checked = forward.unionByName(back).groupBy(*place).agg(F.sum("slot").alias("n_slots"), (F.max("n") <= 1).alias("consistent"))
-        on = F.expr(" and ".join(f"h.{c} <=> k.{c}" for c in place))
-        hits = hits.alias("h").join(checked.alias("k"), on, "left").select("h.*", F.coalesce("k.n_slots", F.lit(0)).cast("long").alias("n_slots"), F.coalesce("k.consistent", F.lit(True)).alias("consistent"))
-    else:
-        hits = hits.withColumns({"n_slots": F.lit(0).cast("long"), "consistent": F.lit(True)})
-    # a match with inconsistent slots covers nothing
-    covered = hits.filter("consistent").select("doc_id", "item_id", F.explode(F.sequence("item_place", F.col("item_place") + F.col("size") - 1)).alias("at")).distinct().groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_covered"))
+    read = with_tokens(own.join(small(texts, texts.count()), F.expr("doc_id <=> _id and row = _row"), "left_semi").dropDuplicates(["doc_id", "row"]))
+    read = read.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("tokens").alias("_tokens"), F.col("words").alias("_words"))
+    seen = hits.join(small(wanted.select("window", "tokens", "words", "canonical"), n_wanted), "window").join(read, F.expr("doc_id <=> _id and row = _row"))
+    part = lambda c: F.slice(c, F.col("place") + 1, F.col("size"))
+    pairs = F.arrays_zip("tokens", "words", "canonical", part("_tokens").alias("doc_tokens"), part("_words").alias("doc_words"))
+    seen = seen.withColumn("_pairs", pairs)
+    same = lambda z: z["words"] == z["doc_words"]
+    names = lambda z: is_capital(z["tokens"]) & is_capital(z["doc_tokens"])
+    # the first word of a sentence is a slot only where it differs
+    slot = lambda z: is_slot(z["canonical"]) | (names(z) & (z["tokens"].startswith(INNER) | ~same(z)))
+    value = lambda c: F.translate(c, MARKS, "")
+    values = F.transform(F.filter("_pairs", slot), lambda z: F.struct(value(z["tokens"]).alias("item_words"), value(z["doc_tokens"]).alias("doc_words")))
+    match = F.forall("_pairs", lambda z: same(z) | is_slot(z["canonical"]) | names(z))
+    compared = seen.withColumn("_match", match).withColumn("exact", F.forall("_pairs", same)).withColumn("values", values).filter("_match")
+    hits = scratch.stage(compared.select(*place, "n_tokens", "size", "item_place", "exact", "values"), "compared")
+    values = hits.select(*place, F.explode("values").alias("z")).select(*place, "z.item_words", "z.doc_words").distinct()
+    forward = values.groupBy(*place, "item_words").agg(F.count(F.lit(1)).alias("n")).select(*place, "n", F.lit(1).alias("slot"))
+    back = values.groupBy(*place, "doc_words").agg(F.count(F.lit(1)).alias("n")).select(*place, "n", F.lit(0).alias("slot"))
+    checked = forward.unionByName(back).groupBy(*place).agg(F.sum("slot").alias("n_slots"), (F.max("n") <= 1).alias("consistent"))
+    on = F.expr(" and ".join(f"h.{c} <=> k.{c}" for c in place))
+    hits = hits.alias("h").join(checked.alias("k"), on, "left").select("h.*", F.coalesce("k.n_slots", F.lit(0)).cast("long").alias("n_slots"), F.coalesce("k.consistent", F.lit(True)).alias("consistent"))
+    # a match with inconsistent slots covers nothing but where it is equal word for word
+    covered = hits.filter("consistent or exact").select("doc_id", "item_id", F.explode(F.sequence("item_place", F.col("item_place") + F.col("size") - 1)).alias("at")).distinct().groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_covered"))
     counted = hits.groupBy("doc_id", "item_id").agg(F.max("n_tokens").cast("long").alias("n_tokens"), F.count(F.lit(1)).alias("n_windows"), F.max("n_slots").alias("n_slots"), F.bool_or("consistent").alias("consistent"))
     rows = counted.alias("w").join(covered.alias("c"), F.expr("w.doc_id <=> c.doc_id and w.item_id <=> c.item_id"), "left").select("w.*", F.coalesce("c.n_covered", F.lit(0)).cast("long").alias("n_covered"))
     enough = (F.col("n_covered") >= MIN_SHARE * F.col("n_tokens")) | (F.col("n_covered") >= MIN_TOKENS)
-    return rows.withColumn("contaminated", F.col("consistent") & enough)
+    return rows.withColumn("contaminated", enough)
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:

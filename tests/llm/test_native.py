@@ -87,6 +87,26 @@ def test_decontamination(spark, nothing):
     assert decontaminate.clean(frame, spark.createDataFrame([], "item_id long, text string")).count() == len(docs)
 
 
+def contaminated(spark, item, doc):
+    docs = spark.createDataFrame([(k, d) for k, d in enumerate([doc] if isinstance(doc, str) else doc)], "doc_id long, text string")
+    rows = decontaminate.matches(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    return {r["doc_id"] for r in rows if r["contaminated"]}
+
+
+def test_decontamination_without_literal_tokens(spark):
+    number = "Compute 12 + 7 - 3 * 4 / 2"
+    assert contaminated(spark, number, [f"the quiz says: {number}, and so on", "the quiz says: compute 13 + 8 - 4 * 5 / 3"]) == {0}
+    names = "Alice Bob Carol Dave Erin Frank Grace Heidi Ivan Judy"
+    assert contaminated(spark, names, [f"we met {names} there", "we met Anna Ben Cleo Dan Emma Finn Gina Hugo Ines Jack there"]) == {0}
+
+
+def test_decontamination_first_words(spark):
+    capital = "What is the capital of France"
+    assert contaminated(spark, capital, ["and the quiz asks What is the capital of France", "what is the capital of france", "What is the price of France"]) == {0, 1}
+    assert contaminated(spark, "Tom has 5 apples and eats 2", ["Anna has 9 apples and eats 4", "so then Anna has 9 apples and eats 4", "Anna has 9 apples and eats 9", "she has 9 apples and eats 4"]) == {0, 1}
+    assert contaminated(spark, "what is the age of Tom now", ["it asks What is the age of Anna now", "it says Nobody is the age of Anna now"]) == {0}
+
+
 def test_kd_shards(spark, nothing):
     rng = random.Random(1)
     rows = [(rng.randrange(10**6), "w" * rng.randrange(1, 300), "hot" if k % 3 == 0 else f"s{k % 9}", "en") for k in range(6000)]
