@@ -121,6 +121,17 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def judged(hits: DataFrame, own: DataFrame, place: list[str], name: str) -> DataFrame:
+    """Adds the number of slots of `own` at each place, and whether their values map one to one, as column `name`."""
+    values = own.select(*place, F.explode("values").alias("z")).select(*place, "z.item_words", "z.doc_words").distinct()
+    forward = values.groupBy(*place, "item_words").agg(F.count(F.lit(1)).alias("n")).select(*place, "n", F.lit(1).alias("slot"))
+    back = values.groupBy(*place, "doc_words").agg(F.count(F.lit(1)).alias("n")).select(*place, "n", F.lit(0).alias("slot"))
+    checked = forward.unionByName(back).groupBy(*place).agg(F.sum("slot").alias("_slots"), (F.max("n") <= 1).alias("_same"))
+    checked = checked.select(*(F.col(c).alias(f"_{c}") for c in place), "_slots", "_same")
+    joined = hits.join(checked, F.expr(" and ".join(f"{c} <=> _{c}" for c in place)), "left")
+    return joined.select(*hits.columns, F.coalesce("_slots", F.lit(0)).cast("long").alias("n_slots"), F.coalesce("_same", F.lit(True)).alias(name))
+
+
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, n_tokens, n_windows, n_covered, n_slots, consistent and contaminated of each pair with a match."""
     spark = docs.sparkSession
@@ -150,14 +161,14 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     value = lambda c: F.translate(c, MARKS, "")
     values = F.transform(F.filter("_pairs", slot), lambda z: F.struct(value(z["tokens"]).alias("item_words"), value(z["doc_tokens"]).alias("doc_words")))
     match = F.forall("_pairs", lambda z: same(z) | is_slot(z["canonical"]) | names(z))
-    compared = seen.withColumn("_match", match).withColumn("exact", F.forall("_pairs", same)).withColumn("values", values).filter("_match")
-    hits = scratch.stage(compared.select(*place, "n_tokens", "size", "item_place", "exact", "values"), "compared")
-    values = hits.select(*place, F.explode("values").alias("z")).select(*place, "z.item_words", "z.doc_words").distinct()
-    forward = values.groupBy(*place, "item_words").agg(F.count(F.lit(1)).alias("n")).select(*place, "n", F.lit(1).alias("slot"))
-    back = values.groupBy(*place, "doc_words").agg(F.count(F.lit(1)).alias("n")).select(*place, "n", F.lit(0).alias("slot"))
-    checked = forward.unionByName(back).groupBy(*place).agg(F.sum("slot").alias("n_slots"), (F.max("n") <= 1).alias("consistent"))
-    on = F.expr(" and ".join(f"h.{c} <=> k.{c}" for c in place))
-    hits = hits.alias("h").join(checked.alias("k"), on, "left").select("h.*", F.coalesce("k.n_slots", F.lit(0)).cast("long").alias("n_slots"), F.coalesce("k.consistent", F.lit(True)).alias("consistent"))
+    first = F.exists("_pairs", lambda z: ~same(z) & ~is_slot(z["canonical"]) & ~z["tokens"].startswith(INNER))
+    compared = seen.withColumn("first", first).withColumn("_match", match).withColumn("exact", F.forall("_pairs", same)).withColumn("values", values).filter("_match")
+    hits = scratch.stage(compared.select(*place, "n_tokens", "size", "item_place", "exact", "first", "values"), "compared")
+    # matches that read the first word of a sentence as a name must not make others at their place inconsistent
+    hits = judged(hits, hits.filter("not first"), place, "sure").withColumnRenamed("n_slots", "_sure")
+    hits = judged(hits, hits, place, "consistent")
+    hits = hits.withColumn("n_slots", F.when(F.col("consistent") | F.col("first"), F.col("n_slots")).otherwise(F.col("_sure")))
+    hits = hits.withColumn("consistent", F.col("consistent") | (~F.col("first") & F.col("sure")))
     # a match with inconsistent slots covers nothing but where it is equal word for word
     covered = hits.filter("consistent or exact").select("doc_id", "item_id", F.explode(F.sequence("item_place", F.col("item_place") + F.col("size") - 1)).alias("at")).distinct().groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_covered"))
     counted = hits.groupBy("doc_id", "item_id").agg(F.max("n_tokens").cast("long").alias("n_tokens"), F.count(F.lit(1)).alias("n_windows"), F.max("n_slots").alias("n_slots"), F.bool_or("consistent").alias("consistent"))

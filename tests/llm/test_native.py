@@ -105,6 +105,9 @@ def test_decontamination_first_words(spark):
     assert contaminated(spark, capital, ["and the quiz asks What is the capital of France", "what is the capital of france", "What is the price of France"]) == {0, 1}
     assert contaminated(spark, "Tom has 5 apples and eats 2", ["Anna has 9 apples and eats 4", "so then Anna has 9 apples and eats 4", "Anna has 9 apples and eats 9", "she has 9 apples and eats 4"]) == {0, 1}
     assert contaminated(spark, "what is the age of Tom now", ["it asks What is the age of Anna now", "it says Nobody is the age of Anna now"]) == {0}
+    # read as names, the two first words would both be Nobody
+    item = "Than the train of red wood goes on to the sea by 9 in the day. Then it is there and all go home at last"
+    assert contaminated(spark, item, item.replace("9", "7").replace("Than", "Nobody").replace("Then", "Nobody")) == {0}
 
 
 def test_kd_shards(spark, nothing):
