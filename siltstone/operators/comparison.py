@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SEMANTIC = ["document_id", "field_name", "normalized_value", "unit", "event_type"]
@@ -154,6 +157,45 @@ def resamples(n_documents: int, iterations: int = ITERATIONS, seed: int = SEED)
     return out
 
 
+def resampled(spark: SparkSession, n_documents: int, iterations: int = ITERATIONS, seed: int = SEED) -> DataFrame:
+    """iteration, place, times: the same draws as resamples, made on the executors by ranges of iterations.
+
+    The generator's 32-bit numbers are taken in arrays; a task runs through those of the iterations before its own.
+    """
+    schema = "iteration int, place int, times int"
+    if not n_documents:
+        return spark.createDataFrame([], schema)
+    if n_documents >= 1 << 31:
+        raise ValueError("places are 32-bit numbers")
+    shift, step = 32 - n_documents.bit_length(), 1 << 20
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        *key, pos = random.Random(seed).getstate()[1]
+        source = np.random.MT19937()
+        source.state = {"bit_generator": "MT19937", "state": {"key": np.array(key, dtype=np.uint32), "pos": pos}}
+        left, done = np.empty(0, dtype=np.int64), 0
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                counts = np.zeros(n_documents, dtype=np.int32)
+                while done < (k + 1) * n_documents:
+                    if not len(left):
+                        left = (source.random_raw(step) >> shift).astype(np.int64)
+                        left = left[left < n_documents]
+                    # numbers up to the end of the range that `done` is in
+                    start = k * n_documents
+                    part = left[: (start if done < start else start + n_documents) - done]
+                    if done >= start:
+                        counts += np.bincount(part, minlength=n_documents).astype(np.int32)
+                    done, left = done + len(part), left[len(part) :]
+                at = np.flatnonzero(counts).astype(np.int32)
+                for a in range(0, len(at), step):
+                    own = at[a : a + step]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, dtype=np.int32)), pa.array(own), pa.array(counts[own])], names=["iteration", "place", "times"])
+
+    tasks = min(iterations, spark.sparkContext.defaultParallelism)
+    return spark.range(0, iterations, 1, tasks).mapInArrow(draw, schema)
+
+
 def bootstrap(per_document: DataFrame, draws: DataFrame) -> DataFrame:
     """tp, fp, fn and f1 of each iteration. per_document: place, tp, fp, fn; draws: iteration, place, times."""
     rows = draws.join(per_document, "place").groupBy("iteration").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in ("tp", "fp", "fn")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators import articles, candidates, comparison, residues, sampling, storage, validation
@@ -104,9 +104,10 @@ def ev_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
 def ev_interval(spark: SparkSession, sf: str) -> DataFrame:
     """The interval over draws of Python's generator; the places are documents in order of id."""
     counts = comparison.multiset(*(comparison.duration_phase_counts(x) for x in _events(spark, sf)))
-    groups = counts.withColumn("place", F.pmod(F.xxhash64("document_id"), F.lit(60)).cast("int")).groupBy("place").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
-    draws = spark.createDataFrame(comparison.resamples(60), "iteration int, place int, times int")
-    return comparison.interval(comparison.bootstrap(groups, draws))
+    per = counts.withColumn("place", F.row_number().over(Window.orderBy("document_id")) - 1).drop("document_id")
+    draws = comparison.resampled(spark, counts.count())
+    # Spark takes the draws for a small table and would broadcast them
+    return comparison.interval(comparison.bootstrap(F.broadcast(per), draws))
 
 
 def _responses(spark: SparkSession, sf: str) -> DataFrame:

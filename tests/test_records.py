@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.operators import comparison, residues, sampling, storage, validation
+from siltstone.plans import analysis
 from siltstone.sources import files, web
 
 EVENTS = "document_id string, event_type string, duration_ps double, temperature_k double"
@@ -38,6 +39,28 @@ def test_confusion_equals_pairing_one_by_one(spark):
     assert {(x["reference_phase"], x["predicted_phase"]): x["n"] for x in got} == dict(want)
 
 
+@pytest.mark.parametrize("n", [1, 4, 61, 128])
+def test_resamples_on_executors(spark, n):
+    assert sorted(map(tuple, comparison.resampled(spark, n, iterations=50).collect())) == sorted(comparison.resamples(n, iterations=50))
+
+
+def test_interval_draws_documents(spark, tmp_path):
+    """More documents than 60, each with a weight of its own."""
+    rows = [(k, 1 + j, "ANR"[k % 3], float(1 + k * j % 5), 4, 2, k % 5) for k in range(100, 190) for j in range(3)]
+    columns = "l_orderkey long, l_linenumber int, l_returnflag string, l_quantity double, l_partkey long, l_suppkey long, n int"
+    spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/lineitem.parquet")
+    per = comparison.multiset(*(comparison.duration_phase_counts(x) for x in analysis._events(spark, f"{tmp_path}"))).collect()
+    per = sorted(per, key=lambda r: r["document_id"])
+    values = {}
+    for k, at, times in comparison.resamples(len(per)):
+        sums = values.setdefault(k, [0, 0, 0])
+        for i, c in enumerate(("tp", "fp", "fn")):
+            sums[i] += per[at][c] * times
+    f1 = sorted(2 * tp / (2 * tp + fp + fn) for tp, fp, fn in values.values())
+    got = analysis.ev_interval(spark, f"{tmp_path}").first()
+    assert len(per) == 90 and got["low"] == pytest.approx(f1[int(1999 * 0.025)]) and got["high"] == pytest.approx(f1[int(1999 * 0.975)])
+
+
 def test_bootstrap_interval(spark):
     draws = comparison.resamples(4, iterations=50)
     rng = random.Random(comparison.SEED)
