@@ -7,12 +7,13 @@
 3. The index is dealt by shingle. First round: in each list of groups every group is paired with the list's smallest
    group of matching size, and in each group every class with the group's first. Pairs are verified on whole texts.
 4. Strays: a group that shares a list with a large component but isn't in it is compared with random members of it.
-5. Last round: what lists and groups still hold in different components is paired in full, group pairs are filtered
-   by their common prefix shingles (an exact bound on the intersection), expanded to classes and verified.
-   Pairs within a component need no check, so a family of thousands of near copies costs a few pairs a member.
+5. Last round: lists and groups that still hold several components go to the bucket of their smallest group, expanded
+   to classes. There every two of different components and matching size are compared: parity signatures bound the
+   difference of two sets, what they leave is compared shingle by shingle, and only links become rows. So a family of
+   thousands of near copies costs a few pairs a member, and one just under the limit costs no rows.
 
 Two documents link when 100 * intersection >= 75 * union of their sets of five-word shingles. Documents without words
-link with nothing. Rows with one doc_id are one document, linked if any of its texts is; a null doc_id links with
+link with nothing; a long text is whole in a task and its shingles take eight bytes each there. Rows with one doc_id are one document, linked if any of its texts is; a null doc_id links with
 nothing and has a null component. Other columns are ignored; an empty table gives no rows.
 """
 
@@ -33,13 +34,14 @@ from siltstone.llm import common, shingles
 from siltstone.llm.components import components
 
 #: One sketch cell for two shingles, between these bounds; the most makes a bitmap of 8 MB, the only thing broadcast.
-LEAST_CELLS, MOST_CELLS, CHUNKS, HELD = 1 << 18, 1 << 26, 16, 40_000
+LEAST_CELLS, MOST_CELLS, CHUNKS, HELD = 1 << 18, 1 << 26, 64, 40_000
 BATCH_ROWS, MEMBERS, FLUSH = 512, 200, 1_000_000
 #: Rounds that compare what is apart from a family with random members of it, and the least size of a family in a list.
 ROUNDS, FAMILY = 2, 8
-#: Lists up to this long are paired at once, longer ones member by member.
-SQUARE = 64
-_TRIANGLE = [np.triu_indices(k, 1) for k in range(SQUARE + 1)]
+#: A bucket beyond these is dealt in blocks: rows, and shingles of all of them.
+BLOCK_ROWS, BLOCK_SHINGLES = 2048, 2_000_000
+#: Bytes of text whose prefixes one task indexes.
+PART_BYTES = 1 << 27
 SETS = "doc_id long, n long, set_digest binary, prefix_digest binary, prefix binary"
 LISTS = "h long, g long, n int, pivot long"
 
@@ -54,7 +56,8 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def sketched(docs: DataFrame, cells: int, scratch: common.Scratch) -> np.ndarray:
-    """A bitmap of the cells whose count is far over the mean. Tasks' sketches are summed in two steps."""
+    """A bitmap of the cells whose count is far over the mean. Tasks' sketches are summed in two steps; a task counts a cell
+    up to HELD, sums have no bound, so that the order still tells common shingles at any size."""
     width = cells // CHUNKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,22 +76,24 @@ def sketched(docs: DataFrame, cells: int, scratch: common.Scratch) -> np.ndarray
             task = TaskContext.get().partitionId() % 64
             yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([task] * CHUNKS, pa.int32()), pa.array(data, pa.binary())], names=["chunk", "part", "data"])
 
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width, np.uint32)
-        for batch in batches:
-            for data in batch.column("data"):
-                total += np.frombuffer(zlib.decompress(data.as_py()), "<u2")
-                np.minimum(total, HELD, out=total)
-        data = zlib.compress(total.astype("<u2").tobytes(), 1)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([data], pa.binary())], names=["chunk", "part", "data"])
+    def added(kind: str):
+        def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(width, np.uint64)
+            for batch in batches:
+                for data in batch.column("data"):
+                    total += np.frombuffer(zlib.decompress(data.as_py()), kind)
+            data = zlib.compress(total.astype("<u8").tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([data], pa.binary())], names=["chunk", "part", "data"])
+
+        return add
 
     kind = "chunk int, part int, data binary"
-    first = docs.select("text").mapInArrow(count, kind).groupBy("chunk", "part").applyInArrow(add, kind)
-    sums = scratch.stage(first.groupBy("chunk").applyInArrow(add, kind), "sketch")
+    first = docs.select("text").mapInArrow(count, kind).groupBy("chunk", "part").applyInArrow(added("<u2"), kind)
+    sums = scratch.stage(first.groupBy("chunk").applyInArrow(added("<u8"), kind), "sketch")
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [int(np.frombuffer(zlib.decompress(x.as_py()), "<u2").sum(dtype=np.int64)) for x in batch.column(0)]
+            n = [int(np.frombuffer(zlib.decompress(x.as_py()), "<u8").sum()) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], names=["n"])
 
     mean = (sums.select("data").mapInArrow(facts, "n long").agg(F.sum("n")).first()[0] or 0) / cells
@@ -96,7 +101,7 @@ def sketched(docs: DataFrame, cells: int, scratch: common.Scratch) -> np.ndarray
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = [np.packbits(np.frombuffer(zlib.decompress(x.as_py()), "<u2") > most, bitorder="little").tobytes() for x in batch.column(1)]
+            bits = [np.packbits(np.frombuffer(zlib.decompress(x.as_py()), "<u8") > most, bitorder="little").tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["chunk", "bits"])
 
     bitmap = np.zeros(cells // 8, np.uint8)
@@ -268,60 +273,119 @@ def strays(lists: DataFrame, n_parts: int) -> DataFrame:
     return rows.filter("a <> b").distinct()
 
 
-def crossing(lists: DataFrame, n_parts: int) -> DataFrame:
-    """Pairs of groups that share a list but not a component, and how many lists they share. lists: h, g, n, c."""
+def seats(lists: DataFrame) -> DataFrame:
+    """Groups to be compared in full: lead, g. Every two groups that share a list but not a component share a lead.
 
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        h, g, n, c = (np.concatenate([b.column(k).to_numpy() for b in parts]) for k in range(4))
-        order = np.lexsort((g, n, h))
-        h, g, n, c = h[order], g[order], n[order], c[order]
-        firsts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+    A list with several components is looked after by its smallest group, the lead, so what a family's many lists hold is
+    one bucket and not a pair in each list. Two groups alone in a bucket share as many prefix shingles as they have lists
+    there (or meet in another bucket), so the bound on their intersection drops them here. lists: h, g, n, c.
+    """
+    mixed = lists.groupBy("h").agg(F.min("g").alias("lead"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("h", "lead")
+    own = lists.join(mixed, "h").groupBy("lead", "g").agg(F.count_distinct("h").alias("shared"), F.min("n").cast("long").alias("n"))
+    rest = lambda n: F.expr(f"{n} - ({n} - (3 * {n} + 3) div 4 + 1)")
+    own = own.withColumn("other", F.when(F.col("g") != F.col("lead"), F.col("shared"))).withColumn("bound", rest("n"))
+    of = own.groupBy("lead").agg(F.count(F.lit(1)).alias("k"), F.max("other").alias("shared"), F.max("bound").alias("bound"), F.sum("n").alias("all_n"), F.min("n").alias("low"), F.max("n").alias("high"))
+    alone = (F.col("k") == 2) & ((7 * (F.col("shared") + F.col("bound")) < 3 * F.col("all_n")) | (4 * F.col("low") < 3 * F.col("high")))
+    return own.select("lead", "g").join(of.filter(~alone).select("lead"), "lead", "left_semi")
 
-        def summed() -> pa.RecordBatch:
-            a, b = (np.concatenate(x) for x in zip(*held, strict=True))
-            swap = g[b] < g[a]
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            order = np.lexsort((n[b], n[a], g[b], g[a]))
-            a, b = a[order], b[order]
-            new = np.concatenate(([True], (g[a][1:] != g[a][:-1]) | (g[b][1:] != g[b][:-1]) | (n[a][1:] != n[a][:-1]) | (n[b][1:] != n[b][:-1])))
-            first = np.flatnonzero(new)
-            shared = np.diff(np.concatenate((first, [len(a)])))
-            a, b = a[first], b[first]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (g[a], g[b], n[a], n[b], shared.astype(np.int64))], names=["g1", "g2", "n1", "n2", "shared"])
 
-        for at, end in zip(firsts.tolist(), [*firsts[1:].tolist(), len(h)], strict=True):
-            if (c[at:end] == c[at]).all():
-                continue
-            k = end - at
-            if k <= SQUARE:
-                one, other = (at + x for x in _TRIANGLE[k])
-                fits = (c[one] != c[other]) & (g[one] != g[other]) & (3 * n[other] <= 4 * n[one])
-                pieces = [(one[fits], other[fits])]
-            else:
-                last = at + np.searchsorted(3 * n[at:end], 4 * n[at:end], "right")  # of matching size
-                pieces = ((np.full(len(other), one), other) for one in range(at, end - 1) if len(other := one + 1 + np.flatnonzero((c[one + 1 : last[one - at]] != c[one]) & (g[one + 1 : last[one - at]] != g[one]))))
-            for piece in pieces:
-                held.append(piece)
-                size += len(piece[0])
-                if size >= FLUSH:
-                    yield summed()
-                    held, size = [], 0
-        if size:
-            yield summed()
+def signatures(sets: list[np.ndarray], width: int) -> np.ndarray:
+    """Per set, for each of `width` cells, whether an odd number of its shingles falls there; bits in 64-bit numbers.
+
+    Two sets' signatures differ in at most as many bits as the sets in elements, and halves of a signature can be folded.
+    """
+    out = np.zeros((len(sets), width // 64), np.uint64)
+    for k, own in enumerate(sets):
+        odd = np.bincount((own & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+        out[k] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+    return out
 
-    rows = lists.select("h", "g", F.col("n").cast("long").alias("n"), "c").repartition(n_parts, "h").mapInArrow(pair, "g1 long, g2 long, n1 long, n2 long, shared long")
-    return rows.groupBy("g1", "g2", "n1", "n2").agg(F.sum("shared").alias("shared"))
 
+def _folded(bits: np.ndarray) -> np.ndarray:
+    half = bits.shape[1] // 2
+    return bits[:, :half] ^ bits[:, half:]
 
-def possible(pairs: DataFrame) -> DataFrame:
-    """Group pairs whose intersection can reach the limit: common prefix shingles and all that follows a prefix."""
-    rest = lambda n: F.expr(f"{n} - ({n} - (3 * {n} + 3) div 4 + 1)")
-    return pairs.filter(7 * (F.col("shared") + F.greatest(rest("n1"), rest("n2"))) >= 3 * (F.col("n1") + F.col("n2")))
+
+def links_between(ids: list[int], component: np.ndarray, block: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join components among these sets, of different blocks if there are two: enough to join all that link.
+
+    Sizes bound the partners, then signatures of two widths bound the difference, then sets are compared. What a link
+    has joined isn't compared again.
+    """
+    n = np.array([len(x) for x in sets], np.int64)
+    order = np.argsort(n, kind="stable")
+    n, root, block, sets, ids = n[order], component[order].copy(), block[order], [sets[k] for k in order], [ids[k] for k in order]
+    across = block.min() != block.max()
+    last = np.searchsorted(3 * n, 4 * n, "right")
+    level = np.maximum(np.int64(5), np.frexp(n.astype(np.float64))[1])  # 2 ** level > n
+    found: list[tuple[int, int]] = []
+    narrow, wide, at = {}, {}, {}
+    for q in np.unique(level).tolist():
+        at[q] = (int(np.searchsorted(level, q)), int(np.searchsorted(level, q, "right")))
+        own = sets[slice(*at[q])]
+        for held, more in ((narrow, 2), (wide, 5)):
+            held[q, 0] = signatures(own, 1 << q + more - 1)
+            held[q, 1] = _folded(held[q, 0])
+    for q, (low, high) in at.items():
+        for i in range(low, high):
+            for fold, (start, end) in ((0, (i + 1, min(high, last[i]))), (1, (at[q + 1][0], min(at[q + 1][1], last[i])) if q + 1 in at else (0, 0))):
+                if end <= start:
+                    continue
+                apart = root[start:end] != root[i]
+                if across:
+                    apart &= block[start:end] != block[i]
+                js = np.flatnonzero(apart)
+                first = at[q + fold][0]
+                for held in (narrow, wide):
+                    if len(js):
+                        differ = np.bitwise_count(held[q + fold, fold][js + (start - first)] ^ held[q, 0][i - low]).sum(axis=1, dtype=np.int64)
+                        js = js[7 * differ <= n[js + start] + n[i]]
+                for j in (js + start).tolist():
+                    if root[j] != root[i]:
+                        both = shingles.common_count(sets[i], sets[j])
+                        if 100 * both >= 75 * (n[i] + n[j] - both):
+                            found.append((ids[i], ids[j]))
+                            root[root == root[j]] = root[i]
+    return found
+
+
+def compared(rows: DataFrame, docs: DataFrame, n_parts: int, scratch: common.Scratch, name: str) -> DataFrame:
+    """Links a, b between components, from every bucket of classes. rows: lead, r, c, n.
+
+    A bucket of many texts is dealt in blocks, and every two of its blocks meet in one place.
+    """
+    size = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sized = rows.groupBy("lead").agg(size.alias("blocks")).withColumnRenamed("lead", "_lead")
+    dealt = rows.join(sized, F.col("lead") == F.col("_lead")).withColumn("own", F.pmod(F.xxhash64("r"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("lead", "r", "c", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("lead", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "r", "c")
+    # staged, so that the texts are not in two exchanges at a time
+    placed = scratch.stage(dealt.join(docs, F.col("r") == F.col("doc_id")).select("lead", "i", "j", "own", "r", "c", "text"), f"{name}-texts")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def links() -> pa.RecordBatch:
+            ids, component, block, sets = zip(*held, strict=True)
+            found = links_between(list(ids), np.array(component, np.int64), np.array(block), list(sets))
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for part in slices(batch):
+                columns = [part.column(k).to_pylist() for k in range(6)]
+                for lead, i, j, own, r, c, words in zip(*columns, shingles.sets_of(part.column(6).to_pylist()), strict=True):
+                    if (lead, i, j) != key:
+                        if len(held) > 1:
+                            yield links()
+                        key, held = (lead, i, j), []
+                    if len(words) and not (held and held[-1][0] == r and np.array_equal(held[-1][3], words)):
+                        held.append((r, c, own, words))
+        if len(held) > 1:
+            yield links()
+
+    found = scratch.stage(placed.repartition(n_parts, "lead", "i", "j").sortWithinPartitions("lead", "i", "j", "r").mapInArrow(compare, "a long, b long"), name)
+    scratch.drop(f"{name}-texts")
+    return found
 
 
 def joined(docs: DataFrame) -> DataFrame:
@@ -329,8 +393,8 @@ def joined(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "jaccard")
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    n_parts = common.partitions(spark)
     n_bytes = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_parts = common.partitions(spark, math.ceil(n_bytes / PART_BYTES))
     cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << max(0, math.ceil(math.log2(max(1, n_bytes / 6 / 2))))))
     bitmap = spark.sparkContext.broadcast(sketched(own, cells, scratch))
     sets = scratch.stage(document_sets(own, bitmap, cells), "sets")
@@ -370,14 +434,12 @@ def joined(docs: DataFrame) -> DataFrame:
         found, labels = labelled(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), k + 2)
     # what is still apart, in full
     parts = labels.select("g", "c").distinct()
-    apart = scratch.stage(possible(crossing(lists.select("h", "g", "n").join(parts, "g"), n_parts)).select("g1", "g2"), "apart")
+    split = labels.groupBy("g").agg((F.min("c") != F.max("c")).alias("split")).filter("split").select(F.col("g").alias("lead"), "g")
+    apart = scratch.stage(seats(lists.select("h", "g", "n").join(parts, "g")).union(split).distinct(), "apart")
     scratch.drop("lists")
-    inside = labels.groupBy("g").agg((F.min("c") != F.max("c")).alias("split")).filter("split").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
-    left, right = labels.select(F.col("g").alias("g1"), F.col("r").alias("r1"), F.col("c").alias("c1")), labels.select(F.col("g").alias("g2"), F.col("r").alias("r2"), F.col("c").alias("c2"))
-    rest = apart.union(inside).distinct().join(left, "g1").join(right, "g2").filter("c1 <> c2").select(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b")).distinct()
-    second = scratch.stage(rest.join(done, ["a", "b"], "left_anti"), "second")
-    if second.limit(1).count():
-        more = verified(second, texts, n_parts, scratch, "checked9")
+    rows = scratch.stage(apart.join(labels.select("g", "r", "c"), "g").select("lead", "r", "c").distinct().join(classes.groupBy("r").agg(F.max("n").alias("n")), "r"), "seats")
+    if rows.limit(1).count():
+        more = compared(rows, texts, n_parts, scratch, "compared")
         found = scratch.stage(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch, "stars9"), "found9")
     named = classes.join(found, F.col("r") == F.col("node"), "left").select(*keys, F.coalesce("component", F.col("r")).alias("component_id"))
     named = scratch.stage(named, "named")

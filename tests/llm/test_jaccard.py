@@ -116,3 +116,77 @@ def test_star_components(spark):
     scratch = common.Scratch(spark, "test")
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long"), scratch, "t").collect()}
     assert got == {x: c for c, members in want.items() for x in members if x != c}
+
+
+def test_links_between_join_what_links():
+    rng = random.Random(4)
+    pool = np.array([rng.getrandbits(64) for _ in range(4000)], np.uint64)
+    sets, base = [], []
+    for size in (1, 2, 3, 5, 20, 21, 40, 120, 130, 160):
+        own = set(rng.sample(range(4000), size))
+        for _ in range(14):
+            base.append({x for x in own if rng.random() > 0.1} | set(rng.sample(range(4000), rng.randrange(1 + size // 12))) or {0})
+    sets = [np.sort(pool[sorted(x)]) for x in base]
+    for blocks in (np.zeros(len(sets), int), np.array([rng.randrange(2) for _ in sets])):
+        two = blocks.max() > 0
+        names = {k: k for k in range(len(sets))}
+
+        def joined(pairs):
+            parent = dict(names)
+
+            def find(x):
+                while parent[x] != x:
+                    x = parent[x]
+                return x
+
+            for a, b in pairs:
+                ra, rb = sorted((find(a), find(b)))
+                parent[rb] = ra
+            return [find(x) for x in names]
+
+        want = [(a, b) for a in names for b in range(a) if not (two and blocks[a] == blocks[b]) and 100 * len(base[a] & base[b]) >= 75 * len(base[a] | base[b])]
+        got = jaccard_join.links_between(list(names), np.arange(len(sets)), blocks, sets)
+        assert all(100 * len(base[a] & base[b]) >= 75 * len(base[a] | base[b]) for a, b in got)
+        assert joined(got) == joined(want) and len(got) < len(sets)
+
+
+def test_family_just_under_the_limit_makes_no_rows(spark, monkeypatch):
+    """2,000 texts of which hardly two link: all of each other's lists, dealt in blocks, and only links become rows."""
+    rng = random.Random(12)
+    base = [f"b{k}" for k in range(600)]
+    rows = []
+    for d in range(2000):
+        own = list(base)
+        for at in rng.sample(range(3, 597, 6), 12):
+            own[at] = f"x{d}y{at}"
+        rows.append((d, " ".join(own)))
+    made = []
+    inner = jaccard_join.compared
+
+    def counted(*args):
+        out = inner(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "compared", counted)
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 700)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [frozenset(shingles.sets_of([t])[0].tolist()) for _, t in rows]
+    ids = {x: k for k, x in enumerate(sorted(frozenset().union(*sets)))}
+    table = np.zeros((len(sets), len(ids)), np.float32)
+    for k, own in enumerate(sets):
+        table[k, [ids[x] for x in own]] = 1
+    both, n = table @ table.T, np.array([len(x) for x in sets])
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in zip(*np.nonzero(np.triu(100 * both >= 75 * (n[:, None] + n[None, :] - both), 1)), strict=True):
+        ra, rb = sorted((find(int(a)), find(int(b))))
+        parent[rb] = ra
+    want = {k: find(k) for k in range(len(sets))}
+    assert got == want and len(set(want.values())) > 100
+    assert sum(made) < len(sets)
