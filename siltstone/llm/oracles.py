@@ -16,10 +16,11 @@ _FEATURES = {
     "mean_word": _share("word_chars", "n_words"), "minus_mean_word": "-(" + _share("word_chars", "n_words") + ")", "symbol_share": _share("n_symbols", "word_chars"),
     "line_share": _share("n_dup_lines", "n_lines"), "repeat_share": _share("n_repeat_words", "n_words"), "capital_share": _share("n_capitals", "word_chars"),
 }
-_GRID = ", ".join(f"('{name}', {k}, CAST({c!r} AS DOUBLE))" for name, (_, cutoffs) in quality.RULES.items() for k, c in enumerate(cutoffs))
-_VALUES = " UNION ALL ".join(f"SELECT rid, doc_id, stratum, '{name}' AS rule, {_FEATURES[f]} AS value FROM stats" for name, (f, _) in quality.RULES.items())
-_RATE = f"(CAST({quality.ALPHA!r} AS DOUBLE) / {len(quality.RULES)})"
-_ORDER = ", ".join(f"'{n}'" for n in quality.RULES)
+_LIST = lambda name: "[" + ", ".join(f"CAST({c!r} AS DOUBLE)" for c in quality.CUTOFFS[name]) + "]"
+_BEYOND = ", ".join(f"len(list_filter({_LIST(name)}, lambda c: {_FEATURES[f]} > c))" for name, (f, _, _) in quality.RULES.items())
+_FAILED = ", ".join(f"CASE WHEN {_FEATURES[f]} > {_LIST(name)}[place + 1] THEN '{name}' END" for name, (f, _, _) in quality.RULES.items())
+_RATE = f"CAST({quality.ALPHA!r} AS DOUBLE)"
+_BASE_FAILED = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
 
 QUALITY = f"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, lang AS stratum, coalesce(text, '') AS t FROM documents),
@@ -29,17 +30,14 @@ again AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, w) AS n
 covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM again, range(0, {_WINDOW}) AS r(k) GROUP BY rid),
 stats AS (SELECT s.rid, doc_id, stratum, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '{_SYMBOLS}')) AS BIGINT) AS n_symbols,
   CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines, len(regexp_extract_all(t, '{_CAPITALS}')) AS n_capitals FROM split_ s LEFT JOIN covered c ON s.rid = c.rid),
-vals AS ({_VALUES}),
-grid AS (SELECT * FROM (VALUES {_GRID}) g(rule, place, cutoff)),
 marks AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-held AS (SELECT v.*, quality FROM vals v JOIN marks m ON v.doc_id = m.doc_id),
-tests AS (SELECT stratum, h.rule, place, cutoff, count(*) FILTER (quality = 1) AS n_good, count(*) FILTER (quality <> 1) AS n_bad, count(*) FILTER (quality = 1 AND value > cutoff) AS k, count(*) FILTER (quality <> 1 AND value > cutoff) AS b FROM held h JOIN grid g ON h.rule = g.rule GROUP BY stratum, h.rule, place, cutoff),
-tails AS (SELECT *, CASE WHEN k > n_good * {_RATE} THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n_good + 1) - lgamma(j + 1) - lgamma(n_good - j + 1) + j * ln({_RATE}) + (n_good - j) * ln(1 - {_RATE}))))) END AS p FROM (SELECT *, count(*) OVER () AS x FROM tests WHERE n_good > 0) a),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY b / greatest(n_bad, 1) - {quality.GOOD_WEIGHT} * k / greatest(n_good, 1) DESC, place) AS best FROM (SELECT *, max(p) OVER (PARTITION BY stratum, rule ORDER BY place) AS worst FROM tails) a WHERE worst * {len(quality.RULES)} * (SELECT count(DISTINCT coalesce(stratum, '')) FROM held) <= {quality.DELTA}),
-cutoffs AS (SELECT stratum, rule, cutoff FROM ranked WHERE best = 1 AND b > 0),
-failed AS (SELECT v.rid, string_agg(v.rule, '+' ORDER BY list_position([{_ORDER}], v.rule)) AS rules FROM vals v JOIN cutoffs c ON v.stratum IS NOT DISTINCT FROM c.stratum AND v.rule = c.rule WHERE value > cutoff GROUP BY v.rid)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND rules IS NULL AS kept, stratum, coalesce(rules, '') AS failed_rules FROM stats s LEFT JOIN failed f ON s.rid = f.rid"""
+held AS (SELECT stratum, s.doc_id, max(greatest({_BEYOND})) AS passed, min(quality) AS quality FROM stats s JOIN marks m ON s.doc_id = m.doc_id WHERE NOT ({_BASE_FAILED}) GROUP BY stratum, s.doc_id),
+tests AS (SELECT stratum, place, count(*) FILTER (quality = 1) AS n_good, count(*) FILTER (quality <> 1) AS n_bad, count(*) FILTER (quality = 1 AND {quality.STEPS} - passed <= place) AS k, count(*) FILTER (quality <> 1 AND {quality.STEPS} - passed <= place) AS b FROM held, range(0, {quality.STEPS}) g(place) GROUP BY stratum, place),
+tails AS (SELECT *, CASE WHEN k > n_good * {_RATE} THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n_good + 1) - lgamma(j + 1) - lgamma(n_good - j + 1) + j * ln({_RATE}) + (n_good - j) * ln(1 - {_RATE}))))) END AS p FROM tests),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY b / greatest(n_bad, 1) - {quality.GOOD_WEIGHT} * k / greatest(n_good, 1) DESC, place) AS best FROM (SELECT *, max(p) OVER (PARTITION BY stratum ORDER BY place) AS worst FROM tails) a WHERE worst * (SELECT count(*) FROM (SELECT DISTINCT stratum FROM held) d) <= {quality.DELTA}),
+steps AS (SELECT stratum, place FROM ranked WHERE best = 1 AND b > 0),
+failed AS (SELECT s.*, coalesce(array_to_string(list_filter([{_FAILED}], lambda x: x IS NOT NULL), '+'), '') AS rules FROM stats s LEFT JOIN steps c ON s.stratum IS NOT DISTINCT FROM c.stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {_BASE_FAILED} AS base_failed, NOT ({_BASE_FAILED}) AND rules = '' AS kept, stratum, rules AS failed_rules FROM failed"""
 
 _O, _M, _C = (x.replace("\n", "' || chr(10) || '") for x in (preferences.OPEN, preferences.MIDDLE, preferences.CLOSE))
 _TEXT = f"'{_O}' || role || '{_M}' || body || '{_C}'"

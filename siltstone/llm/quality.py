@@ -1,15 +1,18 @@
 """Quality rules whose cutoffs are certified on labelled documents.
 
-Every document gets its counts and the features of RULES from its whole text. A rule with a cutoff rejects what lies
-beyond it. Which cutoffs hold is a test on the labelled good documents of a stratum (the language): a cutoff is
-certified if the exact binomial probability of so few false rejections, were their true rate ALPHA / rules, is at
-most DELTA / (rules * strata). The cutoffs of a rule are tested from the mildest on and testing stops at the first
-that fails, so no further correction is due within a rule: with probability 1 - DELTA no stratum loses more than
-ALPHA of its good documents. Among certified cutoffs the one with the best balance of bad and good rejections is
-used; without labels or with too few, nothing is certified and only the base rules reject.
-
-Null texts have no words. A document with several labels counts as bad if one says so; labels without a document,
-null labels and other columns are ignored. A null language is a stratum of its own. Repeated rows are judged each.
+Every document gets its counts and the features of RULES from its whole text. A rule rejects what lies beyond its
+cutoff. All rules' cutoffs run together in STEPS steps from mild to strict, so a stratum (the language) has one sequence
+of nested rejections. A step is certified if the exact binomial probability of so few false rejections among the
+stratum's labelled good documents, were their true rate ALPHA, is at most DELTA / strata (Bonferroni over strata). Steps
+are tested from the mildest on and testing stops at the first that fails, so no further correction is due along the
+sequence: with probability 1 - DELTA, no stratum's cutoffs reject more than ALPHA of the good documents that the base
+rules keep. Among certified steps the one with the best balance of bad and good rejections is used. With too few labels
+(fewer than ln(DELTA / strata) / ln(1 - ALPHA), 144 for four strata) nothing is certified and only the base rules reject.
+
+Null texts have no words. A document with several labels counts as bad if one says so, and counts once in a stratum
+however many rows it has, as its most rejected one; labels without a document, null labels and other columns are
+ignored. A null language is a stratum of its own. Repeated rows are judged each. An empty table gives no rows. A very
+long text is arrays of its words and their hashes within a row.
 """
 
 from __future__ import annotations
@@ -19,16 +22,17 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import common, native
 
-ALPHA, DELTA, GOOD_WEIGHT, WINDOW = 0.03, 0.05, 20.0, 8
-#: Each rule's feature and its cutoffs, mildest first; a rule rejects what lies beyond its cutoff.
+ALPHA, DELTA, GOOD_WEIGHT, WINDOW, STEPS = 0.03, 0.05, 20.0, 8, 24
+#: Each rule's feature and its mildest and strictest cutoff; a rule rejects what lies beyond its cutoff.
 RULES = {
-    "long_words": ("mean_word", [12 - k / 4 for k in range(24)]),
-    "short_words": ("minus_mean_word", [-2 - k / 8 for k in range(17)]),
-    "symbols": ("symbol_share", [(40 - k) / 100 for k in range(40)]),
-    "repeated_lines": ("line_share", [(100 - 2 * k) / 100 for k in range(1, 48)]),
-    "repeated_words": ("repeat_share", [(100 - 2 * k) / 100 for k in range(1, 48)]),
-    "capitals": ("capital_share", [(100 - 2 * k) / 100 for k in range(1, 48)]),
+    "long_words": ("mean_word", 12.0, 6.5),
+    "short_words": ("minus_mean_word", -2.0, -4.0),
+    "symbols": ("symbol_share", 0.4, 0.01),
+    "repeated_lines": ("line_share", 0.98, 0.35),
+    "repeated_words": ("repeat_share", 0.98, 0.3),
+    "capitals": ("capital_share", 0.98, 0.3),
 }
+CUTOFFS = {name: [mild + (strict - mild) * k / (STEPS - 1) for k in range(STEPS)] for name, (_, mild, strict) in RULES.items()}
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -67,7 +71,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
 
 
 def beyond(feature: str, cutoffs: list[float]) -> Column:
-    """How many of the cutoffs, mildest first, the feature lies beyond, counted from the strictest."""
+    """How many of the cutoffs the feature lies beyond."""
     return F.size(F.filter(F.array(*map(F.lit, cutoffs)), lambda c: F.col(feature) > c))
 
 
@@ -85,42 +89,40 @@ def binomial_tail(k: Column, n: Column, rate: float) -> Column:
 
 
 def labelled_counts(stats: DataFrame, labels: DataFrame) -> DataFrame:
-    """Good and bad labelled documents by stratum, rule and place among the cutoffs."""
+    """Good and bad labelled documents by stratum and by the steps that reject them, counted from the strictest."""
     marks = labels.filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    held = stats.join(marks.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"))
-    rules = F.array(*(F.struct(F.lit(name).alias("rule"), beyond(f, cutoffs).alias("passed")) for name, (f, cutoffs) in RULES.items()))
+    held = stats.filter("not base_failed").join(marks.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"))
+    passed = F.greatest(*(beyond(f, CUTOFFS[name]) for name, (f, _, _) in RULES.items()))
+    once = held.groupBy("stratum", "doc_id").agg(F.max(passed).alias("passed"), F.min("quality").alias("quality"))
     good, bad = F.count_if(F.col("quality") == 1), F.count_if(F.col("quality") != 1)
-    return held.select("stratum", "quality", F.explode(rules).alias("r")).groupBy("stratum", "r.rule", "r.passed").agg(good.alias("good"), bad.alias("bad"))
+    return once.groupBy("stratum", "passed").agg(good.alias("good"), bad.alias("bad"))
 
 
 def certified(counts: DataFrame, *, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """From labelled_counts, a row for each stratum and rule with a certified cutoff: stratum, rule, cutoff and its figures."""
-    own = Window.partitionBy("stratum", "rule")
-    totals = counts.groupBy("stratum", "rule").agg(F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"))
-    grid = F.array(*(F.struct(F.lit(name).alias("rule"), F.lit(k).alias("place"), F.lit(float(c)).alias("cutoff")) for name, (_, cutoffs) in RULES.items() for k, c in enumerate(cutoffs)))
-    cutoffs = {name: len(c) for name, (_, c) in RULES.items()}
-    size = F.create_map(*(x for name, n in cutoffs.items() for x in (F.lit(name), F.lit(n))))
-    tested = totals.withColumn("g", F.explode(F.filter(grid, lambda g: g["rule"] == F.col("rule")))).select("stratum", "rule", "n_good", "n_bad", "g.place", "g.cutoff")
-    # a value beyond `passed` cutoffs of n is rejected at the places n - passed and stricter
-    exact = counts.select("stratum", "rule", "good", "bad", (size[F.col("rule")] - F.col("passed")).alias("from"))
-    rejected = tested.alias("t").join(exact.alias("e"), F.expr("t.stratum <=> e.stratum and t.rule = e.rule and e.from <= t.place"), "left")
-    rejected = rejected.groupBy("t.stratum", "t.rule", "t.place", "t.cutoff", "t.n_good", "t.n_bad").agg(F.coalesce(F.sum("e.good"), F.lit(0)).alias("false_rejected"), F.coalesce(F.sum("e.bad"), F.lit(0)).alias("rejected"))
+    """From labelled_counts, a row for each stratum with a certified step: stratum, place, and its figures."""
+    own = Window.partitionBy("stratum")
+    totals = counts.groupBy("stratum").agg(F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"))
+    tested = totals.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))))
+    # a document beyond the cutoffs of `passed` steps is rejected at the places STEPS - passed and stricter
+    exact = counts.select("stratum", "good", "bad", (STEPS - F.col("passed")).alias("from"))
+    rejected = tested.alias("t").join(exact.alias("e"), F.expr("t.stratum <=> e.stratum and e.from <= t.place"), "left")
+    rejected = rejected.groupBy("t.stratum", "t.place", "t.n_good", "t.n_bad").agg(F.coalesce(F.sum("e.good"), F.lit(0)).alias("false_rejected"), F.coalesce(F.sum("e.bad"), F.lit(0)).alias("rejected"))
     n_strata = counts.select("stratum").distinct().count()
-    p = binomial_tail(F.col("false_rejected"), F.col("n_good"), alpha / len(RULES))
-    tests = rejected.withColumn("p", p)
+    tests = rejected.withColumn("p", binomial_tail(F.col("false_rejected"), F.col("n_good"), alpha))
     worst = F.max("p").over(own.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-    passed = tests.withColumn("worst", worst).filter(F.col("worst") * len(RULES) * n_strata <= delta)
+    passed = tests.withColumn("worst", worst).filter(F.col("worst") * n_strata <= delta)
     balance = F.col("rejected") / F.greatest(F.col("n_bad"), F.lit(1)) - GOOD_WEIGHT * F.col("false_rejected") / F.greatest(F.col("n_good"), F.lit(1))
     best = F.row_number().over(own.orderBy(F.desc(balance), "place"))
-    return passed.withColumn("best", best).filter("best = 1 and rejected > 0").select("stratum", "rule", "cutoff", "n_good", "false_rejected", "n_bad", "rejected", "p")
+    return passed.withColumn("best", best).filter("best = 1 and rejected > 0").select("stratum", "place", "n_good", "false_rejected", "n_bad", "rejected", "p")
 
 
-def judged(stats: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """Adds failed_rules and kept; a stratum has at most one row of cutoffs, Spark broadcasts it only if it is small."""
-    by_stratum = cutoffs.groupBy(F.col("stratum").alias("_stratum")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cutoffs"))
-    failed = F.array_compact(F.array(*(F.when(F.col(f) > F.try_element_at("_cutoffs", F.lit(name)), F.lit(name)) for name, (f, _) in RULES.items())))
-    df = stats.join(by_stratum, F.col("stratum").eqNullSafe(F.col("_stratum")), "left").withColumn("failed_rules", F.coalesce(failed, F.array().cast("array<string>")))
-    return df.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("_cutoffs", "_stratum")
+def judged(stats: DataFrame, steps: DataFrame) -> DataFrame:
+    """Adds failed_rules and kept; a stratum has at most one row of steps, Spark broadcasts it only if it is small."""
+    chosen = steps.select(F.col("stratum").alias("_stratum"), F.col("place").alias("_place"))
+    cutoff = lambda name: F.array(*map(F.lit, CUTOFFS[name]))[F.col("_place")]
+    failed = F.array_compact(F.array(*(F.when(F.col(f) > cutoff(name), F.lit(name)) for name, (f, _, _) in RULES.items())))
+    df = stats.join(chosen, F.col("stratum").eqNullSafe(F.col("_stratum")), "left").withColumn("failed_rules", F.coalesce(failed, F.array().cast("array<string>")))
+    return df.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("_place", "_stratum")
 
 
 def quality(docs: DataFrame, labels: DataFrame, keep: list[str], *, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -129,8 +131,8 @@ def quality(docs: DataFrame, labels: DataFrame, keep: list[str], *, alpha: float
     scratch = common.Scratch(docs.sparkSession, "quality")
     stats = scratch.stage(with_counts(own).drop("text"), "stats")
     counts = scratch.stage(labelled_counts(stats, labels), "counts")
-    cutoffs = scratch.stage(certified(counts, alpha=alpha, delta=delta), "cutoffs")
-    return judged(stats, cutoffs)
+    steps = scratch.stage(certified(counts, alpha=alpha, delta=delta), "steps")
+    return judged(stats, steps)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

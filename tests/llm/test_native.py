@@ -30,6 +30,24 @@ def test_quality_counts(spark, awkward):
         assert r["base_failed"] == (want[0] < 20 or 100 * want[4] > 30 * want[0])
 
 
+def test_a_document_is_one_label(spark):
+    """Rows of one document are one trial, as its most rejected row; null and empty languages are two strata."""
+    rows = [(1, "w" * 90 + " a" * 30, "en")] + [(1, " ".join(["abcde"] * 3 + [f"w{k}" for k in range(30)]), "en")] * 5 + [(2, " ".join(f"v{k}" for k in range(30)), None), (3, " ".join(f"u{k}" for k in range(30)), "")]
+    stats = quality.with_counts(spark.createDataFrame(rows, "doc_id long, text string, stratum string"))
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (3, 0), (9, 1)], "doc_id long, quality int")
+    got = {r["stratum"]: (r["good"], r["bad"]) for r in quality.labelled_counts(stats, labels).collect()}
+    assert got == {"en": (1, 0), None: (1, 0), "": (0, 1)}
+
+
+@pytest.mark.parametrize(("good", "false", "step"), [(143, 0, None), (144, 0, 23), (400, 3, 23), (400, 20, 0)])
+def test_steps_up_to_the_first_that_fails(spark, good, false, step):
+    """Four strata at ALPHA 0.03 and DELTA 0.05: 144 good documents without a false rejection certify; 20 of 400 don't."""
+    rows = [("en", 0, good - false, 0), ("en", 14 if false == 20 else 1, false, 0), ("en", 24, 0, 50), ("en", 1, 0, 10)] + [(x, 0, 5, 5) for x in ("de", "fr", None)]
+    counts = spark.createDataFrame(rows, "stratum string, passed int, good long, bad long")
+    got = quality.certified(counts).collect()
+    assert [r["place"] for r in got] == ([] if step is None else [step])
+
+
 @pytest.mark.parametrize(("k", "n"), [(0, 10), (3, 500), (12, 900), (40, 5000), (5, 20)])
 def test_binomial_tail(spark, k, n):
     want = 1.0 if k > n * 0.01 else sum(comb(n, j) * 0.01**j * 0.99 ** (n - j) for j in range(k + 1))
