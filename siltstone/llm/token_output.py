@@ -1,15 +1,18 @@
 """Token ids in binary files: one shared frequency table, groups of documents in range-coded blocks.
 
-1. Documents are dealt by ranges of doc_id and sorted; each text is encoded and its ids are staged.
+1. Documents are dealt by ranges of doc_id, hash of the text and row, and sorted; each text is encoded and its ids are
+   staged with their place in the range. So a doc_id of any number of rows spreads, and the order is total.
 2. The ids are counted over all documents into one frequency table (a row for each id of the vocabulary).
 3. Whole documents in a row form groups of about GROUP_TOKENS ids. A group is one binary value: header, document
    index, block table, then blocks as in `rans`. Groups are written in ascending doc_id order as Parquet rows
    (segment, group, first doc_id, documents, ids, data), so that any store Spark reads can hold them.
 4. Reading decodes groups independently. Where a document starts in all ids follows from the sums of the groups
-   before it: sums within a segment, then over segments (one row for each writing task).
+   before it: sums within a segment (a run of staged rows, named by its range and its first place there, so no two
+   runs share a name), then over segments (one row for each writing task).
 
-Null and empty texts hold the end id alone; null doc_ids come first; rows with equal doc_id keep a fixed order by
-text; other columns are ignored; an empty table gives an empty file and no rows.
+Null and empty texts hold the end id alone; null doc_ids come first; rows with equal doc_id are in order of a hash of
+their text, and rows equal in both are the same; other columns are ignored; an empty table gives an empty file and no
+rows. A group is one binary value of about GROUP_TOKENS ids and at least one document, so a text's ids must fit in 2 GB.
 """
 
 from __future__ import annotations
@@ -26,10 +29,10 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import common, rans, tokens
 
-GROUP_TOKENS, BATCH_ROWS = 4_000_000, 128
+GROUP_TOKENS, BATCH_ROWS, SHARD_BYTES = 4_000_000, 128, 1 << 27
 GROUP_HEAD = struct.Struct("<4sIII")  # mark, documents, blocks, bytes of the index
 GROUP_MARK = b"TOKG"
-STAGED = "shard int, doc_id long, n long, ids binary"
+STAGED = "shard int, row long, doc_id long, n long, ids binary"
 GROUPS = "segment string, group int, first_id long, n_docs long, n_ids long, data binary"
 READ = "segment string, group int, row int, doc_id long, n_tokens long, ids_crc32 long, before long"
 
@@ -70,6 +73,7 @@ def staged_ids(docs: DataFrame, path: str, end_id: int, words: bool, n_shards: i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokens.encoder(path, words)
         kind = np.dtype("<u2") if max(own.whole.get_vocab_size(), end_id + 1) <= 1 << 16 else np.dtype("<u4")
+        row = 0
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 rows = batch.slice(at, BATCH_ROWS)
@@ -78,10 +82,13 @@ def staged_ids(docs: DataFrame, path: str, end_id: int, words: bool, n_shards: i
                 sizes = sizes + 1
                 offsets = np.concatenate(([0], np.cumsum(sizes * kind.itemsize)))
                 data = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(sizes, pa.int64()), data], names=["shard", "doc_id", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.arange(row, row + len(sizes)), pa.int64()), rows.column(1), pa.array(sizes, pa.int64()), data], names=["shard", "row", "doc_id", "n", "ids"])
+                row += len(sizes)
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    dealt = rows.repartitionByRange(n_shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    # the row only deals out rows that are equal in both, which may change places
+    rows = rows.withColumn("_hash", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange(n_shards, "doc_id", "_hash", "_row").sortWithinPartitions("doc_id", "_hash")
     return dealt.select(F.spark_partition_id().alias("shard"), "doc_id", "text").mapInArrow(encode, STAGED)
 
 
@@ -115,14 +122,13 @@ def coded_groups(staged: DataFrame, freq: np.ndarray, group_tokens: int = GROUP_
             return pa.RecordBatch.from_arrays([pa.array(row["segment"]), pa.array(row["group"], pa.int32()), pa.array(row["first_id"], pa.int64()), pa.array(row["n_docs"], pa.int64()), pa.array(row["n_ids"], pa.int64()), pa.array(row["data"], pa.binary())], names=list(row))
 
         for batch in batches:
-            for shard, doc, n, ids in zip(*(batch.column(k).to_pylist() if k != 3 else batch.column(k) for k in range(4)), strict=True):
-                key = (shard, doc is not None, doc or 0)
-                if last is None or key[0] != last[0] or key < last:
+            for shard, row, doc, n, ids in zip(*(batch.column(k).to_pylist() if k != 4 else batch.column(k) for k in range(5)), strict=True):
+                if last != (shard, row - 1):
                     if held:
                         yield group()
                     held, size, number = [], 0, 0
-                    segment = f"{shard:09d}:{'' if doc is None else format(doc + (1 << 63), '020d')}"
-                last = key
+                    segment = f"{shard:09d}:{row:019d}"
+                last = (shard, row)
                 data = ids.as_buffer()
                 held.append((doc, np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype(np.uint32)))
                 size += n
@@ -132,7 +138,7 @@ def coded_groups(staged: DataFrame, freq: np.ndarray, group_tokens: int = GROUP_
         if held:
             yield group()
 
-    return staged.select("shard", "doc_id", "n", "ids").mapInArrow(code, GROUPS)
+    return staged.select("shard", "row", "doc_id", "n", "ids").mapInArrow(code, GROUPS)
 
 
 def read_groups(groups: DataFrame, freq: np.ndarray) -> DataFrame:
@@ -169,7 +175,8 @@ def write_ids(docs: DataFrame, to: str, path: str, *, end_id: int, words: bool =
     """Write all documents' ids to the folder `to`; the groups as read back, and the table they were coded with."""
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "token-output")
-    staged = scratch.stage(staged_ids(docs, path, end_id, words, n_shards or common.partitions(spark)), "ids")
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0 if n_shards is None else 0
+    staged = scratch.stage(staged_ids(docs, path, end_id, words, n_shards or common.partitions(spark, -(-n_bytes // SHARD_BYTES))), "ids")
     counts = counted_ids(staged).collect()  # a row for each id of the vocabulary at most
     total = np.zeros(max([end_id, *(r["id"] for r in counts)]) + 1, np.int64)
     for r in counts:
