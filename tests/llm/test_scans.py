@@ -47,6 +47,16 @@ def test_ledger_scans_a_blob_once(spark, tmp_path, nothing, monkeypatch):
     assert secret_scan.scan(nothing, f"file://{tmp_path}/other").count() == 0
 
 
+def test_a_blob_that_two_scans_appended_is_read_once(spark, tmp_path):
+    ledger = f"file://{tmp_path}/ledger"
+    docs = spark.createDataFrame([(1, SECRETS[2]), (2, SECRETS[2]), (3, "other")], "doc_id long, text string")
+    secret_scan.scan(docs, ledger).collect()
+    twice = spark.createDataFrame(spark.read.schema(secret_scan.LEDGER).parquet(ledger).collect(), secret_scan.LEDGER)
+    twice.write.mode("append").parquet(ledger)
+    got = secret_scan.scan(docs, ledger).collect()
+    assert sorted((r["doc_id"], len(r["findings"])) for r in got) == [(1, 1), (2, 1), (3, 0)]
+
+
 def test_base_spans():
     card = "4111 1111 1111 1111"
     text = f"é a.b@mail.example.com, 10.0.0.255 and 10.0.0.256 {card} 4111111111111112 +1 (555) 123-4567 +12 34 1.2.3.4.5.6.7.8"
