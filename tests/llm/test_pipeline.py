@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 
 
@@ -25,3 +27,19 @@ def test_stages(spark, tmp_path):
     assert "<EMAIL>" in masked["text"] and masked["n_chars"] == len(masked["text"])
     out = corpus_pipeline.run(spark, f"file://{tmp_path}")
     assert {r["doc_id"] for r in out.collect()} == {*range(30), 103}
+
+
+def test_near_duplicates_go_by_text(spark, nothing):
+    """One id with unlinked texts keeps them all, linked ones and copies keep one, on any partitioning."""
+    long = lambda c, n=50: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(1, long("a"), "x"), (1, long("b"), "x"), (2, long("c"), "x"), (1, long("a") + " more", "y"), (1, long("a"), "w"), (1, long("a"), "x"), (None, long("d"), "x"), (None, long("d"), "x"), (None, long("e"), "x"), (3, long("c") + " end", "x"), (-5, long("f"), "x"), (4, "", "x"), (4, "", "x"), (5, None, "x"), (None, None, "x"), (6, long("g", 30_000), "x"), (7, long("g", 30_000) + " z", "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"_id": F.lit(1), "_node": F.lit(2), "_kept": F.lit("clash")})
+    outcomes = []
+    for n in (1, 5):
+        got = corpus_pipeline.near_duplicates(spark, frame.repartition(n), "")
+        assert got.columns == frame.columns
+        outcomes.append(sorted(map(repr, got.collect())))
+    assert outcomes[0] == outcomes[1]
+    kept = sorted(((r["doc_id"], (r["text"] or "")[:3], r["lang"]) for r in got.collect()), key=repr)
+    assert [(d, t) for d, t, _ in kept] == sorted([(-5, "f0 "), (1, "a0 "), (1, "b0 "), (2, "c0 "), (4, ""), (4, ""), (5, ""), (6, "g0 "), (None, ""), (None, "d0 "), (None, "e0 ")], key=repr)
+    assert corpus_pipeline.near_duplicates(spark, nothing, "").count() == 0
