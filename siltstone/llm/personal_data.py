@@ -1,16 +1,20 @@
 """Personal data: fixed patterns, and identifiers found by bootstrapped contexts.
 
 1. Fixed patterns find emails, addresses, card and phone numbers in whole texts. These are the seeds.
-2. Every seed and every other identifier-like token (five characters or more with a digit or an at sign) is a mention.
-   A mention's lexical patterns are the two words before it, the words on both sides, and the two words after it.
-3. Patterns and instances form a graph over the corpus, scored in ROUNDS rounds: a pattern's confidence is the share of
-   its distinct instances that are held to be personal, damped by PRIOR; an instance that is no seed is as certain as
-   its patterns together (noisy or), counting patterns with SUPPORT instances or more.
-4. Mentions of no fixed kind that a pattern of MIN_CONFIDENCE introduces, and whose instance is as certain, are added
-   as kind "context".
-
-Offsets are code points. Null texts are empty; repeated rows are judged each; other columns are kept or ignored as the
-caller asks; an empty table gives no rows.
+2. Every seed and every other identifier-like piece of text (a token of five characters or more with a digit or an at
+   sign, or groups of digits with spaces, dots, dashes and brackets between them, seven digits or more) is a mention. A
+   mention's lexical patterns are the two words before it, the words on both sides, and the two words after it.
+3. Patterns and instances form a graph over the corpus, scored in ROUNDS rounds. Known positives are the seeds and what
+   earlier rounds accepted; known negatives are other instances that occur in NEGATIVE_SPREAD patterns or more (years,
+   versions); the rest is unknown and counts UNKNOWN_WEIGHT as a negative. A pattern with SUPPORT positives or more has
+   as confidence the lower end of Wilson's interval for its precision. An instance that isn't negative is as certain as
+   its patterns of MIN_CONFIDENCE together (noisy or), and of MIN_CONFIDENCE it is accepted: a positive of the next round,
+   so identifiers found in one round induce patterns in the next.
+4. Mentions of no fixed kind that such a pattern introduces, and whose instance is accepted, are added as kind "context".
+
+Offsets are code points. Null texts are empty; repeated rows are judged each and are one instance; other columns are kept
+or ignored as the caller asks; an empty table gives no rows. A very long text is whole in a task and every scan of it is
+linear; a word that is over LONG_WORD characters, or begins more than CONTEXT_CHARS away, stands in patterns as "~".
 """
 
 from __future__ import annotations
@@ -24,16 +28,17 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import common
 
-ROUNDS, PRIOR, SUPPORT, MIN_CONFIDENCE = 3, 1.0, 5, 0.8
+ROUNDS, SUPPORT, MIN_CONFIDENCE, UNKNOWN_WEIGHT, NEGATIVE_SPREAD, Z = 3, 5, 0.75, 0.5, 20, 1.0
 KINDS = ("email", "ip", "card", "phone")
-#: The base patterns.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: The base patterns; an email is searched from its at sign, and digits are taken as whole runs.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TOKEN = re.compile(r"[A-Za-z0-9@._%+/:#-]*[0-9@][A-Za-z0-9@._%+/:#-]*")
-WORD = re.compile(r"[^\s]+")
-CONTEXT_CHARS, BATCH_ROWS = 80, 256
+TOKEN, GROUPS = re.compile(r"[A-Za-z0-9@._%+/:#-]+"), re.compile(r"[0-9][0-9().\x20-]*")
+MARK, WORD = re.compile("[0-9@]"), re.compile(r"[^\s]+")
+CONTEXT_CHARS, LONG_WORD, TOKEN_CHARS, GROUP_DIGITS, BATCH_ROWS = 200, 64, 5, 7, 256
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 MENTIONS = "array<struct<start:int,end:int,instance:string,seed:boolean,patterns:array<string>>>"
 
@@ -48,9 +53,24 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """Start and end of each email, leftmost first, not overlapping."""
+    out, free, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        if m := DOMAIN.match(text, at + 1):
+            while start > free and text[start - 1] in LOCAL:
+                start -= 1
+        if start < at:
+            free = m.end()
+            out.append((start, free))
+        at = text.find("@", max(at + 1, free))
+    return out
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Kind, start and end of each base match that holds, by kind as listed and then by start."""
-    out = [("email", m.start(), m.end()) for m in EMAIL.finditer(text)] if "@" in text else []
+    out = [("email", a, b) for a, b in emails(text)]
     if "." in text:
         out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or "0") <= 255 for x in m[0].split("."))]
     for m in CARD.finditer(text):
@@ -61,31 +81,63 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def plain_words(piece: str, cut: int | None) -> list[str]:
+    """Words in lower case without punctuation, digits as 0; the word at place `cut` goes on outside the piece."""
+    words = WORD.findall(piece)
+    if cut is not None and words:
+        words[cut] = "~"
+    return [x for w in words if (x := "~" if len(w) > LONG_WORD else re.sub("[0-9]+", "0", w.strip(".,;:()[]\"'").lower()))]
+
+
 def patterns(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns around a mention; words in lower case, digits as 0."""
-    plain = lambda words: [re.sub("[0-9]+", "0", w.strip(".,;()[]\"'").lower()) for w in words]
-    before = plain(WORD.findall(text[max(0, start - CONTEXT_CHARS) : start])[-2:])
-    after = plain(WORD.findall(text[end : end + CONTEXT_CHARS])[:2])
+    """The lexical patterns around a mention."""
+    a, b = max(0, start - CONTEXT_CHARS), min(len(text), end + CONTEXT_CHARS)
+    before = plain_words(text[a:start], 0 if a and not text[a - 1].isspace() and not text[a].isspace() else None)[-2:]
+    after = plain_words(text[end:b], -1 if b < len(text) and not text[b].isspace() and not text[b - 1].isspace() else None)[:2]
     out = []
-    if len(before) == 2 and all(before):
+    if len(before) == 2:
         out.append("L " + " ".join(before))
-    if before and after and before[-1] and after[0]:
+    if before and after:
         out.append(f"B {before[-1]} _ {after[0]}")
-    if len(after) == 2 and all(after):
+    if len(after) == 2:
         out.append("R " + " ".join(after))
     return out
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Start and end of tokens and groups of digits that may be identifiers; groups first, tokens may overlap them."""
+    out = []
+    for m in GROUPS.finditer(text):
+        piece = m[0].rstrip("(). -")
+        if " " in piece and sum("0" <= c <= "9" for c in piece) >= GROUP_DIGITS:
+            start = m.start() - (m.start() > 0 and text[m.start() - 1] == "(" and piece.find(")") > 0)
+            out.append((start, m.start() + len(piece)))
+    for m in TOKEN.finditer(text):
+        end = m.start() + len(m[0].rstrip(".:/-"))
+        if end - m.start() >= TOKEN_CHARS and MARK.search(text, m.start(), end):
+            out.append((m.start(), end))
+    return out
+
+
 def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """Seeds, and other tokens that look like identifiers."""
-    out = [{"start": a, "end": b, "instance": re.sub(r"[^a-z0-9@]", "", text[a:b].lower()), "seed": True, "patterns": patterns(text, a, b)} for _, a, b in spans]
-    taken = sorted((a, b) for _, a, b in spans)
-    for m in TOKEN.finditer(text) if taken or re.search("[0-9@]", text) else ():
-        a, b = m.start(), m.end()
-        while b > a and text[b - 1] in ".:/-":
-            b -= 1
-        if b - a >= 5 and not any(x < b and a < y for x, y in taken):
-            out.append({"start": a, "end": b, "instance": re.sub(r"[^a-z0-9@]", "", text[a:b].lower()), "seed": False, "patterns": patterns(text, a, b)})
+    """Seeds, and other pieces that look like identifiers."""
+    one = lambda a, b, seed: {"start": a, "end": b, "instance": re.sub(r"[^a-z0-9@]", "", text[a:b].lower()), "seed": seed, "patterns": patterns(text, a, b)}
+    out = [one(a, b, True) for _, a, b in spans]
+    if not MARK.search(text):
+        return out
+    # by start, seeds before groups and groups before tokens where they begin together; what overlaps the last is out
+    order = sorted([(a, 0, b) for _, a, b in spans] + [(a, 1, b) for a, b in candidates(text)], key=lambda x: (x[0], x[1], -x[2]))
+    seeds = sorted((a, b) for _, a, b in spans)
+    free, at = 0, 0
+    for a, kind, b in order:
+        if kind == 0:
+            free = max(free, b)
+            continue
+        while at < len(seeds) and seeds[at][1] <= a:
+            at += 1
+        if a >= free and not (at < len(seeds) and seeds[at][0] < b):
+            out.append(one(a, b, False))
+            free = b
     return out
 
 
@@ -109,22 +161,28 @@ def found(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(find, f"{fields}, base {SPANS}, mentions {MENTIONS}")
 
 
+def scored(edges: DataFrame, scratch: common.Scratch) -> tuple[DataFrame, DataFrame]:
+    """The sure patterns, and the accepted instances. edges: pattern, instance, seed (of the pair), once each."""
+    # an instance that is a seed anywhere is one everywhere
+    spread = edges.groupBy("instance").agg(F.bool_or("seed").alias("positive"), F.count(F.lit(1)).alias("n"))
+    state = scratch.stage(spread.select("instance", "positive", (~F.col("positive") & (F.col("n") >= NEGATIVE_SPREAD)).alias("negative")), "state0")
+    share, n = F.col("pos") / F.col("n"), F.col("n")
+    wilson = (share + Z * Z / (2 * n) - Z * F.sqrt(share * (1 - share) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
+    for k in range(ROUNDS):
+        sums = edges.join(state, "instance").groupBy("pattern").agg(F.count_if("positive").alias("pos"), F.count_if("negative").alias("neg"), F.count(F.lit(1)).alias("all"))
+        weighed = sums.filter(F.col("pos") >= SUPPORT).withColumn("n", F.col("pos") + F.col("neg") + UNKNOWN_WEIGHT * (F.col("all") - F.col("pos") - F.col("neg")))
+        sure = scratch.stage(weighed.select("pattern", wilson.alias("confidence")).filter(F.col("confidence") >= MIN_CONFIDENCE), f"patterns{k}")
+        doubt = edges.join(sure, "pattern").groupBy("instance").agg(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))).alias("doubt"))
+        certain = F.coalesce(1 - F.exp("doubt") >= MIN_CONFIDENCE, F.lit(False))
+        state = scratch.stage(state.join(doubt, "instance", "left").select("instance", (F.col("positive") | (~F.col("negative") & certain)).alias("positive"), "negative"), f"state{k + 1}")
+    return sure.select("pattern"), state.filter("positive").select("instance")
+
+
 def accepted(staged: DataFrame, scratch: common.Scratch) -> DataFrame:
     """row and the spans of kind "context" there. staged: row, mentions."""
     each = staged.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
-    edges = scratch.stage(each.select("instance", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.bool_or("seed").alias("seed")), "edges")
-    # an instance that is a seed anywhere is one everywhere
-    scores = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"), F.bool_or("seed").alias("is_seed"))
-    patterns_ = None
-    for k in range(ROUNDS):
-        scores = scratch.stage(scores, f"scores{k}")
-        sums = edges.join(scores, "instance").groupBy("pattern").agg(F.sum("score").alias("held"), F.count(F.lit(1)).alias("n"), F.count_if("is_seed").alias("seeds"))
-        usable = sums.filter((F.col("n") >= SUPPORT) & (F.col("seeds") * 2 >= SUPPORT)).select("pattern", (F.col("held") / (F.col("n") + PRIOR)).alias("confidence"))
-        patterns_ = scratch.stage(usable, f"patterns{k}")
-        doubt = edges.join(patterns_, "pattern").groupBy("instance").agg(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))).alias("doubt"))
-        scores = scores.join(doubt, "instance", "left").select("instance", F.when(F.col("is_seed"), 1.0).otherwise(F.coalesce(1 - F.exp("doubt"), F.lit(0.0))).alias("score"), "is_seed")
-    sure = patterns_.filter(F.col("confidence") >= MIN_CONFIDENCE).select("pattern")
-    certain = scores.filter(F.col("score") >= MIN_CONFIDENCE).select("instance")
+    edges = each.select("instance", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.bool_or("seed").alias("seed"))
+    sure, certain = scored(scratch.stage(edges, "edges"), scratch)
     hits = each.filter(~F.col("seed")).select("row", "start", "end", "instance", F.explode("patterns").alias("pattern")).join(sure, "pattern", "left_semi").join(certain, "instance", "left_semi")
     spans = hits.select("row", F.struct(F.lit("context").alias("kind"), "start", "end").alias("s")).distinct()
     return spans.groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("added"))

@@ -1,11 +1,14 @@
 import hashlib
+import math
 import random
 import re
+import time
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import personal_data, secret_scan
+from siltstone.llm import common, personal_data, secret_scan
 
 
 def plain_secrets(text):
@@ -82,3 +85,75 @@ def test_contexts_find_new_identifiers(spark, nothing):
     assert "write to <EMAIL> for more" in clean[3]["text"] and "write to <CONTEXT> for more" in clean[100]["text"]
     assert clean[3]["n_chars"] == len(clean[3]["text"]) and clean[101]["text"] == got[101]["text"] and clean[102]["text"] is None
     assert personal_data.detected(nothing, ["doc_id"]).count() == 0 and personal_data.redacted(nothing).count() == 0
+
+
+def test_emails_and_addresses_as_the_plain_patterns():
+    email, ip = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+    rng = random.Random(3)
+    for k in range(3000):
+        text = "".join(rng.choice("ab1@@..-_é 9" if k % 2 else "12..3 45a") for _ in range(rng.randrange(40)))
+        got = personal_data.base_spans(text)
+        assert [(a, b) for n, a, b in got if n == "email"] == [m.span() for m in re.finditer(email, text)]
+        assert [(a, b) for n, a, b in got if n == "ip"] == [m.span() for m in re.finditer(ip, text) if all(int(x) <= 255 for x in m[0].split("."))]
+
+
+@pytest.mark.parametrize("text", ["a" * 1_000_000 + " 1", "1" * 1_000_000, "a" * 1_000_000 + "@", "(" * 300_000 + "1" + " ." * 300_000, "a@" * 300_000, "a1 " * 100_000, "x" + ";1a2b3c" * 50_000])
+def test_scans_of_long_runs_are_linear(text):
+    start = time.perf_counter()
+    personal_data.mentions(text, personal_data.base_spans(text))
+    assert time.perf_counter() - start < 8
+
+
+def test_mentions_are_whole():
+    text = "call me on (555) 123 4567 now, or 4111 1111 1111 1112; " + "q" * 300 + " ref. A-1234-Z, 12 and user@host"
+    got = [text[m["start"] : m["end"]] for m in personal_data.mentions(text, [])]
+    assert got == ["(555) 123 4567", "4111 1111 1111 1112", "A-1234-Z", "user@host"]
+    assert personal_data.patterns(text, text.index("A-1234"), text.index("A-1234") + 8) == ["L ~ ref", "B ref _ 0", "R 0 and"]
+
+
+def plainly_scored(edges):
+    """Sure patterns and accepted instances, in plain Python."""
+    seeds = {i for _, i, s in edges if s}
+    of, on = defaultdict(set), defaultdict(set)
+    for p, i, _ in edges:
+        of[p].add(i)
+        on[i].add(p)
+    negative = {i for i, x in on.items() if len(x) >= personal_data.NEGATIVE_SPREAD and i not in seeds}
+    positive, sure = set(seeds), {}
+    for _ in range(personal_data.ROUNDS):
+        sure = {}
+        for p, held in of.items():
+            pos, neg = len(held & positive), len(held & negative)
+            n = pos + neg + personal_data.UNKNOWN_WEIGHT * (len(held) - pos - neg)
+            if pos >= personal_data.SUPPORT:
+                x = pos / n
+                low = (x + 1 / (2 * n) - math.sqrt(x * (1 - x) / n + 1 / (4 * n * n))) / (1 + 1 / n)
+                if low >= personal_data.MIN_CONFIDENCE:
+                    sure[p] = low
+        for i, own in on.items():
+            if i not in negative and 1 - math.prod(max(1 - sure[p], 1e-9) for p in own if p in sure) >= personal_data.MIN_CONFIDENCE:
+                positive.add(i)
+    return set(sure), positive
+
+
+def test_second_round_patterns_find_identifiers(spark):
+    """Seeds give the first pattern, what it finds gives the second, and that one identifiers no seed stands by."""
+    rng = random.Random(5)
+    fill = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    rows = [f"{fill()} {fill()} write to user{k}@mail.example.com {fill()} {fill()}" for k in range(40)]
+    rows += [f"{fill()} {fill()} write to ID-{k}-ABC-77 {fill()} {fill()}" for k in range(12)]
+    rows += [f"{fill()} {fill()} customer number ID-{k}-ABC-77 {fill()} {fill()}" for k in range(12)]
+    rows += [f"{fill()} {fill()} customer number 7{k}0 555 12{k} {fill()} {fill()}" for k in range(3)]
+    rows += [f"{fill()} {fill()} since 2020-21 {fill()} {fill()}" for _ in range(40)] + [f"{fill()} {fill()} write to 2020-21 {fill()} {fill()}"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: [r["text"][s["start"] : s["end"]] for s in r["added"]] for r in personal_data.detected(docs, ["doc_id", "text"]).select("_kept.doc_id", "text", "added").collect()}
+    assert [got[k] for k in range(64, 67)] == [[f"7{k}0 555 12{k}"] for k in range(3)]
+    assert all(got[40 + k] == got[52 + k] == [f"ID-{k}-ABC-77"] for k in range(12)) and not any(got[k] for k in range(67, 108))
+    edges = defaultdict(bool)
+    for t in rows:
+        for m in personal_data.mentions(t, personal_data.base_spans(t)):
+            for p in m["patterns"]:
+                edges[p, m["instance"]] |= m["seed"]
+    edges = [(p, i, s) for (p, i), s in edges.items()]
+    sure, positive = personal_data.scored(spark.createDataFrame(edges, "pattern string, instance string, seed boolean"), common.Scratch(spark, "test"))
+    assert ({r[0] for r in sure.collect()}, {r[0] for r in positive.collect()}) == plainly_scored(edges)
