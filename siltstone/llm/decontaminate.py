@@ -1,21 +1,23 @@
 """Benchmark decontamination by template windows.
 
-A text's tokens are canonical: numbers, names (words with a capital) and units become typed placeholders, other words
-are in lower case without punctuation. Windows of WINDOW canonical tokens of documents are hash-joined with those of
-the benchmark items, so a question with other numbers, names or units still matches. Slots tell whether a match is one:
-the values in an item's placeholders must map to the document's values one to one. An item of fewer tokens than a
-window is one window of its own size.
+A text's tokens are canonical: numbers (digits with a sign, and NUMBERS), names (words of two letters or more with a
+capital, unless they are FUNCTION words) and units become typed placeholders, other words are in lower case without
+punctuation. Windows of WINDOW canonical tokens of documents are hash-joined with those of the benchmark items, so a
+question with other numbers, names or units still matches. Slots tell whether a match is one: the values in an item's
+placeholders must map to the document's values one to one. An item of fewer tokens than a window is one window of its
+own size. Each word of a name of several is a slot of its own, so names match names of as many words.
 
 A capital may begin a sentence or a name, so an item's window is indexed with each capitalised word as a name and as a
-word, and so is the first word of a sentence in lower case. A document's windows are taken in FORMS: with every
-capitalised word as a name, with those alone that don't begin a sentence, and as they stand in lower case. The words of
-a match are then compared: where they differ, both must be names, numbers or units.
+word, and so is the first word of a sentence in lower case; FUNCTION words are words everywhere. A document's windows
+are taken in FORMS: with every capitalised word as a name, and as they stand in lower case. The words of a match are then
+compared: where they differ, both must be names, numbers or units.
 
 A pair is contaminated if windows that are consistent or equal word for word cover MIN_SHARE of the item's tokens, or
 MIN_TOKENS. Windows with fewer than half of their tokens literal are evidence only where they are equal word for word.
 
 Null and empty texts match nothing; items with fewer than MIN_ITEM tokens are not looked for; repeated rows and
-documents with one doc_id are taken together, null ids too; other columns are ignored.
+documents with one doc_id are taken together, null ids too; other columns are ignored; an empty table on either side
+gives no pairs. A very long text is arrays of its words and window hashes within a row.
 """
 
 from __future__ import annotations
@@ -30,29 +32,34 @@ WINDOW, MIN_ITEM, MIN_SHARE, MIN_TOKENS = 8, 4, 0.5, 13
 BROADCAST_ROWS = 200_000
 #: Units of measure, currency and time.
 UNITS = "kg g mg lb lbs oz km m cm mm mi mile miles ft feet inch inches yard yards l ml litre litres liter liters gallon gallons sec second seconds min minute minutes hr hour hours day days week weeks month months year years usd eur dollar dollars euro euros cent cents percent hz khz mhz ghz kw kj".split()
+#: Number words, and words that begin sentences and are no names.
+NUMBERS = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
+FUNCTION = "the this that these those there here it he she we you they his her its our your their my if when while where what which who whom whose why how is are was were be do does did can could will would shall should may might must has have had not no yes and but or nor so for from in on at by with without of to as an into over under about after before between during then than thus hence because although though since until unless each every all both some any many much most few several other another such".split()
 PUNCTUATION = ".,;:!?()[]{}\"'`´‘’“”«»…*_|/\\$€£%#&<>=+~^"
 #: Marks before a word: a capital within a sentence, another capital, the first word of a sentence in lower case.
 INNER, OUTER, FIRST = "\x02", "\x03", "\x04"
 MARKS, SLOT = INNER + OUTER + FIRST, "\x01"
 NAME = f"{SLOT}name"
-#: A document's windows: all capitals as names, those within sentences as names, words as they stand.
-FORMS = ("names", "inner", "raw")
+#: A document's windows: capitals as names, words as they stand.
+FORMS = ("names", "raw")
 
 
 def marked_text(text: Column, *, first: bool = False) -> Column:
     """The text without punctuation; capitalised words begin with a mark, and with `first` those that begin a sentence."""
     plain = F.translate(F.coalesce(text, F.lit("")), MARKS + SLOT, "")
+    words = "(?:" + "|".join(sorted(FUNCTION, key=len, reverse=True)) + ")(?!\\p{L})"
     if first:
         quotes = "[^\\p{L}\\p{N}\\s]*"
-        plain = F.regexp_replace(plain, f"(^\\s*{quotes}|[.?!:]{quotes}\\s+{quotes})(?=\\p{{Ll}})", f"$1{FIRST}")
-    named = F.regexp_replace(plain, "(?<=[\\p{L}\\p{N},;)\"'] )(?=\\p{Lu}\\p{Ll})", INNER)
-    return F.regexp_replace(F.translate(named, PUNCTUATION, ""), "(?<![^ \\t-\\r])(?=\\p{Lu}\\p{Ll})", OUTER)
+        plain = F.regexp_replace(plain, f"(^\\s*{quotes}|[.?!:]{quotes}\\s+{quotes})(?=\\p{{Ll}})(?!{words})", f"$1{FIRST}")
+    name = f"(?=\\p{{Lu}}\\p{{L}})(?!(?i:{words}))"
+    named = F.regexp_replace(plain, f"(?<=[\\p{{L}}\\p{{N}},;)\"'][ \\t-\\r]){name}", INNER)
+    return F.regexp_replace(F.translate(named, PUNCTUATION, ""), f"(?<![^ \\t-\\r]){name}", OUTER)
 
 
 def canonical_text(low: Column) -> Column:
     """Text in lower case with typed placeholders but for names. Patterns run over whole texts: one per token costs more."""
-    units = "|".join(sorted(UNITS, key=len, reverse=True))
-    out = F.regexp_replace(low, f"(?<![^ \\t-\\r])[0-9]+({units})?(?![^ \\t-\\r])", f"{SLOT}number$1")
+    units, numbers = "|".join(sorted(UNITS, key=len, reverse=True)), "|".join(sorted(NUMBERS, key=len, reverse=True))
+    out = F.regexp_replace(low, f"(?<![^ \\t-\\r])(?:[-\u2212]?[0-9]+|{numbers})({units})?(?![^ \\t-\\r])", f"{SLOT}number$1")
     out = F.regexp_replace(out, f"{SLOT}number(?=[^ \\t-\\r])[^ \\t-\\r]+", f"{SLOT}numberunit")
     return F.regexp_replace(out, f"(?<![^ \\t-\\r])(?:{units})(?![^ \\t-\\r])", f"{SLOT}unit")
 
@@ -75,12 +82,13 @@ def is_capital(token: Column) -> Column:
 
 
 def windows(df: DataFrame, key: str, sizes: list[int]) -> DataFrame:
-    """key, size, place and hash of every window in each form; df has the columns of with_tokens."""
-    own = df.withColumn("_canonical", F.transform("canonical", lambda w: F.xxhash64(w))).withColumn("raw", F.transform("words", lambda w: F.xxhash64(w)))
-    name = F.xxhash64(F.lit(NAME))
-    own = own.withColumn("names", F.zip_with("_canonical", "tokens", lambda h, t: F.when(is_capital(t), name).otherwise(h)))
-    own = own.withColumn("inner", F.zip_with("_canonical", "tokens", lambda h, t: F.when(t.startswith(INNER), name).otherwise(h)))
+    """key, size, place and hash of every window in each form; df has the column text."""
+    own = df.withColumn("_marked", marked_text(F.col("text")))
+    own = own.withColumn("_raw", F.lower(F.translate("_marked", MARKS, "")))
+    # names are put in as text, so that each form is split and hashed once
+    own = own.withColumn("_names", canonical_text(F.lower(F.regexp_replace("_marked", f"[{INNER}{OUTER}][^ \\t-\\r]+", NAME))))
     for form in FORMS:
+        own = own.withColumn(f"_words_{form}", native.words_of(F.col(f"_{form}"))).withColumn(form, F.transform(f"_words_{form}", lambda w: F.xxhash64(w)))
         own = native.with_window_hashes(own, form, sizes)
         own = own.withColumnsRenamed({f"w{s}": f"_{form}{s}" for s in sizes})
     own = own.withColumn("_n", F.size("raw"))
@@ -141,8 +149,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     facts = keys.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each window size
     sizes, n_wanted = sorted(r["size"] for r in facts) or [WINDOW], sum(r["n"] for r in facts)
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
-    tokens = with_tokens(own.select(F.struct("doc_id", "row").alias("key"), "text"))
-    joined = windows(tokens, "key", sizes).join(small(keys, n_wanted), ["size", "hash"])
+    joined = windows(own.select(F.struct("doc_id", "row").alias("key"), "text"), "key", sizes).join(small(keys, n_wanted), ["size", "hash"])
     # a window may match in several forms
     found = joined.select("key.doc_id", "key.row", "item_id", "n_tokens", "size", "place", "item_place", "window").distinct()
     hits = scratch.stage(found.withColumn("shift", F.col("place") - F.col("item_place")), "hits")

@@ -118,6 +118,26 @@ def test_decontamination_without_literal_tokens(spark):
     assert contaminated(spark, names, [f"we met {names} there", "we met Anna Ben Cleo Dan Emma Finn Gina Hugo Ines Jack there"]) == {0}
 
 
+def test_decontamination_reparameterised(spark):
+    """Signs, decimals, number words, names in capitals or after a line break, units; one value for two slots is no match."""
+    item = "The probe of NASA weighs 1.5 tons at -5 degrees and carries three cameras built by Siemens for the long way to Mars"
+    docs = [
+        item.replace("NASA", "ESA").replace("1.5", "2.25").replace("-5", "-40").replace("three", "12").replace("Siemens", "Bosch").replace("Mars", "Venus"),
+        "so: " + item.replace("by Siemens", "by\nBosch").replace("of NASA", "of\tJaxa"),
+        item.replace("Siemens", "NASA"),
+        "The probe of ice weighs more at noon and carries cameras built by hand for the long way to town",
+    ]
+    assert contaminated(spark, item, docs) == {0, 1, 2}
+    rows = decontaminate.matches(spark.createDataFrame([(0, docs[0]), (2, docs[2])], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_slots"] > 0 and r["consistent"] for r in rows}[0]
+
+
+def test_decontamination_long_text(spark):
+    item = "they all went down to the old mill and counted 7 white birds on the roof there"
+    long = " ".join(f"word{k}" for k in range(40_000))
+    assert contaminated(spark, item, [long, f"{long} {item.replace('7', '9')} {long}"]) == {1}
+
+
 def test_decontamination_first_words(spark):
     capital = "What is the capital of France"
     assert contaminated(spark, capital, ["and the quiz asks What is the capital of France", "what is the capital of france", "What is the price of France"]) == {0, 1}
