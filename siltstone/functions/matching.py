@@ -1,6 +1,6 @@
 """Regular-expression matches with code-point offsets, inside Catalyst.
 
-Offsets come from the lengths of the gaps between matches, which count code points; `regexp_instr` counts otherwise
+Offsets come from the lengths of matches and of the gaps between them, which count code points; `regexp_instr` counts otherwise
 beyond the basic plane. Patterns are read with Unicode classes and case folding, as the texts' first readers did.
 """
 
@@ -10,23 +10,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FLAGS = "(?U)(?iu)"
+#: A private character that stands around matches.
+SEPARATOR = "\ue000"
 SPANS = "array<struct<quote:string,start:int,end:int>>"
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """All matches from left to right as quote, start and end (end exclusive); empty for null."""
-    pattern = FLAGS + pattern
-    gaps, quotes = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("found"))
-
-    def step(acc: Column, z: Column) -> Column:
-        start = acc["at"] + F.length(z["gap"])
-        end = start + F.length(z["quote"])
-        one = F.array(F.struct(z["quote"].alias("quote"), start.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.concat(acc["found"], one).alias("found"))
-
-    pairs = F.filter(F.zip_with(gaps, quotes, lambda g, q: F.struct(g.alias("gap"), q.alias("quote"))), lambda z: z["quote"].isNotNull())
-    return F.coalesce(F.aggregate(pairs, zero, step, lambda acc: acc["found"]), F.array().cast(SPANS))
+    """All matches from left to right as quote, start and end (end exclusive); empty for null.
+
+    One pass of the pattern puts SEPARATOR around each match; between separators lie gaps and quotes in turn. A separator
+    in the text itself reads as a replacement character. Patterns must not match nothing.
+    """
+    marked = F.regexp_replace(F.translate(text, SEPARATOR, "\ufffd"), F.lit(FLAGS + pattern), F.lit(f"{SEPARATOR}$0{SEPARATOR}"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(SPANS).alias("found"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        end = acc["at"] + F.length(piece)
+        one = F.array(F.struct(piece.alias("quote"), acc["at"].alias("start"), end.alias("end")))
+        return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
+
+    return F.coalesce(F.aggregate(F.split(marked, SEPARATOR, -1), zero, step, lambda acc: acc["found"]), F.array().cast(SPANS))
 
 
 def found(text: Column, pattern: str) -> Column:

@@ -10,6 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.operators.facts import TITLE_TERMS
+from siltstone.operators.screening import software_family
+
+#: Fixed value: where an article is read.
+ARTICLE_URL = "https://europepmc.org/articles/"
+
 PARAGRAPHS = "document_id string, section_index int, section string, paragraph_id string, text string, ordinal int, error string"
 METADATA = "document_id string, title string, doi string, article_type string, full_text_sha256 string, error string"
 
@@ -66,6 +72,36 @@ def paragraphs(articles: DataFrame, *, piecewise: bool = False) -> DataFrame:
     return articles.select("document_id", "content").mapInPandas(read, PARAGRAPHS)
 
 
+def method_paragraphs(rows: DataFrame) -> DataFrame:
+    """Paragraphs of sections whose own title names methods; unreadable articles keep their row with the error."""
+    title = F.lower("section")
+    named = F.lit(False)
+    for term in TITLE_TERMS:
+        named = named | title.contains(term)
+    return rows.filter(F.coalesce(named, F.lit(False)) | F.col("error").isNotNull())
+
+
+def from_search(rows: DataFrame) -> DataFrame:
+    """Candidate articles from rows of a paged search: pmcid, title, abstractText, pubYear, doi, license. Rows without an
+    identifier that begins with PMC are left out."""
+    plain = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "(?U)\\s+", " "))
+    own = rows.withColumn("document_id", F.upper(F.coalesce("pmcid", F.lit("")))).filter(F.col("document_id").startswith("PMC"))
+    title = plain(F.coalesce(F.nullif("title", F.lit("")), F.col("document_id")))
+    return own.select(
+        "document_id", title.alias("title"), F.concat(F.lit(ARTICLE_URL), "document_id").alias("source_uri"), "doi",
+        F.when(F.col("pubYear").rlike("^[0-9]+$"), F.col("pubYear").try_cast("int")).alias("year"),
+        software_family(F.concat(title, F.lit(" "), plain(F.col("abstractText")))).alias("software_family"), F.col("license").alias("licence"), F.lit(True).alias("full_text_available"),
+    )
+
+
+def packet_errors(plan: DataFrame, screen: DataFrame, files: DataFrame) -> DataFrame:
+    """document_id and problem of each planned article that has no screen record or whose file isn't the one screened.
+    screen: document_id, full_text_sha256; files: document_id, source_sha256."""
+    rows = plan.select("document_id").join(screen.select("document_id", "full_text_sha256", F.lit(True).alias("_seen")), "document_id", "left").join(files.select("document_id", "source_sha256"), "document_id", "left")
+    problem = F.when(F.col("_seen").isNull(), "missing_screen_record").when(F.col("source_sha256").isNull(), "missing_source").when(~F.coalesce(F.col("source_sha256") == F.col("full_text_sha256"), F.lit(False)), "source_hash_mismatch")
+    return rows.select("document_id", problem.alias("problem")).filter("problem is not null")
+
+
 def metadata(articles: DataFrame) -> DataFrame:
     """Rows of METADATA; the hash is over the whole file."""
 

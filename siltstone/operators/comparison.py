@@ -121,28 +121,31 @@ def confusion(predicted: DataFrame, reference: DataFrame) -> DataFrame:
 
     Equal phases pair first. What is left on both sides is put in order of phase and paired place by place; the rest is
     missed or spurious. Left counts become intervals of places, and two phases pair as often as their intervals overlap,
-    so no event is written out as a row.
+    so no event is written out as a row. A document and duration is one row with an entry for each phase.
     """
     p, r = duration_phase_counts(predicted), duration_phase_counts(reference)
-    rows = p.select("document_id", "duration_ps", "event_type", F.col("n").alias("p"), F.lit(0).cast("long").alias("r")).unionByName(r.select("document_id", "duration_ps", "event_type", F.lit(0).cast("long").alias("p"), F.col("n").alias("r")))
-    rows = rows.groupBy("document_id", "duration_ps", "event_type").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
-    rows = rows.withColumn("both", F.least("p", "r"))
-    equal = rows.filter("both > 0").select(F.col("event_type").alias("reference_phase"), F.col("event_type").alias("predicted_phase"), F.col("both").alias("n"))
-    group = ["document_id", "duration_ps"]
-    order = Window.partitionBy(*group).orderBy("event_type").rowsBetween(Window.unboundedPreceding, 0)
-
-    def left(c: str) -> DataFrame:
-        own = rows.withColumn("k", F.col(c) - F.col("both")).filter("k > 0").withColumn("end", F.sum("k").over(order))
-        return own.select(*group, F.col("event_type").alias(f"{c}_phase"), (F.col("end") - F.col("k")).alias(f"{c}_from"), F.col("end").alias(f"{c}_to"))
-
-    p_left, r_left = left("p"), left("r")
-    overlap = F.least("p_to", "r_to") - F.greatest("p_from", "r_from")
-    pairs = r_left.join(p_left, group).withColumn("n", overlap).filter("n > 0").select(F.col("r_phase").alias("reference_phase"), F.col("p_phase").alias("predicted_phase"), "n")
-    ends = p_left.groupBy(*group).agg(F.max("p_to").alias("p_all")), r_left.groupBy(*group).agg(F.max("r_to").alias("r_all"))
-    more = lambda own, other, c, o: own.join(other, group, "left").withColumn("n", F.col(f"{c}_to") - F.greatest(f"{c}_from", F.coalesce(f"{o}_all", F.lit(0)))).filter("n > 0")
-    missed = more(r_left, ends[0], "r", "p").select(F.col("r_phase").alias("reference_phase"), F.lit(MISSED).alias("predicted_phase"), "n")
-    spurious = more(p_left, ends[1], "p", "r").select(F.lit(SPURIOUS).alias("reference_phase"), F.col("p_phase").alias("predicted_phase"), "n")
-    return equal.unionByName(pairs).unionByName(missed).unionByName(spurious).groupBy("reference_phase", "predicted_phase").agg(F.sum("n").alias("n"))
+    keys = ["document_id", "duration_ps", "event_type"]
+    none = F.lit(0).cast("long")
+    rows = p.select(*keys, F.col("n").alias("p"), none.alias("r")).unionByName(r.select(*keys, none.alias("p"), F.col("n").alias("r")))
+    rows = rows.groupBy(*keys).agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
+    phases = F.sort_array(F.collect_list(F.struct("event_type", "p", "r")))
+    interval = "array<struct<phase:string,both:bigint,p_from:bigint,p_to:bigint,r_from:bigint,r_to:bigint>>"
+    zero = F.struct(none.alias("p_all"), none.alias("r_all"), F.array().cast(interval).alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        both = F.least(x["p"], x["r"])
+        p_to, r_to = acc["p_all"] + x["p"] - both, acc["r_all"] + x["r"] - both
+        one = F.struct(x["event_type"].alias("phase"), both.alias("both"), acc["p_all"].alias("p_from"), p_to.alias("p_to"), acc["r_all"].alias("r_from"), r_to.alias("r_to"))
+        return F.struct(p_to.alias("p_all"), r_to.alias("r_all"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    left = rows.groupBy("document_id", "duration_ps").agg(phases.alias("x")).select(F.aggregate("x", zero, step).alias("a")).select("a.*")
+    cell = lambda reference, predicted, n: F.struct(reference.alias("reference_phase"), predicted.alias("predicted_phase"), n.alias("n"))
+    equal = F.transform("out", lambda x: cell(x["phase"], x["phase"], x["both"]))
+    pairs = F.flatten(F.transform("out", lambda y: F.transform("out", lambda x: cell(y["phase"], x["phase"], F.least(x["p_to"], y["r_to"]) - F.greatest(x["p_from"], y["r_from"])))))
+    missed = F.transform("out", lambda x: cell(x["phase"], F.lit(MISSED), x["r_to"] - F.greatest(x["r_from"], F.col("p_all"))))
+    spurious = F.transform("out", lambda x: cell(F.lit(SPURIOUS), x["phase"], x["p_to"] - F.greatest(x["p_from"], F.col("r_all"))))
+    cells = left.select(F.explode(F.filter(F.concat(equal, pairs, missed, spurious), lambda c: c["n"] > 0)).alias("c"))
+    return cells.groupBy("c.reference_phase", "c.predicted_phase").agg(F.sum("c.n").alias("n"))
 
 
 def resamples(n_documents: int, iterations: int = ITERATIONS, seed: int = SEED) -> list[tuple[int, int, int]]:

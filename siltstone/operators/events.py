@@ -53,11 +53,11 @@ def with_phase(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("_left", left).withColumn("_near", part(F.col("text"), F.col("_left"), F.col("end") + PHASE_CHARS))
     centre = F.floor((F.col("start") + F.col("end")) / 2)
 
-    def candidates(name: str, pattern: str) -> Column:
-        place = lambda m: F.abs(F.floor((m["start"] + m["end"]) / 2) + F.col("_left") - centre)
-        return F.transform(matches(F.col("_near"), pattern), lambda m: F.struct(place(m).alias("distance"), F.lit(name).alias("phase")))
-
-    nearest = F.array_min(F.concat(*(candidates(n, p) for n, p in PHASES.items())))
+    # no word of one phase overlaps one of another, so one scan finds what a scan for each phase would
+    phase = lambda m: F.coalesce(*(F.when(found(m["quote"], f"^(?:{p})"), n) for n, p in PHASES.items()))
+    place = lambda m: F.abs(F.floor((m["start"] + m["end"]) / 2) + F.col("_left") - centre)
+    words = matches(F.col("_near"), "|".join(f"(?:{p})" for p in PHASES.values()))
+    nearest = F.array_min(F.transform(words, lambda m: F.struct(place(m).alias("distance"), phase(m).alias("phase"))))
     return rows.withColumn("event_type", F.coalesce(nearest["phase"], F.lit(UNKNOWN))).drop("_left", "_near")
 
 
@@ -95,7 +95,10 @@ def with_conditions(rows: DataFrame) -> DataFrame:
 def emitted(paragraphs: DataFrame) -> DataFrame:
     """Anchors that are events, with phase and conditions."""
     rows = with_duration(anchors(paragraphs)).filter(~F.col("is_timestep") & (F.col("duration_ps") > 0))
-    return with_conditions(with_gate(with_phase(rows)).filter("passes_gate"))
+    # a filter isn't pushed through a generator, so phases are looked for once and not in the filter and again after it
+    judged = F.explode_outer(F.array(F.struct("event_type", "passes_gate"))).alias("_judged")
+    gated = with_gate(with_phase(rows)).select(*rows.columns, judged).select(*rows.columns, "_judged.*").filter("passes_gate")
+    return with_conditions(gated)
 
 
 def extract_events(paragraphs: DataFrame) -> DataFrame:

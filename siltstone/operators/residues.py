@@ -218,6 +218,21 @@ def audit_failures(audit: DataFrame) -> DataFrame:
     return audit.withColumn("failures", found)
 
 
+def acceptance_failures(rows: DataFrame) -> DataFrame:
+    """Adds failures: why a case isn't accepted. rows: published, consistency_failures (array), mapping_status,
+    pdb_coverage, uniprot_coverage."""
+    low = lambda c, limit, name: F.when(F.col(c) < limit, F.format_string(f"{name}:%.6f", F.col(c)))
+    own = F.array_compact(
+        F.array(
+            F.when(F.col("mapping_status").startswith("verified"), None).otherwise(F.concat(F.lit("residue_mapping_not_verified:"), F.coalesce("mapping_status", F.lit("none")))),
+            low("pdb_coverage", MIN_PDB_COVERAGE, "pdb_mapping_coverage_below_0.95"),
+            low("uniprot_coverage", MIN_UNIPROT_COVERAGE, "uniprot_mapping_coverage_below_0.90"),
+        )
+    )
+    first = F.when(F.col("published"), F.array().cast("array<string>")).otherwise(F.array(F.lit("project_not_published")))
+    return rows.withColumn("failures", F.concat(first, F.coalesce("consistency_failures", F.array().cast("array<string>")), own))
+
+
 def molecule_batches(paths: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Atoms of molecular files by path, for mapInPandas; needs the optional reader of such files."""
     import MDAnalysis

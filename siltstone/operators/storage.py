@@ -1,7 +1,7 @@
 """The record store: five tables in a folder, last write wins, search by identifiers, and record lookup.
 
 Plain Parquet has no row updates, so a write is the rows of the ids it doesn't touch with the new ones, in a new folder
-that a pointer file then names: readers see the old tables or the new, never a mixture, and a failed write leaves
+that a new numbered pointer then names: readers see the old tables or the new, never a mixture, and a failed write leaves
 nothing behind that a reader would find.
 """
 
@@ -57,11 +57,18 @@ class Store:
         self.files = path.getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+
+    def _numbers(self) -> list[int]:
+        """Numbers of the pointers, lowest first."""
+        if not self.files.exists(self._path("")):
+            return []
+        names = [x.getPath().getName() for x in self.files.listStatus(self._path(""))]
+        return sorted(int(n.removeprefix(f"{POINTER}-")) for n in names if n.startswith(f"{POINTER}-") and n.removeprefix(f"{POINTER}-").isdigit())
 
     def _version(self) -> str | None:
-        pointer = f"{self.folder}/{POINTER}"
-        return self.spark.read.text(pointer).first()[0] if self.files.exists(self._path(POINTER)) else None
+        numbers = self._numbers()
+        return self.spark.read.text(f"{self.folder}/{POINTER}-{numbers[-1]}").first()[0] if numbers else None
 
     def table(self, name: str) -> DataFrame:
         version = self._version()
@@ -69,8 +76,8 @@ class Store:
         return reader.parquet(f"{self.folder}/{version}/{name}") if version else self.spark.createDataFrame([], TABLES[name])
 
     def write(self, rows: dict[str, DataFrame]) -> None:
-        """Replace all rows of the documents in rows["articles"] in all tables."""
-        version = f"v-{uuid.uuid4().hex}"
+        """Replace all rows of the documents in rows["articles"] in all tables; earlier versions stay until `clean`."""
+        number, version = (self._numbers() or [0])[-1] + 1, f"v-{uuid.uuid4().hex}"
         ids = rows["articles"].select("document_id").distinct()
         for name, schema in TABLES.items():
             kept = self.table(name).join(ids, "document_id", "left_anti")
@@ -78,13 +85,17 @@ class Store:
             if new is not None:
                 kept = kept.unionByName(new.select(*kept.columns))
             kept.select(*kept.columns).write.parquet(f"{self.folder}/{version}/{name}")
-        old = self._version()
-        staged = f"{self.folder}/{POINTER}-{version}"
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.text(staged)
-        if old:
-            self.files.delete(self._path(POINTER), True)
-        self.files.rename(self._path(f"{POINTER}-{version}"), self._path(POINTER))
-        if old:
+        # the highest number counts, so there is a pointer at all times; a number is taken once, by a rename
+        staged = f"{POINTER}-{number}-{version}"
+        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.text(f"{self.folder}/{staged}")
+        if self.files.exists(self._path(f"{POINTER}-{number}")) or not self.files.rename(self._path(staged), self._path(f"{POINTER}-{number}")):
+            raise RuntimeError("another write came first; write again")
+
+    def clean(self, keep: int = 1) -> None:
+        """Delete all but the last `keep` versions, when no reader is left on them."""
+        for number in self._numbers()[:-keep]:
+            old = self.spark.read.text(f"{self.folder}/{POINTER}-{number}").first()[0]
+            self.files.delete(self._path(f"{POINTER}-{number}"), True)
             self.files.delete(self._path(old), True)
 
     def get(self, document_id: str) -> str:

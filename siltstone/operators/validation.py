@@ -16,9 +16,21 @@ MAPPING_JSON = (
     "map<string, struct<UniProt: map<string, struct<mappings: array<struct<chain_id: string, struct_asym_id: string, "
     "start: struct<residue_number: int>, end: struct<residue_number: int>, unp_start: int, unp_end: int>>>>>>"
 )
+#: Where the services answer.
+URLS = {
+    "pdb": "https://www.ebi.ac.uk/pdbe/api/pdb/entry/summary/{}",
+    "pdb_uniprot_mapping": "https://www.ebi.ac.uk/pdbe/api/mappings/uniprot/{}",
+    "uniprot": "https://rest.uniprot.org/uniprotkb/{}.json",
+}
 SEGMENT = ["pdb_id", "uniprot_accession", "chain_id", "pdb_start", "pdb_end", "uniprot_start", "uniprot_end"]
 
 
+def endpoint(kind: str, identifier: Column) -> Column:
+    """The URL that an identifier is asked at; structures are asked in lower case."""
+    before, after = URLS[kind].split("{}")
+    return F.concat(F.lit(before), identifier if kind == "uniprot" else F.lower(identifier), F.lit(after))
+
+
 def retrieved(attempts: DataFrame, retries: int = RETRIES) -> DataFrame:
     """A row for each endpoint: attempts made, response_received, http_status, payload, terminal_error, waited seconds.
 
@@ -143,12 +155,27 @@ def record_completeness(records: DataFrame) -> DataFrame:
     )
 
 
+def cascade_records(links: DataFrame, responses: DataFrame, accession_endpoint: Column, mapping_endpoint: Column) -> DataFrame:
+    """document_id and the records of every link of `cascade`: its accession and its mapping, each validated once however
+    many documents name it. The endpoints are expressions over pdb_id and accession."""
+    accessions = links.select("accession").distinct().select("accession", accession_endpoint.alias("endpoint"))
+    mappings = links.select("pdb_id", "accession").distinct().select("pdb_id", "accession", F.lit(None).cast("string").alias("chain_id"), mapping_endpoint.alias("endpoint"))
+    known = links.select("document_id", F.explode(F.array(F.col("accession"), F.concat_ws("|", "pdb_id", "accession", F.lit("")))).alias("query")).distinct()
+    records = validate_uniprot(accessions, responses).unionByName(validate_mapping(mappings, responses).drop("n_segments"))
+    return known.join(records, "query").select("document_id", "identifier_type", "query", "state", "reason", "attempts")
+
+
 def summary(records: DataFrame) -> DataFrame:
-    """kind, name, n: counts by state, type and reason, and the sums."""
-    by = lambda kind, c: records.groupBy(F.col(c).alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "name", "n")
-    totals = records.agg(F.count(F.lit(1)).alias("record_count"), F.coalesce(F.sum("attempts"), F.lit(0)).alias("total_network_attempts"), F.count_if(F.col("state").isin(UNRESOLVED, CONFLICT)).alias("unresolved_or_conflict_count"))
-    rows = totals.select(F.explode(F.array(*(F.struct(F.lit("total").alias("kind"), F.lit(c).alias("name"), F.col(c).cast("long").alias("n")) for c in totals.columns))).alias("x")).select("x.*")
-    return rows.unionByName(by("state", "state")).unionByName(by("identifier_type", "identifier_type")).unionByName(by("reason", "reason"))
+    """kind, name, n: counts by state, type and reason, and the sums; one pass over the records."""
+    sets = records.groupingSets([["state"], ["identifier_type"], ["reason"], []], "state", "identifier_type", "reason")
+    wrong = F.count_if(F.col("state").isin(UNRESOLVED, CONFLICT))
+    rows = sets.agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("attempts")), F.lit(0)).cast("long").alias("tries"), wrong.alias("wrong"))
+    one = lambda kind, name, n: F.struct(F.lit(kind).alias("kind"), name.alias("name"), n.alias("n"))
+    totals = F.array(*(one("total", F.lit(name), F.col(c)) for name, c in (("record_count", "n"), ("total_network_attempts", "tries"), ("unresolved_or_conflict_count", "wrong"))))
+    # the set of a row is told by the columns it leaves out
+    by = lambda c: F.array(one(c, F.col(c), F.col("n")))
+    kinds = F.when(F.col("g") == 3, by("state")).when(F.col("g") == 5, by("identifier_type")).when(F.col("g") == 6, by("reason")).otherwise(totals)
+    return rows.select(F.explode(kinds).alias("x")).select("x.*")
 
 
 def provenance(assets: DataFrame, files: DataFrame) -> DataFrame:

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.operators import articles, candidates, comparison, residues, sampling, storage, validation
+from siltstone.operators import articles, candidates, comparison, facts, residues, sampling, storage, validation
 from siltstone.plans.extraction import ORACLES as _EXTRACTION
+from siltstone.plans.extraction import FACT_TABLES as _FACTS
 from siltstone.plans.extraction import extract_events
 from siltstone.plans.fixtures import fixture, with_fixtures
 
 YEARS = {"year_min": 2016, "year_max": 2020, "require_year": True}
-DRAWS = 200
+DRAWS = 50
 
 
 def _reasons(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,12 +94,15 @@ def ev_confusion(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ev_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    """Each iteration draws a document as often as a rule of its number and the iteration says, so that SQL can too."""
+    """DRAWS resamples of all documents with replacement, drawn by a hash that SQL has too; `ev_interval` has the seeded
+    generator's. Each document's row makes its own draw in each iteration, so no table of draws is joined to one of documents."""
     counts = comparison.multiset(*(comparison.duration_phase_counts(x) for x in _events(spark, sf)))
-    per = counts.withColumn("place", F.col("document_id").cast("long")).drop("document_id")
-    draws = per.select("place").crossJoin(spark.range(DRAWS).select(F.col("id").alias("iteration"))).withColumn("times", (F.col("place") * 7 + F.col("iteration") * 13) % 3)
-    rows = comparison.bootstrap(per, draws.filter("times > 0"))
-    return rows.select("iteration", "tp", "fp", "fn", "f1")
+    per = counts.withColumn("place", F.row_number().over(Window.orderBy("document_id")) - 1).drop("document_id")
+    n = counts.count()
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", "iteration", "place")), 1, 12), 16, 10).cast("long") % max(n, 1)
+    draws = per.select("place", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("iteration")).select("iteration", drawn.cast("int").alias("place"))
+    rows = comparison.bootstrap(per, draws.groupBy("iteration", "place").agg(F.count(F.lit(1)).alias("times")))
+    return rows.select(F.col("iteration").cast("long").alias("iteration"), "tp", "fp", "fn", "f1")
 
 
 def ev_interval(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,14 +151,20 @@ def val_discover(spark: SparkSession, sf: str) -> DataFrame:
 
 def val_cascade(spark: SparkSession, sf: str) -> DataFrame:
     responses, asked = _responses(spark, sf), _asked(spark, sf, "pdb_id")
-    facts = fixture(spark, sf, "attempts").select((F.col("identifier").cast("long") % 50).cast("string").alias("document_id"), F.lit("starting_pdb_id").alias("field"), F.col("identifier").alias("value"))
-    return validation.cascade(facts, validation.validate_pdb(asked, responses), validation.discovered(asked, responses))
+    named = fixture(spark, sf, "attempts").select((F.col("identifier").cast("long") % 50).cast("string").alias("document_id"), F.lit("starting_pdb_id").alias("field"), F.col("identifier").alias("value"))
+    return validation.cascade(named, validation.validate_pdb(asked, responses), validation.discovered(asked, responses))
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
     return val_pdb(spark, sf).unionByName(val_uniprot(spark, sf)).unionByName(val_mapping(spark, sf).drop("n_segments"))
 
 
+def val_cascade_records(spark: SparkSession, sf: str) -> DataFrame:
+    """The accessions and mappings of the cascade, validated. An accession is asked at the endpoint of its digits."""
+    at = lambda c: F.concat(F.lit("https://service/"), c)
+    return validation.cascade_records(val_cascade(spark, sf), _responses(spark, sf), at(F.substring("accession", 3, 9)), at(F.lower("pdb_id")))
+
+
 def val_completeness(spark: SparkSession, sf: str) -> DataFrame:
     rows = _records(spark, sf).filter("identifier_type <> 'pdb_uniprot_mapping'").withColumn("document_id", (F.col("query").cast("long") % 50).cast("string"))
     return validation.completeness(rows, "document_id")
@@ -171,11 +181,12 @@ def record_completeness(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def integ_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """Articles, articles with events, events and distinct phases of the extraction."""
+    """Articles, articles with events and with structures, events, distinct phases and structures of the extraction."""
     rows = extract_events(spark, sf)
     own = fixture(spark, sf, "paragraphs").agg(F.count_distinct("document_id").alias("n_articles"), F.count(F.lit(1)).alias("n_paragraphs"))
     got = rows.agg(F.count_distinct("document_id").alias("n_with_events"), F.count(F.lit(1)).alias("n_events"), F.count_distinct("event_type").alias("n_phases"))
-    return own.crossJoin(got)  # one row each
+    ids = facts.pdb_ids(fixture(spark, sf, "paragraphs")).agg(F.count_distinct("document_id").alias("n_with_structure"), F.count_distinct("value").alias("n_structures"))
+    return own.crossJoin(got).crossJoin(ids)  # one row each
 
 
 def sifts_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -225,12 +236,13 @@ def finite_traj(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _chains(spark: SparkSession, sf: str) -> DataFrame:
-    """Sequences of a chain from the letters of benchmark and conversation words: two short sets of chains."""
-    letters = lambda c: F.substring(F.translate(F.upper(F.coalesce(c, F.lit(""))), " .,!?\n|", ""), 1, 60)
+    """Two sets of chains from the letters of whole benchmark items, four to a structure; the second set lacks the first
+    four letters and every 13th of the rest, and every 29th is another one."""
+    letters = lambda c: F.translate(F.upper(F.coalesce(c, F.lit(""))), " .,!?\n|", "")
     rows = spark.read.parquet(f"{sf}/benchmark.parquet")
-    md = rows.select((F.col("item_id") % 10).cast("string").alias("structure_id"), F.col("item_id").cast("string").alias("chain_id"), letters(F.col("text")).alias("sequence"))
-    pdb = rows.select((F.col("item_id") % 10).cast("string").alias("structure_id"), F.col("item_id").cast("string").alias("chain_id"), F.substring(letters(F.col("text")), 5, 30).alias("sequence"))
-    return residues.aligned(residues.chain_pairs(md, pdb))
+    key = [F.floor(F.col("item_id") / 4).cast("string").alias("structure_id"), F.col("item_id").cast("string").alias("chain_id")]
+    edited = F.regexp_replace(F.regexp_replace(F.substring(letters(F.col("text")), 5, 1 << 30), "(.{12}).", "$1"), "(.{28}).", "$1X")
+    return residues.aligned(residues.chain_pairs(rows.select(*key, letters(F.col("text")).alias("sequence")), rows.select(*key, edited.alias("sequence"))))
 
 
 def align_fit(spark: SparkSession, sf: str) -> DataFrame:
@@ -282,6 +294,36 @@ def xml_metadata(spark: SparkSession, sf: str) -> DataFrame:
     return articles.metadata(_xml(spark, sf)).select("document_id", "title", "doi", "article_type", F.col("error").isNotNull().alias("failed"))
 
 
+def method_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    rows = articles.method_paragraphs(articles.paragraphs(_xml(spark, sf))).filter("error is null")
+    return rows.groupBy("document_id", "section").agg(F.count(F.lit(1)).alias("n"))
+
+
+def search_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of a search from the documents, with and without identifier, year and title."""
+    k = F.col("doc_id")
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select(
+        F.when(k % 11 == 0, None).when(k % 7 == 0, F.concat(F.lit("MED"), k)).otherwise(F.concat(F.lit("pmc"), k)).alias("pmcid"), F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("  A  study of NAMD\tand "), k)).alias("title"),
+        F.when(k % 3 == 0, "We used GROMACS and  AmberTools.").alias("abstractText"), F.when(k % 4 == 0, "n.d.").otherwise((2000 + k % 25).cast("string")).alias("pubYear"), F.concat(F.lit("10.1/"), k).alias("doi"), F.lit("cc by").alias("license"),
+    )
+    return articles.from_search(rows)
+
+
+def packet_check(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("document_id"), F.col("doc_id").alias("k"), F.sha2("text", 256).alias("sha"))
+    screen = rows.filter("k % 9 <> 0").select("document_id", F.when(F.col("k") % 4 == 0, F.sha2("document_id", 256)).otherwise(F.col("sha")).alias("full_text_sha256"))
+    return articles.packet_errors(rows, screen, rows.filter("k % 10 <> 0").select("document_id", F.col("sha").alias("source_sha256")))
+
+
+def accept_gate(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    rows = spark.read.parquet(f"{sf}/part.parquet").select(
+        "p_partkey", (k % 3 != 0).alias("published"), F.when(k % 5 == 0, F.array(F.lit("atom_count_mismatch"))).alias("consistency_failures"), F.when(k % 4 == 0, "review").otherwise("verified").alias("mapping_status"),
+        ((k % 40 + 64) / 104.0).alias("pdb_coverage"), ((k % 23 + 64) / 96.0).alias("uniprot_coverage"),
+    )
+    return residues.acceptance_failures(rows).select("p_partkey", F.array_join("failures", ";").alias("failures"))
+
+
 def packet(spark: SparkSession, sf: str) -> DataFrame:
     rows = articles.paragraphs(_xml(spark, sf), piecewise=True).filter("error is null").withColumn("selection_reason", F.lit("section_title"))
     plan = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("document_id"), F.col("doc_id").alias("order"))
@@ -316,7 +358,7 @@ def llm_id_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return candidates.accepted(*_proposals(spark, sf)).select("event_id", "candidate_id", "duration_ps")
 
 
-QUERIES = {f.__name__: f for f in (plan_exclude, plan_rank, plan_roundrobin, plan_split, finalize, workpack, manifest_check, ann_compare, ann_by_field, ann_adjudicate, ev_attr_counter, ev_metric, ev_confusion, ev_bootstrap, ev_interval, val_retrieve, val_pdb, val_uniprot, val_mapping, val_segments, val_discover, val_cascade, val_completeness, val_summary, record_completeness, integ_summary, sifts_rows, residue_compose, residue_audit, atom_audit, atom_examples, residue_atoms, audit_gate, finite_traj, align_fit, align_assign, sink_store, store_search, store_count, xml_paragraphs, xml_metadata, packet, llm_accept, llm_id_dedup)}
+QUERIES = {f.__name__: f for f in (plan_exclude, plan_rank, plan_roundrobin, plan_split, finalize, workpack, manifest_check, ann_compare, ann_by_field, ann_adjudicate, ev_attr_counter, ev_metric, ev_confusion, ev_bootstrap, ev_interval, val_retrieve, val_pdb, val_uniprot, val_mapping, val_segments, val_discover, val_cascade, val_cascade_records, val_completeness, val_summary, record_completeness, integ_summary, sifts_rows, residue_compose, residue_audit, atom_audit, atom_examples, residue_atoms, audit_gate, finite_traj, align_fit, align_assign, sink_store, store_search, store_count, xml_paragraphs, xml_metadata, method_paragraphs, search_candidates, packet_check, accept_gate, packet, llm_accept, llm_id_dedup)}
 
 _EXCLUDE = """reasoned AS (SELECT *, CASE WHEN ok_before < position THEN 'duplicate_document_id' ELSE own END AS reason FROM (SELECT *, min(CASE WHEN own IS NULL THEN position END) OVER (PARTITION BY identifier) AS ok_before FROM
  (SELECT *, upper(document_id) AS identifier, CASE WHEN upper(document_id) IN (SELECT upper(document_id) FROM exclusions) THEN 'previous_development_article' WHEN NOT full_text_available THEN 'full_text_unavailable' WHEN NOT starts_with(upper(document_id), 'PMC') THEN 'missing_pmc_identifier' WHEN year IS NULL THEN 'missing_publication_year' WHEN year < 2016 THEN 'publication_year_below_window' WHEN year > 2020 THEN 'publication_year_above_window' END AS own FROM candidates) a) b),
@@ -412,7 +454,12 @@ ORACLES = {
     "ev_attr_counter": with_fixtures(["predictions"], f"SELECT event_type, attribute, count(DISTINCT (document_id, value)) AS n_keys, count(*) AS n FROM ({_unpivoted('predictions')}) u GROUP BY 1, 2"),
     "ev_metric": with_fixtures(["predictions", "references_"], "").rstrip() + ",\n" + _LEVELS + "\n" + _METRIC,
     "ev_confusion": with_fixtures(["predictions", "references_"], "").rstrip() + ",\n" + _CONFUSION,
-    "ev_bootstrap": with_fixtures(["predictions", "references_"], "").rstrip() + f",\ncounts AS (SELECT {_DP}, count(*) FILTER (s = 'p') AS p, count(*) FILTER (s = 'r') AS r FROM (SELECT {_DP}, 'p' AS s FROM predictions UNION ALL SELECT {_DP}, 'r' AS s FROM references_) u GROUP BY {_DP}),\nper AS (SELECT CAST(document_id AS BIGINT) AS place, sum(least(p, r)) AS tp, sum(greatest(p - r, 0)) AS fp, sum(greatest(r - p, 0)) AS fn FROM counts GROUP BY 1),\nlevels AS (SELECT i AS level, CAST(sum(tp * ((place * 7 + i * 13) % 3)) AS BIGINT) AS tp, CAST(sum(fp * ((place * 7 + i * 13) % 3)) AS BIGINT) AS fp, CAST(sum(fn * ((place * 7 + i * 13) % 3)) AS BIGINT) AS fn FROM per, range({DRAWS}) AS g(i) GROUP BY i)\nSELECT level AS iteration, tp, fp, fn, f1 FROM ({_METRIC}) y",
+    "ev_bootstrap": with_fixtures(["predictions", "references_"], "").rstrip() + f""",
+counts AS (SELECT {_DP}, count(*) FILTER (s = 'p') AS p, count(*) FILTER (s = 'r') AS r FROM (SELECT {_DP}, 'p' AS s FROM predictions UNION ALL SELECT {_DP}, 'r' AS s FROM references_) u GROUP BY {_DP}),
+per AS (SELECT row_number() OVER (ORDER BY document_id) - 1 AS place, sum(least(p, r)) AS tp, sum(greatest(p - r, 0)) AS fp, sum(greatest(r - p, 0)) AS fn FROM counts GROUP BY document_id),
+drawn AS (SELECT i, CAST(('0x' || substr(md5(i || '|' || place), 1, 12)) AS BIGINT) % (SELECT count(*) FROM per) AS place FROM per, range({DRAWS}) AS g(i)),
+levels AS (SELECT i AS level, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM drawn JOIN per ON drawn.place = per.place GROUP BY i)
+SELECT level AS iteration, tp, fp, fn, f1 FROM ({_METRIC}) y""",
     "val_retrieve": _val("SELECT a.endpoint, CAST(attempts AS BIGINT) AS attempts, http_status, response_received, terminal_error, waited FROM answers a JOIN waits w ON a.endpoint = w.endpoint"),
     "val_pdb": _val("SELECT * FROM pdbs"),
     "val_uniprot": _val("SELECT * FROM unis"),
@@ -420,10 +467,20 @@ ORACLES = {
     "val_segments": _val("SELECT DISTINCT * FROM segs"),
     "val_discover": _val("SELECT a.identifier AS pdb_id, CASE WHEN NOT coalesce(http_status = 200, false) THEN 'unresolved' WHEN n > 0 THEN 'validated' ELSE 'conflict' END AS state, CAST(n AS BIGINT) AS n_segments, accessions FROM (SELECT *, (SELECT count(*) FROM segs s WHERE s.pdb_id = answers.identifier) AS n, (SELECT string_agg(DISTINCT uniprot_accession, '+' ORDER BY uniprot_accession) FROM segs s WHERE s.pdb_id = answers.identifier) AS accessions FROM answers) a"),
     "val_cascade": _val("SELECT DISTINCT CAST(CAST(query AS BIGINT) % 50 AS VARCHAR) AS document_id, query AS pdb_id, uniprot_accession AS accession FROM pdbs JOIN segs ON query = pdb_id WHERE state = 'validated'"),
+    "val_cascade_records": _val("""SELECT DISTINCT document_id, identifier_type, query, state, reason, attempts FROM (
+ SELECT document_id, 'uniprot' AS identifier_type, accession AS query, CASE WHEN coalesce(response_received, false) = false THEN 'unresolved' WHEN http_status = 404 THEN 'conflict' WHEN http_status <> 200 THEN 'unresolved' WHEN json_extract_string(payload, '$.primaryAccession') = accession THEN 'validated' ELSE 'conflict' END AS state,
+  CASE WHEN coalesce(response_received, false) = false THEN coalesce(terminal_error, 'request_failed') WHEN http_status = 404 THEN 'successful_service_response_identifier_not_found' WHEN http_status <> 200 THEN 'non_success_service_response' WHEN json_extract_string(payload, '$.primaryAccession') = accession THEN 'accession_matches' ELSE 'accession_mismatch' END AS reason, CAST(coalesce(attempts, 0) AS BIGINT) AS attempts
+ FROM (SELECT DISTINCT CAST(CAST(query AS BIGINT) % 50 AS VARCHAR) AS document_id, uniprot_accession AS accession FROM pdbs JOIN segs ON query = pdb_id WHERE state = 'validated') l LEFT JOIN answers ON endpoint = 'https://service/' || substr(accession, 3)
+ UNION ALL SELECT CAST(CAST(query AS BIGINT) % 50 AS VARCHAR), 'pdb_uniprot_mapping', pdb_id || '|' || uniprot_accession || '|', 'validated', 'mapping_supported', CAST(attempts AS BIGINT) FROM pdbs JOIN segs ON query = pdb_id WHERE state = 'validated') z"""),
+    "method_paragraphs": "SELECT CAST(doc_id AS VARCHAR) AS document_id, 'Methods' AS section, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS n FROM documents WHERE doc_id % 50 <> 7",
+    "search_candidates": """SELECT upper(pmcid) AS document_id, title, 'https://europepmc.org/articles/' || upper(pmcid) AS source_uri, doi, year, CASE WHEN k % 3 = 0 THEN 'gromacs+amber' ELSE '' END || CASE WHEN k % 5 = 0 THEN CASE WHEN k % 3 = 0 THEN '' ELSE 'unknown' END WHEN k % 3 = 0 THEN '+namd' ELSE 'namd' END AS software_family, 'cc by' AS licence, true AS full_text_available
+ FROM (SELECT doc_id AS k, 'pmc' || doc_id AS pmcid, CASE WHEN doc_id % 5 = 0 THEN 'PMC' || doc_id ELSE 'A study of NAMD and ' || doc_id END AS title, '10.1/' || doc_id AS doi, CASE WHEN doc_id % 4 <> 0 THEN CAST(2000 + doc_id % 25 AS INTEGER) END AS year FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 7 <> 0) d""",
+    "packet_check": "SELECT CAST(doc_id AS VARCHAR) AS document_id, CASE WHEN doc_id % 9 = 0 THEN 'missing_screen_record' WHEN doc_id % 10 = 0 OR text IS NULL THEN 'missing_source' ELSE 'source_hash_mismatch' END AS problem FROM documents WHERE doc_id % 9 = 0 OR doc_id % 10 = 0 OR doc_id % 4 = 0 OR text IS NULL",
+    "accept_gate": "SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_partkey % 3 = 0 THEN 'project_not_published' END, CASE WHEN p_partkey % 5 = 0 THEN 'atom_count_mismatch' END, CASE WHEN p_partkey % 4 = 0 THEN 'residue_mapping_not_verified:review' END, " + _below("pc", "0.95", "pdb_mapping_coverage_below_0.95") + ", " + _below("uc", "0.90", "uniprot_mapping_coverage_below_0.90") + "], lambda x: x IS NOT NULL), ';') AS failures FROM (SELECT p_partkey, (p_partkey % 40 + 64) / 104.0 AS pc, (p_partkey % 23 + 64) / 96.0 AS uc FROM part) q",
     "val_completeness": _val("SELECT CAST(CAST(query AS BIGINT) % 50 AS VARCHAR) AS document_id, count(*) AS n, CASE WHEN count(*) FILTER (state = 'validated') = count(*) THEN 'complete' WHEN count(*) FILTER (state = 'validated') > 0 THEN 'partial' WHEN count(*) FILTER (state = 'unresolved') > 0 THEN 'unresolved' ELSE 'conflict' END AS status FROM (SELECT * FROM pdbs UNION ALL SELECT * FROM unis) u GROUP BY 1"),
     "val_summary": _val(f"SELECT 'total' AS kind, 'record_count' AS name, count(*) AS n FROM {_RECORDS} a UNION ALL SELECT 'total', 'total_network_attempts', CAST(sum(attempts) AS BIGINT) FROM {_RECORDS} b UNION ALL SELECT 'total', 'unresolved_or_conflict_count', count(*) FROM {_RECORDS} c WHERE state <> 'validated' UNION ALL " + " UNION ALL ".join(f"SELECT '{k}', {k}, count(*) FROM {_RECORDS} x{i} GROUP BY {k}" for i, k in enumerate(("state", "identifier_type", "reason")))),
     "record_completeness": "SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN 'complete' ELSE 'no_supported_fact' END AS literature_extraction, CASE WHEN p_partkey % 2 = 0 THEN 'complete' ELSE 'not_applicable' END AS pdb_validation, 'partial' AS uniprot_enrichment, 'not_applicable' AS sifts_mapping, CASE WHEN p_partkey % 4 = 0 THEN 'not_computable' WHEN p_partkey % 5 = 0 THEN 'md_to_pdb_to_uniprot_verified' ELSE 'pdb_to_uniprot_only' END AS residue_mapping_scope, CASE p_partkey % 7 WHEN 0 THEN 'not_provided' WHEN 1 THEN 'verified' ELSE 'declared_not_fully_verified' END AS md_file_provenance FROM part",
-    "integ_summary": _EXTRACTION["extract_events"].rpartition("\n")[0] + "\nSELECT (SELECT count(DISTINCT document_id) FROM paragraphs) AS n_articles, (SELECT count(*) FROM paragraphs) AS n_paragraphs, count(DISTINCT document_id) AS n_with_events, count(*) AS n_events, count(DISTINCT event_type) AS n_phases FROM found",
+    "integ_summary": _EXTRACTION["extract_events"].rpartition("\n")[0] + ",\n" + _FACTS + "\nSELECT (SELECT count(DISTINCT document_id) FROM paragraphs) AS n_articles, (SELECT count(*) FROM paragraphs) AS n_paragraphs, count(DISTINCT document_id) AS n_with_events, count(*) AS n_events, count(DISTINCT event_type) AS n_phases, (SELECT count(DISTINCT document_id) FROM pdb) AS n_with_structure, (SELECT count(DISTINCT value) FROM pdb) AS n_structures FROM found",
     "llm_accept": with_fixtures(["paragraphs"], """SELECT candidate_id, reject_reason, CASE WHEN reject_reason IS NULL THEN CAST(regexp_extract(q, '([0-9]+) ([np])s', 1) AS DOUBLE) * CASE regexp_extract(q, '([0-9]+) ([np])s', 2) WHEN 'n' THEN 1000.0 ELSE 1.0 END END AS duration_ps, CASE WHEN reject_reason IS NULL THEN CAST(regexp_extract(q, '([0-9]+) K', 1) AS DOUBLE) END AS temperature_k
 FROM (SELECT document_id || '|' || paragraph_id AS candidate_id, q, CASE WHEN k % 5 = 1 THEN 'unknown paragraph_id' WHEN k % 7 = 1 AND instr(text, q) + length(q) > length(text) THEN 'evidence range exceeds paragraph length' WHEN k % 7 = 1 THEN 'evidence quote does not match source offsets' WHEN k % 17 = 1 THEN 'ensemble text is not present in the evidence quote' WHEN k % 11 = 1 THEN 'quantity value disagrees with raw_text' WHEN k % 13 = 1 THEN 'quantity unit disagrees with raw_text' END AS reject_reason
  FROM (SELECT *, CAST(document_id AS BIGINT) * 3 + ordinal AS k, regexp_extract(text, '[0-9]+ [np]s at [0-9]+ K') AS q FROM paragraphs) a) b"""),

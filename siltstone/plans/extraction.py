@@ -142,7 +142,7 @@ def _events(select: str) -> str:
 
 
 _BLOCK = facts.PDB_BLOCK
-_FACTS = f"""blocks AS (SELECT *, unnest({spans('text', _BLOCK)}) AS b FROM paragraphs),
+FACT_TABLES = f"""blocks AS (SELECT *, unnest({spans('text', _BLOCK)}) AS b FROM paragraphs),
 bodies AS (SELECT *, regexp_extract(b.q, '{_BLOCK}', 1, 'i') AS ids FROM blocks),
 inner_ AS (SELECT *, unnest({spans('ids', facts.PDB_ID)}) AS m, b.s + length(b.q) - length(ids) AS base FROM bodies),
 pdb AS (SELECT document_id, paragraph_id, ordinal, 'starting_pdb_id' AS field, upper(m.q) AS value, CAST(base + m.s AS INTEGER) AS start_char, CAST(base + m.s + length(m.q) AS INTEGER) AS end_char, 0 AS rule FROM inner_),
@@ -150,7 +150,7 @@ pattern AS ({" UNION ALL ".join(f"SELECT document_id, paragraph_id, ordinal, '{f
 
 
 def _facts(select: str) -> str:
-    return with_fixtures(["paragraphs"], "").rstrip() + ",\n" + _FACTS + "\n" + select
+    return with_fixtures(["paragraphs"], "").rstrip() + ",\n" + FACT_TABLES + "\n" + select
 
 
 def _number(p: str) -> str:

@@ -6,9 +6,11 @@ table's columns. FIXTURES maps a name to the tables it reads and its SQL.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
-S = "STRING"
+VIEW = "siltstone_base_"
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -76,12 +78,12 @@ FIXTURES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "segments": (
         ("part",),
-        """SELECT p_partkey AS segment_id, 'C' || CAST(p_partkey % 4 AS STRING) AS chain_id, 'P' || CAST(p_partkey % 6 AS STRING) AS uniprot_accession, CAST(p_size * 40 + p_partkey % 37 AS INT) AS pdb_start, CAST(p_size * 40 + p_partkey % 37 + 10 AS INT) AS pdb_end,
-          CASE WHEN p_partkey % 19 = 0 THEN NULL ELSE CAST(p_size + 100 AS INT) END AS uniprot_start, CAST(p_size + 110 + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END AS INT) AS uniprot_end FROM part WHERE p_partkey <= 400""",
+        """SELECT p_partkey AS segment_id, 'C' || CAST(CAST(floor(p_partkey / 40.0) AS BIGINT) AS STRING) AS chain_id, 'P' || CAST(p_partkey % 6 AS STRING) AS uniprot_accession, CAST(p_size * 40 + p_partkey % 37 AS INT) AS pdb_start, CAST(p_size * 40 + p_partkey % 37 + 10 AS INT) AS pdb_end,
+          CASE WHEN p_partkey % 19 = 0 THEN NULL ELSE CAST(p_size + 100 AS INT) END AS uniprot_start, CAST(p_size + 110 + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END AS INT) AS uniprot_end FROM part""",
     ),
     "residue_pairs": (
         ("lineitem",),
-        """SELECT 'M' || CAST(l_linenumber AS STRING) AS md_chain, CAST(l_orderkey AS INT) AS md_resid, substr('ARNDC', CAST(l_partkey % 5 + 1 AS INT), 1) AS md_letter, 'C' || CAST(l_suppkey % 4 AS STRING) AS pdb_chain, CAST(l_partkey % 2100 AS INT) AS pdb_number,
+        """SELECT 'M' || CAST(l_linenumber AS STRING) AS md_chain, CAST(l_orderkey AS INT) AS md_resid, substr('ARNDC', CAST(l_partkey % 5 + 1 AS INT), 1) AS md_letter, 'C' || CAST(CAST(floor(l_partkey / 40.0) AS BIGINT) AS STRING) AS pdb_chain, CAST((l_orderkey * 7 + l_partkey) % 2100 AS INT) AS pdb_number,
           substr('ARNDC', CAST(l_partkey % 5 + 1 + CASE WHEN l_orderkey % 10 = 0 AND l_partkey % 5 < 4 THEN 1 ELSE 0 END AS INT), 1) AS pdb_letter FROM lineitem""",
     ),
     "atoms_a": (
@@ -98,10 +100,11 @@ FIXTURES: dict[str, tuple[tuple[str, ...], str]] = {
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived table over the tables of a folder."""
+    """A derived table over the tables of a folder; views of the session keep their names."""
     reads, sql = FIXTURES[name]
     for table in reads:
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(f"{VIEW}{table}")
+        sql = re.sub(rf"\bFROM {table}\b", f"FROM {VIEW}{table}", sql)
     return spark.sql(sql)
 
 
