@@ -37,7 +37,8 @@ METHOD = "same_paragraph_nearest_within_180_chars"
 
 def anchors(paragraphs: DataFrame) -> DataFrame:
     """A row for every duration: number, quote, start, end, and whether it is a time step."""
-    rows = paragraphs.select("*", F.posexplode(matches(F.col("text"), DURATION)).alias("pos", "m")).select("*", "m.quote", "m.start", "m.end").drop("m")
+    # outer: from an inner explosion Spark infers a filter that would look for the matches a first time
+    rows = paragraphs.select("*", F.posexplode_outer(matches(F.col("text"), DURATION)).alias("pos", "m")).filter("m is not null").select("*", "m.quote", "m.start", "m.end").drop("m")
     before = F.lower(part(F.col("text"), F.col("start") - BEFORE_CHARS, F.col("start")))
     after = F.lower(part(F.col("text"), F.col("end"), F.col("end") + AFTER_CHARS))
     return rows.withColumn("is_timestep", found(before, STEP_BEFORE) | found(after, STEP_AFTER))

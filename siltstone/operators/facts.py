@@ -32,7 +32,8 @@ PROTOCOL_SIGNAL = r"molecular dynamics|\bMD\b|equilibrat|production simulation|f
 
 def pdb_ids(paragraphs: DataFrame) -> DataFrame:
     """A row for every identifier in every block; value in upper case."""
-    blocks = paragraphs.select("*", F.explode(matches(F.col("text"), PDB_BLOCK)).alias("b"))
+    # outer: from an inner explosion Spark infers a filter that would look for the matches a first time
+    blocks = paragraphs.select("*", F.explode_outer(matches(F.col("text"), PDB_BLOCK)).alias("b")).filter("b is not null")
     blocks = blocks.withColumn("_ids", group(F.col("b.quote"), PDB_BLOCK, 1)).withColumn("_from", F.col("b.end") - F.length("_ids"))
     rows = blocks.select("*", F.explode(matches(F.col("_ids"), PDB_ID)).alias("m"))
     place = lambda c: (F.col("_from") + F.col(f"m.{c}")).alias(f"{c}_char")
@@ -45,7 +46,7 @@ def pattern_facts(paragraphs: DataFrame) -> DataFrame:
     def of(k: int, field: str, value: str | None, pattern: str) -> Column:
         return F.transform(matches(F.col("text"), pattern), lambda m: F.struct(F.lit(field).alias("field"), (m["quote"] if value is None else F.lit(value)).alias("value"), m["quote"].alias("quote"), m["start"].alias("start_char"), m["end"].alias("end_char"), F.lit(k + 1).alias("rule")))
 
-    rows = paragraphs.select("document_id", "section", "paragraph_id", "ordinal", "text", F.explode(F.concat(*(of(k, *f) for k, f in enumerate(FACTS)))).alias("f"))
+    rows = paragraphs.select("document_id", "section", "paragraph_id", "ordinal", "text", F.explode_outer(F.concat(*(of(k, *f) for k, f in enumerate(FACTS)))).alias("f")).filter("f is not null")
     return rows.select("document_id", "section", "paragraph_id", "ordinal", "text", "f.*")
 
 

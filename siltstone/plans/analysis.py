@@ -95,12 +95,13 @@ def ev_confusion(spark: SparkSession, sf: str) -> DataFrame:
 
 def ev_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     """DRAWS resamples of all documents with replacement, drawn by a hash that SQL has too; `ev_interval` has the seeded
-    generator's. Each document's row makes its own draw in each iteration, so no table of draws is joined to one of documents."""
+    generator's."""
     counts = comparison.multiset(*(comparison.duration_phase_counts(x) for x in _events(spark, sf)))
     per = counts.withColumn("place", F.row_number().over(Window.orderBy("document_id")) - 1).drop("document_id")
     n = counts.count()
-    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", "iteration", "place")), 1, 12), 16, 10).cast("long") % max(n, 1)
-    draws = per.select("place", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("iteration")).select("iteration", drawn.cast("int").alias("place"))
+    numbers = spark.range(n * DRAWS).select(F.expr(f"id div {max(n, 1)}").alias("iteration"), (F.col("id") % max(n, 1)).alias("turn"))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", "iteration", "turn")), 1, 12), 16, 10).cast("long") % max(n, 1)
+    draws = numbers.select("iteration", drawn.alias("place"))
     rows = comparison.bootstrap(per, draws.groupBy("iteration", "place").agg(F.count(F.lit(1)).alias("times")))
     return rows.select(F.col("iteration").cast("long").alias("iteration"), "tp", "fp", "fn", "f1")
 
