@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -362,8 +363,16 @@ def compared(rows: DataFrame, docs: DataFrame, n_parts: int, scratch: common.Scr
     # staged, so that the texts are not in two exchanges at a time
     placed = scratch.stage(dealt.join(docs, F.col("r") == F.col("doc_id")).select("lead", "i", "j", "own", "r", "c", "text"), f"{name}-texts")
 
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a text is in several buckets, and the exchange's own compression is the weaker one
+        packer = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for part in slices(batch):
+                data = [packer.compress(x or b"") for x in part.column(6).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:6], pa.array(data, pa.binary())], names=part.schema.names)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        key, held, unpacker = None, [], zstandard.ZstdDecompressor()
 
         def links() -> pa.RecordBatch:
             ids, component, block, sets = zip(*held, strict=True)
@@ -373,7 +382,8 @@ def compared(rows: DataFrame, docs: DataFrame, n_parts: int, scratch: common.Scr
         for batch in batches:
             for part in slices(batch):
                 columns = [part.column(k).to_pylist() for k in range(6)]
-                for lead, i, j, own, r, c, words in zip(*columns, shingles.sets_of(part.column(6).to_pylist()), strict=True):
+                sets = shingles.sets_of([unpacker.decompress(x) for x in part.column(6).to_pylist()])
+                for lead, i, j, own, r, c, words in zip(*columns, sets, strict=True):
                     if (lead, i, j) != key:
                         if len(held) > 1:
                             yield links()
@@ -383,7 +393,8 @@ def compared(rows: DataFrame, docs: DataFrame, n_parts: int, scratch: common.Scr
         if len(held) > 1:
             yield links()
 
-    found = scratch.stage(placed.repartition(n_parts, "lead", "i", "j").sortWithinPartitions("lead", "i", "j", "r").mapInArrow(compare, "a long, b long"), name)
+    packed = placed.mapInArrow(shrink, "lead long, i int, j int, own int, r long, c long, text binary")
+    found = scratch.stage(packed.repartition(n_parts, "lead", "i", "j").sortWithinPartitions("lead", "i", "j", "r").mapInArrow(compare, "a long, b long"), name)
     scratch.drop(f"{name}-texts")
     return found
 

@@ -52,13 +52,13 @@ def _folded(hashes: np.ndarray) -> np.uint64:
     return mixed(out + np.uint64(len(hashes)))[0]
 
 
-def sets_of(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
-    """Each text's distinct shingles, sorted."""
+def sets_of(texts: list[str | bytes | None], words: int = WORDS) -> list[np.ndarray]:
+    """Each text's distinct shingles, sorted; bytes are texts in UTF-8."""
     out: list[np.ndarray] = []
     chunk: list[bytes] = []
     size = 0
     for text in texts:
-        data = (text or "").encode()
+        data = text if isinstance(text, bytes) else (text or "").encode()
         if chunk and size + len(data) > CHUNK_BYTES:
             out += _chunk_sets(chunk, words)
             chunk, size = [], 0

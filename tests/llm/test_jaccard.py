@@ -67,6 +67,7 @@ def test_shingles_equal_the_plain_sets():
     assert all(len(x) == 1 for x in seen.values())
     alone = [shingles.sets_of([t])[0].tolist() for t in texts]
     assert alone == [x.tolist() for x in got]
+    assert alone == [x.tolist() for x in shingles.sets_of([(t or "").encode() for t in texts])]
 
 
 @pytest.mark.parametrize("seed", [1, 2])
