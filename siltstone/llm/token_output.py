@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import common, rans, tokens
 
-GROUP_TOKENS, BATCH_ROWS, SHARD_BYTES = 4_000_000, 128, 1 << 27
+GROUP_TOKENS, BATCH_ROWS, SHARD_ROWS = 4_000_000, 128, 50_000
 GROUP_HEAD = struct.Struct("<4sIII")  # mark, documents, blocks, bytes of the index
 GROUP_MARK = b"TOKG"
 STAGED = "shard int, row long, doc_id long, n long, ids binary"
@@ -175,8 +175,9 @@ def write_ids(docs: DataFrame, to: str, path: str, *, end_id: int, words: bool =
     """Write all documents' ids to the folder `to`; the groups as read back, and the table they were coded with."""
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "token-output")
-    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0 if n_shards is None else 0
-    staged = scratch.stage(staged_ids(docs, path, end_id, words, n_shards or common.partitions(spark, -(-n_bytes // SHARD_BYTES))), "ids")
+    # counted without reading a column
+    n_shards = n_shards or common.partitions(spark, -(-docs.count() // SHARD_ROWS))
+    staged = scratch.stage(staged_ids(docs, path, end_id, words, n_shards), "ids")
     counts = counted_ids(staged).collect()  # a row for each id of the vocabulary at most
     total = np.zeros(max([end_id, *(r["id"] for r in counts)]) + 1, np.int64)
     for r in counts:
