@@ -7,11 +7,13 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 import regex
 
 from siltstone.llm import decontaminate, personal_data, secret_scan
+from siltstone.llm import tokens as vocabularies
 from siltstone.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -94,3 +96,39 @@ def test_sql(spark, name):
     names = [d[0] for d in got.description]
     assert sorted(names) == sorted(df.columns)
     assert sorted(tuple(plain(r[c]) for c in names) for r in df.collect()) == sorted(tuple(map(plain, r)) for r in got.fetchall())
+
+
+def library_ids(name, end):
+    encode = vocabularies.encoder(vocabularies.vocabulary(name), name == "word_bpe_49k.json").whole.encode
+    return {r["doc_id"]: [*encode(r["text"] or "", add_special_tokens=False).ids, *end] for r in table("documents")}
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_token_queries_equal_the_library(spark):
+    ids = library_ids("byte_bpe_50k.json", [2])
+    at = 0
+    for r in sorted(QUERIES["op1_token_output"](spark, SF).collect(), key=lambda r: r["doc_id"]):
+        own = ids[r["doc_id"]]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(own), crc(own))
+        at += len(own)
+    assert at == sum(map(len, ids.values()))
+    sizes = {r["doc_id"]: len((r["text"] or "").encode()) for r in table("documents")}
+    counted = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in QUERIES["op9_token_counts"](spark, SF).collect()}
+    assert counted == {d: (sizes[d], len(x) - 1, len(x) - 1 > 1024) for d, x in ids.items()}
+
+
+def test_packing_query_equals_the_library(spark):
+    ids = library_ids("word_bpe_49k.json", [1])
+    rows, bins, seen = QUERIES["op5_packing"](spark, SF).collect(), defaultdict(list), Counter()
+    for r in rows:
+        own = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["start"] == 4096 * r["piece"] and len(own) == r["length"] and r["ids_crc32"] == crc(own)
+        seen[r["doc_id"]] += r["length"]
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert seen == {d: len(x) for d, x in ids.items()}
+    for own in bins.values():
+        assert [o for o, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 4096
+    assert len(bins) <= -(-sum(seen.values()) // 4096) + 1
