@@ -102,6 +102,24 @@ def packet_errors(plan: DataFrame, screen: DataFrame, files: DataFrame) -> DataF
     return rows.select("document_id", problem.alias("problem")).filter("problem is not null")
 
 
+def frozen(plan: DataFrame, screen: DataFrame, files: DataFrame, rows: DataFrame, events: DataFrame) -> DataFrame:
+    """Every planned article with its split, the reason it can't be frozen or null, and its method paragraphs and events.
+
+    plan: document_id, split; screen: document_id, full_text_sha256; files: document_id, sha256; rows: method paragraphs
+    with error; events: document_id. The reasons are checked in order; an article with one has no counts.
+    """
+    seen = screen.select("document_id", "full_text_sha256", F.lit(True).alias("_seen"))
+    read = rows.groupBy("document_id").agg(F.count_if(F.col("error").isNull()).alias("_paragraphs"), F.max("error").alias("_error"))
+    found = events.groupBy("document_id").agg(F.count(F.lit(1)).alias("_events"))
+    own = plan.select("document_id", "split")
+    for side in (seen, files.select("document_id", F.col("sha256").alias("_sha")), read, found):
+        own = own.join(side, "document_id", "left")
+    same = F.coalesce(F.col("_sha") == F.col("full_text_sha256"), F.lit(False))
+    reason = F.when(F.col("_seen").isNull(), "missing_screen_record").when(F.col("_sha").isNull(), "missing_source").when(~same, "source_hash_mismatch").when(F.col("_error").isNotNull(), "not_well_formed")
+    count = lambda c: F.when(reason.isNull(), F.coalesce(c, F.lit(0)))
+    return own.select("document_id", "split", reason.alias("reason"), count("_paragraphs").alias("method_paragraph_count"), count("_events").alias("event_count"))
+
+
 def metadata(articles: DataFrame) -> DataFrame:
     """Rows of METADATA; the hash is over the whole file."""
 

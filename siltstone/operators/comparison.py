@@ -95,6 +95,13 @@ def multiset(predicted: DataFrame, reference: DataFrame) -> DataFrame:
     return rows.groupBy("document_id").agg(F.sum(F.least("p", "r")).alias("tp"), F.sum(F.greatest(F.col("p") - F.col("r"), zero)).alias("fp"), F.sum(F.greatest(F.col("r") - F.col("p"), zero)).alias("fn"))
 
 
+def article_counts(predicted: DataFrame, reference: DataFrame) -> DataFrame:
+    """tp, fp and fn of the attributes of every document with an event on either side; 0 where its events have none."""
+    documents = predicted.select("document_id").union(reference.select("document_id")).distinct()
+    counts = multiset(attribute_counts(predicted), attribute_counts(reference))
+    return documents.join(counts, "document_id", "left").na.fill(0, ["tp", "fp", "fn"])
+
+
 def metric(rows: DataFrame) -> DataFrame:
     """Adds precision, recall and f1 to tp, fp and fn; 0 where they are undefined."""
     share = lambda a, b: F.when(b > 0, a / F.greatest(b, F.lit(1))).otherwise(0.0)

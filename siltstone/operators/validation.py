@@ -58,6 +58,17 @@ def cached(responses: DataFrame, cache: DataFrame) -> DataFrame:
     return rows.filter((F.col("cache_key") == F.sha2("endpoint", 256)) & (F.col("response_sha256") == F.sha2("payload", 256)))
 
 
+def cache_rows(responses: DataFrame) -> DataFrame:
+    """Rows for a cache: endpoint, http_status, payload, cache_key and response_sha256. Only answers with a payload are kept."""
+    rows = responses.filter("response_received and payload is not null")
+    return rows.select("endpoint", "http_status", "payload", F.sha2("endpoint", 256).alias("cache_key"), F.sha2("payload", 256).alias("response_sha256"))
+
+
+def compact(records: DataFrame, retain_payload: bool = False) -> DataFrame:
+    """Records whose payload is null unless it is retained."""
+    return records if retain_payload else records.withColumn("payload", F.lit(None).cast(records.schema["payload"].dataType))
+
+
 def _state(received: Column, status: Column, error: Column, supported: Column, yes: str, no: str) -> Column:
     state = lambda s, r: F.struct(F.lit(s).alias("state"), (r if isinstance(r, Column) else F.lit(r)).alias("reason"))
     return (
@@ -178,6 +189,13 @@ def summary(records: DataFrame) -> DataFrame:
     return rows.select(F.explode(kinds).alias("x")).select("x.*")
 
 
+def integration_counts(pdb_records: DataFrame, mapping_records: DataFrame, records: DataFrame) -> DataFrame:
+    """kind, name, n: structures' and mappings' records by state, and integrated records by md_file_provenance."""
+    of = lambda rows, c, kind: rows.select(F.lit(kind).alias("kind"), F.col(c).alias("name"))
+    rows = of(pdb_records, "state", "pdb_state").union(of(mapping_records, "state", "mapping_state")).union(of(records, "md_file_provenance", "md_file_provenance"))
+    return rows.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
 def provenance(assets: DataFrame, files: DataFrame) -> DataFrame:
     """Adds problem to each asset: a verified local file must exist and have the declared hash. files: path, sha256."""
     rows = assets.join(files.select(F.col("path").alias("local_path"), F.col("sha256").alias("_actual")), "local_path", "left")

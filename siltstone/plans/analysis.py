@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.operators import articles, candidates, comparison, facts, residues, sampling, storage, validation
+from siltstone.operators import articles, candidates, comparison, events, facts, residues, sampling, storage, validation
 from siltstone.plans.extraction import ORACLES as _EXTRACTION
 from siltstone.plans.extraction import FACT_TABLES as _FACTS
 from siltstone.plans.extraction import extract_events
@@ -94,9 +94,9 @@ def ev_confusion(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ev_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    """DRAWS resamples of all documents with replacement, drawn by a hash that SQL has too; `ev_interval` has the seeded
+    """The attributes' F1 over DRAWS resamples of all documents with replacement, drawn by a hash that SQL has too; `ev_interval` has the seeded
     generator's."""
-    counts = comparison.multiset(*(comparison.duration_phase_counts(x) for x in _events(spark, sf)))
+    counts = comparison.article_counts(*_events(spark, sf))
     per = counts.withColumn("place", F.row_number().over(Window.orderBy("document_id")) - 1).drop("document_id")
     n = counts.count()
     numbers = spark.range(n * DRAWS).select(F.expr(f"id div {max(n, 1)}").alias("iteration"), (F.col("id") % max(n, 1)).alias("turn"))
@@ -107,8 +107,8 @@ def ev_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ev_interval(spark: SparkSession, sf: str) -> DataFrame:
-    """The interval over draws of Python's generator; the places are documents in order of id."""
-    counts = comparison.multiset(*(comparison.duration_phase_counts(x) for x in _events(spark, sf)))
+    """The interval of the attributes' F1 over draws of Python's generator; the places are documents in order of id."""
+    counts = comparison.article_counts(*_events(spark, sf))
     per = counts.withColumn("place", F.row_number().over(Window.orderBy("document_id")) - 1).drop("document_id")
     draws = comparison.resampled(spark, counts.count())
     # Spark takes the draws for a small table and would broadcast them
@@ -316,6 +316,22 @@ def packet_check(spark: SparkSession, sf: str) -> DataFrame:
     return articles.packet_errors(rows, screen, rows.filter("k % 10 <> 0").select("document_id", F.col("sha").alias("source_sha256")))
 
 
+def freeze_articles(spark: SparkSession, sf: str) -> DataFrame:
+    """The freeze of all documents' articles, some without screen record or file, changed since, or not well-formed."""
+    k = F.col("document_id").cast("long")
+    xml = _xml(spark, sf)
+    files = xml.select("document_id", F.sha2("content", 256).alias("sha256"))
+    screen = files.filter(k % 9 != 0).select("document_id", F.when(k % 4 == 0, F.sha2("document_id", 256)).otherwise(F.col("sha256")).alias("full_text_sha256"))
+    plan = files.select("document_id", F.when(k % 3 == 0, "validation").otherwise("development").alias("split"))
+    rows = articles.method_paragraphs(articles.paragraphs(xml))
+    found = events.extract_events(rows.filter("error is null"))
+    return articles.frozen(plan, screen, files.filter(k % 10 != 0), rows, found).select("document_id", "split", "reason", "method_paragraph_count")
+
+
+def integ_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return validation.integration_counts(val_pdb(spark, sf), val_mapping(spark, sf), record_completeness(spark, sf))
+
+
 def accept_gate(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey")
     rows = spark.read.parquet(f"{sf}/part.parquet").select(
@@ -359,7 +375,7 @@ def llm_id_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return candidates.accepted(*_proposals(spark, sf)).select("event_id", "candidate_id", "duration_ps")
 
 
-QUERIES = {f.__name__: f for f in (plan_exclude, plan_rank, plan_roundrobin, plan_split, finalize, workpack, manifest_check, ann_compare, ann_by_field, ann_adjudicate, ev_attr_counter, ev_metric, ev_confusion, ev_bootstrap, ev_interval, val_retrieve, val_pdb, val_uniprot, val_mapping, val_segments, val_discover, val_cascade, val_cascade_records, val_completeness, val_summary, record_completeness, integ_summary, sifts_rows, residue_compose, residue_audit, atom_audit, atom_examples, residue_atoms, audit_gate, finite_traj, align_fit, align_assign, sink_store, store_search, store_count, xml_paragraphs, xml_metadata, method_paragraphs, search_candidates, packet_check, accept_gate, packet, llm_accept, llm_id_dedup)}
+QUERIES = {f.__name__: f for f in (plan_exclude, plan_rank, plan_roundrobin, plan_split, finalize, workpack, manifest_check, ann_compare, ann_by_field, ann_adjudicate, ev_attr_counter, ev_metric, ev_confusion, ev_bootstrap, ev_interval, val_retrieve, val_pdb, val_uniprot, val_mapping, val_segments, val_discover, val_cascade, val_cascade_records, val_completeness, val_summary, record_completeness, integ_summary, sifts_rows, residue_compose, residue_audit, atom_audit, atom_examples, residue_atoms, audit_gate, finite_traj, align_fit, align_assign, sink_store, store_search, store_count, xml_paragraphs, xml_metadata, method_paragraphs, search_candidates, packet_check, freeze_articles, integ_counts, accept_gate, packet, llm_accept, llm_id_dedup)}
 
 _EXCLUDE = """reasoned AS (SELECT *, CASE WHEN ok_before < position THEN 'duplicate_document_id' ELSE own END AS reason FROM (SELECT *, min(CASE WHEN own IS NULL THEN position END) OVER (PARTITION BY identifier) AS ok_before FROM
  (SELECT *, upper(document_id) AS identifier, CASE WHEN upper(document_id) IN (SELECT upper(document_id) FROM exclusions) THEN 'previous_development_article' WHEN NOT full_text_available THEN 'full_text_unavailable' WHEN NOT starts_with(upper(document_id), 'PMC') THEN 'missing_pmc_identifier' WHEN year IS NULL THEN 'missing_publication_year' WHEN year < 2016 THEN 'publication_year_below_window' WHEN year > 2020 THEN 'publication_year_above_window' END AS own FROM candidates) a) b),
@@ -396,6 +412,7 @@ def _level(name: str, p: str, r: str, keys: str) -> str:
 
 
 _DP = "document_id, event_type, duration_ps"
+_AV = "document_id, event_type, attribute, value"
 _SHARE = lambda a, b: f"CASE WHEN tp + {b} > 0 THEN tp / (tp + {b}) ELSE 0.0 END::DOUBLE AS {a}"
 _METRIC = f"SELECT level, tp, fp, fn, precision, recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM (SELECT level, tp, fp, fn, {_SHARE('precision', 'fp')}, {_SHARE('recall', 'fn')} FROM levels) m"
 _LEVELS = "levels AS (" + " UNION ALL ".join([_level("event", "SELECT * FROM predictions", "SELECT * FROM references_", "document_id, event_type, duration_ps, temperature_k, ensemble, replicates"), _level("attribute", _unpivoted("predictions"), _unpivoted("references_"), "document_id, event_type, attribute, value"), _level("duration_phase", "SELECT * FROM predictions", "SELECT * FROM references_", _DP)]) + ")"
@@ -456,7 +473,7 @@ ORACLES = {
     "ev_metric": with_fixtures(["predictions", "references_"], "").rstrip() + ",\n" + _LEVELS + "\n" + _METRIC,
     "ev_confusion": with_fixtures(["predictions", "references_"], "").rstrip() + ",\n" + _CONFUSION,
     "ev_bootstrap": with_fixtures(["predictions", "references_"], "").rstrip() + f""",
-counts AS (SELECT {_DP}, count(*) FILTER (s = 'p') AS p, count(*) FILTER (s = 'r') AS r FROM (SELECT {_DP}, 'p' AS s FROM predictions UNION ALL SELECT {_DP}, 'r' AS s FROM references_) u GROUP BY {_DP}),
+counts AS (SELECT {_AV}, count(*) FILTER (s = 'p') AS p, count(*) FILTER (s = 'r') AS r FROM (SELECT *, 'p' AS s FROM ({_unpivoted('predictions')}) a UNION ALL SELECT *, 'r' AS s FROM ({_unpivoted('references_')}) b) u GROUP BY {_AV}),
 per AS (SELECT row_number() OVER (ORDER BY document_id) - 1 AS place, sum(least(p, r)) AS tp, sum(greatest(p - r, 0)) AS fp, sum(greatest(r - p, 0)) AS fn FROM counts GROUP BY document_id),
 drawn AS (SELECT i, CAST(('0x' || substr(md5(i || '|' || place), 1, 12)) AS BIGINT) % (SELECT count(*) FROM per) AS place FROM per, range({DRAWS}) AS g(i)),
 levels AS (SELECT i AS level, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM drawn JOIN per ON drawn.place = per.place GROUP BY i)
@@ -497,3 +514,6 @@ FROM (SELECT document_id || '|' || paragraph_id AS candidate_id, q, CASE WHEN k
     "store_search": with_fixtures(["segments"], "SELECT DISTINCT CAST(segment_id % 97 AS VARCHAR) AS document_id FROM segments WHERE segment_id % 10 = 3 OR uniprot_accession = 'P4'"),
     "store_count": with_fixtures(["segments"], "SELECT count(DISTINCT segment_id % 97) AS n FROM segments"),
 }
+ORACLES["integ_counts"] = _val(f"SELECT 'pdb_state' AS kind, state AS name, count(*) AS n FROM pdbs GROUP BY 2 UNION ALL SELECT 'mapping_state', state, count(*) FROM mapped GROUP BY 2 UNION ALL SELECT 'md_file_provenance', md_file_provenance, count(*) FROM ({ORACLES['record_completeness']}) c GROUP BY 2")
+ORACLES["freeze_articles"] = """SELECT document_id, split, reason, CASE WHEN reason IS NULL THEN n END AS method_paragraph_count FROM (SELECT CAST(doc_id AS VARCHAR) AS document_id, CASE WHEN doc_id % 3 = 0 THEN 'validation' ELSE 'development' END AS split,
+ CASE WHEN doc_id % 9 = 0 THEN 'missing_screen_record' WHEN doc_id % 10 = 0 THEN 'missing_source' WHEN doc_id % 4 = 0 THEN 'source_hash_mismatch' WHEN doc_id % 50 = 7 THEN 'not_well_formed' END AS reason, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS n FROM documents) d"""

@@ -115,3 +115,14 @@ def residue_summary(residues: DataFrame) -> DataFrame:
     own = residues.groupBy("chain_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("residue_order", "residue_name"))), lambda x: x["residue_name"]).alias("names"))
     n = F.size("names")
     return own.select("chain_id", n.alias("n_residues"), F.slice("names", 1, 3).alias("first"), F.slice("names", F.greatest(n - 2, F.lit(1)), 3).alias("last"))
+
+
+def residue_schema(responses: DataFrame) -> DataFrame:
+    """What each chain of a residue listing holds: its molecule, its number of residues, and the keys of the chain and of
+    its first residue. responses: pdb_id, payload."""
+    molecule = "struct<entity_id: string, molecule_name: string, chains: array<string>>"
+    rows = responses.select(F.upper("pdb_id").alias("pdb_id"), F.explode(F.from_json("payload", f"map<string, struct<molecules: array<{molecule}>>>")).alias("_key", "e"))
+    rows = rows.select("pdb_id", F.explode("e.molecules").alias("m")).select("pdb_id", "m.entity_id", "m.molecule_name", F.explode("m.chains").alias("_chain"))
+    rows = rows.withColumn("c", F.from_json("_chain", "struct<chain_id: string, struct_asym_id: string, residues: array<string>>"))
+    keys = lambda x: F.coalesce(F.array_sort(F.json_object_keys(x)), F.array().cast("array<string>"))
+    return rows.select("pdb_id", "entity_id", "molecule_name", "c.chain_id", "c.struct_asym_id", F.coalesce(F.size("c.residues"), F.lit(0)).alias("n_residues"), keys(F.col("_chain")).alias("chain_keys"), keys(F.get(F.col("c.residues"), F.lit(0))).alias("residue_keys"))

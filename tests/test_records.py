@@ -49,8 +49,13 @@ def test_interval_draws_documents(spark, tmp_path):
     rows = [(k, 1 + j, "ANR"[k % 3], float(1 + k * j % 5), 4, 2, k % 5) for k in range(100, 190) for j in range(3)]
     columns = "l_orderkey long, l_linenumber int, l_returnflag string, l_quantity double, l_partkey long, l_suppkey long, n int"
     spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/lineitem.parquet")
-    per = comparison.multiset(*(comparison.duration_phase_counts(x) for x in analysis._events(spark, f"{tmp_path}"))).collect()
-    per = sorted(per, key=lambda r: r["document_id"])
+    attributes = ("duration_ps", "temperature_k", "ensemble", "replicates")
+    sides = [Counter((r["document_id"], r["event_type"], a, r[a]) for r in x.collect() for a in attributes if r[a] is not None) for x in analysis._events(spark, f"{tmp_path}")]
+    counts = {d: dict.fromkeys(("tp", "fp", "fn"), 0) for d in sorted({k[0] for x in sides for k in x})}
+    for c, x in (("tp", sides[0] & sides[1]), ("fp", sides[0] - sides[1]), ("fn", sides[1] - sides[0])):
+        for key, n in x.items():
+            counts[key[0]][c] += n
+    per = [counts[d] for d in sorted(counts)]
     values = {}
     for k, at, times in comparison.resamples(len(per)):
         sums = values.setdefault(k, [0, 0, 0])
