@@ -39,29 +39,37 @@ PUNCTUATION = ".,;:!?()[]{}\"'`´‘’“”«»…*_|/\\$€£%#&<>=+~^"
 #: Marks before a word: a capital within a sentence, another capital, the first word of a sentence in lower case.
 INNER, OUTER, FIRST = "\x02", "\x03", "\x04"
 MARKS, SLOT = INNER + OUTER + FIRST, "\x01"
+SPACE = "[ \\t-\\r]"
 NAME = f"{SLOT}name"
 #: A document's windows: capitals as names, words as they stand.
 FORMS = ("names", "raw")
 
 
+def any_of(words: list[str]) -> str:
+    """A pattern of any of the words, the longest first, those with one first letter together."""
+    of = {c: sorted((w[1:] for w in words if w[0] == c), key=len, reverse=True) for c in sorted({w[0] for w in words})}
+    return f"(?=[{''.join(of)}])(?:{'|'.join(c + '(?:' + '|'.join(rest) + ')' for c, rest in of.items())})"
+
+
 def marked_text(text: Column, *, first: bool = False) -> Column:
     """The text without punctuation; capitalised words begin with a mark, and with `first` those that begin a sentence."""
     plain = F.translate(F.coalesce(text, F.lit("")), MARKS + SLOT, "")
-    words = "(?:" + "|".join(sorted(FUNCTION, key=len, reverse=True)) + ")(?!\\p{L})"
+    words = any_of(FUNCTION) + "(?!\\p{L})"
     if first:
         quotes = "[^\\p{L}\\p{N}\\s]*"
         plain = F.regexp_replace(plain, f"(^\\s*{quotes}|[.?!:]{quotes}\\s+{quotes})(?=\\p{{Ll}})(?!{words})", f"$1{FIRST}")
     name = f"(?=\\p{{Lu}}\\p{{L}})(?!(?i:{words}))"
-    named = F.regexp_replace(plain, f"(?<=[\\p{{L}}\\p{{N}},;)\"'][ \\t-\\r]){name}", INNER)
-    return F.regexp_replace(F.translate(named, PUNCTUATION, ""), f"(?<![^ \\t-\\r]){name}", OUTER)
+    # patterns begin with the space before a word, which fails sooner at other places than to look behind each of them
+    named = F.regexp_replace(plain, f"{SPACE}(?<=[\\p{{L}}\\p{{N}},;)\"']{SPACE}){name}", f"$0{INNER}")
+    return F.regexp_replace(F.concat(F.lit(" "), F.translate(named, PUNCTUATION, "")), f"{SPACE}{name}", f"$0{OUTER}")
 
 
 def canonical_text(low: Column) -> Column:
     """Text in lower case with typed placeholders but for names. Patterns run over whole texts: one per token costs more."""
-    units, numbers = "|".join(sorted(UNITS, key=len, reverse=True)), "|".join(sorted(NUMBERS, key=len, reverse=True))
-    out = F.regexp_replace(low, f"(?<![^ \\t-\\r])(?:[-\u2212]?[0-9]+|{numbers})({units})?(?![^ \\t-\\r])", f"{SLOT}number$1")
+    padded, units = F.concat(F.lit(" "), low), any_of(UNITS)
+    out = F.regexp_replace(padded, f"({SPACE})(?:[-\u2212]?[0-9]+|{any_of(NUMBERS)})({units})?(?![^ \\t-\\r])", f"$1{SLOT}number$2")
     out = F.regexp_replace(out, f"{SLOT}number(?=[^ \\t-\\r])[^ \\t-\\r]+", f"{SLOT}numberunit")
-    return F.regexp_replace(out, f"(?<![^ \\t-\\r])(?:{units})(?![^ \\t-\\r])", f"{SLOT}unit")
+    return F.regexp_replace(out, f"({SPACE}){units}(?![^ \\t-\\r])", f"$1{SLOT}unit")
 
 
 def with_tokens(df: DataFrame, *, first: bool = False) -> DataFrame:
