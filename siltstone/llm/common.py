@@ -1,69 +1,12 @@
-"""Shared plumbing: the shared scratch folder, staged tables and table reading."""
+"""Shared plumbing: staged tables and table reading."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 
-#: Spark removes an execution's shuffle files when it ends if this is on.
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where Spark runs on this machine alone."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-@contextlib.contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Within this block an execution's shuffle files go when it ends, not when the driver collects garbage."""
-    before = spark.conf.get(SHUFFLE_CLEANUP, None)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(SHUFFLE_CLEANUP)
-        else:
-            spark.conf.set(SHUFFLE_CLEANUP, before)
-
-
-class Scratch:
-    """Tables staged in the shared folder. They cut lineage, so a lost executor costs a reread and not a rerun."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.path = f"{scratch_root(spark)}/siltstone/{name}-{uuid.uuid4().hex[:12]}"
-        atexit.register(self.drop)
-
-    def stage(self, df: DataFrame, name: str, *, partition_by: list[str] | None = None) -> DataFrame:
-        """Write df and return it as read back."""
-        to = f"{self.path}/{name}"
-        with shuffles_removed(self.spark):
-            writer = df.write.option("compression", "zstd")
-            if partition_by:
-                writer = writer.partitionBy(*partition_by)
-            writer.parquet(to)
-        return self.spark.read.schema(df.schema).parquet(to)
+from siltstone.functions.staging import SHUFFLE_CLEANUP, Scratch, scratch_root, shuffles_removed
 
-    def drop(self, name: str = "") -> None:
-        """Delete one staged table, or all of them."""
-        with contextlib.suppress(Exception):  # at exit the JVM may be gone; what is left then is only a leftover
-            jvm = self.spark._jvm
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["SHUFFLE_CLEANUP", "Scratch", "partitions", "scratch_root", "shuffles_removed", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
