@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import decontaminate, jaccard_join, kd_shards, oracles, packing, personal_data, preferences, quality, secret_scan, token_counts, token_output
+from siltstone.llm import decontaminate, jaccard_join, kd_shards, merkle, oracles, packing, personal_data, preferences, quality, secret_scan, token_counts, token_output
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {"op7_preferences": oracles.PREFERENCES, "op8_quality_rules": oracles.QUALITY, "op10_jaccard_join": oracles.SHINGLES}
+ORACLES: dict[str, str] = {"op7_preferences": oracles.PREFERENCES, "op8_quality_rules": oracles.QUALITY, "op10_jaccard_join": oracles.SHINGLES, "op13_merkle_manifest": merkle.ORACLE}
