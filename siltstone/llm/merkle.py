@@ -165,8 +165,8 @@ def manifest(docs: DataFrame, scratch: common.Scratch, levels: int = LEVELS) ->
     # within the sources, then over them
     buckets = scratch.stage(_roots(leaves, levels), "buckets")
     subroots, inner = _climbed(buckets, levels, scratch, "source")
-    tops = subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("place"), F.col("root").alias("digest"))
-    tops = scratch.stage(tops.join(tops.groupBy(F.col("tree").alias("_t")).agg(F.count(F.lit(1)).alias("size")), F.col("tree") == F.col("_t")).select("tree", "place", "size", "digest"), "tops")
+    tops = subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("place"), F.lit(trees.count()).cast("long").alias("size"), F.col("root").alias("digest"))
+    tops = scratch.stage(tops, "tops")
     roots, outer = _climbed(tops, levels, scratch, "top")
     up = outer.join(roots.withColumnRenamed("tree", "_t"), F.col("tree") == F.col("_t")).select(F.col("place").alias("_source"), F.col("steps").alias("_outer"), "root")
     up = up.join(subroots.select(F.col("tree").alias("_sub"), F.col("root").alias("subroot")), F.col("_source") == F.col("_sub"))
