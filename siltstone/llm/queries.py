@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import decontaminate, jaccard_join, kd_shards, merkle, oracles, packing, periodic_runs, personal_data, preferences, quality, secret_scan, token_counts, token_output
+from siltstone.llm import decontaminate, jaccard_join, kd_shards, language_id, merkle, oracles, packing, periodic_runs, personal_data, preferences, quality, secret_scan, token_counts, token_output
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_language_id": language_id.op12_language_id,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 #: DuckDB SQL for the queries that SQL can express.
