@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,53 +20,91 @@ MIN_IDENTITY, MIN_CHAIN_IDENTITY, MIN_PDB_COVERAGE, MIN_UNIPROT_COVERAGE, EXAMPL
 ALIGNED = "score int, pairs array<struct<md:int,pdb:int>>, matches int, mismatches int, md_insertions int, pdb_deletions int"
 
 
+def _rows(own: np.ndarray, other: np.ndarray, row: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows of the table below `row`, one for each letter of own.
+
+    The gap that runs along a row is a running maximum, so a row is vector operations.
+    """
+    gaps = GAP * np.arange(len(other) + 1, dtype=np.int32)
+    for letter in own:
+        new = np.empty_like(row)
+        new[0] = 0
+        new[1:] = np.maximum(row[:-1] + np.where(other == letter, MATCH, MISMATCH), row[1:] + GAP)
+        row = np.maximum.accumulate(new - gaps) + gaps
+        yield row
+
+
+def _fitted(md: str, pdb: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """The score and the places of the best alignment, 0 for none.
+
+    Rows are kept at square-root distance, and those between two of them are made again when the path comes there, up to the
+    column it comes at. So memory is n ** 0.5 rows and time twice that of the scores.
+    """
+    own, other = np.frombuffer(md.encode("utf-32-le"), "<u4"), np.frombuffer(pdb.encode("utf-32-le"), "<u4")
+    n, m = len(own), len(other)
+    step = max(1, math.isqrt(n))
+    row = GAP * np.arange(m + 1, dtype=np.int32)
+    kept, last = [row], np.empty(n + 1, np.int32)
+    last[0] = row[m]
+    for i, row in enumerate(_rows(own, other, row), 1):
+        last[i] = row[m]
+        if i % step == 0:
+            kept.append(row)
+    i, j = int(np.argmax(last)), m
+    score, a, b = int(last[i]), [], []
+    while j:
+        base = (i - 1) // step * step if i else 0
+        block = [kept[base // step][: j + 1], *_rows(own[base:i], other[:j], kept[base // step][: j + 1])]
+        while j and (i > base or not i):
+            here, above = block[i - base][j], block[i - base - 1] if i else None
+            if i and here == above[j - 1] + (MATCH if own[i - 1] == other[j - 1] else MISMATCH):
+                a.append(i)
+                b.append(j)
+                i, j = i - 1, j - 1
+            elif i and here == above[j] + GAP:
+                a.append(i)
+                b.append(0)
+                i -= 1
+            else:
+                a.append(0)
+                b.append(j)
+                j -= 1
+    return score, np.array(a[::-1], np.int32), np.array(b[::-1], np.int32)
+
+
 def fitted(md: str, pdb: str) -> tuple[int, list[tuple[int | None, int | None]]]:
     """The best alignment of all of pdb to a stretch of md, with 1-based places.
 
-    A row of the table at a time: the gap that runs along a row is a running maximum, so a row is vector operations.
     Ties go to a pair, then to a gap in pdb, then to one in md; of equal ends the first.
     """
-    n, m = len(md), len(pdb)
-    places = np.arange(m + 1)
-    scores = np.empty((n + 1, m + 1), np.int32)
-    scores[0] = GAP * places
-    own, other = np.frombuffer(md.encode("utf-32-le"), "<u4"), np.frombuffer(pdb.encode("utf-32-le"), "<u4")
-    for i in range(1, n + 1):
-        row = np.empty(m + 1, np.int32)
-        row[0] = 0
-        pair = scores[i - 1, :-1] + np.where(other == own[i - 1], MATCH, MISMATCH)
-        row[1:] = np.maximum(pair, scores[i - 1, 1:] + GAP)
-        scores[i] = np.maximum.accumulate(row - GAP * places) + GAP * places
-    i, j = int(np.argmax(scores[:, m])), m
-    score, pairs = int(scores[i, m]), []
-    while j:
-        here = scores[i, j]
-        if i and here == scores[i - 1, j - 1] + (MATCH if own[i - 1] == other[j - 1] else MISMATCH):
-            pairs.append((i, j))
-            i, j = i - 1, j - 1
-        elif i and here == scores[i - 1, j] + GAP:
-            pairs.append((i, None))
-            i -= 1
-        else:
-            pairs.append((None, j))
-            j -= 1
-    return score, pairs[::-1]
+    score, a, b = _fitted(md, pdb)
+    return score, [(i or None, j or None) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
 
 
-def aligned(pairs: DataFrame) -> DataFrame:
-    """Adds the columns of ALIGNED to rows with md_sequence and pdb_sequence."""
+def _alignments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_key and ALIGNED of pairs of sequences; a row at a time, so that no batch of long paths is held."""
+    for batch in batches:
+        for key, md, pdb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            score, a, b = _fitted(md or "", pdb or "")
+            both = (a > 0) & (b > 0)
+            letters = [np.frombuffer((x or "").encode("utf-32-le"), "<u4") for x in (md, pdb)]
+            same = int((letters[0][a[both] - 1] == letters[1][b[both] - 1]).sum())
+            places = pa.StructArray.from_arrays([pa.array(x, pa.int32(), mask=x == 0) for x in (a, b)], ["md", "pdb"])
+            counts = [same, int(both.sum()) - same, int((b == 0).sum()), int((a == 0).sum())]
+            columns = [pa.array([key]), pa.array([score], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(places)], pa.int32()), places), *(pa.array([x], pa.int32()) for x in counts)]
+            yield pa.RecordBatch.from_arrays(columns, ["_key", "score", "pairs", "matches", "mismatches", "md_insertions", "pdb_deletions"])
 
-    @F.pandas_udf(ALIGNED)
-    def align(md: pd.Series, pdb: pd.Series) -> pd.DataFrame:
-        out = []
-        for a, b in zip(md.fillna(""), pdb.fillna(""), strict=True):
-            score, places = fitted(a, b)
-            both = [(i, j) for i, j in places if i and j]
-            same = sum(a[i - 1] == b[j - 1] for i, j in both)
-            out.append((score, [{"md": i, "pdb": j} for i, j in places], same, len(both) - same, sum(j is None for _, j in places), sum(i is None for i, _ in places)))
-        return pd.DataFrame(out, columns=["score", "pairs", "matches", "mismatches", "md_insertions", "pdb_deletions"])
 
-    return pairs.withColumn("_a", align("md_sequence", "pdb_sequence")).select("*", "_a.*").drop("_a")
+def aligned(pairs: DataFrame) -> DataFrame:
+    """Adds the columns of ALIGNED to rows with md_sequence and pdb_sequence; null reads as empty.
+
+    Chains of many structures are the same, so each pair of sequences is aligned once and its rows share the outcome.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    keyed = pairs.withColumn("_key", F.sha2(F.concat(F.length(text("md_sequence")).cast("string"), F.lit("|"), text("md_sequence"), text("pdb_sequence")), 256))
+    distinct = keyed.groupBy("_key").agg(F.any_value("md_sequence").alias("md_sequence"), F.any_value("pdb_sequence").alias("pdb_sequence"))
+    found = distinct.mapInArrow(_alignments, f"_key string, {ALIGNED}").withColumnRenamed("_key", "_found")
+    return keyed.join(found, F.col("_key") == F.col("_found")).drop("_key", "_found")
 
 
 def chain_pairs(md: DataFrame, pdb: DataFrame) -> DataFrame:
@@ -192,15 +232,37 @@ def residue_atoms(a: DataFrame, b: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n_residues"), F.count_if(F.col("n_a") == F.col("n_b")).alias("n_equal"))
 
 
+def _finite() -> Column:
+    good = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return F.coalesce(F.bool_and(good("x") & good("y") & good("z")), F.lit(True))
+
+
 def finite(frames: DataFrame) -> DataFrame:
     """frames: x, y, z. One row: whether every coordinate is a finite number."""
-    good = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-    return frames.agg(F.coalesce(F.bool_and(good("x") & good("y") & good("z")), F.lit(True)).alias("finite"))
+    return frames.agg(_finite().alias("finite"))
+
+
+def frame_counts(frames: DataFrame) -> DataFrame:
+    """frames: frame and atom_index, both from 1, x, y, z. One row: frames, frame_atoms and finite; 0, 0 and true without rows."""
+    return frames.agg(F.coalesce(F.max("frame"), F.lit(0)).alias("frames"), F.coalesce(F.max("atom_index"), F.lit(0)).alias("frame_atoms"), _finite().alias("finite"))
+
+
+def file_audit(a: DataFrame, b: DataFrame, frames_a: DataFrame, frames_b: DataFrame, expected_frames: int, metadata_atoms: int | None = None) -> DataFrame:
+    """One row with all that `audit_failures` judges, from the atoms of two files of a system (a as topology, b as
+    structure) and the trajectory as read with each. Every part is one row, so joining them makes one."""
+    side = lambda df, s: df.agg(F.count(F.lit(1)).alias(f"atoms_{s}"), F.count_distinct("resindex").alias(f"residues_{s}"))
+    moving = lambda df, s: frame_counts(df).withColumnsRenamed({c: f"{c}_{s}" for c in ("frames", "frame_atoms", "finite")})
+    residue = residue_atoms(a, b).select((F.col("n_equal") / F.greatest("n_residues", F.lit(1))).alias("residue_atom_fraction"))
+    out = atom_audit(paired_atoms(a, b))
+    for part in (side(a, "a"), side(b, "b"), moving(frames_a, "a"), moving(frames_b, "b"), residue):
+        out = out.crossJoin(part)
+    counts = [F.col(c).cast("long") for c in ("atoms_a", "atoms_b", "frame_atoms_b", "frame_atoms_a")] + ([F.lit(metadata_atoms).cast("long")] if metadata_atoms is not None else [])
+    return out.withColumns({"atom_counts": F.array(*counts), "expected_frames": F.lit(expected_frames)})
 
 
 def audit_failures(audit: DataFrame) -> DataFrame:
     """Adds failures. audit: atom_counts (array), residues_a, residues_b, the fractions of atom_audit,
-    residue_atom_fraction, frames_a, frames_b, expected_frames, finite."""
+    residue_atom_fraction, frames_a, frames_b, expected_frames, finite_a, finite_b."""
     text = lambda name, c: F.concat(F.lit(name + ":"), F.format_string("%.6f", F.col(c)))
     below = lambda c, limit, name: F.when(F.col(c) < limit, text(name, c))
     found = F.array_compact(
@@ -212,7 +274,7 @@ def audit_failures(audit: DataFrame) -> DataFrame:
             below("residue_atom_fraction", 1.0, "per_residue_atom_count_fraction_below_1"),
             below("protein_identity", MIN_IDENTITY, "protein_atom_identity_fraction_below_0.999"),
             F.when((F.col("frames_a") != F.col("expected_frames")) | (F.col("frames_b") != F.col("expected_frames")), F.format_string("trajectory_frame_count:expected=%d,pdb=%d,psf=%d", "expected_frames", "frames_b", "frames_a")),
-            F.when(~F.col("finite"), F.lit("trajectory_contains_non_finite_coordinates")),
+            F.when(~(F.col("finite_a") & F.col("finite_b")), F.concat(F.lit("trajectory_contains_non_finite_coordinates:pdb="), F.initcap(F.col("finite_b").cast("string")), F.lit(",psf="), F.initcap(F.col("finite_a").cast("string")))),
         )
     )
     return audit.withColumn("failures", found)
@@ -232,12 +294,3 @@ def acceptance_failures(rows: DataFrame) -> DataFrame:
     first = F.when(F.col("published"), F.array().cast("array<string>")).otherwise(F.array(F.lit("project_not_published")))
     return rows.withColumn("failures", F.concat(first, F.coalesce("consistency_failures", F.array().cast("array<string>")), own))
 
-
-def molecule_batches(paths: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Atoms of molecular files by path, for mapInPandas; needs the optional reader of such files."""
-    import MDAnalysis
-
-    for batch in paths:
-        for path in batch["path"]:
-            atoms = MDAnalysis.Universe(path).atoms
-            yield pd.DataFrame({"path": path, "atom_index": range(1, len(atoms) + 1), "name": atoms.names, "resname": atoms.resnames, "resid": atoms.resids, "segid": atoms.segids, "resindex": atoms.resindices})

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions import staging
 from siltstone.operators import articles, candidates, comparison, events, facts, residues, sampling, storage, validation
 from siltstone.plans.extraction import ORACLES as _EXTRACTION
 from siltstone.plans.extraction import FACT_TABLES as _FACTS
 from siltstone.plans.extraction import extract_events
 from siltstone.plans.fixtures import fixture, with_fixtures
+from siltstone.sources import structures
 
 YEARS = {"year_min": 2016, "year_max": 2020, "require_year": True}
 DRAWS = 50
@@ -224,11 +226,21 @@ def residue_atoms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def audit_gate(spark: SparkSession, sf: str) -> DataFrame:
-    audit = atom_audit(spark, sf)
-    n = residue_atoms(spark, sf).select((F.col("n_equal") / F.greatest("n_residues", F.lit(1))).alias("residue_atom_fraction"))
-    one = audit.crossJoin(n)  # one row each
-    one = one.withColumns({"atom_counts": F.array("n_atoms", F.col("n_atoms")), "residues_a": F.lit(5), "residues_b": F.lit(6), "frames_a": F.lit(10), "frames_b": F.lit(10), "expected_frames": F.lit(10), "finite": F.lit(True)})
-    return residues.audit_failures(one).select(F.array_join("failures", ";").alias("failures"))
+    """Atoms, residues, frames and finiteness of both files judged, 8 frames being expected."""
+    audit = residues.file_audit(*_atoms(spark, sf), fixture(spark, sf, "frames_a"), fixture(spark, sf, "frames_b"), 8)
+    return residues.audit_failures(audit).select(F.array_join("failures", ";").alias("failures"))
+
+
+def structure_read(spark: SparkSession, sf: str) -> DataFrame:
+    """Trajectories as PDB text from every row of lineitem, one file for each group of suppliers and one model for each line number, read back:
+    the atoms and residues of each frame, and what its coordinates add up to."""
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select((F.col("l_suppkey") % 10).alias("f"), F.col("l_linenumber").alias("m"), F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("p"), "l_quantity", "l_discount", "l_tax")
+    atom = F.concat(F.lit("ATOM  "), F.lpad((F.col("k") % 100000).cast("string"), 5, " "), F.lit("  CA  ALA A"), F.lpad((F.col("p") % 1000).cast("string"), 4, " "), F.lit("    "), *(F.format_string("%8.3f", c) for c in ("l_quantity", "l_discount", "l_tax")))
+    lines = rows.select("f", "m", F.lit(1).alias("place"), "k", "p", atom.alias("value")).unionByName(rows.select("f", "m").distinct().select("f", "m", F.lit(0).alias("place"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("p"), F.concat(F.lit("MODEL     "), F.lpad((F.col("m") * 5).cast("string"), 4, " ")).alias("value")))
+    scratch = staging.Scratch(spark, "structures")
+    lines.repartition("f").sortWithinPartitions("f", "m", "place", "k", "p", "value").select("f", "value").write.partitionBy("f").text(f"{scratch.path}/pdb")
+    frames = structures.pdb_frames(spark, f"{scratch.path}/pdb").withColumn("f", F.regexp_extract("file", "/f=([0-9]+)/", 1).cast("long"))
+    return frames.groupBy("f", "frame").agg(F.count(F.lit(1)).alias("n_atoms"), F.max("atom_index").alias("last_atom"), F.count_distinct("resid").alias("n_resids"), F.round(F.sum("x"), 3).alias("x"), F.round(F.sum("z"), 3).alias("z"))
 
 
 def finite_traj(spark: SparkSession, sf: str) -> DataFrame:
@@ -375,7 +387,7 @@ def llm_id_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return candidates.accepted(*_proposals(spark, sf)).select("event_id", "candidate_id", "duration_ps")
 
 
-QUERIES = {f.__name__: f for f in (plan_exclude, plan_rank, plan_roundrobin, plan_split, finalize, workpack, manifest_check, ann_compare, ann_by_field, ann_adjudicate, ev_attr_counter, ev_metric, ev_confusion, ev_bootstrap, ev_interval, val_retrieve, val_pdb, val_uniprot, val_mapping, val_segments, val_discover, val_cascade, val_cascade_records, val_completeness, val_summary, record_completeness, integ_summary, sifts_rows, residue_compose, residue_audit, atom_audit, atom_examples, residue_atoms, audit_gate, finite_traj, align_fit, align_assign, sink_store, store_search, store_count, xml_paragraphs, xml_metadata, method_paragraphs, search_candidates, packet_check, freeze_articles, integ_counts, accept_gate, packet, llm_accept, llm_id_dedup)}
+QUERIES = {f.__name__: f for f in (plan_exclude, plan_rank, plan_roundrobin, plan_split, finalize, workpack, manifest_check, ann_compare, ann_by_field, ann_adjudicate, ev_attr_counter, ev_metric, ev_confusion, ev_bootstrap, ev_interval, val_retrieve, val_pdb, val_uniprot, val_mapping, val_segments, val_discover, val_cascade, val_cascade_records, val_completeness, val_summary, record_completeness, integ_summary, sifts_rows, residue_compose, residue_audit, atom_audit, atom_examples, residue_atoms, audit_gate, finite_traj, align_fit, align_assign, sink_store, store_search, store_count, xml_paragraphs, xml_metadata, method_paragraphs, search_candidates, packet_check, freeze_articles, integ_counts, accept_gate, packet, llm_accept, llm_id_dedup, structure_read)}
 
 _EXCLUDE = """reasoned AS (SELECT *, CASE WHEN ok_before < position THEN 'duplicate_document_id' ELSE own END AS reason FROM (SELECT *, min(CASE WHEN own IS NULL THEN position END) OVER (PARTITION BY identifier) AS ok_before FROM
  (SELECT *, upper(document_id) AS identifier, CASE WHEN upper(document_id) IN (SELECT upper(document_id) FROM exclusions) THEN 'previous_development_article' WHEN NOT full_text_available THEN 'full_text_unavailable' WHEN NOT starts_with(upper(document_id), 'PMC') THEN 'missing_pmc_identifier' WHEN year IS NULL THEN 'missing_publication_year' WHEN year < 2016 THEN 'publication_year_below_window' WHEN year > 2020 THEN 'publication_year_above_window' END AS own FROM candidates) a) b),
@@ -508,8 +520,13 @@ FROM (SELECT document_id || '|' || paragraph_id AS candidate_id, q, CASE WHEN k
     "atom_audit": _atom("SELECT * FROM audit"),
     "atom_examples": _atom("SELECT * FROM (SELECT 'protein' AS scope, atom_index, am AS a_norm, bm AS b_norm, ar AS a_resname, br AS b_resname FROM atoms WHERE protein AND NOT (normal AND letter) ORDER BY atom_index LIMIT 30) p UNION ALL SELECT * FROM (SELECT 'other', atom_index, am, bm, ar, br FROM atoms WHERE NOT protein AND NOT normal ORDER BY atom_index LIMIT 30) o"),
     "residue_atoms": _atom("SELECT * FROM per_residue"),
-    "audit_gate": _atom("SELECT array_to_string(list_filter(['residue_count_mismatch:psf=5,pdb=6', " + ", ".join([_below("segment_fraction", "1.0", "segment_by_atom_fraction_below_1"), _below("partition_fraction", "1.0", "residue_partition_fraction_below_1"), _below("(n_equal / n_residues)", "1.0", "per_residue_atom_count_fraction_below_1"), _below("protein_identity", "0.999", "protein_atom_identity_fraction_below_0.999")]) + "], lambda x: x IS NOT NULL), ';') AS failures FROM audit, per_residue"),
+    "audit_gate": _atom("SELECT array_to_string(list_filter([CASE WHEN len(list_distinct(counts)) > 1 THEN 'atom_count_mismatch:[' || array_to_string(counts, ', ') || ']' END, CASE WHEN ra <> rb THEN 'residue_count_mismatch:psf=' || ra || ',pdb=' || rb END, " + ", ".join([_below("segment_fraction", "1.0", "segment_by_atom_fraction_below_1"), _below("partition_fraction", "1.0", "residue_partition_fraction_below_1"), _below("(n_equal / n_residues)", "1.0", "per_residue_atom_count_fraction_below_1"), _below("protein_identity", "0.999", "protein_atom_identity_fraction_below_0.999")]) + """,
+  CASE WHEN fa <> 8 OR fb <> 8 THEN 'trajectory_frame_count:expected=8,pdb=' || fb || ',psf=' || fa END, CASE WHEN NOT (ga AND gb) THEN 'trajectory_contains_non_finite_coordinates:pdb=' || CASE WHEN gb THEN 'True' ELSE 'False' END || ',psf=' || CASE WHEN ga THEN 'True' ELSE 'False' END END], lambda x: x IS NOT NULL), ';') AS failures FROM audit, per_residue,
+  (SELECT [(SELECT count(*) FROM atoms_a), (SELECT count(*) FROM atoms_b), max(b), max(a)] AS counts, (SELECT count(DISTINCT resindex) FROM atoms_a) AS ra, (SELECT count(DISTINCT resindex) FROM atoms_b) AS rb, max(fa) AS fa, max(fb) AS fb, bool_and(ga) AS ga, bool_and(gb) AS gb
+   FROM (SELECT max(l_partkey) AS a, max(l_linenumber) AS fa, bool_and(isfinite(l_quantity) AND isfinite(l_tax) AND isfinite(l_discount)) AS ga FROM lineitem) x, (SELECT max(l_partkey) AS b, max(l_linenumber) AS fb, bool_and(l_partkey % 97 <> 0) AS gb FROM lineitem WHERE l_linenumber < 7) y) files"""),
     "finite_traj": "SELECT bool_and(isfinite(l_quantity) AND isfinite(l_tax) AND isfinite(l_discount)) AS finite FROM lineitem",
+    "structure_read": """SELECT f, frame, count(*) AS n_atoms, count(*) AS last_atom, count(DISTINCT p % 1000) AS n_resids, round(sum(round(q, 3)), 3) AS x, round(sum(round(t, 3)), 3) AS z
+ FROM (SELECT l_suppkey % 10 AS f, dense_rank() OVER (PARTITION BY l_suppkey % 10 ORDER BY l_linenumber) AS frame, l_partkey AS p, l_quantity AS q, l_tax AS t FROM lineitem) r GROUP BY 1, 2""",
     "sink_store": "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 10 = 0 THEN 2 ELSE 1 END AS version FROM orders",
     "store_search": with_fixtures(["segments"], "SELECT DISTINCT CAST(segment_id % 97 AS VARCHAR) AS document_id FROM segments WHERE segment_id % 10 = 3 OR uniprot_accession = 'P4'"),
     "store_count": with_fixtures(["segments"], "SELECT count(DISTINCT segment_id % 97) AS n FROM segments"),

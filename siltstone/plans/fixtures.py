@@ -96,6 +96,11 @@ FIXTURES: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT p_partkey AS atom_index, CASE WHEN p_partkey % 6 = 0 THEN 'X9' ELSE CASE p_partkey % 5 WHEN 0 THEN 'H' WHEN 1 THEN 'CA' WHEN 2 THEN 'HB1' WHEN 3 THEN 'O' ELSE 'C1''' END END AS name, CASE p_partkey % 4 WHEN 0 THEN 'ALA' WHEN 1 THEN 'HIS' WHEN 2 THEN 'POPE' ELSE 'GLY' END AS resname,
           CAST(floor(p_partkey / 10.0) AS INT) AS resid, 'S' || CAST(CASE WHEN p_partkey % 50 = 0 THEN 9 ELSE p_partkey % 3 END AS STRING) AS segid, CAST(floor((p_partkey + CASE WHEN p_partkey % 40 = 9 THEN 1 ELSE 0 END) / 10.0) AS INT) AS resindex FROM part""",
     ),
+    "frames_a": (("lineitem",), "SELECT l_linenumber AS frame, l_partkey AS atom_index, l_quantity AS x, l_tax AS y, l_discount AS z FROM lineitem"),
+    "frames_b": (
+        ("lineitem",),
+        "SELECT l_linenumber AS frame, l_partkey AS atom_index, l_quantity AS x, l_tax AS y, CASE WHEN l_partkey % 97 = 0 THEN CAST('NaN' AS DOUBLE) ELSE l_discount END AS z FROM lineitem WHERE l_linenumber < 7",
+    ),
 }
 
 
