@@ -72,10 +72,6 @@ def valid_article_id(name: Column) -> Column:
     return name.rlike("(?i)^PMC[0-9]+$")
 
 
-def hashed_files(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(folder).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-
-
 def sorted_json(df: DataFrame) -> DataFrame:
     """One column: each row as JSON with its keys in order."""
     return df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value"))

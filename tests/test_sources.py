@@ -6,7 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from siltstone.operators import articles, candidates, comparison, residues, validation
-from siltstone.sources import files
+from siltstone.sources import files, remote
 
 EVENTS = "document_id string, event_type string, duration_ps double, temperature_k double"
 
@@ -85,7 +85,7 @@ def test_file_rows(spark, tmp_path):
     (tmp_path / "xml/pmc7.xml").write_text("<a/>")
     plan = spark.createDataFrame([("PMC7",), ("PMC8",)], "document_id string")
     assert [r[0] for r in files.missing_articles(plan, files.read_articles(spark, f"file://{tmp_path}/xml")).collect()] == ["PMC8"]
-    assert [(r["bytes"], r["sha256"]) for r in files.hashed_files(spark, f"file://{tmp_path}/xml").collect()] == [(4, sha("<a/>"))]
+    assert [(r["bytes"], r["sha256"]) for r in remote.hashed_files(spark, f"file://{tmp_path}/xml").collect()] == [(4, sha("<a/>"))]
     files.write_workpack(spark.createDataFrame([("b", 1), ("a", 2), ("a", 1)], "split string, split_order int"), f"file://{tmp_path}/pack")
     assert [tuple(r) for r in spark.read.csv(f"file://{tmp_path}/pack/articles", header=True).collect()] == [("a", "1"), ("a", "2"), ("b", "1")]
 
