@@ -18,8 +18,8 @@ SPANS = "array<struct<quote:string,start:int,end:int>>"
 def matches(text: Column, pattern: str) -> Column:
     """All matches from left to right as quote, start and end (end exclusive); empty for null.
 
-    One pass of the pattern puts SEPARATOR around each match; between separators lie gaps and quotes in turn. A separator
-    in the text itself reads as a replacement character. Patterns must not match nothing.
+    One pass of the pattern puts SEPARATOR around each match; between separators lie gaps and quotes in turn. To the pattern a
+    separator in the text itself is a replacement character; quotes are what the text has. Patterns must not match nothing.
     """
     # seldom is there a separator, and to look for one costs less than to replace it
     clear = F.when(text.contains(SEPARATOR), F.replace(text, F.lit(SEPARATOR), F.lit("\ufffd"))).otherwise(text)
@@ -31,8 +31,10 @@ def matches(text: Column, pattern: str) -> Column:
         one = F.array(F.struct(piece.alias("quote"), acc["at"].alias("start"), end.alias("end")))
         return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
 
+    own = lambda m: F.struct(part(text, m["start"], m["end"]).alias("quote"), m["start"].alias("start"), m["end"].alias("end"))
+    spans = F.aggregate(F.split(marked, SEPARATOR, -1), zero, step, lambda acc: F.when(text.contains(SEPARATOR), F.transform(acc["found"], own)).otherwise(acc["found"]))
     # most texts have no match of most patterns, and to see that costs least
-    return F.when(text.rlike(FLAGS + pattern), F.aggregate(F.split(marked, SEPARATOR, -1), zero, step, lambda acc: acc["found"])).otherwise(F.array().cast(SPANS))
+    return F.when(text.rlike(FLAGS + pattern), spans).otherwise(F.array().cast(SPANS))
 
 
 def found(text: Column, pattern: str) -> Column:

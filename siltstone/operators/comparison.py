@@ -15,6 +15,8 @@ EXACT = [*SEMANTIC, "paragraph_id", "start_char", "end_char"]
 ATTRIBUTES = ["duration_ps", "temperature_k", "pressure_bar", "timestep_fs", "ensemble", "restraints", "replicates"]
 MISSED, SPURIOUS = "__missed__", "__spurious__"
 ITERATIONS, SEED, INTERVAL = 2000, 3997, (0.025, 0.975)
+#: Raw numbers taken from the generator at once; places of documents whose counts travel as one value, and that a task holds.
+BLOCK, PLACES, GROUP = 1 << 20, 1 << 16, 1 << 24
 
 
 def significant(value: Column, digits: int = 12) -> Column:
@@ -167,43 +169,110 @@ def resamples(n_documents: int, iterations: int = ITERATIONS, seed: int = SEED)
     return out
 
 
-def resampled(spark: SparkSession, n_documents: int, iterations: int = ITERATIONS, seed: int = SEED) -> DataFrame:
-    """iteration, place, times: the same draws as resamples, made on the executors by ranges of iterations.
+def _drawn(generator, n: int, left: int) -> Iterator[np.ndarray]:
+    """The next `left` draws of places under n, in blocks: the generator's numbers that are in range."""
+    shift = 32 - n.bit_length()
+    while left:
+        block = (generator.random_raw(min(BLOCK, left + left // 2 + 64)) >> shift).astype(np.int64)
+        block = block[block < n]
+        left -= len(block)
+        yield block
 
-    The generator's 32-bit numbers are taken in arrays; a task runs through those of the iterations before its own.
+
+def _generator(key: bytes, pos: int):
+    source = np.random.MT19937()
+    source.state = {"bit_generator": "MT19937", "state": {"key": np.frombuffer(key, np.uint32), "pos": pos}}
+    return source
+
+
+def generator_states(spark: SparkSession, n: int, iterations: int, per_task: int, seed: int = SEED) -> DataFrame:
+    """first, last, key, pos, skip: the state from which each task draws its iterations, noted by one run through the numbers.
+
+    The generator can't be put ahead, and each iteration takes as many numbers as rejections want. So one task runs through
+    them, a few nanoseconds each and nothing kept, and notes the state before the block in which an iteration begins.
     """
-    schema = "iteration int, place int, times int"
-    if not n_documents:
-        return spark.createDataFrame([], schema)
-    if n_documents >= 1 << 31:
-        raise ValueError("places are 32-bit numbers")
-    shift, step = 32 - n_documents.bit_length(), 1 << 20
+    shift = 32 - n.bit_length()
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not any(b.num_rows for b in batches):
+            return
         *key, pos = random.Random(seed).getstate()[1]
-        source = np.random.MT19937()
-        source.state = {"bit_generator": "MT19937", "state": {"key": np.array(key, dtype=np.uint32), "pos": pos}}
-        left, done = np.empty(0, dtype=np.int64), 0
+        source, accepted = _generator(np.array(key, np.uint32).tobytes(), pos), 0
+        for first in range(0, iterations, per_task):
+            while True:
+                state = source.state["state"]
+                before = state["key"].tobytes(), int(state["pos"])
+                good = np.flatnonzero((source.random_raw(BLOCK) >> shift) < n)
+                if accepted + len(good) > first * n:
+                    skip = int(good[first * n - accepted])
+                    break
+                accepted += len(good)
+            source = _generator(*before)  # the next iterations may begin in the same block
+            columns = [pa.array([first], pa.int32()), pa.array([min(first + per_task, iterations)], pa.int32()), pa.array([before[0]], pa.binary()), pa.array([before[1]], pa.int32()), pa.array([skip], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["first", "last", "key", "pos", "skip"])
+
+    return spark.range(0, 1, 1, 1).mapInArrow(note, "first int, last int, key binary, pos int, skip int")
+
+
+def packed_draws(states: DataFrame, n: int, tasks: int, places: int = PLACES, group: int = GROUP) -> DataFrame:
+    """iteration, range, times: how often each iteration draws each of a range of `places` places, as packed 32-bit numbers.
+
+    A task takes the iterations of one of `tasks` states and a group of `group` places, so what it holds has a bound for any n.
+    """
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, key, pos, skip, g in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                source = _generator(key, pos)
+                source.random_raw(skip, output=False)
+                low, high = g * group, min(n, (g + 1) * group)
+                rest = np.empty(0, np.int64)
+                blocks = _drawn(source, n, (last - first) * n)
+                for k in range(first, last):
+                    counts, done = np.zeros(high - low, np.int32), 0
+                    while done < n:
+                        if not len(rest):
+                            rest = next(blocks)
+                        part, rest = rest[: n - done], rest[n - done :]
+                        done += len(part)
+                        own = part[(part >= low) & (part < high)] - low
+                        counts += np.bincount(own, minlength=high - low).astype(np.int32)
+                    spans = range(0, high - low, places)
+                    columns = [pa.array([k] * len(spans), pa.int32()), pa.array([(low + a) // places for a in spans], pa.int64()), pa.array([counts[a : a + places].tobytes() for a in spans], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["iteration", "range", "times"])
+
+    dealt = states.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(-(-n // group) - 1))))
+    return dealt.repartition(tasks * -(-n // group)).mapInArrow(draw, "iteration int, range long, times binary")
+
+
+def seeded_bootstrap(per_document: DataFrame, n: int, *, iterations: int = ITERATIONS, seed: int = SEED, per_task: int | None = None, places: int = PLACES, group: int = GROUP) -> DataFrame:
+    """tp, fp, fn and f1 of each iteration under Python's generator. per_document: place (0 to n - 1), tp, fp, fn.
+
+    Documents' counts are packed by ranges of places and meet the draws of their range; an iteration is the sum over its
+    ranges. Nothing is broadcast, and no task holds more than a group of places. Without documents there are no rows.
+    """
+    spark = per_document.sparkSession
+    if not n:
+        return metric(spark.createDataFrame([], "iteration int, tp long, fp long, fn long"))
+    if n >= 1 << 31:
+        raise ValueError("places are 32-bit numbers")
+    per_task = per_task or max(1, iterations // (4 * spark.sparkContext.defaultParallelism))
+
+    def pack(key, table):
+        order = np.argsort(table.column("place").to_numpy())
+        return pa.table({"range": pa.array([key[0].as_py()], pa.int64())} | {c: pa.array([table.column(c).to_numpy()[order].astype(np.int64).tobytes()], pa.binary()) for c in ("tp", "fp", "fn")})
+
+    ranges = per_document.select("place", *(F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn"))).groupBy(F.expr(f"place div {places}").alias("_range")).applyInArrow(pack, "range long, tp binary, fp binary, fn binary")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in batch.column("id").to_pylist():
-                counts = np.zeros(n_documents, dtype=np.int32)
-                while done < (k + 1) * n_documents:
-                    if not len(left):
-                        left = (source.random_raw(step) >> shift).astype(np.int64)
-                        left = left[left < n_documents]
-                    # numbers up to the end of the range that `done` is in
-                    start = k * n_documents
-                    part = left[: (start if done < start else start + n_documents) - done]
-                    if done >= start:
-                        counts += np.bincount(part, minlength=n_documents).astype(np.int32)
-                    done, left = done + len(part), left[len(part) :]
-                at = np.flatnonzero(counts).astype(np.int32)
-                for a in range(0, len(at), step):
-                    own = at[a : a + step]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, dtype=np.int32)), pa.array(own), pa.array(counts[own])], names=["iteration", "place", "times"])
-
-    tasks = min(iterations, spark.sparkContext.defaultParallelism)
-    return spark.range(0, iterations, 1, tasks).mapInArrow(draw, schema)
+            k, times, *counts = (c.to_pylist() for c in batch.columns)
+            sums = [[int(np.frombuffer(t, np.int32).astype(np.int64) @ np.frombuffer(c, np.int64)) for t, c in zip(times, own, strict=True)] for own in counts]
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), *(pa.array(x, pa.int64()) for x in sums)], ["iteration", "tp", "fp", "fn"])
+
+    draws = packed_draws(generator_states(spark, n, iterations, per_task, seed), n, -(-iterations // per_task), places, group)
+    rows = draws.join(ranges, "range").select("iteration", "times", "tp", "fp", "fn").mapInArrow(add, "iteration int, tp long, fp long, fn long")
+    return metric(rows.groupBy("iteration").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn"))))
 
 
 def bootstrap(per_document: DataFrame, draws: DataFrame) -> DataFrame:

@@ -84,7 +84,7 @@ def with_conditions(rows: DataFrame) -> DataFrame:
     step = lambda k: F.coalesce(group(F.col("_s"), TIMESTEP, k), group(F.col("_s"), TIMESTEP, k + 2))
     return rows.withColumns(
         {
-            "temperature_k": group(F.col("_t"), TEMPERATURE, 1).cast("double"),
+            "temperature_k": units.number(group(F.col("_t"), TEMPERATURE, 1)),
             "pressure_bar": units.pressure_bar(group(F.col("_p"), PRESSURE, 1), group(F.col("_p"), PRESSURE, 2)),
             "timestep_fs": units.timestep_fs(step(1), step(2)),
             "replicates": units.count_of(group(F.col("_r"), REPLICATES, 1)),

@@ -83,8 +83,8 @@ def _events(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def ev_attr_counter(spark: SparkSession, sf: str) -> DataFrame:
-    rows = comparison.attribute_counts(_events(spark, sf)[0])
-    return rows.groupBy("event_type", "attribute").agg(F.count(F.lit(1)).alias("n_keys"), F.sum("n").alias("n"))
+    own = [comparison.attribute_counts(df).withColumn("side", F.lit(side)) for df, side in zip(_events(spark, sf), ("predicted", "reference"), strict=True)]
+    return own[0].unionByName(own[1]).groupBy("side", "event_type", "attribute").agg(F.count(F.lit(1)).alias("n_keys"), F.sum("n").alias("n"))
 
 
 def ev_metric(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,12 +95,17 @@ def ev_confusion(spark: SparkSession, sf: str) -> DataFrame:
     return comparison.confusion(*_events(spark, sf))
 
 
+def _placed(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    """Documents' counts by place in the order of ids, and how many there are."""
+    scratch = staging.Scratch(spark, "bootstrap")
+    counts = scratch.stage(comparison.article_counts(*_events(spark, sf)), "counts")
+    return staging.numbered(counts, ["document_id"], "place", scratch=scratch).drop("document_id"), counts.count()
+
+
 def ev_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     """The attributes' F1 over DRAWS resamples of all documents with replacement, drawn by a hash that SQL has too; `ev_interval` has the seeded
     generator's."""
-    counts = comparison.article_counts(*_events(spark, sf))
-    per = counts.withColumn("place", F.row_number().over(Window.orderBy("document_id")) - 1).drop("document_id")
-    n = counts.count()
+    per, n = _placed(spark, sf)
     numbers = spark.range(n * DRAWS).select(F.expr(f"id div {max(n, 1)}").alias("iteration"), (F.col("id") % max(n, 1)).alias("turn"))
     drawn = F.conv(F.substring(F.md5(F.concat_ws("|", "iteration", "turn")), 1, 12), 16, 10).cast("long") % max(n, 1)
     draws = numbers.select("iteration", drawn.alias("place"))
@@ -110,11 +115,8 @@ def ev_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
 
 def ev_interval(spark: SparkSession, sf: str) -> DataFrame:
     """The interval of the attributes' F1 over draws of Python's generator; the places are documents in order of id."""
-    counts = comparison.article_counts(*_events(spark, sf))
-    per = counts.withColumn("place", F.row_number().over(Window.orderBy("document_id")) - 1).drop("document_id")
-    draws = comparison.resampled(spark, counts.count())
-    # Spark takes the draws for a small table and would broadcast them
-    return comparison.interval(comparison.bootstrap(F.broadcast(per), draws))
+    per, n = _placed(spark, sf)
+    return comparison.interval(comparison.seeded_bootstrap(per, n))
 
 
 def _responses(spark: SparkSession, sf: str) -> DataFrame:
@@ -481,7 +483,7 @@ ORACLES = {
     "ann_compare": with_fixtures(["annotations_a", "annotations_b"], f"SELECT *, {_AGREEMENT} FROM (SELECT 'semantic' AS level, * FROM ({_agree(comparison.SEMANTIC)}) s UNION ALL SELECT 'exact' AS level, * FROM ({_agree(comparison.EXACT)}) e) l"),
     "ann_by_field": with_fixtures(["annotations_a", "annotations_b"], f"SELECT *, {_AGREEMENT} FROM ({_agree(comparison.SEMANTIC, 'field_name')}) f"),
     "ann_adjudicate": with_fixtures(["annotations_a", "annotations_b"], " UNION ALL ".join(f"SELECT *, '{s}' AS source, 'pending' AS status FROM (SELECT {', '.join(comparison.EXACT)} FROM annotations_{s} EXCEPT SELECT {', '.join(comparison.EXACT)} FROM annotations_{o}) {s}1" for s, o in ("ab", "ba"))),
-    "ev_attr_counter": with_fixtures(["predictions"], f"SELECT event_type, attribute, count(DISTINCT (document_id, value)) AS n_keys, count(*) AS n FROM ({_unpivoted('predictions')}) u GROUP BY 1, 2"),
+    "ev_attr_counter": with_fixtures(["predictions", "references_"], " UNION ALL ".join(f"SELECT '{side}' AS side, event_type, attribute, count(DISTINCT (document_id, value)) AS n_keys, count(*) AS n FROM ({_unpivoted(t)}) {t[0]} GROUP BY 2, 3" for side, t in (("predicted", "predictions"), ("reference", "references_")))),
     "ev_metric": with_fixtures(["predictions", "references_"], "").rstrip() + ",\n" + _LEVELS + "\n" + _METRIC,
     "ev_confusion": with_fixtures(["predictions", "references_"], "").rstrip() + ",\n" + _CONFUSION,
     "ev_bootstrap": with_fixtures(["predictions", "references_"], "").rstrip() + f""",

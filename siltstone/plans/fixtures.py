@@ -42,7 +42,7 @@ FIXTURES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "candidates": (
         ("documents",),
-        f"""SELECT CAST(row_number() OVER (ORDER BY k, again) AS BIGINT) AS position, CASE WHEN k % 23 = 0 THEN 'X' ELSE CASE WHEN again = 1 THEN 'pmc' ELSE 'PMC' END END || {text('k')} AS document_id,
+        f"""SELECT CAST(2 * k + again + 1 AS BIGINT) AS position, CASE WHEN k % 23 = 0 THEN 'X' ELSE CASE WHEN again = 1 THEN 'pmc' ELSE 'PMC' END END || {text('k')} AS document_id,
           CASE WHEN k % 17 = 0 THEN NULL ELSE CAST(2014 + k % 9 AS INT) END AS year, CASE WHEN k % 31 = 0 THEN ' ' ELSE source END AS stratum, k % 13 <> 0 AS full_text_available
         FROM (SELECT doc_id AS k, source, 0 AS again FROM documents UNION ALL SELECT doc_id AS k, source, 1 AS again FROM documents WHERE doc_id % 10 = 0) q""",
     ),

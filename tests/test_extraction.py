@@ -17,6 +17,8 @@ CASES = [
     ("Production MD simulations ran for 2 us.", [dict(duration_ps=2_000_000.0)]),
     ("The production trajectory starts at 0.0 ns and continues for 100 ns.", [dict(duration_ps=100_000.0)]),
     ("😀 production for 1,000 ns, then 7 ns", [dict(duration_ps=7000.0, start_char=32)]),
+    ("Production MD simulations ran for ٣٠ ns at ３００ K in ५ runs.", [dict(duration_ps=30_000.0, temperature_k=300.0, replicates=5)]),
+    ("Production MD simulations ran for " + "9" * 400 + " ns in 99999999999 runs.", [dict(duration_ps=float("inf"), replicates=None)]),
     ("", []),
     (None, []),
 ]
@@ -38,6 +40,28 @@ def test_offsets_count_code_points(spark):
     assert [(x["quote"], text[x["start"] : x["end"]]) for x in found] == [("7 ns", "7 ns"), ("12.5 ps", "12.5 ps"), ("3 NS", "3 NS")]
 
 
+def test_private_characters_stay_in_quotes(spark):
+    """A text that holds the separator has quotes that are its own, at its own places."""
+    text = "x\ue000 7\ue0007 ns and\ue000 12\u00a0ps"
+    found = spark.createDataFrame([(text,)], "t string").select(matches(F.col("t"), r"\S*7 ns|12.ps").alias("m")).first()["m"]
+    assert [(x["quote"], text[x["start"] : x["end"]]) for x in found] == [("7\ue0007 ns", "7\ue0007 ns"), ("12\u00a0ps", "12\u00a0ps")]
+
+
+def test_digits_of_any_script(spark):
+    """Whatever a pattern takes for a number is read as one or is null, in candidates as in events."""
+    from siltstone.functions import units
+
+    texts = ["٣٠", "३.५", "３００", "𝟗", "12", "1.5", "x", "", None, "٣٠x", "²"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(units.number(F.col("t")), units.count_of(F.col("t"))).collect()
+    assert [r[0] for r in rows] == [30.0, 3.5, 300.0, 9.0, 12.0, 1.5, None, None, None, None, None]
+    assert [r[1] for r in rows] == [30, None, 300, 9, 12, None, None, None, None, None, None]
+    own = "Production ran for ٣٠ ns."
+    change = {"quote": own, "end_char": len(own), "duration": ("٣٠ ns", 30.0, "ns"), "temperature": None, "pressure": None, "timestep": None, "ensemble": None, "replicates": None}
+    proposals = spark.createDataFrame([tuple((GOOD | change).values())], SCHEMA)
+    row = candidates.judged(proposals, spark.createDataFrame([("D", "P", own)], "document_id string, paragraph_id string, text string")).first()
+    assert (row["reject_reason"], row["duration_ps"]) == (None, 30_000.0)
+
+
 def test_evidence_errors(spark):
     own = spark.createDataFrame([("D", "S", "P", "A production run of 5 ns.")], "document_id string, section string, paragraph_id string, text string")
     rows = events.extract_events(own)

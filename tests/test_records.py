@@ -2,6 +2,7 @@ import json
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,9 +40,26 @@ def test_confusion_equals_pairing_one_by_one(spark):
     assert {(x["reference_phase"], x["predicted_phase"]): x["n"] for x in got} == dict(want)
 
 
-@pytest.mark.parametrize("n", [1, 4, 61, 128])
-def test_resamples_on_executors(spark, n):
-    assert sorted(map(tuple, comparison.resampled(spark, n, iterations=50).collect())) == sorted(comparison.resamples(n, iterations=50))
+@pytest.mark.parametrize(("n", "places", "group"), [(1, 4, 8), (7, 4, 8), (64, 16, 32), (150, 16, 32), (3000, 1 << 16, 1 << 24)])
+def test_resamples_on_executors(spark, monkeypatch, n, places, group):
+    """Draws by ranges of iterations and groups of places are those of Python's generator, whatever the block."""
+    monkeypatch.setattr(comparison, "BLOCK", 257)
+    states = comparison.generator_states(spark, n, 50, 8)
+    rows = comparison.packed_draws(states, n, 7, places, group).collect()
+    got = [(r["iteration"], r["range"] * places + at, int(times)) for r in rows for at, times in enumerate(np.frombuffer(r["times"], np.int32)) if times]
+    assert sorted(got) == sorted(comparison.resamples(n, iterations=50))
+    assert len(rows) == 50 * -(-n // places)
+
+
+def test_seeded_bootstrap(spark):
+    per = [(k, k % 5, k % 3, k % 7) for k in range(300)]
+    df = spark.createDataFrame(per, "place long, tp long, fp long, fn long").repartition(5)
+    sums = {k: [0, 0, 0] for k in range(40)}
+    for k, at, times in comparison.resamples(300, iterations=40):
+        sums[k] = [a + times * b for a, b in zip(sums[k], per[at][1:], strict=True)]
+    rows = comparison.seeded_bootstrap(df, 300, iterations=40, places=32, group=64)
+    assert {r["iteration"]: [r["tp"], r["fp"], r["fn"]] for r in rows.collect()} == sums
+    assert comparison.seeded_bootstrap(df.limit(0), 0).count() == 0
 
 
 def test_interval_draws_documents(spark, tmp_path):
