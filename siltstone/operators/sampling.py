@@ -8,6 +8,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.commitment import root_of
+
 #: The seed and the sizes of the splits.
 SEED, SIZES = 3997, (30, 10, 20)
 SPLITS = ("development", "validation", "locked_test")
@@ -76,14 +78,24 @@ def create_plan(candidates: DataFrame, excluded: DataFrame, *, seed: int = SEED,
 
 
 def commitment(plan: DataFrame, exclusions: DataFrame, settings: dict) -> str:
-    """The hash that commits a plan: its settings, its splits in order, and what was left out and why."""
+    """The hash that commits a plan: its settings, its splits in order, and what was left out and why.
+
+    The exclusions, of any number, enter by the root of their tree in order of position, so that a proof can show one of them.
+    """
     rows = plan.select("split", "order", "identifier").orderBy("order").collect()  # the plan's size
     core = dict(settings) | {name: [r["identifier"] for r in rows if r["split"] == name] for name in SPLITS}
-    left_out = exclusions.select("position", "document_id", "reason").orderBy("position")
-    digest = hashlib.sha256()
-    for r in left_out.toLocalIterator():
-        digest.update(f"{r['document_id']}\t{r['reason']}\n".encode())
-    return canonical_sha256(core | {"exclusions_sha256": digest.hexdigest()})
+    left_out = root_of(exclusions.select("position", "document_id", "reason"), ["position"])
+    return canonical_sha256(core | {"exclusions_root": left_out})
+
+
+def manifest_root(articles: DataFrame) -> str:
+    """The commitment that a manifest bears: the root of its rows' tree in order of id, all columns included."""
+    return root_of(articles, ["document_id"])
+
+
+def manifest_intact(articles: DataFrame, stored: str | None) -> bool:
+    """Whether a manifest's rows are those that its stored commitment was made of."""
+    return stored is not None and manifest_root(articles) == stored
 
 
 def gate_plan(excluded: DataFrame, *, lock: bool, year_max: int | None = None, require_year: bool = False, temporal: bool = False) -> list[str]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import staging
-from siltstone.operators import articles, candidates, comparison, events, facts, residues, sampling, storage, validation
+from siltstone.operators import articles, candidates, commitment, comparison, events, facts, residues, sampling, storage, validation
 from siltstone.plans.extraction import ORACLES as _EXTRACTION
 from siltstone.plans.extraction import FACT_TABLES as _FACTS
 from siltstone.plans.extraction import extract_events
@@ -62,6 +62,13 @@ def manifest_check(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.manifest_errors(rows)
 
 
+def plan_commit(spark: SparkSession, sf: str) -> DataFrame:
+    """What commits a plan to the candidates that it left out: how many there are, and the root of their tree in order of position."""
+    rows = _reasons(spark, sf).filter("reason is not null").select("position", "document_id", "reason")
+    tree = commitment.Tree(rows, ["position"])
+    return tree.levels[-1].select(F.lit(tree.n).cast("long").alias("n"), F.sha2(F.concat(F.lit(f"{tree.n}:"), "digest"), 256).alias("root"))
+
+
 def _annotations(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return fixture(spark, sf, "annotations_a"), fixture(spark, sf, "annotations_b")
 
@@ -389,7 +396,7 @@ def llm_id_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return candidates.accepted(*_proposals(spark, sf)).select("event_id", "candidate_id", "duration_ps")
 
 
-QUERIES = {f.__name__: f for f in (plan_exclude, plan_rank, plan_roundrobin, plan_split, finalize, workpack, manifest_check, ann_compare, ann_by_field, ann_adjudicate, ev_attr_counter, ev_metric, ev_confusion, ev_bootstrap, ev_interval, val_retrieve, val_pdb, val_uniprot, val_mapping, val_segments, val_discover, val_cascade, val_cascade_records, val_completeness, val_summary, record_completeness, integ_summary, sifts_rows, residue_compose, residue_audit, atom_audit, atom_examples, residue_atoms, audit_gate, finite_traj, align_fit, align_assign, sink_store, store_search, store_count, xml_paragraphs, xml_metadata, method_paragraphs, search_candidates, packet_check, freeze_articles, integ_counts, accept_gate, packet, llm_accept, llm_id_dedup, structure_read)}
+QUERIES = {f.__name__: f for f in (plan_exclude, plan_rank, plan_roundrobin, plan_split, finalize, workpack, manifest_check, ann_compare, ann_by_field, ann_adjudicate, ev_attr_counter, ev_metric, ev_confusion, ev_bootstrap, ev_interval, val_retrieve, val_pdb, val_uniprot, val_mapping, val_segments, val_discover, val_cascade, val_cascade_records, val_completeness, val_summary, record_completeness, integ_summary, sifts_rows, residue_compose, residue_audit, atom_audit, atom_examples, residue_atoms, audit_gate, finite_traj, align_fit, align_assign, sink_store, store_search, store_count, xml_paragraphs, xml_metadata, method_paragraphs, search_candidates, packet_check, freeze_articles, integ_counts, accept_gate, packet, llm_accept, llm_id_dedup, structure_read, plan_commit)}
 
 _EXCLUDE = """reasoned AS (SELECT *, CASE WHEN ok_before < position THEN 'duplicate_document_id' ELSE own END AS reason FROM (SELECT *, min(CASE WHEN own IS NULL THEN position END) OVER (PARTITION BY identifier) AS ok_before FROM
  (SELECT *, upper(document_id) AS identifier, CASE WHEN upper(document_id) IN (SELECT upper(document_id) FROM exclusions) THEN 'previous_development_article' WHEN NOT full_text_available THEN 'full_text_unavailable' WHEN NOT starts_with(upper(document_id), 'PMC') THEN 'missing_pmc_identifier' WHEN year IS NULL THEN 'missing_publication_year' WHEN year < 2016 THEN 'publication_year_below_window' WHEN year > 2020 THEN 'publication_year_above_window' END AS own FROM candidates) a) b),
@@ -480,6 +487,10 @@ ORACLES = {
     "finalize": _plan("""SELECT document_id, "order", split, CASE WHEN split IS NULL THEN CASE WHEN eligible = false THEN 'not_machine_eligible' ELSE 'eligible_reserve_not_selected' END END AS reason FROM named"""),
     "workpack": _plan("""SELECT document_id, split, row_number() OVER (PARTITION BY split ORDER BY "order") AS split_order, 'research-article' AS article_type, 'strong' AS status, false AS missing_screen FROM named WHERE split IS NOT NULL"""),
     "manifest_check": _plan("SELECT count(*) AS n_articles, count(*) = 60 AS size_ok, count(*) FILTER (split = 'development') = 30 AND count(*) FILTER (split = 'validation') = 10 AND count(*) FILTER (split = 'locked_test') = 20 AS splits_ok, count(DISTINCT identifier) = count(*) AS ids_ok FROM plan"),
+    "plan_commit": _plan("SELECT (SELECT count(*) FROM out) AS n, sha256((SELECT count(*) FROM out) || ':' || d) AS root FROM t6").replace("\nSELECT (SELECT", """,
+out AS (SELECT position, document_id, reason FROM reasoned WHERE reason IS NOT NULL),
+t0 AS (SELECT row_number() OVER (ORDER BY position) - 1 AS p, sha256('leaf:{"document_id":"' || document_id || '","position":' || position || ',"reason":"' || reason || '"}') AS d FROM out),
+""" + ",\n".join(f"t{k} AS (SELECT p // {commitment.FAN} AS p, CASE WHEN (SELECT count(*) FROM t{k - 1}) > 1 THEN sha256('node:' || string_agg(d, '' ORDER BY p)) ELSE min(d) END AS d FROM t{k - 1} GROUP BY p // {commitment.FAN})" for k in range(1, 7)) + "\nSELECT (SELECT", 1),
     "ann_compare": with_fixtures(["annotations_a", "annotations_b"], f"SELECT *, {_AGREEMENT} FROM (SELECT 'semantic' AS level, * FROM ({_agree(comparison.SEMANTIC)}) s UNION ALL SELECT 'exact' AS level, * FROM ({_agree(comparison.EXACT)}) e) l"),
     "ann_by_field": with_fixtures(["annotations_a", "annotations_b"], f"SELECT *, {_AGREEMENT} FROM ({_agree(comparison.SEMANTIC, 'field_name')}) f"),
     "ann_adjudicate": with_fixtures(["annotations_a", "annotations_b"], " UNION ALL ".join(f"SELECT *, '{s}' AS source, 'pending' AS status FROM (SELECT {', '.join(comparison.EXACT)} FROM annotations_{s} EXCEPT SELECT {', '.join(comparison.EXACT)} FROM annotations_{o}) {s}1" for s, o in ("ab", "ba"))),

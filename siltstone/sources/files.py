@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions.staging import Scratch
+from siltstone.operators.commitment import root_of
+
 ANNOTATION = "annotation_id string, document_id string, annotator_id string, field_name string, normalized_value string, unit string, event_type string, paragraph_id string, start_char int, end_char int, quote string, note string"
 CANDIDATE = "document_id string, title string, source_uri string, doi string, year int, software_family string, licence string, full_text_available boolean, source_sha256 string"
 EVENT = "event_id string, event_type string, duration_ps double, temperature_k double, pressure_bar double, timestep_fs double, ensemble string, restraints string, replicates int, confidence double"
@@ -77,10 +80,23 @@ def sorted_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def write_jsonl(df: DataFrame, path: str, order: list[str] | None = None) -> None:
-    """JSON lines with sorted keys; with an order, one file whose bytes don't vary."""
-    rows = sorted_json(df.orderBy(*order).coalesce(1) if order else df)
-    rows.write.mode("overwrite").text(path)
+def write_jsonl(df: DataFrame, path: str, order: list[str] | None = None) -> str | None:
+    """JSON lines with sorted keys. With an order the files follow each other in it by name, a range of it in each, and the
+    root of the lines' tree is returned, which doesn't depend on where one file ends and the next begins."""
+    if not order:
+        sorted_json(df).write.mode("overwrite").text(path)
+        return None
+    scratch = Scratch(df.sparkSession, "jsonl")
+    staged = scratch.stage(df, "rows")
+    sorted_json(staged.repartitionByRange(*order).sortWithinPartitions(*order)).write.mode("overwrite").text(path)
+    root = root_of(staged, order)
+    scratch.drop()
+    return root
+
+
+def jsonl_intact(df: DataFrame, order: list[str], root: str) -> bool:
+    """Whether rows read back are those that were written."""
+    return root_of(df, order) == root
 
 
 def write_workpack(rows: DataFrame, folder: str) -> None:
