@@ -10,13 +10,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions.matching import found
 from siltstone.operators.facts import TITLE_TERMS
-from siltstone.operators.screening import software_family
+from siltstone.operators.screening import METHOD_TITLE, screened, software_family
 
 #: Fixed value: where an article is read.
 ARTICLE_URL = "https://europepmc.org/articles/"
 
 PARAGRAPHS = "document_id string, section_index int, section string, paragraph_id string, text string, ordinal int, error string"
+FULL_TEXTS = "document_id string, text string, title string, article_type string, section_titles array<string>, full_text_sha256 string, xml_size_bytes long, error_type string, message string"
 METADATA = "document_id string, title string, doi string, article_type string, full_text_sha256 string, error string"
 
 
@@ -94,6 +96,56 @@ def from_search(rows: DataFrame) -> DataFrame:
     )
 
 
+def full_texts(articles: DataFrame) -> DataFrame:
+    """Rows of FULL_TEXTS: the body's text, the titles of its sections, and what an article failed for, if it did.
+
+    An article without content failed to be fetched; one that can't be parsed, to be read. Either is a row and stops nothing.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name, xml in zip(batch["document_id"], batch["content"], strict=True):
+                if xml is None:
+                    rows.append((name, None, None, None, None, None, None, "missing_source", "no content"))
+                    continue
+                root, error = parsed(xml)
+                digest, size = hashlib.sha256(bytes(xml)).hexdigest(), len(xml)
+                if error:
+                    rows.append((name, None, None, None, None, digest, size, "not_well_formed", error))
+                    continue
+                titles = [t for s in root.iterfind(".//body//sec") if (t := joined_text(s.find("title")))]
+                rows.append((name, joined_text(root.find(".//body")), joined_text(root.find(".//article-title")), root.get("article-type"), titles, digest, size, None, None))
+            out = pd.DataFrame(rows, columns=[x.split()[0] for x in FULL_TEXTS.split(", ")])
+            yield out.astype({"xml_size_bytes": "Int64"})
+
+    return articles.select("document_id", "content").mapInPandas(read, FULL_TEXTS)
+
+
+def screened_plan(plan: DataFrame, articles: DataFrame) -> DataFrame:
+    """Every planned article with its split and what the screen says, or with error_type and message in place of it.
+
+    plan: document_id, split; articles: document_id, content, one row an article. A planned article without a row failed too.
+    """
+    rows = plan.select("document_id", "split").join(articles.select("document_id", "content"), "document_id", "left")
+    own = screened(full_texts(rows))
+    titles = F.filter("section_titles", lambda t: found(t, METHOD_TITLE))
+    failed = F.col("error_type").isNotNull()
+    judged = lambda c: F.when(~failed, F.col(c)).alias(c)
+    own = own.select("document_id", "title", "article_type", "full_text_sha256", "xml_size_bytes", *(judged(c) for c in own.columns if c.startswith(("hits_", "domain_"))), judged("engine_mentions"), judged("status"), judged("eligible"), titles.alias("method_section_titles"), "error_type", "message")
+    return plan.select("document_id", "split").join(own, "document_id")
+
+
+def screen_report(rows: DataFrame) -> DataFrame:
+    """One row over screened_plan: how many were asked, screened and failed, how many are eligible, and the histograms of
+    status and of engines as maps; both have as many keys as there are patterns."""
+    failed = F.col("error_type").isNotNull()
+    out = rows.agg(F.count(F.lit(1)).alias("requested_articles"), F.count_if(~failed).alias("screened_articles"), F.count_if(failed).alias("failure_count"), F.count_if("eligible").alias("machine_eligible_count"))
+    histogram = lambda df, c, name: df.groupBy(F.col(c).alias("k")).agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(name))
+    engines = rows.filter(~failed).select(F.explode("engine_mentions").alias("engine"))
+    return out.crossJoin(histogram(rows.filter(~failed), "status", "status_counts")).crossJoin(histogram(engines, "engine", "engine_mention_counts"))  # one row each
+
+
 def packet_errors(plan: DataFrame, screen: DataFrame, files: DataFrame) -> DataFrame:
     """document_id and problem of each planned article that has no screen record or whose file isn't the one screened.
     screen: document_id, full_text_sha256; files: document_id, source_sha256."""

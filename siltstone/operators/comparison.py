@@ -286,3 +286,25 @@ def interval(iterations: DataFrame, quantiles: tuple[float, float] = INTERVAL) -
     values = iterations.agg(F.sort_array(F.collect_list("f1")).alias("f1"))
     at = lambda q: F.col("f1")[F.floor((F.size("f1") - 1) * q).cast("int")]
     return values.select(at(quantiles[0]).alias("low"), at(quantiles[1]).alias("high"))
+
+
+def pivoted(cells: DataFrame, phases: list[str]) -> DataFrame:
+    """The confusion as a table: a row for each reference phase (or spurious), a column for each predicted phase (and missed)."""
+    rows = cells.groupBy("reference_phase").pivot("predicted_phase", [*phases, MISSED]).agg(F.sum("n"))
+    return rows.na.fill(0)
+
+
+def report(predicted: DataFrame, reference: DataFrame, bounds: DataFrame) -> DataFrame:
+    """One row with all that an evaluation states: articles, the three levels with their metrics, the attributes' interval, and the
+    confusion as a map of maps. bounds: low and high, as `interval` gives them; every part is one row."""
+    articles = predicted.select("document_id").union(reference.select("document_id")).agg(F.count_distinct("document_id").alias("article_count"))
+    cell = F.struct(*(F.col(c) for c in ("tp", "fp", "fn", "precision", "recall", "f1")))
+    levels = evaluated(predicted, reference).agg(*(F.any_value(F.when(F.col("level") == n, cell), True).alias(n) for n in LEVELS))
+    rows = confusion(predicted, reference).groupBy("reference_phase").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("predicted_phase", "n")))).alias("row"))
+    cells = rows.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reference_phase", F.map_entries("row").alias("row"))))).alias("_cells"))
+    cells = cells.select(F.transform_values("_cells", lambda _, v: F.map_from_entries(v)).alias("duration_phase_confusion"))
+    out = articles.crossJoin(levels).crossJoin(bounds.select(F.array("low", "high").alias("interval"))).crossJoin(cells)
+    return out.select(
+        "article_count", F.col("event").alias("event_exact"), F.col("attribute").alias("event_attribute"), F.col("interval").alias("article_bootstrap_95_ci_f1"), "duration_phase", "duration_phase_confusion",
+        F.lit(ITERATIONS).alias("bootstrap_iterations"), F.lit(SEED).alias("bootstrap_seed"),
+    )

@@ -17,6 +17,8 @@ from siltstone.operators.screening import atom_name, one_letter
 MATCH, MISMATCH, GAP = 2, -1, -2
 #: Limits of the audits.
 MIN_IDENTITY, MIN_CHAIN_IDENTITY, MIN_PDB_COVERAGE, MIN_UNIPROT_COVERAGE, EXAMPLES = 0.999, 0.95, 0.95, 0.90, 30
+#: Positions of the narrowest bins of segments, as a power of two.
+FIRST_BITS = 6
 ALIGNED = "score int, pairs array<struct<md:int,pdb:int>>, matches int, mismatches int, md_insertions int, pdb_deletions int"
 
 
@@ -148,20 +150,40 @@ def usable_segments(segments: DataFrame) -> DataFrame:
     return segments.dropna(subset=["pdb_start", "pdb_end", "uniprot_start", "uniprot_end"])
 
 
+def _shift() -> Column:
+    """The width, as a power of two, of the bins in which a segment touches two at most: FIRST_BITS, then three bits more each."""
+    fits = lambda bits: F.shiftright(F.col("pdb_end").cast("long"), bits) - F.shiftright(F.col("pdb_start").cast("long"), bits) <= 1
+    return F.coalesce(*(F.when(fits(b), b) for b in range(FIRST_BITS, 40, 3)))
+
+
+def covering(pairs: DataFrame, segments: DataFrame, condition: Column) -> DataFrame:
+    """Pairs, left-joined with the segments of their chain that cover their number, under a further condition.
+
+    A range condition alone would put a chain in one task. So segments go to bins of positions, each to the two at most that it touches at
+    the width that suits its length, and a pair to its bin at each width in use. Chain, width and bin are the key, the
+    range is checked in full, and no match is found twice, as a pair is in one bin of a segment's width.
+    """
+    binned = segments.filter("pdb_start <= pdb_end").withColumn("_bits", _shift())
+    edges = lambda bits: F.array_distinct(F.array(F.expr(f"shiftright(CAST(pdb_start AS BIGINT), {bits})"), F.expr(f"shiftright(CAST(pdb_end AS BIGINT), {bits})")))
+    binned = binned.withColumn("_bin", F.explode(edges("_bits")))
+    widths = sorted(r["_bits"] for r in binned.select("_bits").distinct().collect()) or [FIRST_BITS]  # a dozen at most
+    rows = pairs.withColumn("_width", F.explode(F.array(*map(F.lit, widths)))).withColumn("_at", F.expr("shiftright(CAST(pdb_number AS BIGINT), _width)"))
+    on = condition & (F.col("pdb_chain") == F.col("chain_id")) & (F.col("_width") == F.col("_bits")) & (F.col("_at") == F.col("_bin")) & F.col("pdb_number").between(F.col("pdb_start"), F.col("pdb_end"))
+    return rows.join(binned, on, "left").drop("_width", "_at", "_bits", "_bin")
+
+
 def composed(pairs: DataFrame, segments: DataFrame, expected: list[str] | None = None) -> DataFrame:
     """Adds n_matching, uniprot_accession, uniprot_number and status to aligned residue pairs.
 
-    pairs: md_chain, md_resid, md_letter, pdb_chain, pdb_number, pdb_letter. Segments of a chain that cover the residue
-    are joined on the chain with the range as a residual condition; a chain has few segments.
+    pairs: md_chain, md_resid, md_letter, pdb_chain, pdb_number, pdb_letter.
     """
     own = usable_segments(segments)
     if expected:
         own = own.filter(F.col("uniprot_accession").isin(*expected))
     rows = pairs.withColumn("_row", F.monotonically_increasing_id()).withColumn("sequence_match", F.coalesce(F.col("md_letter") == F.col("pdb_letter"), F.lit(False)))
-    on = F.col("sequence_match") & (F.col("pdb_chain") == F.col("chain_id")) & F.col("pdb_number").between(F.col("pdb_start"), F.col("pdb_end"))
     keys = ["md_chain", "md_resid", "md_letter", "pdb_chain", "pdb_number", "pdb_letter", "sequence_match"]
     valid = F.col("pdb_end") - F.col("pdb_start") == F.col("uniprot_end") - F.col("uniprot_start")
-    rows = rows.join(own, on, "left").groupBy("_row", *keys).agg(
+    rows = covering(rows, own, F.col("sequence_match")).groupBy("_row", *keys).agg(
         F.count("chain_id").alias("n_matching"), F.count_if(valid).alias("n_valid"),
         F.min(F.when(valid, F.struct("uniprot_accession", (F.col("uniprot_start") + F.col("pdb_number") - F.col("pdb_start")).alias("number")))).alias("_one"),
     )
@@ -173,13 +195,57 @@ def composed(pairs: DataFrame, segments: DataFrame, expected: list[str] | None =
     return rows.select(*keys, "n_matching", F.when(one, F.col("_one.uniprot_accession")).alias("uniprot_accession"), F.when(one, F.col("_one.number")).alias("uniprot_number"), status.alias("status"))
 
 
-def residue_audit(rows: DataFrame, n_pdb: Column, n_ambiguous: Column) -> DataFrame:
-    """One row of counts, coverages and status over composed residues."""
+def chain_audits(scored: DataFrame, assignments: DataFrame, pdb_sizes: DataFrame) -> DataFrame:
+    """The chosen alignments with identity and coverage. scored: structure_id, md_chain, pdb_chain and the columns of ALIGNED;
+    assignments: as `assigned` gives them; pdb_sizes: structure_id, chain_id, n."""
+    chosen = assignments.select("structure_id", "md_chain", "pdb_chain", "ambiguous", "method")
+    rows = scored.join(chosen, ["structure_id", "md_chain", "pdb_chain"]).join(pdb_sizes.select("structure_id", F.col("chain_id").alias("pdb_chain"), F.col("n").alias("_n")), ["structure_id", "pdb_chain"], "left")
+    both = F.col("matches") + F.col("mismatches")
+    n = F.greatest(F.coalesce("_n", F.lit(0)), F.lit(1))
+    return rows.withColumns({"identity": F.col("matches") / F.greatest(both, F.lit(1)), "pdb_residue_coverage": both / n}).drop("_n")
+
+
+def mapped_pairs(chosen: DataFrame, md: DataFrame, pdb: DataFrame) -> DataFrame:
+    """The residue pairs of chosen alignments, as `composed` takes them, with structure_id. md, pdb: structure_id, chain_id,
+    sequence_index (from 1), one_letter, number."""
+    rows = chosen.select("structure_id", "md_chain", "pdb_chain", F.explode("pairs").alias("p")).filter("p.md is not null and p.pdb is not null").select("structure_id", "md_chain", "pdb_chain", F.col("p.md").alias("_i"), F.col("p.pdb").alias("_j"))
+    side = lambda df, s, at: df.select("structure_id", F.col("chain_id").alias(f"{s}_chain"), F.col("sequence_index").alias(at), F.col("one_letter").alias(f"{s}_letter"), F.col("number").alias("md_resid" if s == "md" else "pdb_number"))
+    return rows.join(side(md, "md", "_i"), ["structure_id", "md_chain", "_i"]).join(side(pdb, "pdb", "_j"), ["structure_id", "pdb_chain", "_j"]).drop("_i", "_j")
+
+
+def residue_audit(rows: DataFrame, n_pdb: DataFrame, n_ambiguous: DataFrame) -> DataFrame:
+    """One row of counts, coverages and status over composed residues. n_pdb, n_ambiguous: a row and column each, the residues of
+    the entry and the chains with several best partners."""
     verified, wrong = F.count_if(F.col("status") == "verified_md_to_pdb_to_uniprot"), F.count_if(~F.col("sequence_match"))
-    total = F.greatest(n_pdb, F.lit(1))
     out = rows.agg(F.count(F.lit(1)).alias("mapped_md_to_pdb"), verified.alias("mapped_to_uniprot"), wrong.alias("sequence_mismatches"))
+    out = out.crossJoin(n_pdb.toDF("pdb_residues")).crossJoin(n_ambiguous.toDF("ambiguous_chains"))  # one row each
+    return _audited(out)
+
+
+def _audited(out: DataFrame) -> DataFrame:
+    total = F.greatest("pdb_residues", F.lit(1))
     status = F.when((F.col("mapped_to_uniprot") > 0) & (F.col("sequence_mismatches") == 0), "verified").when(F.col("mapped_to_uniprot") > 0, "review").otherwise("failed")
-    return out.withColumns({"ambiguous_chains": n_ambiguous, "pdb_coverage": F.col("mapped_md_to_pdb") / total, "uniprot_coverage": F.col("mapped_to_uniprot") / total, "status": status})
+    return out.withColumns({"pdb_coverage": F.col("mapped_md_to_pdb") / total, "uniprot_coverage": F.col("mapped_to_uniprot") / total, "status": status})
+
+
+def structure_audits(scored: DataFrame, md: DataFrame, pdb: DataFrame, segments: DataFrame, expected: list[str] | None = None) -> DataFrame:
+    """A row for each structure: its chains' assignment, identity and coverage, what maps, and the status that `accepted` judges.
+
+    scored: all pairs of chains with the columns of ALIGNED; segments: structure_id, chain_id and the rest. Structures are
+    told apart in the chains' names, so one join serves all.
+    """
+    sizes = pdb.groupBy("structure_id", "chain_id").agg(F.count(F.lit(1)).alias("n"))
+    chains = chain_audits(scored, assigned(scored), sizes)
+    named = lambda c: F.concat_ws("\x1f", "structure_id", c)
+    pairs = mapped_pairs(chains, md, pdb).withColumns({"md_chain": named("md_chain"), "pdb_chain": named("pdb_chain")}).drop("structure_id")
+    rows = composed(pairs, segments.withColumn("chain_id", named("chain_id")).drop("structure_id"), expected).withColumn("structure_id", F.split_part("md_chain", F.lit("\x1f"), F.lit(1)))
+    verified, wrong = F.count_if(F.col("status") == "verified_md_to_pdb_to_uniprot"), F.count_if(~F.col("sequence_match"))
+    counts = rows.groupBy("structure_id").agg(F.count(F.lit(1)).alias("_mapped"), verified.alias("_verified"), wrong.alias("_wrong"))
+    all_pdb = sizes.groupBy("structure_id").agg(F.sum("n").alias("pdb_residues"))
+    same = lambda: F.sum("matches") / F.greatest(F.sum(F.col("matches") + F.col("mismatches")), F.lit(1))
+    by = chains.groupBy("structure_id").agg(F.count(F.lit(1)).alias("n_chains"), F.count_if("ambiguous").alias("ambiguous_chains"), same().alias("identity"), F.min("identity").alias("least_identity"))
+    out = by.join(all_pdb, "structure_id", "left").join(counts, "structure_id", "left").na.fill(0)
+    return _audited(out.withColumnsRenamed({"_mapped": "mapped_md_to_pdb", "_verified": "mapped_to_uniprot", "_wrong": "sequence_mismatches"}))
 
 
 def accepted(audit: DataFrame) -> DataFrame:

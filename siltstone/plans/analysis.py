@@ -109,6 +109,14 @@ def _placed(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
     return staging.numbered(counts, ["document_id"], "place", scratch=scratch).drop("document_id"), counts.count()
 
 
+def ev_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    return comparison.pivoted(comparison.confusion(*_events(spark, sf)), ["A", "N", "R"])
+
+
+def ev_report(spark: SparkSession, sf: str) -> DataFrame:
+    return comparison.report(*_events(spark, sf), ev_interval(spark, sf))
+
+
 def ev_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     """The attributes' F1 over DRAWS resamples of all documents with replacement, drawn by a hash that SQL has too; `ev_interval` has the seeded
     generator's."""
@@ -215,7 +223,10 @@ def residue_compose(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def residue_audit(spark: SparkSession, sf: str) -> DataFrame:
-    return residues.residue_audit(_composed(spark, sf), F.lit(100_000), F.lit(2))
+    """The entry's residues are the distinct ones of its chains; a chain is ambiguous if a simulation's chain pairs with more than one."""
+    pairs = fixture(spark, sf, "residue_pairs")
+    several = pairs.groupBy("pdb_chain").agg(F.count_distinct("md_chain").alias("n")).agg(F.count_if(F.col("n") > 1).alias("n"))
+    return residues.residue_audit(_composed(spark, sf), pairs.agg(F.count_distinct("pdb_chain", "pdb_number").alias("n")), several)
 
 
 def _atoms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -275,6 +286,17 @@ def align_assign(spark: SparkSession, sf: str) -> DataFrame:
     return residues.assigned(_chains(spark, sf))
 
 
+def structure_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """The chains of the benchmark's letters mapped from end to end: alignment, assignment, composition with one segment a chain that covers its
+    residues from the tenth on, audit and acceptance."""
+    scored = _chains(spark, sf)
+    letters = lambda side: scored.select("structure_id", F.col(f"{side}_chain").alias("chain_id"), F.col(f"{side}_sequence").alias("s")).distinct()
+    at = lambda df: df.select("structure_id", "chain_id", F.posexplode(F.regexp_extract_all("s", F.lit("(?s)."), F.lit(0))).alias("i", "one_letter")).select("structure_id", "chain_id", (F.col("i") + 1).alias("sequence_index"), "one_letter", (F.col("i") + 1).alias("number"))
+    n = F.length("s")
+    segments = letters("pdb").select("structure_id", "chain_id", F.lit("P00001").alias("uniprot_accession"), F.lit(10).alias("pdb_start"), n.alias("pdb_end"), F.lit(110).alias("uniprot_start"), (n + 100).alias("uniprot_end"))
+    return residues.accepted(residues.structure_audits(scored, at(letters("md")), at(letters("pdb")), segments))
+
+
 def sink_store(spark: SparkSession, sf: str) -> DataFrame:
     """Two versions of a tenth of the ids; the last write stays."""
     rows = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_totalprice")
@@ -291,6 +313,23 @@ def store_search(spark: SparkSession, sf: str) -> DataFrame:
     return storage.search(*_store(spark, sf), pdb_id="1a3b", accession="p4")
 
 
+def store_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """The store after two writes: every segment's document, and then those of even number again with other structures. What a search finds, and
+    how many rows of each table count."""
+    store = storage.Store(spark, f"{staging.Scratch(spark, 'store').path}/store")
+    own = fixture(spark, sf, "segments").withColumn("document_id", F.concat(F.lit("D"), (F.col("segment_id") % 97).cast("string")))
+    rows = lambda df, shift: {
+        "articles": df.select("document_id").distinct().select("document_id", *(F.lit(None).cast("string").alias(c) for c in ("title", "doi", "source_uri", "full_text_sha256")), F.concat(F.lit(f'{{"version":{shift}}}')).alias("record_json")),
+        "residue_mappings": df.select("document_id", F.concat(F.lit("1A"), ((F.col("segment_id") + shift) % 10).cast("string"), F.lit("B")).alias("pdb_id"), F.concat("uniprot_accession", F.lit("0000")).alias("uniprot_accession"), "chain_id", "pdb_start", "pdb_end", "uniprot_start", "uniprot_end"),
+    }
+    store.write(rows(own, 0))
+    store.write(rows(own.filter("segment_id % 97 % 2 = 0"), 5))
+    view = store.view()
+    found = view.search(pdb_id="1a3b").select(F.lit("found").alias("kind"), F.col("document_id").alias("name"), F.lit(1).cast("long").alias("n"))
+    held = view.table("residue_mappings").groupBy("pdb_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit("mappings").alias("kind"), F.col("pdb_id").alias("name"), "n")
+    return found.union(held).union(view.table("articles").groupBy("record_json").agg(F.count(F.lit(1)).alias("n")).select(F.lit("articles").alias("kind"), F.col("record_json").alias("name"), "n"))
+
+
 def store_count(spark: SparkSession, sf: str) -> DataFrame:
     return _store(spark, sf)[1].agg(F.count_distinct("document_id").alias("n"))
 
@@ -396,7 +435,7 @@ def llm_id_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return candidates.accepted(*_proposals(spark, sf)).select("event_id", "candidate_id", "duration_ps")
 
 
-QUERIES = {f.__name__: f for f in (plan_exclude, plan_rank, plan_roundrobin, plan_split, finalize, workpack, manifest_check, ann_compare, ann_by_field, ann_adjudicate, ev_attr_counter, ev_metric, ev_confusion, ev_bootstrap, ev_interval, val_retrieve, val_pdb, val_uniprot, val_mapping, val_segments, val_discover, val_cascade, val_cascade_records, val_completeness, val_summary, record_completeness, integ_summary, sifts_rows, residue_compose, residue_audit, atom_audit, atom_examples, residue_atoms, audit_gate, finite_traj, align_fit, align_assign, sink_store, store_search, store_count, xml_paragraphs, xml_metadata, method_paragraphs, search_candidates, packet_check, freeze_articles, integ_counts, accept_gate, packet, llm_accept, llm_id_dedup, structure_read, plan_commit)}
+QUERIES = {f.__name__: f for f in (plan_exclude, plan_rank, plan_roundrobin, plan_split, finalize, workpack, manifest_check, ann_compare, ann_by_field, ann_adjudicate, ev_attr_counter, ev_metric, ev_confusion, ev_bootstrap, ev_interval, val_retrieve, val_pdb, val_uniprot, val_mapping, val_segments, val_discover, val_cascade, val_cascade_records, val_completeness, val_summary, record_completeness, integ_summary, sifts_rows, residue_compose, residue_audit, atom_audit, atom_examples, residue_atoms, audit_gate, finite_traj, align_fit, align_assign, sink_store, store_search, store_count, xml_paragraphs, xml_metadata, method_paragraphs, search_candidates, packet_check, freeze_articles, integ_counts, accept_gate, packet, llm_accept, llm_id_dedup, structure_read, plan_commit, store_versions, structure_audit, ev_pivot, ev_report)}
 
 _EXCLUDE = """reasoned AS (SELECT *, CASE WHEN ok_before < position THEN 'duplicate_document_id' ELSE own END AS reason FROM (SELECT *, min(CASE WHEN own IS NULL THEN position END) OVER (PARTITION BY identifier) AS ok_before FROM
  (SELECT *, upper(document_id) AS identifier, CASE WHEN upper(document_id) IN (SELECT upper(document_id) FROM exclusions) THEN 'previous_development_article' WHEN NOT full_text_available THEN 'full_text_unavailable' WHEN NOT starts_with(upper(document_id), 'PMC') THEN 'missing_pmc_identifier' WHEN year IS NULL THEN 'missing_publication_year' WHEN year < 2016 THEN 'publication_year_below_window' WHEN year > 2020 THEN 'publication_year_above_window' END AS own FROM candidates) a) b),
@@ -497,6 +536,7 @@ t0 AS (SELECT row_number() OVER (ORDER BY position) - 1 AS p, sha256('leaf:{"doc
     "ev_attr_counter": with_fixtures(["predictions", "references_"], " UNION ALL ".join(f"SELECT '{side}' AS side, event_type, attribute, count(DISTINCT (document_id, value)) AS n_keys, count(*) AS n FROM ({_unpivoted(t)}) {t[0]} GROUP BY 2, 3" for side, t in (("predicted", "predictions"), ("reference", "references_")))),
     "ev_metric": with_fixtures(["predictions", "references_"], "").rstrip() + ",\n" + _LEVELS + "\n" + _METRIC,
     "ev_confusion": with_fixtures(["predictions", "references_"], "").rstrip() + ",\n" + _CONFUSION,
+    "ev_pivot": with_fixtures(["predictions", "references_"], "").rstrip() + ",\n" + _CONFUSION.rpartition("\nSELECT")[0] + ",\ncells AS (SELECT" + _CONFUSION.rpartition("\nSELECT")[2] + ") SELECT reference_phase, " + ", ".join(f"CAST(coalesce(sum(n) FILTER (predicted_phase = '{x}'), 0) AS BIGINT) AS \"{x}\"" for x in ("A", "N", "R", comparison.MISSED)) + " FROM cells GROUP BY 1",
     "ev_bootstrap": with_fixtures(["predictions", "references_"], "").rstrip() + f""",
 counts AS (SELECT {_AV}, count(*) FILTER (s = 'p') AS p, count(*) FILTER (s = 'r') AS r FROM (SELECT *, 'p' AS s FROM ({_unpivoted('predictions')}) a UNION ALL SELECT *, 'r' AS s FROM ({_unpivoted('references_')}) b) u GROUP BY {_AV}),
 per AS (SELECT row_number() OVER (ORDER BY document_id) - 1 AS place, sum(least(p, r)) AS tp, sum(greatest(p - r, 0)) AS fp, sum(greatest(r - p, 0)) AS fn FROM counts GROUP BY document_id),
@@ -529,7 +569,7 @@ FROM (SELECT document_id || '|' || paragraph_id AS candidate_id, q, CASE WHEN k
  FROM (SELECT *, CAST(document_id AS BIGINT) * 3 + ordinal AS k, regexp_extract(text, '[0-9]+ [np]s at [0-9]+ K') AS q FROM paragraphs) a) b"""),
     "sifts_rows": with_fixtures(["segments"], "SELECT * FROM segments WHERE pdb_start IS NOT NULL AND pdb_end IS NOT NULL AND uniprot_start IS NOT NULL AND uniprot_end IS NOT NULL"),
     "residue_compose": with_fixtures(["residue_pairs", "segments"], "").rstrip() + ",\n" + _COMPOSED + "\nSELECT pdb_chain, pdb_number, status, CASE WHEN n_valid = 1 THEN acc END AS uniprot_accession, CASE WHEN n_valid = 1 THEN num END AS uniprot_number, count(*) AS n, CAST(sum(n_matching) AS BIGINT) AS n_matching FROM status GROUP BY 1, 2, 3, 4, 5",
-    "residue_audit": with_fixtures(["residue_pairs", "segments"], "").rstrip() + ",\n" + _COMPOSED + "\nSELECT mapped_md_to_pdb, mapped_to_uniprot, sequence_mismatches, 2 AS ambiguous_chains, mapped_md_to_pdb / 100000 AS pdb_coverage, mapped_to_uniprot / 100000 AS uniprot_coverage, CASE WHEN mapped_to_uniprot > 0 AND sequence_mismatches = 0 THEN 'verified' WHEN mapped_to_uniprot > 0 THEN 'review' ELSE 'failed' END AS status FROM (SELECT count(*) AS mapped_md_to_pdb, count(*) FILTER (status = 'verified_md_to_pdb_to_uniprot') AS mapped_to_uniprot, count(*) FILTER (NOT same) AS sequence_mismatches FROM status) q",
+    "residue_audit": with_fixtures(["residue_pairs", "segments"], "").rstrip() + ",\n" + _COMPOSED + "\nSELECT q.*, pdb_residues, ambiguous_chains, mapped_md_to_pdb / greatest(pdb_residues, 1) AS pdb_coverage, mapped_to_uniprot / greatest(pdb_residues, 1) AS uniprot_coverage, CASE WHEN mapped_to_uniprot > 0 AND sequence_mismatches = 0 THEN 'verified' WHEN mapped_to_uniprot > 0 THEN 'review' ELSE 'failed' END AS status FROM (SELECT count(*) AS mapped_md_to_pdb, count(*) FILTER (status = 'verified_md_to_pdb_to_uniprot') AS mapped_to_uniprot, count(*) FILTER (NOT same) AS sequence_mismatches FROM status) q, (SELECT count(DISTINCT (pdb_chain, pdb_number)) AS pdb_residues FROM residue_pairs) e, (SELECT count(*) FILTER (n > 1) AS ambiguous_chains FROM (SELECT count(DISTINCT md_chain) AS n FROM residue_pairs GROUP BY pdb_chain) f) g",
     "atom_audit": _atom("SELECT * FROM audit"),
     "atom_examples": _atom("SELECT * FROM (SELECT 'protein' AS scope, atom_index, am AS a_norm, bm AS b_norm, ar AS a_resname, br AS b_resname FROM atoms WHERE protein AND NOT (normal AND letter) ORDER BY atom_index LIMIT 30) p UNION ALL SELECT * FROM (SELECT 'other', atom_index, am, bm, ar, br FROM atoms WHERE NOT protein AND NOT normal ORDER BY atom_index LIMIT 30) o"),
     "residue_atoms": _atom("SELECT * FROM per_residue"),
@@ -542,6 +582,10 @@ FROM (SELECT document_id || '|' || paragraph_id AS candidate_id, q, CASE WHEN k
  FROM (SELECT l_suppkey % 10 AS f, dense_rank() OVER (PARTITION BY l_suppkey % 10 ORDER BY l_linenumber) AS frame, l_partkey AS p, l_quantity AS q, l_tax AS t FROM lineitem) r GROUP BY 1, 2""",
     "sink_store": "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 10 = 0 THEN 2 ELSE 1 END AS version FROM orders",
     "store_search": with_fixtures(["segments"], "SELECT DISTINCT CAST(segment_id % 97 AS VARCHAR) AS document_id FROM segments WHERE segment_id % 10 = 3 OR uniprot_accession = 'P4'"),
+    "store_versions": with_fixtures(["segments"], "").rstrip() + """,
+own AS (SELECT 'D' || segment_id % 97 AS d, '1A' || (segment_id + CASE WHEN segment_id % 97 % 2 = 0 THEN 5 ELSE 0 END) % 10 || 'B' AS p FROM segments)
+SELECT DISTINCT 'found' AS kind, d AS name, 1 AS n FROM own WHERE p = '1A3B' UNION ALL SELECT 'mappings', p, count(*) FROM own GROUP BY 2
+UNION ALL SELECT 'articles', '{"version":' || CASE WHEN CAST(substr(d, 2) AS INT) % 2 = 0 THEN 5 ELSE 0 END || '}', count(DISTINCT d) FROM own GROUP BY 2""",
     "store_count": with_fixtures(["segments"], "SELECT count(DISTINCT segment_id % 97) AS n FROM segments"),
 }
 ORACLES["integ_counts"] = _val(f"SELECT 'pdb_state' AS kind, state AS name, count(*) AS n FROM pdbs GROUP BY 2 UNION ALL SELECT 'mapping_state', state, count(*) FROM mapped GROUP BY 2 UNION ALL SELECT 'md_file_provenance', md_file_provenance, count(*) FROM ({ORACLES['record_completeness']}) c GROUP BY 2")

@@ -1,16 +1,20 @@
-"""A Spark data source for cursor-paged literature search, with bounded retries and a response cache.
+"""A Spark data source for cursor-paged literature search, with bounded retries and pages that later attempts find again.
 
-`spark.dataSource.register(Literature)`, then `spark.read.format("literature").options(query=..., most=...)`. The
+`spark.dataSource.register(Literature)`, then `spark.read.format("literature").options(query=..., most=...)`. A cursor's
+pages follow one another, so one query is one task; cut by days of publication, it is a task for each part. The
 transport is a parameter, so that everything but the network itself can be tested without one.
 """
 
 from __future__ import annotations
 
+import datetime
+import hashlib
 import json
 import time
 import urllib.error
 import urllib.parse
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -56,13 +60,17 @@ def with_retries(url: str, fetch: Callable[[str], Answer], sleep: Callable[[floa
     raise AssertionError
 
 
-def pages(query: str, most: int, fetch: Callable[[str], Answer] = fetched, sleep: Callable[[float], None] = time.sleep) -> Iterator[dict]:
-    """Results until there are `most`, a page is empty, or the cursor repeats."""
+def pages(query: str, most: int, fetch: Callable[[str], Answer] = fetched, sleep: Callable[[float], None] = time.sleep, *, service: str = SERVICE, kept: Cursors | None = None) -> Iterator[dict]:
+    """Results until there are `most`, a page is empty, or the cursor repeats. Pages that `kept` has aren't asked for again."""
     cursor, seen, found = "*", set(), 0
     while cursor not in seen:
+        answer = kept.page(len(seen)) if kept else None
+        if answer is None:
+            args = urllib.parse.urlencode({"query": query, "format": "json", "resultType": "core", "pageSize": PAGE, "cursorMark": cursor})
+            answer = json.loads(with_retries(f"{service}?{args}", fetch, sleep))
+            if kept:
+                kept.keep(len(seen), answer)
         seen.add(cursor)
-        args = urllib.parse.urlencode({"query": query, "format": "json", "resultType": "core", "pageSize": PAGE, "cursorMark": cursor})
-        answer = json.loads(with_retries(f"{SERVICE}?{args}", fetch, sleep))
         rows = answer.get("resultList", {}).get("result", [])
         if not rows:
             return
@@ -74,7 +82,35 @@ def pages(query: str, most: int, fetch: Callable[[str], Answer] = fetched, sleep
         cursor = answer.get("nextCursorMark") or cursor
 
 
+def hit_count(query: str, fetch: Callable[[str], Answer] = fetched, sleep: Callable[[float], None] = time.sleep, service: str = SERVICE) -> int:
+    args = urllib.parse.urlencode({"query": query, "format": "json", "resultType": "idlist", "pageSize": 1, "cursorMark": "*"})
+    return int(json.loads(with_retries(f"{service}?{args}", fetch, sleep)).get("hitCount") or 0)
+
+
+def parts_of(query: str, first_year: int, last_year: int, most: int, count: Callable[[str], int]) -> list[str]:
+    """The query cut into ranges of days of publication that have at most `most` hits each, and none without hits.
+
+    Ranges are halved until they are small enough or a day, so there are about as many counts as parts.
+    """
+    out: list[str] = []
+    todo = [(datetime.date(first_year, 1, 1), datetime.date(last_year, 12, 31))]
+    while todo:
+        start, end = todo.pop()
+        own = f"({query}) AND FIRST_PDATE:[{start} TO {end}]"
+        n = count(own)
+        if n > most and start < end:
+            middle = start + (end - start) // 2
+            todo += [(middle + datetime.timedelta(days=1), end), (start, middle)]
+        elif n:
+            out.append(own)
+    return out
+
+
 class Literature(DataSource):
+    """Options: query (several by line); most, results of each part; service. With first_year and last_year a query is cut
+    by days of publication into parts of part_size hits, a partition each. With cursors, a shared folder, a part that
+    fails is taken up again from the page it had come to."""
+
     @classmethod
     def name(cls) -> str:
         return "literature"
@@ -88,12 +124,44 @@ class Literature(DataSource):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.queries, self.most = options["query"].split("\n"), int(options.get("most", 1000))
+        self.queries, self.most = [q for q in options["query"].split("\n") if q.strip()], int(options.get("most", 1000))
+        self.service, self.cursors = options.get("service", SERVICE), options.get("cursors")
+        self.years = (int(options["first_year"]), int(options["last_year"])) if "first_year" in options else None
+        self.part_size = int(options.get("part_size", 1000))
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(q) for q in self.queries]
+        if not self.years:
+            return [InputPartition(q) for q in self.queries]
+        count = lambda q: hit_count(q, service=self.service)
+        return [InputPartition(p) for q in self.queries for p in parts_of(q, *self.years, self.part_size, count)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         names = [x.split()[0] for x in ROW.split(", ")]
-        for row in pages(partition.value, self.most):
+        kept = Cursors(self.cursors, partition.value) if self.cursors else None
+        for row in pages(partition.value, self.most, service=self.service, kept=kept):
             yield tuple(None if row.get(n) is None else str(row[n]) for n in names)
+
+
+class Cursors:
+    """The pages that a part has had, each a file of the shared folder by its number, so a new attempt asks only for the rest."""
+
+    def __init__(self, folder: str, query: str):
+        from siltstone.sources.remote import file_system
+
+        self.system, root = file_system(folder)
+        self.path = f"{root.rstrip('/')}/{hashlib.sha256(query.encode()).hexdigest()}"
+        self.system.create_dir(self.path)
+
+    def page(self, k: int) -> dict | None:
+        try:
+            with self.system.open_input_stream(f"{self.path}/{k:08d}.json") as f:
+                return json.loads(f.read())
+        except FileNotFoundError:
+            return None
+
+    def keep(self, k: int, answer: dict) -> None:
+        """Under another name first: a page is there whole or not at all."""
+        staged = f"{self.path}/_{k:08d}-{uuid.uuid4().hex}"
+        with self.system.open_output_stream(staged) as f:
+            f.write(json.dumps(answer).encode())
+        self.system.move(staged, f"{self.path}/{k:08d}.json")
