@@ -15,9 +15,14 @@ compared: where they differ, both must be names, numbers or units.
 A pair is contaminated if windows that are consistent or equal word for word cover MIN_SHARE of the item's tokens, or
 MIN_TOKENS. Windows with fewer than half of their tokens literal are evidence only where they are equal word for word.
 
-Null and empty texts match nothing; items with fewer than MIN_ITEM tokens are not looked for; repeated rows and
-documents with one doc_id are taken together, null ids too; other columns are ignored; an empty table on either side
-gives no pairs. A very long text is arrays of its words and window hashes within a row.
+Items of fewer than MIN_TEMPLATE tokens have too few to be a template, so they match word for word only, and where some
+of their words are signs, which are no tokens, as strings of code points, by hashed windows and then in full. So do items of up to
+MIN_TEMPLATE tokens in a script that puts no spaces between words.
+
+Null and empty texts match nothing. Each text is judged by itself, whatever rows share its id or have none: a pair of a
+document and an item is contaminated if one of the document's texts is, and `clean` only drops that text. Repeated rows share
+one judgement; other columns are ignored; an empty table on either side gives no pairs. A very long text is arrays of its
+words and window hashes within a row.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import common, native
 
-WINDOW, MIN_ITEM, MIN_SHARE, MIN_TOKENS = 8, 4, 0.5, 13
+WINDOW, MIN_TEMPLATE, MIN_SHARE, MIN_TOKENS = 8, 4, 0.5, 13
 #: A side of a join is broadcast up to so many rows, and shuffled beyond.
 BROADCAST_ROWS = 200_000
 #: Units of measure, currency and time.
@@ -41,6 +46,8 @@ INNER, OUTER, FIRST = "\x02", "\x03", "\x04"
 MARKS, SLOT = INNER + OUTER + FIRST, "\x01"
 SPACE = "[ \\t-\\r]"
 NAME = f"{SLOT}name"
+#: Scripts that don't part words by spaces.
+UNSPACED = "[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}]"
 #: A document's windows: capitals as names, words as they stand.
 FORMS = ("names", "raw")
 
@@ -108,9 +115,14 @@ def windows(df: DataFrame, key: str, sizes: list[int]) -> DataFrame:
     return out.select(key, "size", (F.col("at") % F.greatest(F.col("_n") - F.col("size") + 1, F.lit(1))).alias("place"), "hash")
 
 
+def loses_words() -> Column:
+    """Whether some of a text's words are signs alone, which are no tokens."""
+    return F.size(native.words_of(F.col("text"))) != F.size("tokens")
+
+
 def item_windows(items: DataFrame) -> DataFrame:
     """window (a number), item_id, n_tokens, size, item_place and the tokens, words and canonical tokens of each window."""
-    own = with_tokens(items.select("item_id", "text").distinct(), first=True).filter(F.size("tokens") >= MIN_ITEM)
+    own = with_tokens(items.select("item_id", "text").distinct(), first=True).filter((F.size("tokens") >= MIN_TEMPLATE) | ((F.size("tokens") > 0) & ~loses_words()))
     own = own.withColumn("size", F.least(F.size("tokens"), F.lit(WINDOW)))
     rows = own.withColumn("n_tokens", F.size("tokens")).withColumn("item_place", F.explode(F.sequence(F.lit(0), F.col("n_tokens") - F.col("size"))))
     part = lambda c: F.slice(c, F.col("item_place") + 1, F.col("size")).alias(c)
@@ -123,10 +135,10 @@ def item_hashes(wanted: DataFrame) -> DataFrame:
     with_word = lambda made, c: F.transform(made, lambda v: F.concat(v, F.array(c)))
     step = lambda made, z: F.when(z["either"], F.concat(with_word(made, z["c"]), with_word(made, F.lit(NAME)))).otherwise(with_word(made, z["c"]))
     read = F.aggregate("_both", F.array(F.array().cast("array<string>")), step)
-    readings = F.filter("_read", lambda v: F.size(F.filter(v, lambda w: ~is_slot(w))) * 2 >= F.size(v))
+    readings = F.filter("_read", lambda v: (F.size(v) >= MIN_TEMPLATE) & (F.size(F.filter(v, lambda w: ~is_slot(w))) * 2 >= F.size(v)))
     own = wanted.withColumn("_both", both).withColumn("_read", read).withColumn("_read", readings)
     own = own.withColumn("_hashes", F.explode(F.array_distinct(F.concat("_read", F.array("words")))))
-    sizes = [*range(MIN_ITEM, WINDOW + 1)]
+    sizes = [*range(1, WINDOW + 1)]
     own = native.with_window_hashes(own.withColumn("_hashes", F.transform("_hashes", lambda w: F.xxhash64(w))), "_hashes", sizes)
     chosen = F.coalesce(*(F.when(F.col("size") == s, F.col(f"w{s}")[0]) for s in sizes))
     return own.select("window", "item_id", "n_tokens", "size", "item_place", chosen.alias("hash")).distinct()
@@ -148,8 +160,34 @@ def judged(hits: DataFrame, own: DataFrame, place: list[str], name: str) -> Data
     return joined.select(*hits.columns, F.coalesce("_slots", F.lit(0)).cast("long").alias("n_slots"), F.coalesce("_same", F.lit(True)).alias(name))
 
 
-def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_tokens, n_windows, n_covered, n_slots, consistent and contaminated of each pair with a match."""
+def literal_matches(docs: DataFrame, items: DataFrame, scratch: common.Scratch) -> DataFrame | None:
+    """doc_id, row, item_id, n_tokens, n_windows: texts that hold an item that isn't words, code point by code point.
+
+    Case and runs of white space don't count. docs: doc_id, row, text. None if no item is of this kind.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), f"{SPACE}+", " "))
+    own = with_tokens(items.select("item_id", "text").distinct(), first=True).withColumn("n_tokens", F.size("tokens").cast("long")).withColumn("item", plain(F.col("text")))
+    signs = (F.col("n_tokens") < MIN_TEMPLATE) & loses_words()
+    own = own.filter((F.length("item") > 0) & ((F.col("n_tokens") == 0) | signs | ((F.col("n_tokens") <= MIN_TEMPLATE) & F.col("item").rlike(UNSPACED))))
+    characters = lambda c: F.transform(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), lambda x: F.xxhash64(x))
+    own = own.select("item_id", "n_tokens", "item", F.least(F.length("item"), F.lit(WINDOW)).alias("size"), characters(F.col("item")).alias("_h"))
+    own = native.with_window_hashes(own, "_h", [*range(1, WINDOW + 1)])
+    own = scratch.stage(own.select("item_id", "n_tokens", "item", "size", F.coalesce(*(F.when(F.col("size") == s, F.col(f"w{s}")[0]) for s in range(1, WINDOW + 1))).alias("hash")), "literals")
+    sizes = sorted(r["size"] for r in own.select("size").distinct().collect())  # WINDOW at most
+    if not sizes:
+        return None
+    texts = native.with_window_hashes(docs.withColumn("_plain", plain(F.col("text"))).withColumn("_h", characters(F.coalesce("_plain", F.lit("")))), "_h", sizes)
+    found = None
+    for s in sizes:
+        at = texts.select("doc_id", "row", "_plain", F.posexplode_outer(f"w{s}").alias("place", "_hash")).join(small(own.filter(F.col("size") == s), own.count()), F.col("_hash") == F.col("hash"))
+        at = at.filter(F.col("_plain").substr(F.col("place") + 1, F.length("item")) == F.col("item")).select("doc_id", "row", "item_id", "n_tokens", "place")
+        found = at if found is None else found.unionByName(at)
+    return found.distinct().groupBy("doc_id", "row", "item_id").agg(F.max("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_windows"))
+
+
+def text_matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, row (the text's hash), item_id, n_tokens, n_windows, n_covered, n_slots, consistent and contaminated of each
+    text and item with a match."""
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "decontaminate")
     wanted = scratch.stage(item_windows(items), "items")
@@ -184,18 +222,32 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     hits = judged(hits, hits, place, "consistent")
     hits = hits.withColumn("n_slots", F.when(F.col("consistent") | F.col("first"), F.col("n_slots")).otherwise(F.col("_sure")))
     hits = hits.withColumn("consistent", F.col("consistent") | (~F.col("first") & F.col("sure")))
+    key = ["doc_id", "row", "item_id"]
     # a match with inconsistent slots covers nothing but where it is equal word for word
-    covered = hits.filter("consistent or exact").select("doc_id", "item_id", F.explode(F.sequence("item_place", F.col("item_place") + F.col("size") - 1)).alias("at")).distinct().groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_covered"))
-    counted = hits.groupBy("doc_id", "item_id").agg(F.max("n_tokens").cast("long").alias("n_tokens"), F.count(F.lit(1)).alias("n_windows"), F.max("n_slots").alias("n_slots"), F.bool_or("consistent").alias("consistent"))
-    rows = counted.alias("w").join(covered.alias("c"), F.expr("w.doc_id <=> c.doc_id and w.item_id <=> c.item_id"), "left").select("w.*", F.coalesce("c.n_covered", F.lit(0)).cast("long").alias("n_covered"))
+    covered = hits.filter("consistent or exact").select(*key, F.explode(F.sequence("item_place", F.col("item_place") + F.col("size") - 1)).alias("at")).distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("n_covered"))
+    counted = hits.groupBy(*key).agg(F.max("n_tokens").cast("long").alias("n_tokens"), F.count(F.lit(1)).alias("n_windows"), F.max("n_slots").alias("n_slots"), F.bool_or("consistent").alias("consistent"))
+    rows = counted.alias("w").join(covered.alias("c"), F.expr("w.doc_id <=> c.doc_id and w.row = c.row and w.item_id <=> c.item_id"), "left").select("w.*", F.coalesce("c.n_covered", F.lit(0)).cast("long").alias("n_covered"))
     enough = (F.col("n_covered") >= MIN_SHARE * F.col("n_tokens")) | (F.col("n_covered") >= MIN_TOKENS)
-    return rows.withColumn("contaminated", enough)
+    rows = rows.withColumn("contaminated", enough)
+    literal = literal_matches(own, items, scratch)
+    if literal is None:
+        return rows
+    whole = literal.select(*key, "n_tokens", "n_windows", F.lit(0).cast("long").alias("n_slots"), F.lit(True).alias("consistent"), F.col("n_tokens").alias("n_covered"), F.lit(True).alias("contaminated"))
+    # an item may be found both ways
+    both = rows.unionByName(whole).groupBy(*key)
+    return both.agg(*(F.max(c).alias(c) for c in ("n_tokens", "n_windows", "n_slots")), F.bool_or("consistent").alias("consistent"), F.max("n_covered").alias("n_covered"), F.bool_or("contaminated").alias("contaminated"))
+
+
+def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The same for each document and item: the most of any of the document's texts, contaminated if one of them is."""
+    of = text_matches(docs, items).groupBy("doc_id", "item_id")
+    return of.agg(*(F.max(c).alias(c) for c in ("n_tokens", "n_windows", "n_slots")), F.bool_or("consistent").alias("consistent"), F.max("n_covered").alias("n_covered"), F.bool_or("contaminated").alias("contaminated"))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents without a contaminated pair."""
-    found = matches(docs, items).filter("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    """The rows whose text isn't contaminated; rows of the same id with other texts stay."""
+    found = text_matches(docs, items).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_row")), "left_anti")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

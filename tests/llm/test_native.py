@@ -100,7 +100,7 @@ def test_decontamination(spark, nothing):
     got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.matches(frame, items).collect()}
     assert {k for k, r in got.items() if r["contaminated"]} == {(1, 1), (2, 1), (5, 2), (None, 5)}
     assert not got[3, 1]["consistent"] and got[2, 1]["n_slots"] == 7
-    assert sorted(r["text"] or "" for r in decontaminate.clean(frame, items).collect()) == sorted(t or "" for d, t in docs if d in (3, 4, 6, 7, 8))
+    assert sorted(r["text"] or "" for r in decontaminate.clean(frame, items).collect()) == sorted(t or "" for d, t in docs if d in (3, 4, 6, 7, 8) or (t or "").startswith("again"))
     assert decontaminate.matches(nothing, items).count() == 0
     assert decontaminate.clean(frame, spark.createDataFrame([], "item_id long, text string")).count() == len(docs)
 
@@ -111,6 +111,32 @@ def contaminated(spark, item, doc):
     return {r["doc_id"] for r in rows if r["contaminated"]}
 
 
+def test_each_text_is_judged_by_itself(spark):
+    """Texts that share an id, or have none, don't add up and don't go together."""
+    words = [f"w{k}x" for k in range(18)]
+    item = " ".join(words)
+    half = lambda k: "some other words before " + " ".join(words[k : k + 8]) + " and others after it"
+    docs = [(1, half(0)), (1, half(9)), (1, "a clean text of the same document"), (2, half(0)), (None, "a clean text without an id"), (None, f"here: {item}"), (3, f"here: {item}"), (3, f"here: {item}"), (3, "clean"), (4, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    rows = {r["doc_id"]: r for r in decontaminate.matches(frame, items).collect()}
+    assert {k for k, r in rows.items() if r["contaminated"]} == {None, 3} and rows[1]["n_covered"] == rows[2]["n_covered"] == 8
+    kept = [tuple(r) for r in decontaminate.clean(frame, items).collect()]
+    assert sorted(kept, key=repr) == sorted((d for d in docs if d[1] is None or not d[1].startswith("here")), key=repr)
+
+
+def test_short_items_and_items_without_words(spark):
+    """Two words, one word, signs alone, and questions in scripts without spaces are found verbatim and not otherwise."""
+    items = [(1, "Define entropy"), (2, "Photosynthesis?"), (3, "2 + 3 * 4 = ?"), (4, "水的沸点是多少度？"), (5, "+ - * ="), (6, "Compute 5"), (7, "  "), (8, "ราคาเท่าไหร่")]
+    docs = [
+        "please define  Entropy, now", "we define the entropy", "on photosynthesis and light", "photo synthesis", "so 2 + 3 * 4 = ? and", "so 2 + 3 * 5 = ? and", "题目：水的沸点是多少度？答案", "水的沸点是多少",
+        "signs + -\n* = here", "signs + - = here", "compute 5 of them", "compute 6 of them", "ถามว่าราคาเท่าไหร่ครับ", "", None, "x" * 60_000 + " + - * =",
+    ]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    rows = decontaminate.matches(frame, spark.createDataFrame(items, "item_id long, text string")).filter("contaminated").collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == {(0, 1), (2, 2), (4, 3), (6, 4), (8, 5), (10, 6), (12, 8), (15, 5)}
+
+
 def test_decontamination_without_literal_tokens(spark):
     number = "Compute 12 + 7 - 3 * 4 / 2"
     assert contaminated(spark, number, [f"the quiz says: {number}, and so on", "the quiz says: compute 13 + 8 - 4 * 5 / 3"]) == {0}
