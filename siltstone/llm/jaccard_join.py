@@ -8,9 +8,10 @@
    group of matching size, and in each group every class with the group's first. Pairs are verified on whole texts.
 4. Strays: a group that shares a list with a large component but isn't in it is compared with random members of it.
 5. Last round: lists and groups that still hold several components go to the bucket of their smallest group, expanded
-   to classes. There every two of different components and matching size are compared: parity signatures bound the
-   difference of two sets, what they leave is compared shingle by shingle, and only links become rows. So a family of
-   thousands of near copies costs a few pairs a member, and one just under the limit costs no rows.
+   to classes. There every two of different components and matching size are compared. First only parity signatures
+   travel, a fraction of a byte for each byte of text, which bound the difference of two sets: a class stays if any other of
+   its bucket may link with it. The texts of those then meet, wider signatures and sets are compared, and only links
+   become rows. So a family of thousands of near copies costs a few pairs a member, and one just under the limit costs no rows.
 
 Two documents link when 100 * intersection >= 75 * union of their sets of five-word shingles. Documents without words
 link with nothing; a long text is whole in a task and its shingles take eight bytes each there. Rows with one doc_id are one document, linked if any of its texts is; a null doc_id links with
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 from siltstone.llm import common, shingles
 from siltstone.llm.components import components
 
-#: One sketch cell for two shingles, between these bounds; the most makes a bitmap of 8 MB, the only thing broadcast.
-LEAST_CELLS, MOST_CELLS, CHUNKS, HELD = 1 << 18, 1 << 26, 64, 40_000
+#: One sketch cell for eight shingles, between these bounds; the most makes a bitmap of 8 MB, the only thing broadcast.
+LEAST_CELLS, MOST_CELLS, CELL_SHINGLES, CHUNKS, HELD = 1 << 18, 1 << 26, 8, 64, 40_000
 BATCH_ROWS, MEMBERS, FLUSH = 512, 200, 1_000_000
 #: Rounds that compare what is apart from a family with random members of it, and the least size of a family in a list.
 ROUNDS, FAMILY = 2, 8
@@ -43,7 +44,7 @@ ROUNDS, FAMILY = 2, 8
 BLOCK_ROWS, BLOCK_SHINGLES = 2048, 2_000_000
 #: Bytes of text whose prefixes one task indexes.
 PART_BYTES = 1 << 27
-SETS = "doc_id long, n long, set_digest binary, prefix_digest binary, prefix binary"
+SETS = "doc_id long, n long, set_digest binary, prefix_digest binary, prefix binary, signature binary"
 LISTS = "h long, g long, n int, pivot long"
 
 
@@ -127,8 +128,8 @@ def document_sets(docs: DataFrame, bitmap, cells: int) -> DataFrame:
                     rare = own[is_common == 0]
                     prefixes.append(rare[:p] if len(rare) >= p else np.sort(np.concatenate((rare, own[is_common == 1][: p - len(rare)]))))
                 digest = lambda x: hashlib.blake2b(x.tobytes(), digest_size=16).digest()
-                columns = [rows.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(map(digest, sets), pa.binary()), pa.array(map(digest, prefixes), pa.binary()), pa.array([x.tobytes() for x in prefixes], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "set_digest", "prefix_digest", "prefix"])
+                columns = [rows.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(map(digest, sets), pa.binary()), pa.array(map(digest, prefixes), pa.binary()), pa.array([x.tobytes() for x in prefixes], pa.binary()), pa.array([signature(x) for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SETS.split(", ")])
 
     return docs.mapInArrow(build, SETS)
 
@@ -302,6 +303,49 @@ def signatures(sets: list[np.ndarray], width: int) -> np.ndarray:
     return out
 
 
+def levels(n: np.ndarray) -> np.ndarray:
+    """The size class of a set: 2 ** level > n, and at least 32."""
+    return np.maximum(np.int64(5), np.frexp(np.asarray(n, np.float64))[1]).astype(np.int64)
+
+
+def signature(own: np.ndarray) -> bytes:
+    """The narrow signature of a set, two to four bits for each shingle."""
+    return signatures([own], 1 << int(levels(len(own))) + 1)[0].tobytes() if len(own) else b""
+
+
+def may_link(n: np.ndarray, component: np.ndarray, block: np.ndarray, narrow: list[bytes]) -> np.ndarray:
+    """For each set whether any other of another component (and block, if there are two) is of matching size and no farther by
+    the narrow signatures than a link allows. Whole rows of signatures are compared at once."""
+    order = np.argsort(n, kind="stable")
+    n, component, block, level = n[order], component[order], block[order], levels(n[order])
+    across, out = block.min() != block.max(), np.zeros(len(n), bool)
+    last = np.searchsorted(3 * n, 4 * n, "right")
+    at, bits = {}, {}
+    for q in np.unique(level).tolist():
+        at[q] = (int(np.searchsorted(level, q)), int(np.searchsorted(level, q, "right")))
+        bits[q, 0] = np.stack([np.frombuffer(narrow[k], np.uint64) for k in order[slice(*at[q])]])
+        bits[q, 1] = _folded(bits[q, 0])
+    for q, (low, high) in at.items():
+        for i in range(low, high):
+            for fold, (start, end) in ((0, (i + 1, min(high, last[i]))), (1, (at[q + 1][0], min(at[q + 1][1], last[i])) if q + 1 in at else (0, 0))):
+                if end <= start:
+                    continue
+                apart = component[start:end] != component[i]
+                if across:
+                    apart &= block[start:end] != block[i]
+                js = np.flatnonzero(apart)
+                if len(js):
+                    first = at[q + fold][0]
+                    differ = np.bitwise_count(bits[q + fold, fold][js + (start - first)] ^ bits[q, 0][i - low]).sum(axis=1, dtype=np.int64)
+                    near = js[7 * differ <= n[js + start] + n[i]] + start
+                    if len(near):
+                        out[i] = True
+                        out[near] = True
+    back = np.empty(len(n), bool)
+    back[order] = out
+    return back
+
+
 def _folded(bits: np.ndarray) -> np.ndarray:
     half = bits.shape[1] // 2
     return bits[:, :half] ^ bits[:, half:]
@@ -318,7 +362,7 @@ def links_between(ids: list[int], component: np.ndarray, block: np.ndarray, sets
     n, root, block, sets, ids = n[order], component[order].copy(), block[order], [sets[k] for k in order], [ids[k] for k in order]
     across = block.min() != block.max()
     last = np.searchsorted(3 * n, 4 * n, "right")
-    level = np.maximum(np.int64(5), np.frexp(n.astype(np.float64))[1])  # 2 ** level > n
+    level = levels(n)
     found: list[tuple[int, int]] = []
     narrow, wide, at = {}, {}, {}
     for q in np.unique(level).tolist():
@@ -350,8 +394,8 @@ def links_between(ids: list[int], component: np.ndarray, block: np.ndarray, sets
     return found
 
 
-def compared(rows: DataFrame, docs: DataFrame, n_parts: int, scratch: common.Scratch, name: str) -> DataFrame:
-    """Links a, b between components, from every bucket of classes. rows: lead, r, c, n.
+def screened(rows: DataFrame, sets: DataFrame, n_parts: int, scratch: common.Scratch, name: str) -> DataFrame:
+    """lead, i, j, own, r, c of the classes that may link with another of their bucket. rows: lead, r, c, n; sets: doc_id, n, signature.
 
     A bucket of many texts is dealt in blocks, and every two of its blocks meet in one place.
     """
@@ -360,6 +404,34 @@ def compared(rows: DataFrame, docs: DataFrame, n_parts: int, scratch: common.Scr
     dealt = rows.join(sized, F.col("lead") == F.col("_lead")).withColumn("own", F.pmod(F.xxhash64("r"), F.col("blocks")).cast("int"))
     dealt = dealt.select("lead", "r", "c", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("lead", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "r", "c")
+    placed = dealt.join(sets.filter("n > 0").select("doc_id", "n", "signature").distinct(), F.col("r") == F.col("doc_id")).select("lead", "i", "j", "own", "r", "c", "n", "signature")
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def near() -> pa.RecordBatch:
+            own, r, c, n, bits = zip(*held, strict=True)
+            keep = np.flatnonzero(may_link(np.array(n, np.int64), np.array(c, np.int64), np.array(own), list(bits)))
+            columns = [pa.array([key[0]] * len(keep), pa.int64()), *(pa.array([k] * len(keep), pa.int32()) for k in key[1:]), pa.array([own[k] for k in keep], pa.int32()), *(pa.array([x[k] for k in keep], pa.int64()) for x in (r, c))]
+            return pa.RecordBatch.from_arrays(columns, names=["lead", "i", "j", "own", "r", "c"])
+
+        for batch in batches:
+            for part in slices(batch):
+                for lead, i, j, *row in zip(*(x.to_pylist() for x in part.columns), strict=True):
+                    if (lead, i, j) != key:
+                        if len(held) > 1:
+                            yield near()
+                        key, held = (lead, i, j), []
+                    held.append(row)
+        if len(held) > 1:
+            yield near()
+
+    found = placed.repartition(n_parts, "lead", "i", "j").sortWithinPartitions("lead", "i", "j").mapInArrow(pick, "lead long, i int, j int, own int, r long, c long")
+    return scratch.stage(found, name).distinct()
+
+
+def compared(dealt: DataFrame, docs: DataFrame, n_parts: int, scratch: common.Scratch, name: str) -> DataFrame:
+    """Links a, b between components, from every bucket of classes in blocks. dealt: lead, i, j, own, r, c."""
     # staged, so that the texts are not in two exchanges at a time
     placed = scratch.stage(dealt.join(docs, F.col("r") == F.col("doc_id")).select("lead", "i", "j", "own", "r", "c", "text"), f"{name}-texts")
 
@@ -406,7 +478,7 @@ def joined(docs: DataFrame) -> DataFrame:
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     n_bytes = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = common.partitions(spark, math.ceil(n_bytes / PART_BYTES))
-    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << max(0, math.ceil(math.log2(max(1, n_bytes / 6 / 2))))))
+    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << max(0, math.ceil(math.log2(max(1, n_bytes / 6 / CELL_SHINGLES))))))
     bitmap = spark.sparkContext.broadcast(sketched(own, cells, scratch))
     sets = scratch.stage(document_sets(own, bitmap, cells), "sets")
     known = sets.filter("n > 0 and doc_id is not null")
@@ -450,7 +522,7 @@ def joined(docs: DataFrame) -> DataFrame:
     scratch.drop("lists")
     rows = scratch.stage(apart.join(labels.select("g", "r", "c"), "g").select("lead", "r", "c").distinct().join(classes.groupBy("r").agg(F.max("n").alias("n")), "r"), "seats")
     if rows.limit(1).count():
-        more = compared(rows, texts, n_parts, scratch, "compared")
+        more = compared(screened(rows, sets, n_parts, scratch, "screened"), texts, n_parts, scratch, "compared")
         found = scratch.stage(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch, "stars9"), "found9")
     named = classes.join(found, F.col("r") == F.col("node"), "left").select(*keys, F.coalesce("component", F.col("r")).alias("component_id"))
     named = scratch.stage(named, "named")

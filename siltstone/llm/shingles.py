@@ -16,6 +16,8 @@ CHUNK_BYTES = 1 << 21
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
+#: What a byte adds to its word's polynomial.
+_VALUE = _FOLD.astype(np.uint64) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
@@ -29,6 +31,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_powers: list[np.ndarray] = []
+
+
+def powers(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of BASE and of its inverse. A worker keeps those that a chunk needs; a longer text has its own."""
+    if _powers and len(_powers[0]) >= count:
+        return _powers[0][:count], _powers[1][:count]
+    made = []
+    for base in (BASE, INVERSE):
+        factors = np.full(max(count, CHUNK_BYTES + 1), base, np.uint64)
+        factors[0] = 1
+        made.append(np.cumprod(factors, out=factors))
+    if count <= CHUNK_BYTES + 1:
+        _powers[:] = made
+    return made[0][:count], made[1][:count]
+
+
 def _words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first byte of each word of a buffer that ends in white space."""
     space = _SPACE[buf]
@@ -36,11 +55,9 @@ def _words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not space[0]:
         edge = np.concatenate(([0], edge))
     starts, ends = edge[0::2], edge[1::2]
-    power, back = np.full(len(buf), BASE, np.uint64), np.full(len(buf), INVERSE, np.uint64)
-    power[0] = back[0] = 1
-    power, back = np.cumprod(power), np.cumprod(back)
+    power, back = powers(len(buf))
     sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((_FOLD[buf].astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
+    np.cumsum(_VALUE[buf] * power, out=sums[1:])
     lengths = (ends - starts).astype(np.uint64)
     return mixed((sums[ends] - sums[starts]) * back[starts] + lengths * np.uint64(STEP)), starts
 

@@ -191,3 +191,26 @@ def test_family_just_under_the_limit_makes_no_rows(spark, monkeypatch):
     want = {k: find(k) for k in range(len(sets))}
     assert got == want and len(set(want.values())) > 100
     assert sum(made) < len(sets)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_signatures_lose_no_partner(seed):
+    """Whatever may link stays, in one block and between two; what is far from all others goes; powers are kept or made anew."""
+    rng = random.Random(seed)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    texts = [t for size in (8, 20, 40, 130, 500) for t in family(rng, words(size), 6, max(1, size // 30))] + [words(rng.randrange(5, 900)) for _ in range(60)]
+    sets = shingles.sets_of(texts)
+    n = np.array([len(s) for s in sets])
+    component = np.array([rng.randrange(40) for _ in texts])
+    for block in (np.zeros(len(texts), int), np.array([rng.randrange(2) for _ in texts])):
+        got = jaccard_join.may_link(n, component, block, [jaccard_join.signature(s) for s in sets])
+        want = np.zeros(len(texts), bool)
+        for i in range(len(texts)):
+            for j in range(i):
+                both = shingles.common_count(sets[i], sets[j])
+                if component[i] != component[j] and (block.max() == 0 or block[i] != block[j]) and 100 * both >= 75 * (n[i] + n[j] - both):
+                    want[i] = want[j] = True
+        assert want.any() and not (want & ~got).any()
+        assert got[-60:].sum() <= 3
+    long = " ".join(f"w{k}" for k in range(700_000))  # longer than a chunk
+    assert len(shingles.sets_of([long, "a b c d e"])[0]) == 699_996 and shingles.sets_of(["a b c d e"])[0].tolist() == shingles.sets_of([long[:50], "a b c d e"])[1].tolist()
