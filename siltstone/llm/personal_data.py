@@ -5,12 +5,13 @@
    sign, or groups of digits with spaces, dots, dashes and brackets between them, seven digits or more) is a mention. A
    mention's lexical patterns are the two words before it, the words on both sides, and the two words after it.
 3. Patterns and instances form a graph over the corpus, scored in ROUNDS rounds. Known positives are the seeds and what
-   earlier rounds accepted; known negatives are other instances that occur in NEGATIVE_SPREAD patterns or more (years,
-   versions); the rest is unknown and counts UNKNOWN_WEIGHT as a negative. A pattern with SUPPORT positives or more has
-   as confidence the lower end of Wilson's interval for its precision. An instance that isn't negative is as certain as
-   its patterns of MIN_CONFIDENCE together (noisy or), and of MIN_CONFIDENCE it is accepted: a positive of the next round,
-   so identifiers found in one round induce patterns in the next.
-4. Mentions of no fixed kind that such a pattern introduces, and whose instance is accepted, are added as kind "context".
+   earlier rounds accepted; known negatives are other instances that occur in NEGATIVE_SPREAD times as many patterns as
+   a seed does on the mean (years, versions); the rest is unknown and counts UNKNOWN_WEIGHT as a negative. A pattern with
+   SUPPORT positives or more has as confidence the lower end of Wilson's interval for its precision. An instance is as
+   certain as its patterns of MIN_CONFIDENCE together (noisy or); of MIN_CONFIDENCE, and with MIN_SHARE of all its patterns
+   among those, it is accepted: a positive of the next round, so identifiers found in one round induce patterns in the next.
+   All of these are rates, so copies of a corpus give the same identifiers as the corpus.
+4. All mentions of accepted instances that are of no fixed kind are added as kind "context", wherever they stand.
 
 Offsets are code points. Null texts are empty; repeated rows are judged each and are one instance; other columns are kept
 or ignored as the caller asks; an empty table gives no rows. A very long text is whole in a task and every scan of it is
@@ -25,10 +26,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.llm import common
 
-ROUNDS, SUPPORT, MIN_CONFIDENCE, UNKNOWN_WEIGHT, NEGATIVE_SPREAD, Z = 3, 5, 0.75, 0.5, 20, 1.0
+ROUNDS, SUPPORT, MIN_CONFIDENCE, UNKNOWN_WEIGHT, Z = 3, 5, 0.75, 0.5, 1.0
+#: How many times the mean patterns of a seed make an instance a negative, and the share of an instance's patterns that must be sure.
+NEGATIVE_SPREAD, MIN_SHARE = 6.0, 0.02
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns; an email is searched from its at sign, and digits are taken as whole runs.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -165,16 +169,18 @@ def scored(edges: DataFrame, scratch: common.Scratch) -> tuple[DataFrame, DataFr
     """The sure patterns, and the accepted instances. edges: pattern, instance, seed (of the pair), once each."""
     # an instance that is a seed anywhere is one everywhere
     spread = edges.groupBy("instance").agg(F.bool_or("seed").alias("positive"), F.count(F.lit(1)).alias("n"))
-    state = scratch.stage(spread.select("instance", "positive", (~F.col("positive") & (F.col("n") >= NEGATIVE_SPREAD)).alias("negative")), "state0")
+    usual = spread.filter("positive").agg(F.avg("n")).first()[0] or 0.0  # one number
+    state = scratch.stage(spread.select("instance", "n", "positive", (~F.col("positive") & (F.col("n") >= NEGATIVE_SPREAD * usual)).alias("negative")), "state0")
     share, n = F.col("pos") / F.col("n"), F.col("n")
     wilson = (share + Z * Z / (2 * n) - Z * F.sqrt(share * (1 - share) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
     for k in range(ROUNDS):
-        sums = edges.join(state, "instance").groupBy("pattern").agg(F.count_if("positive").alias("pos"), F.count_if("negative").alias("neg"), F.count(F.lit(1)).alias("all"))
+        sums = edges.join(state.drop("n"), "instance").groupBy("pattern").agg(F.count_if("positive").alias("pos"), F.count_if("negative").alias("neg"), F.count(F.lit(1)).alias("all"))
         weighed = sums.filter(F.col("pos") >= SUPPORT).withColumn("n", F.col("pos") + F.col("neg") + UNKNOWN_WEIGHT * (F.col("all") - F.col("pos") - F.col("neg")))
         sure = scratch.stage(weighed.select("pattern", wilson.alias("confidence")).filter(F.col("confidence") >= MIN_CONFIDENCE), f"patterns{k}")
-        doubt = edges.join(sure, "pattern").groupBy("instance").agg(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))).alias("doubt"))
-        certain = F.coalesce(1 - F.exp("doubt") >= MIN_CONFIDENCE, F.lit(False))
-        state = scratch.stage(state.join(doubt, "instance", "left").select("instance", (F.col("positive") | (~F.col("negative") & certain)).alias("positive"), "negative"), f"state{k + 1}")
+        doubt = edges.join(sure, "pattern").groupBy("instance").agg(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))).alias("doubt"), F.count(F.lit(1)).alias("n_sure"))
+        certain = F.coalesce((1 - F.exp("doubt") >= MIN_CONFIDENCE) & (F.col("n_sure") >= MIN_SHARE * F.col("n")), F.lit(False))
+        positive = F.col("positive") | certain
+        state = scratch.stage(state.join(doubt, "instance", "left").select("instance", "n", positive.alias("positive"), (F.col("negative") & ~positive).alias("negative")), f"state{k + 1}")
     return sure.select("pattern"), state.filter("positive").select("instance")
 
 
@@ -182,8 +188,8 @@ def accepted(staged: DataFrame, scratch: common.Scratch) -> DataFrame:
     """row and the spans of kind "context" there. staged: row, mentions."""
     each = staged.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
     edges = each.select("instance", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.bool_or("seed").alias("seed"))
-    sure, certain = scored(scratch.stage(edges, "edges"), scratch)
-    hits = each.filter(~F.col("seed")).select("row", "start", "end", "instance", F.explode("patterns").alias("pattern")).join(sure, "pattern", "left_semi").join(certain, "instance", "left_semi")
+    _, certain = scored(scratch.stage(edges, "edges"), scratch)
+    hits = each.filter(~F.col("seed")).select("row", "start", "end", "instance").join(certain, "instance", "left_semi")
     spans = hits.select("row", F.struct(F.lit("context").alias("kind"), "start", "end").alias("s")).distinct()
     return spans.groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("added"))
 
@@ -199,24 +205,33 @@ def detected(docs: DataFrame, keep: list[str]) -> DataFrame:
     return staged.drop("mentions").join(added.withColumnRenamed("row", "_row"), F.col("row") == F.col("_row"), "left").withColumn("added", F.coalesce("added", F.array().cast(SPANS))).drop("_row", "row")
 
 
+def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with its kind in angle brackets in place of each span, in one pass; of spans that overlap the first begins and the last ends."""
+    out, at = [], 0
+    for start, end, kind in sorted(spans):
+        if start >= at:
+            out += [text[at:start], f"<{kind.upper()}>"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in angle brackets, and n_chars, where there is one, counted anew."""
-    rows = detected(docs, docs.columns)
-    spans = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    at = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        clear = F.col("text").substr(acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        mark = F.when(s["start"] >= acc["at"], F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], clear, mark).alias("out"))
-
-    changed = F.size("base") + F.size("added") > 0
-    text = F.aggregate(spans, at, step, lambda acc: F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text"))))
-    rows = rows.withColumn("_text", F.when(changed, text).otherwise(F.col("text")))
+    rows = detected(docs, docs.columns).select("_kept", "text", F.concat("base", "added").alias("spans"))
+
+    def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(at, BATCH_ROWS)
+                spans = part.column(2).to_pylist()
+                new = [masked(t, [(s["start"], s["end"], s["kind"]) for s in own]) if own else t for t, own in zip(part.column(1).to_pylist(), spans, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(new, pa.string()), pa.array([bool(own) for own in spans])], ["_kept", "_text", "changed"])
+
+    out = rows.mapInArrow(mask, T.StructType([rows.schema["_kept"], T.StructField("_text", T.StringType()), T.StructField("changed", T.BooleanType())]))
     new = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_kept.n_chars"))
-    return rows.select(*(new.get(c, F.col("_kept")[c]).alias(c) for c in docs.columns))
+        new["n_chars"] = F.when(F.col("changed"), F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_kept.n_chars"))
+    return out.select(*(new.get(c, F.col("_kept")[c]).alias(c) for c in docs.columns))
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

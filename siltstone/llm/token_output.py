@@ -183,7 +183,10 @@ def write_ids(docs: DataFrame, to: str, path: str, *, end_id: int, words: bool =
     for r in counts:
         total[r["id"]] = r["n"]
     freq = rans.frequencies(total)
-    coded_groups(staged, freq, group_tokens).write.option("compression", "none").mode("overwrite").parquet(f"{to}/groups")
+    # the staged ids are read in splits of any order; each range has a file of its own, and files follow each other as ids do
+    coded = coded_groups(staged, freq, group_tokens).withColumn("_shard", F.split_part("segment", F.lit(":"), F.lit(1)).cast("int"))
+    in_order = coded.repartitionById(n_shards, "_shard").sortWithinPartitions("segment", "group").drop("_shard")
+    in_order.write.option("compression", "none").mode("overwrite").parquet(f"{to}/groups")
     spark.createDataFrame([(k, int(n)) for k, n in enumerate(freq) if n], "id int, freq int").coalesce(1).write.mode("overwrite").parquet(f"{to}/table")
     scratch.drop()
     return spark.read.schema(GROUPS).parquet(f"{to}/groups"), freq

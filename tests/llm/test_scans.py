@@ -118,7 +118,8 @@ def plainly_scored(edges):
     for p, i, _ in edges:
         of[p].add(i)
         on[i].add(p)
-    negative = {i for i, x in on.items() if len(x) >= personal_data.NEGATIVE_SPREAD and i not in seeds}
+    usual = sum(len(on[i]) for i in seeds) / len(seeds)
+    negative = {i for i, x in on.items() if len(x) >= personal_data.NEGATIVE_SPREAD * usual and i not in seeds}
     positive, sure = set(seeds), {}
     for _ in range(personal_data.ROUNDS):
         sure = {}
@@ -131,11 +132,37 @@ def plainly_scored(edges):
                 if low >= personal_data.MIN_CONFIDENCE:
                     sure[p] = low
         for i, own in on.items():
-            if i not in negative and 1 - math.prod(max(1 - sure[p], 1e-9) for p in own if p in sure) >= personal_data.MIN_CONFIDENCE:
+            if 1 - math.prod(max(1 - sure[p], 1e-9) for p in own if p in sure) >= personal_data.MIN_CONFIDENCE and sum(p in sure for p in own) >= personal_data.MIN_SHARE * len(own):
                 positive.add(i)
+                negative.discard(i)
     return set(sure), positive
 
 
+@pytest.mark.parametrize("copies", [1, 10])
+def test_identifiers_are_found_at_any_size(spark, copies):
+    """An identifier beside a sure pattern is marked there and in up to 20 other contexts; years in as many aren't, whatever the copies."""
+    rng = random.Random(8)
+    fill = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    around = lambda x: f"{fill()} {fill()} {x} {fill()} {fill()}"
+    rows = [around(f"write to user{k}@mail.example.com") for k in range(40)]
+    want = []
+    for k, others in enumerate((0, 4, 9, 14)):
+        rows += [around(f"write to ID-{k}-ABC-77")] + [around(f"ID-{k}-ABC-77") for _ in range(others)]
+        want += [f"ID-{k}-ABC-77"] * (1 + others)
+    rows += [around("2020-21") for _ in range(60)] + [around("write to 2020-21")]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(rows * copies)], "doc_id long, text string")
+    found = [r["text"][s["start"] : s["end"]] for r in personal_data.detected(docs, ["doc_id", "text"]).select("text", "added").collect() for s in r["added"]]
+    assert sorted(found) == sorted(want * copies)
+
+
+def test_masks_in_one_pass():
+    text = "a b@c.de f +12 345 678 g" + " x1@y.zz" * 200_000
+    spans = [(a, b, "email") for a, b in personal_data.emails(text)] + [(11, 22, "phone"), (13, 16, "context")]
+    start = time.perf_counter()
+    out = personal_data.masked(text, spans)
+    assert out == "a <EMAIL> f <PHONE> g" + " <EMAIL>" * 200_000 and time.perf_counter() - start < 3
+
+
 def test_second_round_patterns_find_identifiers(spark):
     """Seeds give the first pattern, what it finds gives the second, and that one identifiers no seed stands by."""
     rng = random.Random(5)

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from siltstone.llm import packing, rans, token_counts, token_output, tokens
@@ -151,3 +152,25 @@ def test_packing(spark, awkward, nothing):
             at += length
         assert at <= 256
     assert packing.packed(nothing, WORD).count() == 0
+
+
+def test_files_follow_each_other_as_ids_do(spark, tmp_path):
+    """Read by name and row, the part files have documents in ascending order and starts without gaps, however the staged ids are split."""
+    rows = [(k * 7 % 4001, f"text {k % 50} " + "ab " * (k % 40)) for k in range(4001)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+    try:
+        token_output.write_ids(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), f"file://{tmp_path}/a", BYTE, end_id=2, n_shards=6, group_tokens=3000)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    table = rans.Table(token_output.read_table(spark, f"file://{tmp_path}/a"))
+    starts = {r["doc_id"]: r["start"] for r in token_output.read_ids(spark, f"file://{tmp_path}/a").collect()}
+    found, at = [], 0
+    for part in sorted((tmp_path / "a/groups").glob("part-*.parquet")):
+        for r in pq.read_table(part).to_pylist():
+            names, sizes, _ = token_output.unpacked(r["data"], table)
+            for name, size in zip(names, sizes.tolist(), strict=True):
+                assert starts[name] == at
+                at += size
+            found += names
+    assert found == list(range(4001)) and len(list((tmp_path / "a/groups").glob("part-*.parquet"))) == 6
