@@ -5,13 +5,13 @@
 2. A document's prefix is its first n - ceil(3n/4) + 1 shingles: two documents that link share one there. Documents
    with equal prefixes and size form one group, and only groups are indexed; equal sets are one class.
 3. The index is dealt by shingle. First round: in each list of groups every group is paired with the list's smallest
-   group of matching size, and in each group every class with the group's first. Pairs are verified on whole texts.
+   group of matching size, and in each group every class with the group's first. Parity signatures, a fraction of a byte for
+   each byte of text, bound the difference of two sets; pairs that they leave are verified on whole texts.
 4. Strays: a group that shares a list with a large component but isn't in it is compared with random members of it.
 5. Last round: lists and groups that still hold several components go to the bucket of their smallest group, expanded
-   to classes. There every two of different components and matching size are compared. First only parity signatures
-   travel, a fraction of a byte for each byte of text, which bound the difference of two sets: a class stays if any other of
-   its bucket may link with it. The texts of those then meet, wider signatures and sets are compared, and only links
-   become rows. So a family of thousands of near copies costs a few pairs a member, and one just under the limit costs no rows.
+   to classes. There every two of different components and matching size are compared. First only signatures travel: a
+   class stays if any other of its bucket may link with it. The texts of those then meet, wider signatures and sets are
+   compared, and only links become rows. So a family of thousands of near copies costs a few pairs a member, and one just under the limit costs no rows.
 
 Two documents link when 100 * intersection >= 75 * union of their sets of five-word shingles. Documents without words
 link with nothing; a long text is whole in a task and its shingles take eight bytes each there. Rows with one doc_id are one document, linked if any of its texts is; a null doc_id links with
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from siltstone.llm import common, shingles
 from siltstone.llm.components import components
 
-#: One sketch cell for eight shingles, between these bounds; the most makes a bitmap of 8 MB, the only thing broadcast.
-LEAST_CELLS, MOST_CELLS, CELL_SHINGLES, CHUNKS, HELD = 1 << 18, 1 << 26, 8, 64, 40_000
+#: One sketch cell for sixteen shingles, between these bounds; the most makes a bitmap of 8 MB, the only thing broadcast.
+LEAST_CELLS, MOST_CELLS, CELL_SHINGLES, CHUNKS, HELD = 1 << 18, 1 << 26, 16, 64, 40_000
 BATCH_ROWS, MEMBERS, FLUSH = 512, 200, 1_000_000
 #: Rounds that compare what is apart from a family with random members of it, and the least size of a family in a list.
 ROUNDS, FAMILY = 2, 8
@@ -205,8 +205,39 @@ def prefix_lists(groups: DataFrame, n_parts: int) -> DataFrame:
     return groups.select("g", "n", "prefix").mapInArrow(pack, kind).repartition(n_parts, "part").mapInArrow(lists, LISTS)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n_parts: int, scratch: common.Scratch, name: str) -> DataFrame:
+def near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs a, b whose sizes and signatures let them link. sets: doc_id, n, signature; an id with several sets passes by any of them."""
+    own = sets.filter("n > 0").select("doc_id", "n", "signature").distinct()
+    side = lambda s: own.select(F.col("doc_id").alias(f"_{s}"), F.col("n").alias(f"n_{s}"), F.col("signature").alias(f"s_{s}"))
+    rows = pairs.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b")).filter("3 * greatest(n_a, n_b) <= 4 * least(n_a, n_b)")
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for m, n, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                if len(x) < len(y):
+                    x, y = y, x
+                while len(x) > len(y):  # sizes that may link are at most one size class apart
+                    x = _folded(x[None])[0]
+                keep.append(7 * int(np.bitwise_count(x ^ y).sum()) <= m + n)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return rows.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(bounded, "a long, b long").distinct()
+
+
+def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, texts, packed: a text goes to several places, and the exchange's own compression is the weaker one."""
+    packer = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        for part in slices(batch):
+            data = [packer.compress(x or b"") for x in part.columns[-1].cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(data, pa.binary())], names=part.schema.names)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n_parts: int, scratch: common.Scratch, name: str) -> DataFrame:
     """The pairs a, b that link. Each text goes once to each partner's place; a partner of many is put in several."""
+    pairs = scratch.stage(near(pairs, sets), f"{name}-near")
     counted = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k")).select(F.col("a").alias("_a"), F.ceil(F.col("k") / MEMBERS).cast("int").alias("places"))
     placed = pairs.join(counted, F.col("a") == F.col("_a")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("place"))
     heads = counted.select(F.col("_a").alias("a"), F.col("_a").alias("id"), F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.lit(0).alias("member"))
@@ -215,12 +246,12 @@ def verified(pairs: DataFrame, docs: DataFrame, n_parts: int, scratch: common.Sc
     rows = scratch.stage(targets.join(docs, F.col("id") == F.col("doc_id")).select("a", "place", "member", "id", "text"), f"{name}-texts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, heads_sets = None, []
+        key, heads_sets, unpacker = None, [], zstandard.ZstdDecompressor()
         for batch in batches:
             for rows in slices(batch):
                 a, place, member, ids = (rows.column(k).to_pylist() for k in range(4))
                 found: list[tuple[int, int]] = []
-                for k, own in enumerate(shingles.sets_of(rows.column(4).to_pylist())):
+                for k, own in enumerate(shingles.sets_of([unpacker.decompress(x) for x in rows.column(4).to_pylist()])):
                     if (a[k], place[k]) != key:
                         key, heads_sets = (a[k], place[k]), []
                     if not member[k]:
@@ -233,7 +264,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n_parts: int, scratch: common.Sc
                                 break
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
 
-    dealt = rows.repartition(n_parts, "a", "place").sortWithinPartitions("a", "place", "member")
+    dealt = rows.mapInArrow(shrink, "a long, place int, member int, id long, text binary").repartition(n_parts, "a", "place").sortWithinPartitions("a", "place", "member")
     found = scratch.stage(dealt.mapInArrow(compare, "a long, b long"), name)
     scratch.drop(f"{name}-texts")
     return found
@@ -347,6 +378,7 @@ def may_link(n: np.ndarray, component: np.ndarray, block: np.ndarray, narrow: li
 
 
 def _folded(bits: np.ndarray) -> np.ndarray:
+    """Signatures of half the width."""
     half = bits.shape[1] // 2
     return bits[:, :half] ^ bits[:, half:]
 
@@ -435,14 +467,6 @@ def compared(dealt: DataFrame, docs: DataFrame, n_parts: int, scratch: common.Sc
     # staged, so that the texts are not in two exchanges at a time
     placed = scratch.stage(dealt.join(docs, F.col("r") == F.col("doc_id")).select("lead", "i", "j", "own", "r", "c", "text"), f"{name}-texts")
 
-    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a text is in several buckets, and the exchange's own compression is the weaker one
-        packer = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            for part in slices(batch):
-                data = [packer.compress(x or b"") for x in part.column(6).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:6], pa.array(data, pa.binary())], names=part.schema.names)
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, unpacker = None, [], zstandard.ZstdDecompressor()
 
@@ -499,7 +523,7 @@ def joined(docs: DataFrame) -> DataFrame:
     texts_of = known.select("doc_id", *keys).distinct()
     several = texts_of.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("doc_id")
     repeated = texts_of.join(several, "doc_id").join(classes, keys).select(F.col("doc_id").alias("a"), F.col("r").alias("b"))
-    links = scratch.stage(verified(first, texts, n_parts, scratch, "checked1").union(repeated), "links1")
+    links = scratch.stage(verified(first, sets, texts, n_parts, scratch, "checked1").union(repeated), "links1")
     done = scratch.stage(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "done")
 
     def labelled(links: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
@@ -512,7 +536,7 @@ def joined(docs: DataFrame) -> DataFrame:
         picked = scratch.stage(strays(lists.select("h", "g", "n").join(labels.select("g", "c").distinct(), "g"), n_parts).join(done, ["a", "b"], "left_anti"), f"picked{k}")
         if not picked.limit(1).count():
             break
-        more = verified(picked, texts, n_parts, scratch, f"checked-picked{k}")
+        more = verified(picked, sets, texts, n_parts, scratch, f"checked-picked{k}")
         done = done.union(picked)
         found, labels = labelled(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), k + 2)
     # what is still apart, in full
