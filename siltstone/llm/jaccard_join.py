@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +41,8 @@ BATCH_ROWS, MEMBERS, FLUSH = 512, 200, 1_000_000
 ROUNDS, FAMILY = 2, 8
 #: A bucket beyond these is dealt in blocks: rows, and shingles of all of them.
 BLOCK_ROWS, BLOCK_SHINGLES = 2048, 2_000_000
+#: Rows of one or two ids that are broadcast at most, counted before, to leave what they are joined with where it is.
+MOST_IDS = 500_000
 #: Bytes of text whose prefixes one task indexes.
 PART_BYTES = 1 << 27
 SETS = "doc_id long, n long, set_digest binary, prefix_digest binary, prefix binary, signature binary"
@@ -57,10 +58,13 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, BATCH_ROWS)
 
 
-def sketched(docs: DataFrame, cells: int, scratch: common.Scratch) -> np.ndarray:
-    """A bitmap of the cells whose count is far over the mean. Tasks' sketches are summed in two steps; a task counts a cell
-    up to HELD, sums have no bound, so that the order still tells common shingles at any size."""
-    width = cells // CHUNKS
+def sketched(docs: DataFrame, cells: int, n_parts: int, scratch: common.Scratch) -> np.ndarray:
+    """A bitmap of the cells whose count is far over the mean. Tasks' sketches are summed in two steps, first by about the
+    square root of their number; a task counts a cell up to HELD, sums have no bound, so that the order still tells
+    common shingles at any size."""
+    width, sums_of = cells // CHUNKS, max(4, min(64, math.isqrt(n_parts)))
+    pack = lambda x: zstandard.ZstdCompressor(level=1).compress(_planes(x))
+    unpack = lambda data, kind: _from_planes(zstandard.ZstdDecompressor().decompress(data.as_py()), kind)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, since = np.zeros(cells, np.uint16), 0
@@ -74,8 +78,8 @@ def sketched(docs: DataFrame, cells: int, scratch: common.Scratch) -> np.ndarray
                     since = 0
         np.minimum(total, HELD, out=total)
         if total.any():
-            data = [zlib.compress(total[k * width : (k + 1) * width].astype("<u2").tobytes(), 1) for k in range(CHUNKS)]
-            task = TaskContext.get().partitionId() % 64
+            data = [pack(total[k * width : (k + 1) * width].astype("<u2")) for k in range(CHUNKS)]
+            task = TaskContext.get().partitionId() % sums_of
             yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([task] * CHUNKS, pa.int32()), pa.array(data, pa.binary())], names=["chunk", "part", "data"])
 
     def added(kind: str):
@@ -83,8 +87,8 @@ def sketched(docs: DataFrame, cells: int, scratch: common.Scratch) -> np.ndarray
             total = np.zeros(width, np.uint64)
             for batch in batches:
                 for data in batch.column("data"):
-                    total += np.frombuffer(zlib.decompress(data.as_py()), kind)
-            data = zlib.compress(total.astype("<u8").tobytes(), 1)
+                    total += unpack(data, kind)
+            data = pack(total.astype("<u8"))
             yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([data], pa.binary())], names=["chunk", "part", "data"])
 
         return add
@@ -95,7 +99,7 @@ def sketched(docs: DataFrame, cells: int, scratch: common.Scratch) -> np.ndarray
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [int(np.frombuffer(zlib.decompress(x.as_py()), "<u8").sum()) for x in batch.column(0)]
+            n = [int(unpack(x, "<u8").sum()) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], names=["n"])
 
     mean = (sums.select("data").mapInArrow(facts, "n long").agg(F.sum("n")).first()[0] or 0) / cells
@@ -103,7 +107,7 @@ def sketched(docs: DataFrame, cells: int, scratch: common.Scratch) -> np.ndarray
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = [np.packbits(np.frombuffer(zlib.decompress(x.as_py()), "<u8") > most, bitorder="little").tobytes() for x in batch.column(1)]
+            bits = [np.packbits(unpack(x, "<u8") > most, bitorder="little").tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["chunk", "bits"])
 
     bitmap = np.zeros(cells // 8, np.uint8)
@@ -205,9 +209,25 @@ def prefix_lists(groups: DataFrame, n_parts: int) -> DataFrame:
     return groups.select("g", "n", "prefix").mapInArrow(pack, kind).repartition(n_parts, "part").mapInArrow(lists, LISTS)
 
 
-def near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def light(df: DataFrame, scratch: common.Scratch, name: str) -> DataFrame:
+    """df staged, with a hint to broadcast it if it is counted to have at most MOST_IDS rows, of two ids each."""
+    df = scratch.stage(df, name)
+    return F.broadcast(df) if df.count() <= MOST_IDS else df
+
+
+def needed(df: DataFrame, ids: DataFrame, scratch: common.Scratch, name: str) -> DataFrame:
+    """The rows of df whose doc_id is among ids, so that no others travel. The ids are broadcast if they are counted to be at
+    most MOST_IDS, eight bytes each; beyond that df is left as it is for the join that follows. ids: id."""
+    ids = scratch.stage(ids.filter("id is not null").distinct(), name)
+    if ids.count() > MOST_IDS:
+        return df
+    return df.join(F.broadcast(ids.withColumnRenamed("id", "_id")), F.col("doc_id") == F.col("_id"), "left_semi")
+
+
+def near(pairs: DataFrame, sets: DataFrame, scratch: common.Scratch, name: str) -> DataFrame:
     """The pairs a, b whose sizes and signatures let them link. sets: doc_id, n, signature; an id with several sets passes by any of them."""
-    own = sets.filter("n > 0").select("doc_id", "n", "signature").distinct()
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+    own = needed(sets.filter("n > 0").select("doc_id", "n", "signature"), ids, scratch, f"{name}-asked")
     side = lambda s: own.select(F.col("doc_id").alias(f"_{s}"), F.col("n").alias(f"n_{s}"), F.col("signature").alias(f"s_{s}"))
     rows = pairs.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b")).filter("3 * greatest(n_a, n_b) <= 4 * least(n_a, n_b)")
 
@@ -237,7 +257,8 @@ def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n_parts: int, scratch: common.Scratch, name: str) -> DataFrame:
     """The pairs a, b that link. Each text goes once to each partner's place; a partner of many is put in several."""
-    pairs = scratch.stage(near(pairs, sets), f"{name}-near")
+    pairs = scratch.stage(near(pairs, sets, scratch, name), f"{name}-near")
+    docs = needed(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), scratch, f"{name}-needed")
     counted = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k")).select(F.col("a").alias("_a"), F.ceil(F.col("k") / MEMBERS).cast("int").alias("places"))
     placed = pairs.join(counted, F.col("a") == F.col("_a")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("place"))
     heads = counted.select(F.col("_a").alias("a"), F.col("_a").alias("id"), F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.lit(0).alias("member"))
@@ -436,7 +457,8 @@ def screened(rows: DataFrame, sets: DataFrame, n_parts: int, scratch: common.Scr
     dealt = rows.join(sized, F.col("lead") == F.col("_lead")).withColumn("own", F.pmod(F.xxhash64("r"), F.col("blocks")).cast("int"))
     dealt = dealt.select("lead", "r", "c", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("lead", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "r", "c")
-    placed = dealt.join(sets.filter("n > 0").select("doc_id", "n", "signature").distinct(), F.col("r") == F.col("doc_id")).select("lead", "i", "j", "own", "r", "c", "n", "signature")
+    own = needed(sets.filter("n > 0").select("doc_id", "n", "signature"), rows.select(F.col("r").alias("id")), scratch, f"{name}-asked")
+    placed = dealt.join(own, F.col("r") == F.col("doc_id")).select("lead", "i", "j", "own", "r", "c", "n", "signature")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -464,6 +486,7 @@ def screened(rows: DataFrame, sets: DataFrame, n_parts: int, scratch: common.Scr
 
 def compared(dealt: DataFrame, docs: DataFrame, n_parts: int, scratch: common.Scratch, name: str) -> DataFrame:
     """Links a, b between components, from every bucket of classes in blocks. dealt: lead, i, j, own, r, c."""
+    docs = needed(docs, dealt.select(F.col("r").alias("id")), scratch, f"{name}-needed")
     # staged, so that the texts are not in two exchanges at a time
     placed = scratch.stage(dealt.join(docs, F.col("r") == F.col("doc_id")).select("lead", "i", "j", "own", "r", "c", "text"), f"{name}-texts")
 
@@ -503,7 +526,7 @@ def joined(docs: DataFrame) -> DataFrame:
     n_bytes = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = common.partitions(spark, math.ceil(n_bytes / PART_BYTES))
     cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << max(0, math.ceil(math.log2(max(1, n_bytes / 6 / CELL_SHINGLES))))))
-    bitmap = spark.sparkContext.broadcast(sketched(own, cells, scratch))
+    bitmap = spark.sparkContext.broadcast(sketched(own, cells, n_parts, scratch))
     sets = scratch.stage(document_sets(own, bitmap, cells), "sets")
     known = sets.filter("n > 0 and doc_id is not null")
     # the first of each group and class; hot ones pass through partial sums
@@ -533,14 +556,14 @@ def joined(docs: DataFrame) -> DataFrame:
 
     found, labels = labelled(links, 1)
     for k in range(ROUNDS):
-        picked = scratch.stage(strays(lists.select("h", "g", "n").join(labels.select("g", "c").distinct(), "g"), n_parts).join(done, ["a", "b"], "left_anti"), f"picked{k}")
+        picked = scratch.stage(strays(lists.select("h", "g", "n").join(light(labels.select("g", "c").distinct(), scratch, f"light{k}"), "g"), n_parts).join(done, ["a", "b"], "left_anti"), f"picked{k}")
         if not picked.limit(1).count():
             break
         more = verified(picked, sets, texts, n_parts, scratch, f"checked-picked{k}")
         done = done.union(picked)
         found, labels = labelled(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), k + 2)
     # what is still apart, in full
-    parts = labels.select("g", "c").distinct()
+    parts = light(labels.select("g", "c").distinct(), scratch, "parts")
     split = labels.groupBy("g").agg((F.min("c") != F.max("c")).alias("split")).filter("split").select(F.col("g").alias("lead"), "g")
     apart = scratch.stage(seats(lists.select("h", "g", "n").join(parts, "g")).union(split).distinct(), "apart")
     scratch.drop("lists")
