@@ -331,6 +331,7 @@ def audit_failures(audit: DataFrame) -> DataFrame:
     residue_atom_fraction, frames_a, frames_b, expected_frames, finite_a, finite_b."""
     text = lambda name, c: F.concat(F.lit(name + ":"), F.format_string("%.6f", F.col(c)))
     below = lambda c, limit, name: F.when(F.col(c) < limit, text(name, c))
+    # fixed values: the failures' texts
     found = F.array_compact(
         F.array(
             F.when(F.size(F.array_distinct("atom_counts")) > 1, F.concat(F.lit("atom_count_mismatch:["), F.array_join("atom_counts", ", "), F.lit("]"))),
@@ -350,6 +351,7 @@ def acceptance_failures(rows: DataFrame) -> DataFrame:
     """Adds failures: why a case isn't accepted. rows: published, consistency_failures (array), mapping_status,
     pdb_coverage, uniprot_coverage."""
     low = lambda c, limit, name: F.when(F.col(c) < limit, F.format_string(f"{name}:%.6f", F.col(c)))
+    # fixed values: the failures' texts
     own = F.array_compact(
         F.array(
             F.when(F.col("mapping_status").startswith("verified"), None).otherwise(F.concat(F.lit("residue_mapping_not_verified:"), F.coalesce("mapping_status", F.lit("none")))),

@@ -136,6 +136,10 @@ class View:
             found = found.join(last, (F.col("document_id") == F.col("_id")) & (F.col("_at") == F.col("_newest")), "left_semi")
         return found.select("document_id").distinct().orderBy("document_id")
 
+    def records(self, ids: DataFrame) -> DataFrame:
+        """document_id and record_json of these documents, in order of id. ids: document_id."""
+        return self.table("articles").join(ids.select("document_id").distinct(), "document_id").select("document_id", "record_json").orderBy("document_id")
+
     def count(self) -> int:
         return self.table("articles").count()
 
@@ -228,3 +232,29 @@ class Store:
 
     def health(self) -> dict:
         return {"status": "ok", "records": self.count()}
+
+
+#: What a caller is told whose request has no answer.
+NOT_FOUND, NO_IDENTIFIER = "record not found", "supply pdb_id or uniprot_accession"
+
+
+def answer(store: Store | View, path: str, **query: str | None) -> tuple[int, dict]:
+    """Status and body of a request for /health, /records/{id} or /search; a handler of any web framework may call it."""
+    if path == "/health":
+        return 200, {"status": "ok", "article_count": store.count()}
+    if path.startswith("/records/"):
+        try:
+            return 200, json.loads(store.get(path.removeprefix("/records/")))
+        except NotFound:
+            return 404, {"detail": NOT_FOUND}
+    if path == "/search":
+        pdb_id, accession = query.get("pdb_id"), query.get("uniprot_accession")
+        if pdb_id is None and accession is None:
+            return 400, {"detail": NO_IDENTIFIER}
+        try:
+            view = store.view() if isinstance(store, Store) else store
+            rows = view.records(view.search(pdb_id=pdb_id, accession=accession)).collect()  # an answer's size
+        except ValueError as e:
+            return 422, {"detail": str(e)}
+        return 200, {"count": len(rows), "records": [json.loads(r["record_json"]) for r in rows]}
+    return 404, {"detail": "Not Found"}

@@ -70,6 +70,7 @@ def compact(records: DataFrame, retain_payload: bool = False) -> DataFrame:
 
 
 def _state(received: Column, status: Column, error: Column, supported: Column, yes: str, no: str) -> Column:
+    # fixed values: the states and reasons, here and below
     state = lambda s, r: F.struct(F.lit(s).alias("state"), (r if isinstance(r, Column) else F.lit(r)).alias("reason"))
     return (
         F.when(~F.coalesce(received, F.lit(False)), state(UNRESOLVED, F.coalesce(error, F.lit("request_failed"))))

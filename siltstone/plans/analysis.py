@@ -431,11 +431,35 @@ def llm_accept(spark: SparkSession, sf: str) -> DataFrame:
     return candidates.judged(*_proposals(spark, sf)).select("candidate_id", "reject_reason", "duration_ps", "temperature_k")
 
 
+#: The part of a derived paragraph that states pressure, ensemble, time step and replicates; Spark and DuckDB read it alike.
+_CONDITIONS = r"and 1(\.5)? (atm|bar)( in the (NVT|npt) ensemble)?( with a time step of 2 fs| using 0\.002 ps as timestep)?( in three independent replicates| in 4 runs)?"
+
+
+def llm_quantities(spark: SparkSession, sf: str) -> DataFrame:
+    """Proposals of pressure, time step and replicates from every paragraph, right or wrong in one of several ways."""
+    own = fixture(spark, sf, "paragraphs")
+    k = F.col("document_id").cast("long") * 3 + F.col("ordinal")
+    quote = F.regexp_extract("text", _CONDITIONS, 0)
+    raw = lambda p, g: F.nullif(F.regexp_extract(quote, p, g), F.lit(""))
+    pressure, step, runs = raw("1(\\.5)? (atm|bar)", 0), raw("2 fs|0\\.002 ps", 0), raw("in (three|4) ", 1)
+    none = "struct<raw_text:string,value:double,unit:string>"
+    rows = own.select(
+        F.concat_ws("|", "document_id", "paragraph_id").alias("candidate_id"), "document_id", "paragraph_id", (F.instr("text", quote) - 1).cast("int").alias("start_char"),
+        (F.instr("text", quote) - 1 + F.length(quote)).cast("int").alias("end_char"), quote.alias("quote"), F.lit("production").alias("event_type"),
+        F.lit(None).cast(none).alias("duration"), F.lit(None).cast(none).alias("temperature"),
+        F.struct(pressure.alias("raw_text"), (F.split_part(pressure, F.lit(" "), F.lit(1)).cast("double") + F.when(k % 5 == 1, 1).otherwise(0)).alias("value"), F.split_part(pressure, F.lit(" "), F.lit(2)).alias("unit")).alias("pressure"),
+        F.when(step.isNotNull(), F.struct(step.alias("raw_text"), F.split_part(step, F.lit(" "), F.lit(1)).cast("double").alias("value"), F.when(k % 7 == 1, "ns").otherwise(F.split_part(step, F.lit(" "), F.lit(2))).alias("unit"))).alias("timestep"),
+        F.when(k % 13 == 1, "NVE").alias("ensemble"), F.lit(None).cast("string").alias("restraints"),
+        F.when(runs.isNotNull(), F.struct(runs.alias("raw_text"), (F.when(runs == "4", 4).otherwise(3) + F.when(k % 11 == 1, 1).otherwise(0)).cast("int").alias("value"))).alias("replicates"),
+    )
+    return candidates.judged(rows, own).select("candidate_id", "reject_reason", "pressure_bar", "timestep_fs", "replicate_count")
+
+
 def llm_id_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return candidates.accepted(*_proposals(spark, sf)).select("event_id", "candidate_id", "duration_ps")
 
 
-QUERIES = {f.__name__: f for f in (plan_exclude, plan_rank, plan_roundrobin, plan_split, finalize, workpack, manifest_check, ann_compare, ann_by_field, ann_adjudicate, ev_attr_counter, ev_metric, ev_confusion, ev_bootstrap, ev_interval, val_retrieve, val_pdb, val_uniprot, val_mapping, val_segments, val_discover, val_cascade, val_cascade_records, val_completeness, val_summary, record_completeness, integ_summary, sifts_rows, residue_compose, residue_audit, atom_audit, atom_examples, residue_atoms, audit_gate, finite_traj, align_fit, align_assign, sink_store, store_search, store_count, xml_paragraphs, xml_metadata, method_paragraphs, search_candidates, packet_check, freeze_articles, integ_counts, accept_gate, packet, llm_accept, llm_id_dedup, structure_read, plan_commit, store_versions, structure_audit, ev_pivot, ev_report)}
+QUERIES = {f.__name__: f for f in (plan_exclude, plan_rank, plan_roundrobin, plan_split, finalize, workpack, manifest_check, ann_compare, ann_by_field, ann_adjudicate, ev_attr_counter, ev_metric, ev_confusion, ev_bootstrap, ev_interval, val_retrieve, val_pdb, val_uniprot, val_mapping, val_segments, val_discover, val_cascade, val_cascade_records, val_completeness, val_summary, record_completeness, integ_summary, sifts_rows, residue_compose, residue_audit, atom_audit, atom_examples, residue_atoms, audit_gate, finite_traj, align_fit, align_assign, sink_store, store_search, store_count, xml_paragraphs, xml_metadata, method_paragraphs, search_candidates, packet_check, freeze_articles, integ_counts, accept_gate, packet, llm_accept, llm_id_dedup, structure_read, plan_commit, store_versions, structure_audit, ev_pivot, ev_report, llm_quantities)}
 
 _EXCLUDE = """reasoned AS (SELECT *, CASE WHEN ok_before < position THEN 'duplicate_document_id' ELSE own END AS reason FROM (SELECT *, min(CASE WHEN own IS NULL THEN position END) OVER (PARTITION BY identifier) AS ok_before FROM
  (SELECT *, upper(document_id) AS identifier, CASE WHEN upper(document_id) IN (SELECT upper(document_id) FROM exclusions) THEN 'previous_development_article' WHEN NOT full_text_available THEN 'full_text_unavailable' WHEN NOT starts_with(upper(document_id), 'PMC') THEN 'missing_pmc_identifier' WHEN year IS NULL THEN 'missing_publication_year' WHEN year < 2016 THEN 'publication_year_below_window' WHEN year > 2020 THEN 'publication_year_above_window' END AS own FROM candidates) a) b),
@@ -567,6 +591,9 @@ SELECT level AS iteration, tp, fp, fn, f1 FROM ({_METRIC}) y""",
     "llm_accept": with_fixtures(["paragraphs"], """SELECT candidate_id, reject_reason, CASE WHEN reject_reason IS NULL THEN CAST(regexp_extract(q, '([0-9]+) ([np])s', 1) AS DOUBLE) * CASE regexp_extract(q, '([0-9]+) ([np])s', 2) WHEN 'n' THEN 1000.0 ELSE 1.0 END END AS duration_ps, CASE WHEN reject_reason IS NULL THEN CAST(regexp_extract(q, '([0-9]+) K', 1) AS DOUBLE) END AS temperature_k
 FROM (SELECT document_id || '|' || paragraph_id AS candidate_id, q, CASE WHEN k % 5 = 1 THEN 'unknown paragraph_id' WHEN k % 7 = 1 AND instr(text, q) + length(q) > length(text) THEN 'evidence range exceeds paragraph length' WHEN k % 7 = 1 THEN 'evidence quote does not match source offsets' WHEN k % 17 = 1 THEN 'ensemble text is not present in the evidence quote' WHEN k % 11 = 1 THEN 'quantity value disagrees with raw_text' WHEN k % 13 = 1 THEN 'quantity unit disagrees with raw_text' END AS reject_reason
  FROM (SELECT *, CAST(document_id AS BIGINT) * 3 + ordinal AS k, regexp_extract(text, '[0-9]+ [np]s at [0-9]+ K') AS q FROM paragraphs) a) b"""),
+    "llm_quantities": with_fixtures(["paragraphs"], f"""SELECT candidate_id, reject_reason, CASE WHEN reject_reason IS NULL THEN CASE WHEN u = 'atm' THEN v * 1.01325 ELSE v END END AS pressure_bar, CASE WHEN reject_reason IS NULL AND step <> '' THEN CAST(2.0 AS DOUBLE) END AS timestep_fs, CASE WHEN reject_reason IS NULL THEN CASE runs WHEN 'three' THEN 3 WHEN '4' THEN 4 END END AS replicate_count
+FROM (SELECT *, CASE WHEN k % 13 = 1 THEN 'ensemble text is not present in the evidence quote' WHEN k % 5 = 1 THEN 'quantity value disagrees with raw_text' WHEN step <> '' AND k % 7 = 1 THEN 'quantity unit disagrees with raw_text' WHEN runs <> '' AND k % 11 = 1 THEN 'replicate value disagrees with raw_text' END AS reject_reason
+ FROM (SELECT document_id || '|' || paragraph_id AS candidate_id, CAST(document_id AS BIGINT) * 3 + ordinal AS k, CAST(regexp_extract(q, '1(\\.5)?') AS DOUBLE) AS v, regexp_extract(q, 'atm|bar') AS u, regexp_extract(q, '2 fs|0\\.002 ps') AS step, regexp_extract(q, 'in (three|4) ', 1) AS runs FROM (SELECT *, regexp_extract(text, '{_CONDITIONS}') AS q FROM paragraphs) a) b) c"""),
     "sifts_rows": with_fixtures(["segments"], "SELECT * FROM segments WHERE pdb_start IS NOT NULL AND pdb_end IS NOT NULL AND uniprot_start IS NOT NULL AND uniprot_end IS NOT NULL"),
     "residue_compose": with_fixtures(["residue_pairs", "segments"], "").rstrip() + ",\n" + _COMPOSED + "\nSELECT pdb_chain, pdb_number, status, CASE WHEN n_valid = 1 THEN acc END AS uniprot_accession, CASE WHEN n_valid = 1 THEN num END AS uniprot_number, count(*) AS n, CAST(sum(n_matching) AS BIGINT) AS n_matching FROM status GROUP BY 1, 2, 3, 4, 5",
     "residue_audit": with_fixtures(["residue_pairs", "segments"], "").rstrip() + ",\n" + _COMPOSED + "\nSELECT q.*, pdb_residues, ambiguous_chains, mapped_md_to_pdb / greatest(pdb_residues, 1) AS pdb_coverage, mapped_to_uniprot / greatest(pdb_residues, 1) AS uniprot_coverage, CASE WHEN mapped_to_uniprot > 0 AND sequence_mismatches = 0 THEN 'verified' WHEN mapped_to_uniprot > 0 THEN 'review' ELSE 'failed' END AS status FROM (SELECT count(*) AS mapped_md_to_pdb, count(*) FILTER (status = 'verified_md_to_pdb_to_uniprot') AS mapped_to_uniprot, count(*) FILTER (NOT same) AS sequence_mismatches FROM status) q, (SELECT count(DISTINCT (pdb_chain, pdb_number)) AS pdb_residues FROM residue_pairs) e, (SELECT count(*) FILTER (n > 1) AS ambiguous_chains FROM (SELECT count(DISTINCT md_chain) AS n FROM residue_pairs GROUP BY pdb_chain) f) g",

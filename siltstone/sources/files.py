@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.staging import Scratch
 from siltstone.operators.commitment import root_of
+from siltstone.operators.screening import file_roles
 
 ANNOTATION = "annotation_id string, document_id string, annotator_id string, field_name string, normalized_value string, unit string, event_type string, paragraph_id string, start_char int, end_char int, quote string, note string"
 CANDIDATE = "document_id string, title string, source_uri string, doi string, year int, software_family string, licence string, full_text_available boolean, source_sha256 string"
@@ -99,10 +102,47 @@ def jsonl_intact(df: DataFrame, order: list[str], root: str) -> bool:
     return root_of(df, order) == root
 
 
-def write_workpack(rows: DataFrame, folder: str) -> None:
-    """A table for annotators, and an empty file for their facts. A pack has as many rows as a plan."""
-    rows.orderBy("split", "split_order").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/articles")
-    rows.sparkSession.createDataFrame([], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/facts")
+#: What a reviewer may answer about an article.
+ELIGIBILITY = ("yes", "no", "uncertain")
+GUIDE = """# Review and annotation
+
+Two reviewers fill in their own columns of `articles` without seeing each other's, and settle what differs before anyone annotates.
+Facts go to each annotator's own file, a JSON object a line with the fields of `schema`: the quote must be the paragraph's text
+from start_char up to end_char. The screen's status is triage and no decision; predictions aren't shown in this pass.
+"""
+
+
+def write_workpack(rows: DataFrame, folder: str, settings: dict | None = None) -> None:
+    """A folder for annotators: the table with empty columns for two reviewers and an adjudicator, the counts and settings of the
+    pack, the schema of a fact, a guide, and a file without lines for each annotator. A pack has as many rows as a plan."""
+    spark = rows.sparkSession
+    empty = {f"{who}_{what}": F.lit("") for who in ("reviewer_a", "reviewer_b") for what in ("eligible", "reason", "note")} | {c: F.lit("") for c in ("adjudicated_eligible", "adjudicated_reason", "adjudicator_note")}
+    rows.withColumns(empty).orderBy("split", "split_order").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/articles")
+    counts = {r["split"]: r["n"] for r in rows.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+    fields = [dict(zip(("name", "type"), f.split(), strict=True)) for f in ANNOTATION.split(", ")]
+    pack = {"article_count": sum(counts.values()), "split_counts": counts, "eligibility_values": ELIGIBILITY, **(settings or {})}
+    lines = {"facts": "", "facts_b": "", "guide": GUIDE, "schema": json.dumps(fields, indent=1), "pack": json.dumps(pack, sort_keys=True, indent=1)}
+    for name, text in lines.items():
+        own = [(line,) for line in text.splitlines()]
+        spark.createDataFrame(own, "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{name}")
+
+
+#: What a project's descriptor tells of its metadata.
+PROJECT_KEYS = ("NAME", "PROGRAM", "VERSION", "LENGTH", "TIMESTEP", "SNAPSHOTS", "FF", "TEMP", "ENSEMBLE", "atomCount", "frameCount", "PDBIDS", "REFERENCES", "TOPOREF", "LICENSE", "CITATION")
+
+
+def project_descriptors(responses: DataFrame) -> DataFrame:
+    """project, published, metadata (the keys of PROJECT_KEYS that it has, as JSON text), descriptor_count and files.
+
+    responses: project, project_payload, files_payload, both JSON. A file list may be under the key "files", and may be an
+    object by name. A payload that is no JSON gives nulls and no files.
+    """
+    value = lambda k: F.get_json_object("project_payload", f"$.metadata.{k}")
+    entries = F.filter(F.array(*(F.struct(F.lit(k).alias("key"), value(k).alias("value")) for k in PROJECT_KEYS)), lambda x: x["value"].isNotNull())
+    listed = F.coalesce(F.get_json_object("files_payload", "$.files"), F.col("files_payload"))
+    files = F.coalesce(file_listing(listed), F.array().cast("array<struct<filename:string,bytes:bigint,content_type:string>>"))
+    roles = F.transform(files, lambda f: F.struct(f["filename"].alias("filename"), file_roles(f["filename"]).alias("roles"), f["bytes"].alias("bytes"), f["content_type"].alias("content_type")))
+    return responses.select("project", F.get_json_object("project_payload", "$.published").try_cast("boolean").alias("published"), F.map_from_entries(entries).alias("metadata"), F.size(files).alias("descriptor_count"), roles.alias("files"))
 
 
 def file_listing(payload: Column) -> Column:

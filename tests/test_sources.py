@@ -87,7 +87,12 @@ def test_file_rows(spark, tmp_path):
     assert [r[0] for r in files.missing_articles(plan, files.read_articles(spark, f"file://{tmp_path}/xml")).collect()] == ["PMC8"]
     assert [(r["bytes"], r["sha256"]) for r in remote.hashed_files(spark, f"file://{tmp_path}/xml").collect()] == [(4, sha("<a/>"))]
     files.write_workpack(spark.createDataFrame([("b", 1), ("a", 2), ("a", 1)], "split string, split_order int"), f"file://{tmp_path}/pack")
-    assert [tuple(r) for r in spark.read.csv(f"file://{tmp_path}/pack/articles", header=True).collect()] == [("a", "1"), ("a", "2"), ("b", "1")]
+    pack = spark.read.csv(f"file://{tmp_path}/pack/articles", header=True)
+    assert [(r["split"], r["split_order"], r["reviewer_a_eligible"], r["adjudicator_note"]) for r in pack.collect()] == [("a", "1", None, None), ("a", "2", None, None), ("b", "1", None, None)]
+    text = lambda name: "\n".join(r[0] for r in spark.read.text(f"file://{tmp_path}/pack/{name}").collect())
+    about = json.loads(text("pack"))
+    assert about["article_count"] == 3 and about["split_counts"] == {"a": 2, "b": 1} and about["eligibility_values"] == ["yes", "no", "uncertain"]
+    assert {f["name"]: f["type"] for f in json.loads(text("schema"))}["start_char"] == "int" and "annotator" in text("guide") and text("facts") == text("facts_b") == ""
 
 
 def test_backend_sees_all_paragraphs_of_a_document(spark):
@@ -95,3 +100,15 @@ def test_backend_sees_all_paragraphs_of_a_document(spark):
     complete = lambda prompt: [{"quote": prompt[prompt.index("[paragraph_id=p1") :]}] if "two" in prompt else []
     got = candidates.proposed(rows, complete, "document_id string, quote string").collect()
     assert [tuple(r) for r in got] == [("D", "[paragraph_id=p1; section=Methods]\none\n\n[paragraph_id=p2; section=Methods]\ntwo")]
+
+
+def test_project_descriptors(spark):
+    project = json.dumps({"published": True, "metadata": {"NAME": "n", "PDBIDS": ["1ABC"], "atomCount": 12, "OTHER": 1}})
+    listed = {"files": [{"filename": "a.pdb", "length": 5}, {"name": "b.xtc", "size": 7, "contentType": "x"}]}
+    by_name = {"one": {"filename": "c.inp"}}
+    rows = [("A", project, json.dumps(listed)), ("B", json.dumps({}), json.dumps(listed["files"])), ("C", None, json.dumps(by_name)), ("D", "no json", None)]
+    got = {r["project"]: r for r in files.project_descriptors(spark.createDataFrame(rows, "project string, project_payload string, files_payload string")).collect()}
+    assert got["A"]["published"] and got["A"]["metadata"] == {"NAME": "n", "PDBIDS": '["1ABC"]', "atomCount": "12"} and got["A"]["descriptor_count"] == 2
+    assert [(f["filename"], f["roles"], f["bytes"], f["content_type"]) for f in got["A"]["files"]] == [("a.pdb", ["topology_or_structure"], 5, None), ("b.xtc", ["trajectory"], 7, "x")]
+    assert got["B"]["published"] is None and got["B"]["metadata"] == {} and got["B"]["descriptor_count"] == 2
+    assert [f["roles"] for f in got["C"]["files"]] == [["workflow_or_parameters"]] and got["D"]["descriptor_count"] == 0

@@ -90,3 +90,16 @@ def test_a_search_opens_the_buckets_of_its_values(spark, tmp_path):
     assert all(f"/bucket={view.bucket('PMC9')}/" in f for f in view.table("articles", [view.bucket("PMC9")]).inputFiles())
     want = sorted(r["document_id"] for r in view.table("literature_facts").filter(F.col("value") == value).collect())
     assert [r[0] for r in view.search(pdb_id=value).collect()] == want
+
+
+def test_answers_of_the_service(spark, tmp_path):
+    store = storage.Store(spark, f"file://{tmp_path}/store")
+    assert storage.answer(store, "/health") == (200, {"status": "ok", "article_count": 0})
+    store.write(records(spark, ["PMC2", "PMC1"], 1, "1abc"))
+    assert storage.answer(store, "/records/pmc1") == (200, {"v": 1, "id": "PMC1"})
+    assert storage.answer(store, "/records/PMC9") == (404, {"detail": "record not found"})
+    assert storage.answer(store, "/search") == (400, {"detail": "supply pdb_id or uniprot_accession"})
+    assert storage.answer(store, "/search", pdb_id="12")[0] == 422 and storage.answer(store, "/search", uniprot_accession="P")[0] == 422
+    found = {"count": 2, "records": [{"v": 1, "id": "PMC1"}, {"v": 1, "id": "PMC2"}]}
+    assert storage.answer(store, "/search", pdb_id="1abc") == storage.answer(store.view(), "/search", uniprot_accession="P12345") == (200, found)
+    assert storage.answer(store, "/search", pdb_id="9zzz") == (200, {"count": 0, "records": []}) and storage.answer(store, "/nowhere")[0] == 404
