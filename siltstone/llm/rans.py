@@ -118,6 +118,11 @@ def encode(ids: np.ndarray, table: Table, block_tokens: int = BLOCK_TOKENS) -> l
     return out
 
 
+def size_of(block: bytes) -> int:
+    """How many ids a block holds."""
+    return HEAD.unpack_from(block)[1]
+
+
 def decode(blocks: list[bytes], table: Table, from_step: int = 0) -> list[np.ndarray]:
     """The ids of each block, from the last checkpoint at or before from_step on; all blocks step together."""
     heads, states, places, counts, streams, firsts = [], [], [], [], [], []

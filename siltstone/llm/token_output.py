@@ -67,6 +67,53 @@ def unpacked(data: bytes, table: rans.Table) -> tuple[list[int | None], np.ndarr
     return [None if z else int(d) for d, z in zip(names, nulls, strict=True)], sizes.astype(np.int64), ids
 
 
+def some_documents(data: bytes, table: rans.Table, wanted: set[int | None]) -> list[tuple[int | None, int, np.ndarray]]:
+    """doc_id, place in the group and ids of the wanted documents of a group. Only blocks that hold a part of them are decoded,
+    and the first of those from the last checkpoint before the document; payloads are checked whole all the same."""
+    mark, docs, blocks, size = GROUP_HEAD.unpack_from(data)
+    index = data[GROUP_HEAD.size : GROUP_HEAD.size + size]
+    at = GROUP_HEAD.size + size + 4
+    if mark != GROUP_MARK or struct.unpack_from("<I", data, at - 4)[0] != zlib.crc32(index):
+        raise rans.Damaged("group index")
+    names, nulls, sizes = np.frombuffer(index, "<i8", docs), np.frombuffer(index, np.uint8, docs, docs * 8), np.frombuffer(index, "<u4", docs, docs * 9).astype(np.int64)
+    lengths = np.frombuffer(index, "<u4", blocks, docs * 13).astype(np.int64)
+    offsets = at + np.concatenate(([0], np.cumsum(lengths)))
+    held = [data[offsets[b] : offsets[b + 1]] for b in range(blocks)]
+    first = np.concatenate(([0], np.cumsum([rans.size_of(x) for x in held]))).astype(np.int64)
+    ends, out = np.cumsum(sizes), []
+    for k in range(docs):
+        name = None if nulls[k] else int(names[k])
+        if name in wanted:
+            start, end = int(ends[k] - sizes[k]), int(ends[k])
+            parts = []
+            for b in range(int(np.searchsorted(first, start, "right")) - 1, blocks):
+                if first[b] >= end:
+                    break
+                low = max(start - int(first[b]), 0)
+                own = rans.decode([held[b]], table, low // rans.LANES)[0]
+                skipped = int(first[b + 1] - first[b]) - len(own)
+                parts.append(own[low - skipped : end - int(first[b]) - skipped])
+            out.append((name, k, np.concatenate(parts)))
+    return out
+
+
+def read_documents(spark: SparkSession, to: str, wanted: list[int | None]) -> DataFrame:
+    """doc_id, segment, group, row and ids of the documents with these ids, from a written folder; as many rows as have them."""
+    freq, asked = read_table(spark, to), set(wanted)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = rans.Table(freq)
+        for batch in batches:
+            for segment, group, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                for name, row, ids in some_documents(data.as_py(), table, asked):
+                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([segment]), pa.array([group], pa.int32()), pa.array([row], pa.int32()), pa.array([ids.tolist()], pa.list_(pa.int32()))], ["doc_id", "segment", "group", "row", "ids"])
+
+    groups = spark.read.schema(GROUPS).parquet(f"{to}/groups")
+    if asked and None not in asked:  # a group begins with its first id, and later ones have larger ids
+        groups = groups.filter(F.col("first_id").isNull() | (F.col("first_id") <= max(asked)))
+    return groups.select("segment", "group", "data").mapInArrow(read, "doc_id long, segment string, group int, row int, ids array<int>")
+
+
 def staged_ids(docs: DataFrame, path: str, end_id: int, words: bool, n_shards: int) -> DataFrame:
     """Rows of STAGED in doc_id order within each shard; ids are little-endian, 16 bits where the vocabulary allows it."""
 

@@ -174,3 +174,29 @@ def test_files_follow_each_other_as_ids_do(spark, tmp_path):
                 at += size
             found += names
     assert found == list(range(4001)) and len(list((tmp_path / "a/groups").glob("part-*.parquet"))) == 6
+
+
+def test_single_documents_from_checkpoints(spark, tmp_path, monkeypatch):
+    """Documents anywhere in a group, over several blocks, repeated, null or absent; a decoder starts at the checkpoint before them."""
+    rows = [(k, f"text {k} " + "ab cd é " * (k % 30 * 20)) for k in range(300)] + [(77, "again"), (None, "null one"), (400, "long " * 60_000)]
+    token_output.write_ids(spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/a", BYTE, end_id=2, n_shards=2, group_tokens=90_000)
+    wanted = [0, 77, 150, 299, 400, 999, None]
+    got = sorted((repr(r["doc_id"]), r["ids"]) for r in token_output.read_documents(spark, f"file://{tmp_path}/a", wanted).collect())
+    assert got == sorted((repr(d), [*library(BYTE, t), 2]) for d, t in rows if d in wanted)
+    table = rans.Table(token_output.read_table(spark, f"file://{tmp_path}/a"))
+    starts, inner = [], rans.decode
+
+    def watched(blocks, table, from_step=0):
+        out = inner(blocks, table, from_step)
+        starts.extend(rans.size_of(b) - len(x) for b, x in zip(blocks, out, strict=True))
+        return out
+
+    monkeypatch.setattr(rans, "decode", watched)
+    for part in (tmp_path / "a/groups").glob("part-*.parquet"):
+        for r in pq.read_table(part).to_pylist():
+            token_output.some_documents(r["data"], table, {250, 290, 400})
+    assert max(starts) > 0
+    damaged = bytearray(r["data"])
+    damaged[len(damaged) // 2] ^= 1
+    with pytest.raises(rans.Damaged):
+        token_output.some_documents(bytes(damaged), table, {d for d, _ in rows})
