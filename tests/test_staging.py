@@ -38,3 +38,20 @@ def test_places_of_nothing_and_of_clashing_columns(spark):
     assert staging.numbered(spark.createDataFrame([], "a long"), ["a"]).count() == 0
     with pytest.raises(ValueError, match="ordinal"):
         staging.numbered(spark.createDataFrame([(1, 2)], "a long, ordinal long"), ["a"])
+
+
+@pytest.mark.parametrize(("master", "fine"), [("local", True), ("local[8]", True), ("local[*]", True), ("local-cluster[2,1,1024]", False), ("spark://h:7077", False), ("yarn", False)])
+def test_a_cluster_must_name_its_shared_folder(master, fine):
+    class Conf(dict):
+        def set(self, key, value):
+            self[key] = value
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": master})  # noqa: N815
+
+    if fine:
+        assert staging.scratch_root(Session).startswith("file:///") and staging.scratch_root(Session) == Session.conf["spark.checkpoint.dir"]
+    else:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            staging.scratch_root(Session)
