@@ -12,7 +12,7 @@ import numpy as np
 WORDS = 5
 BASE, STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 INVERSE = pow(BASE, -1, 1 << 64)
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
