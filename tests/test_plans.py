@@ -16,7 +16,7 @@ def folder(spark, tmp_path_factory):
     return to
 
 
-@pytest.mark.parametrize("name", ["plan_exclude"])
+@pytest.mark.parametrize("name", ["plan_exclude", "plan_rank"])
 def test_positions_count_all_rows(spark, folder, name):
     df = QUERIES[name](spark, folder)
     rows = sorted(tuple(map(repr, r)) for r in df.collect())
