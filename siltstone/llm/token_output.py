@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import common, rans, tokens
 
-GROUP_TOKENS, BATCH_ROWS, SHARD_ROWS = 4_000_000, 128, 50_000
+GROUP_TOKENS, BATCH_ROWS, BATCH_BYTES, SHARD_ROWS = 4_000_000, 512, 4_000_000, 50_000
 GROUP_HEAD = struct.Struct("<4sIII")  # mark, documents, blocks, bytes of the index
 GROUP_MARK = b"TOKG"
 STAGED = "shard int, row long, doc_id long, n long, ids binary"
@@ -114,6 +114,17 @@ def read_documents(spark: SparkSession, to: str, wanted: list[int | None]) -> Da
     return groups.select("segment", "group", "data").mapInArrow(read, "doc_id long, segment string, group int, row int, ids array<int>")
 
 
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of BATCH_ROWS rows and about BATCH_BYTES of this column at most, and one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        to = min(at + BATCH_ROWS, max(at + 1, int(np.searchsorted(ends, before + BATCH_BYTES, "right"))))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def staged_ids(docs: DataFrame, path: str, end_id: int, words: bool, n_shards: int) -> DataFrame:
     """Rows of STAGED in doc_id order within each shard; ids are little-endian, 16 bits where the vocabulary allows it."""
 
@@ -122,8 +133,7 @@ def staged_ids(docs: DataFrame, path: str, end_id: int, words: bool, n_shards: i
         kind = np.dtype("<u2") if max(own.whole.get_vocab_size(), end_id + 1) <= 1 << 16 else np.dtype("<u4")
         row = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                rows = batch.slice(at, BATCH_ROWS)
+            for rows in slices(batch, 2):
                 ids, sizes = own.encode([x or "" for x in rows.column(2).to_pylist()])
                 ids = np.insert(ids, np.cumsum(sizes), end_id).astype(kind)
                 sizes = sizes + 1
