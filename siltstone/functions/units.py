@@ -51,3 +51,11 @@ def count_of(word: Column) -> Column:
     """Digits of any script or a number word; null where the number is beyond an int."""
     digits = ascii_digits(word)
     return F.coalesce(F.when(digits.rlike("^[0-9]+$"), digits.try_cast("int")), lookup(NUMBER_WORDS, F.lower(word)))
+
+
+def whole(word: str) -> int | None:
+    """`count_of` for one text."""
+    if word.isdecimal():
+        digits = word.lstrip("".join(c for c in set(word) if unicodedata.decimal(c) == 0))
+        return int(digits or "0") if len(digits) <= 10 and int(digits or "0") < 1 << 31 else None
+    return NUMBER_WORDS.get(word.lower())

@@ -15,20 +15,20 @@ def duration_anchor(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def timestep_exclusion(spark: SparkSession, sf: str) -> DataFrame:
-    return events.anchors(fixture(spark, sf, "paragraphs")).select("document_id", "paragraph_id", "pos", "is_timestep")
+    return events.anchors(fixture(spark, sf, "paragraphs"), "timestep").select("document_id", "paragraph_id", "pos", "is_timestep")
 
 
 def unit_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    return events.with_duration(events.anchors(fixture(spark, sf, "paragraphs"))).select("document_id", "paragraph_id", "pos", "duration_ps")
+    return events.anchors(fixture(spark, sf, "paragraphs"), "duration").select("document_id", "paragraph_id", "pos", "duration_ps")
 
 
 def phase_nearest(spark: SparkSession, sf: str) -> DataFrame:
-    rows = events.with_gate(events.with_phase(events.anchors(fixture(spark, sf, "paragraphs"))))
+    rows = events.anchors(fixture(spark, sf, "paragraphs"), "phase")
     return rows.select("document_id", "paragraph_id", "pos", "event_type", "passes_gate")
 
 
 def link_nearest(spark: SparkSession, sf: str) -> DataFrame:
-    rows = events.with_conditions(events.anchors(fixture(spark, sf, "paragraphs")))
+    rows = events.anchors(fixture(spark, sf, "paragraphs"), "conditions")
     return rows.select("document_id", "paragraph_id", "pos", "temperature_k", "pressure_bar", "timestep_fs", "replicates", "ensemble")
 
 
