@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import ArrayType
@@ -110,10 +110,13 @@ class _Anchors:
         }
 
 
-def _found(paragraphs: DataFrame, parts: tuple[str, ...], emitted: bool) -> DataFrame:
-    """A row for every anchor with its number from 0 and the fields of the parts; emitted: of those that are events only."""
-    kinds = {"quote": pa.string(), "start": pa.int32(), "end": pa.int32()} | {c: kind for p in parts for c, kind in FIELDS[p].items()}
-    kind = from_arrow_schema(pa.schema(kinds.items()))
+def _kinds(parts: tuple[str, ...]) -> dict[str, pa.DataType]:
+    return {"quote": pa.string(), "start": pa.int32(), "end": pa.int32()} | {c: kind for p in parts for c, kind in FIELDS[p].items()}
+
+
+def listed(text: Column, *parts: str, emitted: bool) -> Column:
+    """The anchors of a text as an array of structs with the fields of the parts; emitted: of those that are events only."""
+    kinds = _kinds(parts)
 
     def scan(column: pa.Array) -> pa.Array:
         own, out = _Anchors(Texts(column)), {}
@@ -135,9 +138,14 @@ def _found(paragraphs: DataFrame, parts: tuple[str, ...], emitted: bool) -> Data
         out |= {"quote": own.quote, "start": own.start, "end": own.end}
         return lists(len(column), own.row, {c: (out[c] if isinstance(out[c], pa.Array) else pa.array(out[c])).cast(t) for c, t in kinds.items()})
 
+    return arrow_scan(scan, ArrayType(from_arrow_schema(pa.schema(kinds.items()))))(text)
+
+
+def _found(paragraphs: DataFrame, parts: tuple[str, ...], emitted: bool) -> DataFrame:
+    """A row for every anchor with its number from 0 and the fields of the parts."""
     # outer: from an inner explosion Spark infers a filter that would look for the anchors a first time
-    found = F.posexplode_outer(arrow_scan(scan, ArrayType(kind))(F.col("text"))).alias("pos", "m")
-    return paragraphs.select("*", found).filter("m is not null").select("*", *(F.col(f"m.{c}") for c in kinds)).drop("m")
+    found = F.posexplode_outer(listed(F.col("text"), *parts, emitted=emitted)).alias("pos", "m")
+    return paragraphs.select("*", found).filter("m is not null").select("*", *(F.col(f"m.{c}") for c in _kinds(parts))).drop("m")
 
 
 def anchors(paragraphs: DataFrame, *parts: str) -> DataFrame:
@@ -156,20 +164,21 @@ def emitted(paragraphs: DataFrame, *parts: str) -> DataFrame:
 def extract_events(paragraphs: DataFrame, conditions: bool = True) -> DataFrame:
     """All events with identifiers and evidence, numbered in each paragraph. A paragraph is one row, and no two have the same document
     and paragraph id. Without conditions these are null, and nothing looks for them."""
-    rows = emitted(paragraphs, *(("conditions",) if conditions else ()))
+    # a hash for a paragraph, not for each of its events
+    rows = emitted(paragraphs.withColumn("context_sha256", F.sha2("text", 256)), *(("conditions",) if conditions else ()))
     stated = [F.col(c) if conditions else F.lit(None).cast(kind).alias(c) for c, kind in CONDITIONS.items()]
     return rows.select(
         F.concat_ws(":", "document_id", "paragraph_id", F.concat(F.lit("event-"), F.col("pos") + 1)).alias("event_id"),
         "document_id", "section", "paragraph_id", "event_type", "duration_ps", *stated,
         F.lit(None).cast("string").alias("restraints"), "quote", F.col("start").alias("start_char"), F.col("end").alias("end_char"),
-        F.sha2("text", 256).alias("context_sha256"), F.lit(METHOD).alias("relation_method"),
+        "context_sha256", F.lit(METHOD).alias("relation_method"),
         F.when(F.col("event_type") == UNKNOWN, 0.65).otherwise(0.92).alias("confidence"),
     )
 
 
 def evidence_errors(events: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """Events whose quote isn't their paragraph's text at the given place, or whose paragraph hash differs."""
-    texts = paragraphs.select("document_id", "paragraph_id", "text")
+    texts = paragraphs.select("document_id", "paragraph_id", "text", F.sha2("text", 256).alias("_sha256"))
     rows = events.join(texts, ["document_id", "paragraph_id"], "left")
-    right = (part(F.col("text"), F.col("start_char"), F.col("end_char")) == F.col("quote")) & (F.sha2("text", 256) == F.col("context_sha256"))
-    return rows.filter(~F.coalesce(right, F.lit(False))).drop("text")
+    right = (part(F.col("text"), F.col("start_char"), F.col("end_char")) == F.col("quote")) & (F.col("_sha256") == F.col("context_sha256"))
+    return rows.filter(~F.coalesce(right, F.lit(False))).drop("text", "_sha256")
